@@ -74,16 +74,19 @@ def heading_candidate(line: Column) -> Column:
     Inner white space must already be single blanks: a line that differs from
     its squashed form never opens a section.
     """
-    clean = squash(line)
-    numbered = clean.rlike("(?iU)" + fv.HEADING_PATTERN)
-    caps = (
-        (F.length(clean) <= fv.CAPS_HEADING_MAX_CHARS)
-        & (F.upper(clean) == clean)
-        & clean.rlike("\\p{L}")
-    )
-    heading = F.substring(clean, 1, fv.HEADING_MAX_CHARS)
-    same = F.substring(line, 1, fv.HEADING_MAX_CHARS) == heading
-    return F.when(same & (numbered | caps), heading)
+
+    def judge(clean: Column) -> Column:
+        numbered = clean.rlike("(?iU)" + fv.HEADING_PATTERN)
+        caps = (
+            (F.length(clean) <= fv.CAPS_HEADING_MAX_CHARS)
+            & (F.upper(clean) == clean)
+            & clean.rlike("\\p{L}")
+        )
+        heading = F.substring(clean, 1, fv.HEADING_MAX_CHARS)
+        same = F.substring(line, 1, fv.HEADING_MAX_CHARS) == heading
+        return F.when(same & (caps | numbered), heading)
+
+    return let(squash(line), judge)
 
 
 def clause_type(text: Column | str) -> Column:

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from gridledger.plans import settlement, telemetry  # noqa: F401
+from gridledger.plans import cases, documents, settlement, telemetry, workflow  # noqa: F401
 from gridledger.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
