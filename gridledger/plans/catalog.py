@@ -1,6 +1,8 @@
 """All registered queries."""
 
-from gridledger.plans import cases, documents, settlement, telemetry, workflow  # noqa: F401
+from gridledger.plans import (  # noqa: F401
+    cases, control_tower, documents, settlement, streams, telemetry, workflow,
+)
 from gridledger.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -631,8 +631,8 @@ def models(spark: SparkSession, sf_dir: str) -> DataFrame:
     start = F.add_months(F.lit("1990-01-01").cast("date"), period * 36)
     return read(spark, sf_dir, "nation").select(
         F.concat(F.lit("model"), (n % 5).cast("string")).alias("model_name"),
-        ((n + 1) / 1024.0).alias("input_price_per_1k_tokens"), ((n + 2) / 512.0).alias("output_price_per_1k_tokens"),
-        ((n + 1) / 4096.0).alias("embedding_price_per_1k_tokens"), start.alias("effective_start_date"),
+        ((n + 1) / 1000.0).alias("input_price_per_1k_tokens"), ((n + 2) / 500.0).alias("output_price_per_1k_tokens"),
+        ((n + 1) / 2000.0).alias("embedding_price_per_1k_tokens"), start.alias("effective_start_date"),
         F.when(period < 4, F.add_months(start, 36)).alias("effective_end_date"),
     )
 
@@ -683,8 +683,8 @@ FROM lineitem
 """)
 
 part("models", """
-SELECT 'model' || (n_nationkey % 5) AS model_name, (n_nationkey + 1) / 1024.0 AS price_in, (n_nationkey + 2) / 512.0 AS price_out,
-  (n_nationkey + 1) / 4096.0 AS price_embed,
+SELECT 'model' || (n_nationkey % 5) AS model_name, (n_nationkey + 1) / 1000.0 AS price_in, (n_nationkey + 2) / 500.0 AS price_out,
+  (n_nationkey + 1) / 2000.0 AS price_embed,
   CAST(DATE '1990-01-01' + to_months(CAST(36 * (n_nationkey // 5) AS INTEGER)) AS DATE) AS valid_from,
   CASE WHEN n_nationkey // 5 < 4 THEN CAST(DATE '1990-01-01' + to_months(CAST(36 * (n_nationkey // 5) + 36 AS INTEGER)) AS DATE) END AS valid_to
 FROM nation
