@@ -202,3 +202,22 @@ def seconds_between(start: Column | str, end: Column | str) -> Column:
 def share(part: Column, whole: Column) -> Column:
     """Ratio that is null for an empty whole."""
     return F.try_divide(part.cast("double"), whole.cast("double"))
+
+
+_BLOCK_CHARS = 32768
+
+
+def text_blocks(text: Column, reach: int) -> Column:
+    """The text as blocks that overlap by ``reach`` characters.
+
+    Finding a character position walks the text from its start; reading many
+    pieces of a long text from blocks keeps that walk short.
+    """
+    starts = F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), F.lit(_BLOCK_CHARS))
+    return F.transform(starts, lambda s: F.substring(text, s + 1, F.lit(_BLOCK_CHARS + reach)))
+
+
+def read_piece(blocks: Column, at: Column, length: Column) -> Column:
+    """Up to ``reach`` characters from zero-based position ``at``."""
+    block = F.get(blocks, F.floor(at / _BLOCK_CHARS).cast("int"))
+    return F.substring(block, at % _BLOCK_CHARS + 1, length)

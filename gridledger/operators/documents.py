@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from gridledger import fixed_values as fv
 from gridledger.functions.scalars import (
-    LINE_BREAK, SPACE_CLASS, clause_type, heading_candidate, let, squash, strip,
+    LINE_BREAK, clause_type, heading_candidate, let, read_piece, squash, strip, text_blocks,
 )
 from gridledger.operators.silver import latest
 
@@ -106,8 +106,7 @@ def split_text(
     fill = int(max_chars * fv.SPLIT_MIN_FILL)
     advance = max(1, min(fill + 2, max_chars) - overlap_chars)
 
-    def cuts(clean: Column) -> Column:
-        size = F.length(clean)
+    def cuts(size: Column, blocks: Column) -> Column:
         steps = F.sequence(F.lit(1), F.ceil(size / advance).cast("int") + 1)
         spans = "array<struct<from:int,to:int>>"
         first = F.struct(F.lit(0).alias("at"), F.array().cast(spans).alias("spans"))
@@ -115,7 +114,7 @@ def split_text(
         def step(state: Column, _: Column) -> Column:
             at = state["at"]
             hard = F.least(at + max_chars, size)
-            window = F.substring(clean, at + 1, hard - at)
+            window = read_piece(blocks, at, hard - at)
 
             def close(w: Column) -> Column:
                 mark = F.greatest(_last_index(w, ". "), _last_index(w, "; "))
@@ -132,16 +131,21 @@ def split_text(
             return F.when(at < 0, state).otherwise(let(let(window, close), grow))
 
         found = F.aggregate(steps, first, step, lambda s: s["spans"])
-        return F.transform(found, lambda s: F.trim(F.substring(clean, s["from"] + 1, s["to"] - s["from"])))
+        return F.transform(found, lambda s: F.trim(read_piece(blocks, s["from"], s["to"] - s["from"])))
 
-    return let(squash(text), lambda clean: F.when(F.length(clean) <= max_chars, F.array(clean)).otherwise(cuts(clean)))
+    def split(clean: Column) -> Column:
+        long = let(F.length(clean), lambda size: let(text_blocks(clean, max_chars), lambda b: cuts(size, b)))
+        return F.when(F.length(clean) <= max_chars, F.array(clean)).otherwise(long)
+
+    return let(squash(text), split)
 
 
 def window_array(text: Column, size: int = fv.WINDOW_CHARS, overlap: int = fv.WINDOW_OVERLAP_CHARS) -> Column:
     """Fixed-size overlapping windows over the raw text; empty text has none."""
-    step = size - overlap
-    starts = F.when(F.length(text) > 0, F.sequence(F.lit(0), F.length(text) - 1, F.lit(step)))
-    return F.transform(F.coalesce(starts, F.array().cast("array<int>")), lambda s: F.substring(text, s + 1, F.lit(size)))
+    starts = F.when(F.length(text) > 0, F.sequence(F.lit(0), F.length(text) - 1, F.lit(size - overlap)))
+    return let(text_blocks(text, size), lambda blocks: F.transform(
+        F.coalesce(starts, F.array().cast("array<int>")), lambda s: read_piece(blocks, s, F.lit(size))
+    ))
 
 
 def window_chunks(

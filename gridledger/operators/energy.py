@@ -8,9 +8,23 @@ from pyspark.sql import Window as W
 
 from gridledger import fixed_values as fv
 from gridledger.functions.scalars import hour_of, is_curtailed, kw_to_mwh, seconds_between
+from gridledger.profiles import METERED, TelemetryProfile
 
 
-def _energy(sample_seconds: float, row_wise_limit: bool) -> list[Column]:
+def _curtailment_status(profile: TelemetryProfile) -> Column:
+    """The alphabetically last curtailed status of a group.
+
+    Statuses are compared as small integers: a text maximum would force a
+    sort-based aggregate over the raw samples.
+    """
+    names = sorted(s for s in profile.statuses if s.startswith(fv.CURTAILED_PREFIX))
+    status, code = F.col("operating_status"), None
+    for position, name in enumerate(names, start=1):
+        code = F.when(status == name, position) if code is None else code.when(status == name, position)
+    return F.get(F.array(*[F.lit(n) for n in names]), F.max(code) - 1)
+
+
+def _energy(sample_seconds: float, row_wise_limit: bool, profile: TelemetryProfile) -> list[Column]:
     limit = F.col("grid_limit_kw")
     if row_wise_limit:
         limit = F.least("expected_available_kw", "grid_limit_kw")
@@ -19,7 +33,7 @@ def _energy(sample_seconds: float, row_wise_limit: bool) -> list[Column]:
         return F.sum(kw * F.lit(float(sample_seconds)) / 3600.0) / 1000.0
 
     return [
-        F.max(F.when(is_curtailed("operating_status"), F.col("operating_status"))).alias("curtailment_status"),
+        _curtailment_status(profile).alias("curtailment_status"),
         F.count("*").alias("sample_count"),
         mwh(F.col("measured_generation_kw")).alias("actual_generation_mwh"),
         mwh(F.col("expected_available_kw")).alias("expected_available_mwh"),
@@ -28,19 +42,23 @@ def _energy(sample_seconds: float, row_wise_limit: bool) -> list[Column]:
 
 
 def hourly_energy(
-    silver: DataFrame, sample_seconds: float = fv.SAMPLE_SECONDS, row_wise_limit: bool = False
+    silver: DataFrame, sample_seconds: float = fv.SAMPLE_SECONDS, row_wise_limit: bool = False,
+    profile: TelemetryProfile = METERED,
 ) -> DataFrame:
     """MWh per asset and hour. ``row_wise_limit`` caps the limit at the expected power per sample."""
-    return silver.groupBy("reconciliation_hour_utc", "asset_id").agg(*_energy(sample_seconds, row_wise_limit))
+    return silver.groupBy("reconciliation_hour_utc", "asset_id").agg(
+        *_energy(sample_seconds, row_wise_limit, profile)
+    )
 
 
 def bucket_energy(
-    silver: DataFrame, width: str = "5 minutes", sample_seconds: float = fv.SAMPLE_SECONDS
+    silver: DataFrame, width: str = "5 minutes", sample_seconds: float = fv.SAMPLE_SECONDS,
+    profile: TelemetryProfile = METERED,
 ) -> DataFrame:
     """MWh per asset and tumbling interval; also valid on a stream with a watermark."""
     return (
         silver.groupBy(F.window("event_ts_utc", width).alias("w"), "asset_id")
-        .agg(*_energy(sample_seconds, False))
+        .agg(*_energy(sample_seconds, False, profile))
         .select(
             F.col("w.start").alias("bucket_start_utc"), F.col("w.end").alias("bucket_end_utc"),
             "asset_id", "curtailment_status", "sample_count",

@@ -125,10 +125,17 @@ def require_passed(results: DataFrame) -> None:
 
 
 def partition_difference(source: DataFrame, valid: DataFrame, quarantine: DataFrame, key: str) -> DataFrame:
-    """Keys lost or added when a source was split; empty when the split is whole."""
-    whole = source.select(key)
-    parts = valid.select(key).unionByName(quarantine.select(key))
+    """Keys lost or added when a source was split; empty when the split is whole.
+
+    Source rows count up and part rows count down, so one aggregate with
+    map-side reduction compares both sides, copies included.
+    """
+    signed = (
+        source.select(key, F.lit(1).alias("_n"))
+        .unionByName(valid.select(key, F.lit(-1).alias("_n")))
+        .unionByName(quarantine.select(key, F.lit(-1).alias("_n")))
+    )
     return (
-        whole.exceptAll(parts).withColumn("side", F.lit("lost"))
-        .unionByName(parts.exceptAll(whole).withColumn("side", F.lit("added")))
+        signed.groupBy(key).agg(F.sum("_n").alias("_n")).filter(F.col("_n") != 0)
+        .select(key, F.when(F.col("_n") > 0, "lost").otherwise("added").alias("side"), F.abs("_n").alias("copies"))
     )

@@ -161,7 +161,12 @@ def retrieve(
 def retrieve_context(
     events: DataFrame, chunks: DataFrame, k: int = fv.RETRIEVAL_TOP_K, clause: str | None = None
 ) -> DataFrame:
-    """Retrieved chunks with their text and locator; rows of the result are joined back by chunk id."""
+    """Retrieved chunks with their text and locator.
+
+    Texts are joined to the result by chunk id, after the search; a chunk that
+    a large share of the events retrieves is a skewed key of the left side,
+    which adaptive execution splits.
+    """
     details = chunks.drop("embedding_vector")
     return retrieve(events, chunks, k, clause).join(details, "chunk_id")
 

@@ -12,9 +12,9 @@ from gridledger.plans import tables as t
 from gridledger.plans.documents import clause_sql  # noqa: F401  (registers the document parts)
 from gridledger.plans.registry import part, query
 from gridledger.plans.settlement import _billing
+from gridledger.session import materialize
 from gridledger.sources import sinks
 
-_MONEY = ["estimated_leakage_revenue_usd", "eligible_compensable_mwh", "open_amount_usd"]
 INSTRUCTION = "Explain the leakage case from the given facts and evidence only."
 RUN_AT = "2024-02-01 00:00:00"
 
@@ -83,12 +83,13 @@ FROM case_ready c JOIN packs p USING (breach_event_id)
 """, ["case_ready", "packs"])
 
 
-def breaches(spark, sf_dir):
-    return ops.breach_events(t.gold_fact(spark, sf_dir))
+def stored_gold(spark, sf_dir):
+    """The leakage fact as a written table; every step below reads it again."""
+    return materialize(t.gold_fact(spark, sf_dir), "gold")
 
 
-def case_ready(spark, sf_dir):
-    rows = enterprise.with_finance(breaches(spark, sf_dir), *_billing(spark, sf_dir))
+def case_ready(spark, sf_dir, breaches):
+    rows = enterprise.with_finance(breaches, *_billing(spark, sf_dir))
     rows = enterprise.with_commercial(
         rows, t.accounts(spark, sf_dir), t.crm_contracts(spark, sf_dir), t.crm_assets(spark, sf_dir)
     )
@@ -100,17 +101,22 @@ def case_ready(spark, sf_dir):
     })
 
 
-def links(spark, sf_dir):
-    return ops.link_evidence(breaches(spark, sf_dir), t.documents(spark, sf_dir))
+def evidence(spark, sf_dir, breaches):
+    """Only documents that support some breach are cut into chunks."""
+    links = materialize(ops.link_evidence(breaches, t.documents(spark, sf_dir)), "links")
+    texts = t.documents(spark, sf_dir).select("document_id", "raw_text_content")
+    linked = texts.join(links.select("document_id").distinct(), "document_id", "left_semi")
+    return ops.collect_evidence(links, documents.build_chunks(documents.to_lines(linked), ["document_id"]))
 
 
-def evidence(spark, sf_dir):
-    docs = documents.to_lines(t.documents(spark, sf_dir).select("document_id", "raw_text_content"))
-    return ops.collect_evidence(links(spark, sf_dir), documents.build_chunks(docs, ["document_id"]))
+def packages(spark, sf_dir, gold):
+    breaches = ops.breach_events(gold)
+    ready = case_ready(spark, sf_dir, breaches)
+    return materialize(ops.case_package(ready, evidence(spark, sf_dir, breaches), INSTRUCTION), "packages")
 
 
-def packages(spark, sf_dir):
-    return ops.case_package(case_ready(spark, sf_dir), evidence(spark, sf_dir), INSTRUCTION)
+def all_packages(spark, sf_dir):
+    return packages(spark, sf_dir, stored_gold(spark, sf_dir))
 
 
 @query("breach_events", """
@@ -119,7 +125,7 @@ SELECT breach_event_id, fact_record_hash, strftime(hour_utc, '%Y-%m-%d %H:%M:%S'
 FROM breaches
 """, ["breaches"])
 def breach_events(spark, sf_dir):
-    return breaches(spark, sf_dir).select(
+    return ops.breach_events(t.gold_fact(spark, sf_dir)).select(
         "breach_event_id", "fact_record_hash", time_text("reconciliation_hour_utc").alias("hour_utc"), "asset_id",
         "contract_id", "breach_severity", F.round("estimated_leakage_revenue_usd", 6).alias("estimated_leakage_revenue_usd"),
         "salesforce_dispatch_allowed",
@@ -130,14 +136,15 @@ def breach_events(spark, sf_dir):
 SELECT breach_event_id, document_id, document_type, evidence_role, role_rank, score AS evidence_score FROM links
 """, ["links"])
 def evidence_links(spark, sf_dir):
-    return links(spark, sf_dir)
+    return ops.link_evidence(ops.breach_events(stored_gold(spark, sf_dir)), t.documents(spark, sf_dir))
 
 
 @query("evidence_packs", """
 SELECT breach_event_id, context_rank, document_id, evidence_role, chunk_index, md5(text_snippet) AS text_md5 FROM evidence
 """, ["evidence"])
 def evidence_packs(spark, sf_dir):
-    return evidence(spark, sf_dir).select("breach_event_id", F.inline("evidence_context")).select(
+    found = evidence(spark, sf_dir, ops.breach_events(stored_gold(spark, sf_dir)))
+    return found.select("breach_event_id", F.inline("evidence_context")).select(
         "breach_event_id", "context_rank", "document_id", "evidence_role", "chunk_index", F.md5("chunk_text").alias("text_md5")
     )
 
@@ -166,7 +173,8 @@ def ranked_evidence(spark, sf_dir):
 
 @query("recommended_actions", "SELECT breach_event_id, action AS recommended_next_action FROM case_ready", ["case_ready"])
 def recommended_actions(spark, sf_dir):
-    return case_ready(spark, sf_dir).select("breach_event_id", "recommended_next_action")
+    ready = case_ready(spark, sf_dir, ops.breach_events(stored_gold(spark, sf_dir)))
+    return ready.select("breach_event_id", "recommended_next_action")
 
 
 @query("case_packages", """
@@ -177,7 +185,7 @@ FROM case_ready c LEFT JOIN packs USING (breach_event_id)
 """, ["case_ready", "packs"])
 def case_packages(spark, sf_dir):
     kinds = F.array_join(ops.document_types(F.col("evidence_context")), ",")
-    return packages(spark, sf_dir).select(
+    return all_packages(spark, sf_dir).select(
         "breach_event_id", "asset_name", "breach_severity", "invoice_id", "invoice_status", "open_amount_usd",
         "accounting_doc_id", "sf_contract_id", "account_name", "existing_open_dispute_flag", "existing_dispute_number",
         "recommended_next_action", F.size("evidence_context").alias("evidence_count"),
@@ -185,9 +193,9 @@ def case_packages(spark, sf_dir):
     )
 
 
-def _requested(spark, sf_dir):
+def _requested(gold):
     """Every fact is asked for; facts without leakage have no case."""
-    return t.gold_fact(spark, sf_dir).select(
+    return gold.select(
         F.sha2(F.concat(F.lit("BREACH|"), "fact_record_hash"), 256).alias("breach_event_id")
     )
 
@@ -202,14 +210,15 @@ SELECT id AS requested_id, CASE WHEN errors = '' THEN 'READY' ELSE 'BLOCKED' END
   LEFT JOIN case_ready c ON c.breach_event_id = r.id LEFT JOIN packs p ON p.breach_event_id = r.id)
 """, ["gold", "case_ready", "packs"])
 def case_readiness(spark, sf_dir):
-    return ops.validate_readiness(packages(spark, sf_dir), _requested(spark, sf_dir)).select(
+    gold = stored_gold(spark, sf_dir)
+    return ops.validate_readiness(packages(spark, sf_dir, gold), _requested(gold)).select(
         "requested_id", "readiness_status", F.array_join("validation_errors", ";").alias("errors")
     )
 
 
 @query("case_explanations", "SELECT breach_event_id, answer AS rag_answer FROM answers", ["answers"])
 def case_explanations(spark, sf_dir):
-    ready = packages(spark, sf_dir).filter(F.size("evidence_context") > 0)
+    ready = all_packages(spark, sf_dir).filter(F.size("evidence_context") > 0)
     return ops.explain(ready).select("breach_event_id", "rag_answer")
 
 
@@ -237,7 +246,7 @@ FROM case_ready JOIN (
     chr(10) || '---' || chr(10) ORDER BY context_rank) AS blocks FROM evidence GROUP BY 1) USING (breach_event_id)
 """, ["case_ready", "evidence"])
 def case_prompts(spark, sf_dir):
-    ready = packages(spark, sf_dir).filter(F.size("evidence_context") > 0)
+    ready = all_packages(spark, sf_dir).filter(F.size("evidence_context") > 0)
     prompt = ready.select("breach_event_id", ops.case_prompt(INSTRUCTION).alias("prompt"))
     return prompt.select("breach_event_id", F.md5("prompt").alias("prompt_md5"), F.length("prompt").alias("prompt_chars"))
 
@@ -252,7 +261,7 @@ FROM answers
 """, ["answers"])
 def grounding_errors(spark, sf_dir):
     """Answers emptied or spoilt by severity, so that every check fires."""
-    rows = ops.explain(ops.validate_readiness(packages(spark, sf_dir)).filter(F.col("readiness_status") == "READY"))
+    rows = ops.explain(ops.validate_readiness(all_packages(spark, sf_dir)).filter(F.col("readiness_status") == "READY"))
     spoilt = F.when(F.col("breach_severity") == "LOW", "").when(
         F.col("breach_severity") == "MEDIUM", F.concat("rag_answer", F.lit(" Do not recalculate."))
     ).otherwise(F.col("rag_answer"))
@@ -274,7 +283,8 @@ FROM (SELECT DISTINCT sha256('BREACH|' || fact_record_hash) AS id FROM gold) r L
 SELECT requested_id, readiness_status, final_route, action AS recommended_next_action, FALSE AS approved_for_salesforce FROM routed
 """, ["routed"])
 def routed_cases(spark, sf_dir):
-    rows = ops.run_cases(packages(spark, sf_dir), _requested(spark, sf_dir), instructions=INSTRUCTION)
+    gold = stored_gold(spark, sf_dir)
+    rows = ops.run_cases(packages(spark, sf_dir, gold), _requested(gold), instructions=INSTRUCTION)
     return rows.select(
         "requested_id", "readiness_status", "final_route", "recommended_next_action", "approved_for_salesforce"
     )
@@ -285,7 +295,8 @@ SELECT sha256(requested_id || '|{RUN_AT}') AS result_id, requested_id AS breach_
 FROM routed
 """, ["routed"])
 def case_results(spark, sf_dir):
-    rows = ops.run_cases(packages(spark, sf_dir), _requested(spark, sf_dir))
+    gold = stored_gold(spark, sf_dir)
+    rows = ops.run_cases(packages(spark, sf_dir, gold), _requested(gold))
     results = ops.result_rows(rows, F.lit(RUN_AT).cast("timestamp"))
     used = F.coalesce(F.json_array_length("evidence_used_json"), F.lit(0))
     return results.select("result_id", "breach_event_id", "final_route", used.alias("evidence_used"))
@@ -296,7 +307,7 @@ SELECT c.breach_event_id, coalesce(n, 0) AS evidence_count FROM case_ready c LEF
 WHERE severity = 'HIGH'
 """, ["case_ready", "packs"])
 def case_lookup(spark, sf_dir):
-    rows = packages(spark, sf_dir)
-    wanted = breaches(spark, sf_dir).filter(F.col("breach_severity") == "HIGH").select("breach_event_id")
+    rows = all_packages(spark, sf_dir)
+    wanted = rows.filter(F.col("breach_severity") == "HIGH").select("breach_event_id")
     found = sinks.restore_evidence(sinks.get_cases(rows, wanted), rows.schema["evidence_context"].dataType)
     return found.select("breach_event_id", F.size("evidence_context").alias("evidence_count"))

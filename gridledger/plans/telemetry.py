@@ -357,11 +357,13 @@ SELECT CAST(0 AS BIGINT) AS lost, CAST(0 AS BIGINT) AS added, count(*) AS source
 def silver_split_is_whole(spark, sf_dir):
     rows = t.validated(spark, sf_dir).select("asset_id", "event_id", "event_ts_utc", "validation_error_code")
     difference = quality.partition_difference(rows, silver.silver_valid(rows), silver.silver_quarantine(rows), "event_id")
-    counted = difference.unionByName(rows.select("event_id", F.lit("source").alias("side")))
-    return counted.agg(
-        F.count_if(F.col("side") == "lost").alias("lost"), F.count_if(F.col("side") == "added").alias("added"),
-        F.count_if(F.col("side") == "source").alias("source_rows"),
-    )
+    whole = rows.agg(F.lit("source").alias("side"), F.count("*").alias("copies"))
+    counted = difference.select("side", "copies").unionByName(whole)
+
+    def copies(side: str):
+        return F.coalesce(F.sum(F.when(F.col("side") == side, F.col("copies"))), F.lit(0))
+
+    return counted.agg(copies("lost").alias("lost"), copies("added").alias("added"), copies("source").alias("source_rows"))
 
 
 @query("unmapped_assets", """

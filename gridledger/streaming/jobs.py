@@ -15,9 +15,11 @@ from gridledger.profiles import METERED, TelemetryProfile
 from gridledger.sources.merge import merge_into
 
 
-def file_stream(spark: SparkSession, folder: str, schema, name_filter: str | None = None) -> DataFrame:
-    """Parquet files of a folder as a stream."""
-    reader = spark.readStream.schema(schema)
+def file_stream(
+    spark: SparkSession, folder: str, schema, name_filter: str | None = None, files_per_batch: int = 1000
+) -> DataFrame:
+    """Parquet files of a folder as a stream; ``files_per_batch`` bounds a micro-batch."""
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
     if name_filter:
         reader = reader.option("pathGlobFilter", name_filter)
     return reader.parquet(folder)
