@@ -15,6 +15,8 @@ SPACE_CHARS = "".join(
     chr(c) for c in [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680,
                      *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 )
+# A single plain blank stays as it is, so that it is no match to replace.
+SPACE_RUN = SPACE_CLASS + "{2,}|" + SPACE_CLASS.replace("\\x20", "\\x1f")
 LINE_BREAK = "\\r\\n|[\\n\\r\\x0b\\x0c\\x1c\\x1d\\x1e\\x85\\u2028\\u2029]"
 
 
@@ -61,32 +63,31 @@ def is_curtailed(status: Column | str) -> Column:
 
 def squash(text: Column | str) -> Column:
     """Collapse white space runs to single blanks and trim."""
-    return F.trim(F.regexp_replace(col_of(text), SPACE_CLASS + "+", " "))
+    return F.trim(F.regexp_replace(col_of(text), SPACE_RUN, " "))
 
 
 def strip(text: Column | str) -> Column:
     return F.btrim(col_of(text), F.lit(SPACE_CHARS))
 
 
-def heading_candidate(line: Column) -> Column:
-    """The heading a trimmed line declares, or null.
+def heading_of(line: Column, clean: Column) -> Column:
+    """The heading a trimmed line declares, or null; ``clean`` is its squashed form.
 
-    Inner white space must already be single blanks: a line that differs from
-    its squashed form never opens a section.
+    A line that differs from its squashed form never opens a section.
     """
+    numbered = clean.rlike("(?iU)" + fv.HEADING_PATTERN)
+    caps = (
+        (F.length(clean) <= fv.CAPS_HEADING_MAX_CHARS)
+        & (F.upper(clean) == clean)
+        & clean.rlike("\\p{L}")
+    )
+    heading = F.substring(clean, 1, fv.HEADING_MAX_CHARS)
+    same = F.substring(line, 1, fv.HEADING_MAX_CHARS) == heading
+    return F.when(same & (caps | numbered), heading)
 
-    def judge(clean: Column) -> Column:
-        numbered = clean.rlike("(?iU)" + fv.HEADING_PATTERN)
-        caps = (
-            (F.length(clean) <= fv.CAPS_HEADING_MAX_CHARS)
-            & (F.upper(clean) == clean)
-            & clean.rlike("\\p{L}")
-        )
-        heading = F.substring(clean, 1, fv.HEADING_MAX_CHARS)
-        same = F.substring(line, 1, fv.HEADING_MAX_CHARS) == heading
-        return F.when(same & (caps | numbered), heading)
 
-    return let(squash(line), judge)
+def heading_candidate(line: Column) -> Column:
+    return let(squash(line), lambda clean: heading_of(line, clean))
 
 
 def clause_type(text: Column | str) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from gridledger import fixed_values as fv
 from gridledger.functions.scalars import (
-    LINE_BREAK, clause_type, heading_candidate, let, read_piece, squash, strip, text_blocks,
+    LINE_BREAK, clause_type, heading_candidate, heading_of, let, read_piece, squash, strip, text_blocks,
 )
 from gridledger.operators.silver import latest
 
@@ -60,13 +60,21 @@ def assign_sections(lines: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def section_array(lines: Column) -> Column:
-    """Sections of one document as array<struct<heading, page, text>>.
+    """Sections of one document as array<struct<heading, page, text, clean>>.
 
-    Works inside the row: a document is one cell, so nothing is shuffled.
+    ``clean`` is the text with white space squashed. Works inside the row: a
+    document is one cell, so nothing is shuffled, and every line is looked at
+    once.
     """
 
+    def read(line: Column) -> Column:
+        return let(squash(line["text"]), lambda clean: F.struct(
+            line["page"].alias("page"), line["text"].alias("text"), clean.alias("clean"),
+            heading_of(line["text"], clean).alias("heading"),
+        ))
+
     def openings(all_lines: Column) -> Column:
-        marked = F.transform(all_lines, lambda x, i: F.struct(i.alias("at"), heading_candidate(x["text"]).alias("heading")))
+        marked = F.transform(all_lines, lambda x, i: F.struct(i.alias("at"), x["heading"].alias("heading")))
         heads = F.filter(marked, lambda m: m["heading"].isNotNull())
         return let(heads, lambda hs: F.filter(hs, lambda h, j: ~h["heading"].eqNullSafe(F.get(hs, j - 1)["heading"])))
 
@@ -82,11 +90,12 @@ def section_array(lines: Column) -> Column:
             return F.struct(
                 s["heading"].alias("heading"),
                 F.get(all_lines, s["at"])["page"].alias("page"),
-                F.array_join(F.transform(body, lambda x: x["text"]), " ").alias("text"),
+                F.array_join(body["text"], " ").alias("text"),
+                F.array_join(body["clean"], " ").alias("clean"),
             )
         return F.transform(begin, section)
 
-    return let(lines, lambda ls: let(openings(ls), lambda op: let(starts(ls, op), lambda st: assemble(ls, st))))
+    return let(F.transform(lines, read), lambda ls: let(openings(ls), lambda op: let(starts(ls, op), lambda st: assemble(ls, st))))
 
 
 def _last_index(window: Column, mark: str) -> Column:
@@ -95,10 +104,15 @@ def _last_index(window: Column, mark: str) -> Column:
     return F.when(back > 0, F.length(window) - (len(mark) - 1) - back).otherwise(F.lit(-1))
 
 
-def split_text(
-    text: Column, max_chars: int = fv.SPLIT_MAX_CHARS, overlap_chars: int = fv.SPLIT_OVERLAP_CHARS
+def split_text(text: Column, max_chars: int = fv.SPLIT_MAX_CHARS, overlap_chars: int = fv.SPLIT_OVERLAP_CHARS) -> Column:
+    """Array of overlapping parts of at most ``max_chars``."""
+    return split_clean(squash(text), max_chars, overlap_chars)
+
+
+def split_clean(
+    clean: Column, max_chars: int = fv.SPLIT_MAX_CHARS, overlap_chars: int = fv.SPLIT_OVERLAP_CHARS
 ) -> Column:
-    """Array of overlapping parts of at most ``max_chars``.
+    """The same for text whose white space is squashed already.
 
     A part ends after the last sentence or clause mark when that lies far
     enough into it. Only cut positions are carried from step to step.
@@ -133,11 +147,11 @@ def split_text(
         found = F.aggregate(steps, first, step, lambda s: s["spans"])
         return F.transform(found, lambda s: F.trim(read_piece(blocks, s["from"], s["to"] - s["from"])))
 
-    def split(clean: Column) -> Column:
-        long = let(F.length(clean), lambda size: let(text_blocks(clean, max_chars), lambda b: cuts(size, b)))
-        return F.when(F.length(clean) <= max_chars, F.array(clean)).otherwise(long)
+    def split(whole: Column) -> Column:
+        long = let(F.length(whole), lambda size: let(text_blocks(whole, max_chars), lambda b: cuts(size, b)))
+        return F.when(F.length(whole) <= max_chars, F.array(whole)).otherwise(long)
 
-    return let(squash(text), split)
+    return let(clean, split)
 
 
 def window_array(text: Column, size: int = fv.WINDOW_CHARS, overlap: int = fv.WINDOW_OVERLAP_CHARS) -> Column:
@@ -193,7 +207,7 @@ def build_chunks(docs: DataFrame, keys: list[str], tables: DataFrame | None = No
     parts = F.flatten(F.transform(
         section_array(F.col("lines")),
         lambda s: F.transform(
-            split_text(s["text"]),
+            split_clean(s["clean"]),
             lambda part: F.struct(
                 s["page"].alias("page_number"), s["heading"].alias("section_heading"), part.alias("text_snippet")
             ),
