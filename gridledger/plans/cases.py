@@ -83,11 +83,6 @@ FROM case_ready c JOIN packs p USING (breach_event_id)
 """, ["case_ready", "packs"])
 
 
-def stored_gold(spark, sf_dir):
-    """The leakage fact as a written table; every step below reads it again."""
-    return materialize(t.gold_fact(spark, sf_dir), "gold")
-
-
 def case_ready(spark, sf_dir, breaches):
     rows = enterprise.with_finance(breaches, *_billing(spark, sf_dir))
     rows = enterprise.with_commercial(
@@ -116,7 +111,7 @@ def packages(spark, sf_dir, gold):
 
 
 def all_packages(spark, sf_dir):
-    return packages(spark, sf_dir, stored_gold(spark, sf_dir))
+    return packages(spark, sf_dir, t.stored_gold(spark, sf_dir))
 
 
 @query("breach_events", """
@@ -136,14 +131,14 @@ def breach_events(spark, sf_dir):
 SELECT breach_event_id, document_id, document_type, evidence_role, role_rank, score AS evidence_score FROM links
 """, ["links"])
 def evidence_links(spark, sf_dir):
-    return ops.link_evidence(ops.breach_events(stored_gold(spark, sf_dir)), t.documents(spark, sf_dir))
+    return ops.link_evidence(ops.breach_events(t.stored_gold(spark, sf_dir)), t.documents(spark, sf_dir))
 
 
 @query("evidence_packs", """
 SELECT breach_event_id, context_rank, document_id, evidence_role, chunk_index, md5(text_snippet) AS text_md5 FROM evidence
 """, ["evidence"])
 def evidence_packs(spark, sf_dir):
-    found = evidence(spark, sf_dir, ops.breach_events(stored_gold(spark, sf_dir)))
+    found = evidence(spark, sf_dir, ops.breach_events(t.stored_gold(spark, sf_dir)))
     return found.select("breach_event_id", F.inline("evidence_context")).select(
         "breach_event_id", "context_rank", "document_id", "evidence_role", "chunk_index", F.md5("chunk_text").alias("text_md5")
     )
@@ -173,7 +168,7 @@ def ranked_evidence(spark, sf_dir):
 
 @query("recommended_actions", "SELECT breach_event_id, action AS recommended_next_action FROM case_ready", ["case_ready"])
 def recommended_actions(spark, sf_dir):
-    ready = case_ready(spark, sf_dir, ops.breach_events(stored_gold(spark, sf_dir)))
+    ready = case_ready(spark, sf_dir, ops.breach_events(t.stored_gold(spark, sf_dir)))
     return ready.select("breach_event_id", "recommended_next_action")
 
 
@@ -210,7 +205,7 @@ SELECT id AS requested_id, CASE WHEN errors = '' THEN 'READY' ELSE 'BLOCKED' END
   LEFT JOIN case_ready c ON c.breach_event_id = r.id LEFT JOIN packs p ON p.breach_event_id = r.id)
 """, ["gold", "case_ready", "packs"])
 def case_readiness(spark, sf_dir):
-    gold = stored_gold(spark, sf_dir)
+    gold = t.stored_gold(spark, sf_dir)
     return ops.validate_readiness(packages(spark, sf_dir, gold), _requested(gold)).select(
         "requested_id", "readiness_status", F.array_join("validation_errors", ";").alias("errors")
     )
@@ -283,7 +278,7 @@ FROM (SELECT DISTINCT sha256('BREACH|' || fact_record_hash) AS id FROM gold) r L
 SELECT requested_id, readiness_status, final_route, action AS recommended_next_action, FALSE AS approved_for_salesforce FROM routed
 """, ["routed"])
 def routed_cases(spark, sf_dir):
-    gold = stored_gold(spark, sf_dir)
+    gold = t.stored_gold(spark, sf_dir)
     rows = ops.run_cases(packages(spark, sf_dir, gold), _requested(gold), instructions=INSTRUCTION)
     return rows.select(
         "requested_id", "readiness_status", "final_route", "recommended_next_action", "approved_for_salesforce"
@@ -295,7 +290,7 @@ SELECT sha256(requested_id || '|{RUN_AT}') AS result_id, requested_id AS breach_
 FROM routed
 """, ["routed"])
 def case_results(spark, sf_dir):
-    gold = stored_gold(spark, sf_dir)
+    gold = t.stored_gold(spark, sf_dir)
     rows = ops.run_cases(packages(spark, sf_dir, gold), _requested(gold))
     results = ops.result_rows(rows, F.lit(RUN_AT).cast("timestamp"))
     used = F.coalesce(F.json_array_length("evidence_used_json"), F.lit(0))

@@ -13,6 +13,7 @@ from gridledger.operators import retrieval
 from gridledger.operators.cases import breach_events
 from gridledger.plans import tables as t
 from gridledger.plans.registry import part, query
+from gridledger.session import materialize
 from gridledger.sources import merge
 
 _KEYS = ["document_id"]
@@ -406,7 +407,7 @@ def cached_retrieval(spark, sf_dir):
     now = dt.datetime(2024, 2, 1, 12, 0, 0)
     events = t.vector_events(spark, sf_dir).withColumn("query_text", F.col("event_id"))
     chunks = t.vector_chunks(spark, sf_dir)
-    known = retrieval.evidence_array(retrieval.retrieve_context(events, chunks))
+    known = materialize(retrieval.evidence_array(retrieval.retrieve_context(events, chunks)), "evidence")
     age = F.when(F.col("label") < 5, 600).otherwise(7200)
     cache = events.join(known, "event_id").select(
         retrieval.cache_key().alias("cache_key"),

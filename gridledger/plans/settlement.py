@@ -130,7 +130,7 @@ SELECT associated_ppa_id AS contract_id, {HOUR} AS hour_utc, asset_id,
 FROM gold
 """, ["gold"])
 def leakage_running(spark, sf_dir):
-    return gold.leakage_running(t.gold_fact(spark, sf_dir)).select(
+    return gold.leakage_running(t.stored_gold(spark, sf_dir)).select(
         F.col("associated_ppa_id").alias("contract_id"), _hour(), "asset_id", _r("running_leakage_usd", 4),
         _r("contract_share", 9),
     )
@@ -186,8 +186,9 @@ SELECT *, associated_ppa_id AS contract_id, CAST(hour_utc AS DATE) AS market_dat
 """, ["gold"])
 
 
-def facts(spark, sf_dir):
-    return t.gold_fact(spark, sf_dir).withColumnRenamed("associated_ppa_id", "contract_id").withColumn(
+def facts(spark, sf_dir, stored: bool = False):
+    fact = t.stored_gold(spark, sf_dir) if stored else t.gold_fact(spark, sf_dir)
+    return fact.withColumnRenamed("associated_ppa_id", "contract_id").withColumn(
         "market_date", F.to_date("reconciliation_hour_utc")
     )
 
@@ -266,7 +267,7 @@ LEFT JOIN customer ON i.c.a = 'SF' || c_custkey
 """, ["facts", "in_force"])
 def facts_with_commercial(spark, sf_dir):
     return enterprise.with_commercial(
-        facts(spark, sf_dir), t.accounts(spark, sf_dir), t.crm_contracts(spark, sf_dir), t.crm_assets(spark, sf_dir)
+        facts(spark, sf_dir, stored=True), t.accounts(spark, sf_dir), t.crm_contracts(spark, sf_dir), t.crm_assets(spark, sf_dir)
     ).select("fact_record_hash", "sf_contract_id", "sf_account_id", "account_name", "sf_asset_id")
 
 
@@ -355,6 +356,6 @@ def rate_agreement(spark, sf_dir):
 SELECT fact_record_hash, i.c.c AS sf_contract_id FROM facts LEFT JOIN in_force i USING (contract_id, asset_id, market_date)
 """, ["facts", "in_force"])
 def active_contracts(spark, sf_dir):
-    return enterprise.active_contract(facts(spark, sf_dir), t.crm_contracts(spark, sf_dir)).select(
+    return enterprise.active_contract(facts(spark, sf_dir, stored=True), t.crm_contracts(spark, sf_dir)).select(
         "fact_record_hash", "sf_contract_id"
     )

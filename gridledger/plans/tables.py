@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridledger.functions.scalars import hash_key, hour_of, time_text
 from gridledger.operators import energy, gold, silver
 from gridledger.plans.registry import part
+from gridledger.session import materialize
 
 # The given events are spaced like hourly readings.
 SAMPLE_SECONDS = 3600
@@ -280,6 +281,11 @@ def gold_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gold.build_gold(hourly(spark, sf_dir), **gold_dims(spark, sf_dir))
 
 
+def stored_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leakage fact as a written table, for steps that read it more than once."""
+    return materialize(gold_fact(spark, sf_dir), "gold")
+
+
 part("hourly", """
 SELECT hour_utc, asset_id,
   max(CASE WHEN operating_status LIKE 'CURTAILED_BY_%' THEN operating_status END) AS curtailment_status,

@@ -341,7 +341,7 @@ FROM (SELECT CASE WHEN count(*) > 0 THEN 0 ELSE 1 END AS n FROM gold UNION ALL
   SELECT count(*) FILTER (WHERE eligible_mwh > grid_curtailment_mwh OR (curtailment_compensable_flag <> 'Y' AND eligible_mwh <> 0)) AS n FROM gold)
 """, ["gold"])
 def gold_quality_gate(spark, sf_dir):
-    return quality.gate(quality.run_checks(t.gold_fact(spark, sf_dir), "gold", gold_checks()))
+    return quality.gate(quality.run_checks(t.stored_gold(spark, sf_dir), "gold", gold_checks()))
 
 
 @query("duplicate_line_keys", """

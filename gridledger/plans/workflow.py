@@ -9,6 +9,7 @@ from gridledger.operators import retrieval
 from gridledger.operators import workflow as ops
 from gridledger.plans import tables as t
 from gridledger.plans.registry import part, query
+from gridledger.session import materialize
 
 AS_OF = "2001-08-01 00:00:00"
 
@@ -173,7 +174,7 @@ def applied_decisions(spark, sf_dir):
 
 def worked_cases(spark, sf_dir):
     """Guarded cases with their approval and the outcome of the dispatch."""
-    guarded = ops.guard(verdict_cases(spark, sf_dir))
+    guarded = materialize(ops.guard(verdict_cases(spark, sf_dir)), "guarded")
     decided = ops.apply_decisions(ops.approval_queue(guarded), decisions(spark, sf_dir)).select(
         "execution_id", "approval_status", "case_subject", "case_description", "variance_usd", "recommended_priority"
     )
