@@ -18,6 +18,7 @@ from gridledger.functions.scalars import fact_text, fill_template, share
 # the order in which a product was summed.
 _DIGITS = 9
 _NO_VALUE = -2.0
+_SLICE = 512
 
 
 def retrieval_query(events: DataFrame) -> DataFrame:
@@ -80,6 +81,17 @@ def _unit(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return m / np.where(norms > 0, norms, 1.0)[:, None], norms > 0
 
 
+def _top_k(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the k best finite scores per row; ties go to the lower column."""
+    limit = min(k, score.shape[1])
+    kth = -np.partition(-score, limit - 1, axis=1)[:, limit - 1]
+    row, column = np.nonzero((score >= kth[:, None]) & np.isfinite(score))
+    order = np.lexsort((column, -score[row, column], row))
+    row, column = row[order], column[order]
+    keep = np.arange(len(row)) - np.searchsorted(row, row, side="left") < k
+    return row[keep], column[keep]
+
+
 def _block_top_k(k: int):
     out = pa.schema([("event_id", pa.string()), ("chunk_id", pa.int64()), ("similarity", pa.float64())])
 
@@ -90,24 +102,23 @@ def _block_top_k(k: int):
         ids = chunks.column("chunk_id").to_numpy()
         left, left_ok = _unit(_matrix(events.column("query_vector")))
         right, right_ok = _unit(_matrix(chunks.column("embedding_vector")))
-        # Cosine lies in [-1, 1]; undefined pairs rank below it, foreign versions are excluded.
-        score = np.round(left @ right.T, _DIGITS)
-        score[~left_ok, :] = _NO_VALUE
-        score[:, ~right_ok] = _NO_VALUE
         wanted = np.array(events.column("document_version_hash").to_pylist(), dtype=object)
         have = np.array(chunks.column("document_version_hash").to_pylist(), dtype=object)
-        any_version = np.array([v is None for v in wanted])[:, None]
-        score[~(any_version | (wanted[:, None] == have[None, :]))] = -np.inf
-
-        limit = min(k, score.shape[1])
-        kth = -np.partition(-score, limit - 1, axis=1)[:, limit - 1]
-        row, column = np.nonzero((score >= kth[:, None]) & np.isfinite(score))
-        value = score[row, column]
-        order = np.lexsort((column, -value, row))
-        row, column, value = row[order], column[order], value[order]
-        place = np.arange(len(row)) - np.searchsorted(row, row, side="left")
-        keep = place < k
-        row, column, value = row[keep], column[keep], value[keep]
+        any_version = np.array([v is None for v in wanted])
+        rows, columns, values = [], [], []
+        # A slice of events at a time bounds the score matrix.
+        for start in range(0, events.num_rows, _SLICE):
+            part = slice(start, start + _SLICE)
+            # Cosine lies in [-1, 1]; undefined pairs rank below it, foreign versions are excluded.
+            score = np.round(left[part] @ right.T, _DIGITS)
+            score[~left_ok[part], :] = _NO_VALUE
+            score[:, ~right_ok] = _NO_VALUE
+            score[~(any_version[part, None] | (wanted[part, None] == have[None, :]))] = -np.inf
+            row, column = _top_k(score, k)
+            rows.append(row + start)
+            columns.append(column)
+            values.append(score[row, column])
+        row, column, value = np.concatenate(rows), np.concatenate(columns), np.concatenate(values)
         return pa.table([
             events.column("event_id").take(pa.array(row)),
             pa.array(ids[column], type=pa.int64()),
@@ -118,7 +129,7 @@ def _block_top_k(k: int):
 
 
 def retrieve(
-    events: DataFrame, chunks: DataFrame, k: int = fv.RETRIEVAL_TOP_K, clause: str | None = None, block: int = 2048
+    events: DataFrame, chunks: DataFrame, k: int = fv.RETRIEVAL_TOP_K, clause: str | None = None, block: int = 8192
 ) -> DataFrame:
     """The k most similar chunks of its own contract for each event.
 
@@ -129,7 +140,9 @@ def retrieve(
     Both sides of a contract are cut into blocks of bounded size and each pair
     of blocks is one small matrix product that returns k rows per event. A
     contract with a large share of the data is therefore many independent
-    blocks, pairs never become rows, and the result is exact.
+    blocks, pairs never become rows, and the result is exact. A row is sent
+    once per block of the other side: a larger ``block`` shuffles less and
+    takes more memory per task.
     """
     pool = chunks if clause is None else chunks.filter(F.col("clause_type") == clause)
     pool = pool.select("chunk_id", "contract_id", "document_version_hash", "embedding_vector")

@@ -1,7 +1,7 @@
 """All registered queries."""
 
 from gridledger.plans import (  # noqa: F401
-    cases, control_tower, documents, settlement, streams, telemetry, workflow,
+    cases, control_tower, documents, files, settlement, streams, telemetry, workflow,
 )
 from gridledger.plans.registry import ORACLES, QUERIES
 

@@ -200,7 +200,7 @@ def brute(chunks, events, k, clause=None):
     return {e: ids for e, ids in out.items() if ids}
 
 
-@pytest.mark.parametrize("block", [7, 64, 2048])
+@pytest.mark.parametrize("block", [7, 64, 8192])
 @pytest.mark.parametrize("clause", [None, "notice"])
 def test_search_is_exact_for_any_block_size(spark, corpus, block, clause):
     chunks, events = corpus
