@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from gridledger import fixed_values as fv
-from gridledger.functions.scalars import fact_text, fill_template, hash_key, let, non_null, time_text
+from gridledger.functions.scalars import fact_text, fill_template, hash_key, non_null, time_text
+from gridledger.functions.skew import split_join
 
 _BOOLEAN_FACTS = {"existing_open_dispute_flag"}
 _DOUBLE_FACTS = {"eligible_compensable_mwh", "estimated_leakage_revenue_usd", "open_amount_usd"}
@@ -107,7 +108,8 @@ def collect_evidence(links: DataFrame, chunks: DataFrame, k: int = fv.EVIDENCE_T
 
     Entries are ordered by role, score, document and chunk. Within a document
     the order is the chunk order, so chunks beyond the k-th can never be among
-    the first k and are left out before the join.
+    the first k and are left out before the join. A document that supports a
+    large share of the breaches is split.
     """
     by_document = W.partitionBy("document_id").orderBy("chunk_index")
     leading = (
@@ -117,7 +119,8 @@ def collect_evidence(links: DataFrame, chunks: DataFrame, k: int = fv.EVIDENCE_T
     order = W.partitionBy("breach_event_id").orderBy(
         "role_rank", F.desc("evidence_score"), "document_id", "chunk_index"
     )
-    ranked = links.join(leading, "document_id").withColumn("context_rank", F.row_number().over(order))
+    joined = split_join(links, leading, ["document_id"], ["breach_event_id"])
+    ranked = joined.withColumn("context_rank", F.row_number().over(order))
     entry = F.struct(
         "context_rank", "document_id", "document_type", "evidence_role", "evidence_score", "chunk_index", "chunk_text"
     )

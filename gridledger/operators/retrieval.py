@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 
 from gridledger import fixed_values as fv
 from gridledger.functions.scalars import fact_text, fill_template, share
+from gridledger.functions.skew import hot_keys, split_join
 
 # Similarities are compared at this precision, so that ties do not depend on
 # the order in which a product was summed.
@@ -148,16 +149,18 @@ def retrieve(
     pool = pool.select("chunk_id", "contract_id", "document_version_hash", "embedding_vector")
     asked = events.select("event_id", "contract_id", "document_version_hash", "query_vector")
 
-    def blocks(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("contract_id").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
-
-    sizes = blocks(asked, "event_blocks").join(blocks(pool, "chunk_blocks"), "contract_id")
+    # Contracts that need more than one block; at most one per ``block`` rows.
+    large = F.broadcast(
+        hot_keys(asked, ["contract_id"], "event_blocks", block)
+        .join(hot_keys(pool, ["contract_id"], "chunk_blocks", block), "contract_id", "full_outer")
+    )
 
     def place(df: DataFrame, key: str, own: str, own_blocks: str, other: str, other_blocks: str) -> DataFrame:
+        here, there = F.coalesce(own_blocks, F.lit(1)), F.coalesce(other_blocks, F.lit(1))
         return (
-            df.join(sizes, "contract_id")
-            .withColumn(own, F.pmod(F.xxhash64(key), F.col(own_blocks)).cast("int"))
-            .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(other_blocks) - 1)))
+            df.join(large, "contract_id", "left")
+            .withColumn(own, F.pmod(F.xxhash64(key), here).cast("int"))
+            .withColumn(other, F.explode(F.sequence(F.lit(0), there - 1)))
             .drop("event_blocks", "chunk_blocks")
         )
 
@@ -218,15 +221,16 @@ def cached_retrieve(
     keyed = events.withColumn("cache_key", cache_key(clause))
     fresh = cache.filter(F.col("cached_at") > F.lit(now - dt.timedelta(seconds=ttl_seconds)))
     newest = fresh.groupBy("cache_key").agg(F.max_by("evidence", "cached_at").alias("evidence"))
-    hits = keyed.join(newest, "cache_key").withColumn("cache_hit", F.lit(True))
-    missed = keyed.join(newest, "cache_key", "left_anti")
+    same = (["cache_key"], ["event_id"])
+    hits = split_join(keyed, newest, *same).withColumn("cache_hit", F.lit(True))
+    missed = split_join(keyed, newest, *same, how="left_anti")
     asked = missed.groupBy("cache_key").agg(
         F.first("contract_id").alias("contract_id"),
         F.first("document_version_hash").alias("document_version_hash"),
         F.first("query_vector").alias("query_vector"),
     ).withColumnRenamed("cache_key", "event_id")
     found = evidence_array(retrieve_context(asked, chunks, k, clause)).withColumnRenamed("event_id", "cache_key")
-    searched = missed.join(found, "cache_key", "left").withColumn("cache_hit", F.lit(False))
+    searched = split_join(missed, found, *same, how="left").withColumn("cache_hit", F.lit(False))
     additions = found.withColumn("cached_at", F.lit(now)).select("cache_key", "cached_at", "evidence")
     return hits.unionByName(searched), additions
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridledger import fixed_values as fv
 from gridledger.functions.scalars import hour_of, is_curtailed, kw_to_mwh, non_null, parse_time, positive
+from gridledger.functions.skew import lookup_join
 from gridledger.profiles import METERED, TelemetryProfile
 
 _KNOWN = "asset_is_known"
@@ -74,7 +75,7 @@ def _flag_known(typed: DataFrame, profile: TelemetryProfile, known_assets: DataF
         return typed.withColumn(_KNOWN, F.lit(True))
     registry = known_assets.select("asset_id").distinct().withColumn("_listed", F.lit(True))
     return (
-        typed.join(registry, "asset_id", "left")
+        lookup_join(typed, registry, ["asset_id"], ["event_id"])
         .withColumn(_KNOWN, F.coalesce("_listed", F.lit(False)))
         .drop("_listed")
     )

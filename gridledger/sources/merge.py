@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridledger.operators.silver import dedupe_events, latest
-from gridledger.session import work_path
+from gridledger.functions.skew import split_join
+from gridledger.session import materialize
 
 
 def upsert(target: DataFrame, updates: DataFrame, keys: list[str], order_by: list[str]) -> DataFrame:
@@ -41,9 +42,11 @@ def upsert_parents(target: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def replace_children(chunks: DataFrame, new: DataFrame, parent_key: str = "parent_id") -> DataFrame:
-    """All children of the parents in ``new`` are replaced."""
+    """All children of the parents in ``new`` are replaced; a parent with very many children is split."""
     parents = new.select(parent_key).distinct()
-    return chunks.join(parents, parent_key, "left_anti").select(*chunks.columns).unionByName(new.select(*chunks.columns))
+    spread_by = [c for c in chunks.columns if c != parent_key]
+    kept = split_join(chunks, parents, [parent_key], spread_by, "left_anti")
+    return kept.select(*chunks.columns).unionByName(new.select(*chunks.columns))
 
 
 def ingest_documents(
@@ -52,7 +55,7 @@ def ingest_documents(
     """Re-ingestion: the same version hash replaces its chunks, a new hash adds a version."""
     merged = upsert_parents(parents, batch_parents)
     keys = ["contract_id", "document_version_hash"]
-    owned = batch_chunks.drop("parent_id").join(merged.select(*keys, "parent_id"), keys)
+    owned = split_join(batch_chunks.drop("parent_id"), merged.select(*keys, "parent_id"), keys, ["chunk_index"])
     return merged, replace_children(chunks, owned)
 
 
@@ -63,24 +66,29 @@ def read_if_present(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
+def partition_values(df: DataFrame, column: str) -> list:
+    """Distinct values of a partition column: no more than the table has folders."""
+    return [row[0] for row in df.select(column).distinct().collect()]
+
+
 def merge_into(
     spark: SparkSession, path: str, updates: DataFrame, keys: list[str], order_by: list[str], partition_by: str
 ) -> None:
-    """Upsert into a partitioned parquet table, rewriting only touched partitions.
+    """Upsert into a partitioned parquet table, reading and rewriting only touched partitions.
 
     The partition column must follow from the keys. The merged rows are staged
     in the shared folder first, since a table cannot be overwritten while it
     is read.
     """
-    staged = work_path(spark, "merge")
+    newest = materialize(latest(updates, keys, order_by), "updates")
     target = read_if_present(spark, path)
+    merged = newest
     if target is not None:
-        touched = updates.select(partition_by).distinct()
-        merged = upsert(target.join(touched, partition_by, "left_semi").select(*target.columns), updates, keys, order_by)
-    else:
-        merged = latest(updates, keys, order_by)
-    merged.write.parquet(staged)
+        # Literal values prune the folders of the scan.
+        touched = target.filter(F.col(partition_by).isin(partition_values(newest, partition_by)))
+        old = touched.withColumn(partition_by, F.col(partition_by).cast(newest.schema[partition_by].dataType))
+        merged = materialize(upsert(old.select(*newest.columns), newest, keys, order_by), "merge")
     (
-        spark.read.schema(merged.schema).parquet(staged)
-        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition_by).parquet(path)
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy(partition_by).parquet(path)
     )

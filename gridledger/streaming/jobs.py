@@ -12,7 +12,7 @@ from gridledger import fixed_values as fv
 from gridledger.functions.scalars import is_curtailed, kw_to_mwh
 from gridledger.operators import energy, gold, silver
 from gridledger.profiles import METERED, TelemetryProfile
-from gridledger.sources.merge import merge_into
+from gridledger.sources.merge import merge_into, partition_values
 
 
 def file_stream(
@@ -59,8 +59,8 @@ def run_silver(
 ) -> StreamingQuery:
     """Valid and quarantined rows from one pass over each micro-batch.
 
-    Each batch owns the partition ``batch_id=n`` of both tables, so a batch
-    that is run again replaces its own rows.
+    Each batch owns the folders ``batch_id=n`` of both tables, so a batch that
+    is run again replaces its own rows. Valid rows lie below their event date.
     """
 
     def work(batch: DataFrame, batch_id: int) -> None:
@@ -68,10 +68,13 @@ def run_silver(
         try:
             valid = silver.dedupe_events(silver.silver_valid(validated), ["event_id"], ["bronze_ingested_at"])
             bad = silver.silver_quarantine(validated)
-            for part, path in ((valid, valid_path), (bad, quarantine_path)):
+            dated = valid.withColumn("event_date", F.to_date("event_ts_utc"))
+            for part, path, folders in (
+                (dated, valid_path, ["event_date", "batch_id"]), (bad, quarantine_path, ["batch_id"])
+            ):
                 (
                     part.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
-                    .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+                    .option("partitionOverwriteMode", "dynamic").partitionBy(*folders).parquet(path)
                 )
         finally:
             validated.unpersist()
@@ -124,12 +127,17 @@ def run_gold(
     """Keeps the fact current: hours touched by a batch are computed again and merged by hash.
 
     A late row of any age corrects its hour, and running a batch again gives
-    the same table. Only the market dates touched are rewritten.
+    the same table. Only the event dates touched are read, when Silver has an
+    ``event_date`` folder, and only their market dates are rewritten.
     """
 
     def work(batch: DataFrame, batch_id: int) -> None:
         touched = batch.select("reconciliation_hour_utc", "asset_id").distinct()
-        rows = silver_table().join(touched, ["reconciliation_hour_utc", "asset_id"], "left_semi")
+        rows = silver_table()
+        if "event_date" in rows.columns:
+            dates = touched.select(F.to_date("reconciliation_hour_utc").alias("event_date"))
+            rows = rows.filter(F.col("event_date").isin(partition_values(dates, "event_date")))
+        rows = rows.join(touched, ["reconciliation_hour_utc", "asset_id"], "left_semi")
         hourly = energy.hourly_energy(rows, sample_seconds)
         facts = gold.build_gold(hourly, **dims).withColumn("market_date", F.to_date("reconciliation_hour_utc"))
         merge_into(batch.sparkSession, path, facts, ["fact_record_hash"], ["reconciliation_hour_utc"], "market_date")
