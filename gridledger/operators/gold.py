@@ -46,38 +46,38 @@ def with_curtailment(df: DataFrame) -> DataFrame:
     )
 
 
-def with_eligibility(df: DataFrame) -> DataFrame:
-    eligible = (F.col("curtailment_compensable_flag") == "Y") & F.col("curtailment_event_id").isNotNull()
-    return df.withColumn(
-        "eligible_compensable_mwh", F.when(eligible, F.col("grid_curtailment_mwh")).otherwise(F.lit(0.0))
+def _with_compensation(df: DataFrame, compensable: Column) -> DataFrame:
+    applies = F.coalesce(compensable, F.lit(False)) & F.col("curtailment_event_id").isNotNull()
+    return df.withColumn("is_compensable", applies).withColumn(
+        "eligible_compensable_mwh", F.when(F.col("is_compensable"), F.col("grid_curtailment_mwh")).otherwise(F.lit(0.0))
     )
 
 
+def with_eligibility(df: DataFrame) -> DataFrame:
+    """Curtailed energy the contract pays for: its flag is Y and an event matched."""
+    return _with_compensation(df, F.col("curtailment_compensable_flag") == "Y")
+
+
 def with_reason_eligibility(df: DataFrame) -> DataFrame:
     """Eligibility by the contract's flag for the reason of the event."""
     reason = F.col("curtailment_reason")
-    flag = (
+    return _with_compensation(
+        df,
         F.when(reason == "CONGESTION", F.col("congestion_curtailment_compensable"))
         .when(reason == "TRANSMISSION_CONSTRAINT", F.col("transmission_constraint_compensable"))
-        .when(reason == "NEGATIVE_PRICE", F.col("negative_price_curtailment_compensable"))
+        .when(reason == "NEGATIVE_PRICE", F.col("negative_price_curtailment_compensable")),
     )
-    eligible = F.coalesce(flag, F.lit(False)) & F.col("curtailment_event_id").isNotNull()
-    return df.withColumns({
-        "is_compensable": eligible,
-        "eligible_compensable_mwh": F.when(eligible, F.col("grid_curtailment_mwh")).otherwise(F.lit(0.0)),
-    })
 
 
 def with_expected(df: DataFrame) -> DataFrame:
-    return df.withColumn(
-        "expected_settlement_usd", F.col("eligible_compensable_mwh") * F.col("contract_rate_per_mwh")
-    )
+    owed = F.col("eligible_compensable_mwh") * F.col("contract_rate_per_mwh")
+    return df.withColumn("expected_settlement_usd", F.when(F.col("is_compensable"), owed).otherwise(F.lit(0.0)))
 
 
 def with_leakage(df: DataFrame) -> DataFrame:
+    """What is owed above what was paid; an unknown rate gives zero."""
     return df.withColumn(
-        "estimated_leakage_revenue_usd",
-        positive(F.coalesce("expected_settlement_usd", F.lit(0.0)) - F.col("actual_settlement_usd")),
+        "estimated_leakage_revenue_usd", positive(F.col("expected_settlement_usd") - F.col("actual_settlement_usd"))
     )
 
 

@@ -110,6 +110,30 @@ def messages_from(events: DataFrame) -> DataFrame:
     )
 
 
+def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return messages_from(spread(read(spark, sf_dir, "events")))
+
+
+def generic_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The given events in the second payload: ISO times, no quality mark, its own id."""
+    value = F.col("value").cast("string")
+    curtailed = F.col("event_type") == "purchase"
+    body = F.concat(
+        F.lit('{"event_id":"g'), F.col("event_id").cast("string"),
+        F.lit('","event_type":"scada.telemetry","timestamp_utc":"'), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"),
+        F.lit('+00:00","asset_id":"A'), F.col("user_id").cast("string"), F.lit('","actual_generation_kw":'),
+        F.when(F.col("event_type") == "signup", F.concat(F.lit("-"), value)).otherwise(value),
+        F.lit(',"expected_available_kw":500.0,"operating_status":"'),
+        F.when(curtailed, "CURTAILED_BY_ISO").when(F.col("event_type") == "error", "FAULT").otherwise("NORMAL"),
+        F.lit('","curtailment_reason":'), F.when(curtailed, '"CONGESTION"').otherwise("null"), F.lit("}"),
+    )
+    return read(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").cast("binary").alias("key"), body.cast("binary").alias("value"),
+        F.lit("telemetry").alias("topic"), F.lit(0).alias("partition"), F.col("event_id").alias("offset"),
+        F.col("ts").cast("timestamp").alias("timestamp"),
+    )
+
+
 part("fields", """
 SELECT event_id AS eid, ts, k, event_type, user_id,
   CASE WHEN k = 2 THEN 'not-a-time' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS timestamp_utc,

@@ -12,6 +12,7 @@ from gridledger.operators import energy, gold, quality, silver
 from gridledger.operators.control_tower import ingestion_lag
 from gridledger.plans import tables as t
 from gridledger.plans.registry import part, query
+from gridledger.profiles import GENERIC, GENERIC_TELEMETRY_SCHEMA
 from gridledger.sources import merge
 
 NOW = dt.datetime(2024, 1, 30, 12, 0, 0)
@@ -35,7 +36,7 @@ SELECT CASE WHEN k <> 6 THEN timestamp_utc END AS timestamp_utc, asset_id AS kaf
 FROM fields
 """, ["fields"])
 def bronze_envelope(spark, sf_dir):
-    rows = bronze_ops.to_bronze(t.messages_from(t.read(spark, sf_dir, "events")))
+    rows = bronze_ops.to_bronze(t.messages(spark, sf_dir))
     return rows.select(
         "timestamp_utc", "kafka_key", "asset_id", "measured_generation_kw", "operating_status", "telemetry_quality",
         "kafka_partition", "kafka_offset", "event_id",
@@ -46,7 +47,7 @@ def bronze_envelope(spark, sf_dir):
 SELECT count(*) AS rows_read, count(*) FILTER (WHERE k = 6) AS schema_failures FROM fields
 """, ["fields"])
 def schema_failures(spark, sf_dir):
-    return bronze_ops.unparsed_payloads(bronze_ops.to_bronze(t.messages_from(t.read(spark, sf_dir, "events"))))
+    return bronze_ops.unparsed_payloads(bronze_ops.to_bronze(t.messages(spark, sf_dir)))
 
 
 @query("bronze_view", """
@@ -115,6 +116,22 @@ def validation_reasons(spark, sf_dir):
     return rows.select("kafka_offset", "dq_status", "dq_error_reason")
 
 
+@query("generic_payload_hours", """
+SELECT 'A' || user_id AS asset_id, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour_utc, count(*) AS sample_count,
+  max(CASE WHEN event_type = 'purchase' THEN 'CURTAILED_BY_ISO' END) AS curtailment_status,
+  round(sum(value) / 1000.0, 7) AS actual_generation_mwh
+FROM events WHERE event_type NOT IN ('signup', 'error') GROUP BY ALL
+""")
+def generic_payload_hours(spark, sf_dir):
+    """The second telemetry payload from message to hourly energy."""
+    rows = bronze_ops.to_bronze(t.generic_messages(spark, sf_dir), GENERIC_TELEMETRY_SCHEMA)
+    valid = silver.silver_valid(silver.validate(rows, GENERIC))
+    return energy.hourly_energy(valid, t.SAMPLE_SECONDS, profile=GENERIC).select(
+        "asset_id", time_text("reconciliation_hour_utc").alias("hour_utc"), "sample_count", "curtailment_status",
+        _r("actual_generation_mwh", 7),
+    )
+
+
 @query("derived_metrics", """
 SELECT kafka_offset, strftime(event_ts_utc, '%Y-%m-%d') AS source_date,
   operating_status LIKE 'CURTAILED_BY_%' AS is_curtailment_event,

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from gridledger import fixed_values as fv
 from gridledger.functions.scalars import is_curtailed, kw_to_mwh
+from gridledger.functions.skew import lookup_join
 from gridledger.operators import energy, gold, silver
 from gridledger.profiles import METERED, TelemetryProfile
 from gridledger.sources.merge import merge_into, partition_values
@@ -117,7 +118,8 @@ def stream_sessions(
 def enrich_stream(stream: DataFrame, assets: DataFrame, contracts: DataFrame) -> DataFrame:
     """Stream rows with the asset and contract snapshot; rows without a contract stay."""
     terms = contracts.withColumnRenamed("site_identity_tag", "asset_id")
-    return stream.join(assets, "asset_id", "inner").join(terms, "asset_id", "left")
+    known = lookup_join(stream, assets, ["asset_id"], ["event_id"], "inner")
+    return lookup_join(known, terms, ["asset_id"], ["event_id"])
 
 
 def run_gold(

@@ -8,14 +8,14 @@ from gridledger.operators import cases, enterprise, gold
 HOUR = dt.datetime(2026, 6, 23, 10)
 
 
-def build(spark, expected=100.0, actual=60.0, limited=60.0, flag="Y", events=1, paid=(1000.0,)):
+def build(spark, expected=100.0, actual=60.0, limited=60.0, flag="Y", events=1, paid=(1000.0,), rate="42.50"):
     hourly = spark.createDataFrame(
         [(HOUR, "W", "CURTAILED_BY_ERCOT", 360, actual, expected, limited)],
         "reconciliation_hour_utc timestamp, asset_id string, curtailment_status string, sample_count long, "
         "actual_generation_mwh double, expected_available_mwh double, grid_limited_mwh double")
     assets = spark.createDataFrame([("W", "Wind", "WIND", "ERCOT")], "asset_id string, equip_name string, asset_type string, iso_region string")
     contracts = spark.createDataFrame(
-        [("ACC", "Buyer", "PPA1", "W", "42.50", flag, "FIXED")],
+        [("ACC", "Buyer", "PPA1", "W", rate, flag, "FIXED")],
         "account_id string, oftaker_name string, associated_ppa_id string, site_identity_tag string, contract_rate_per_mwh string, "
         "curtailment_compensable_flag string, settlement_method string")
     ce = spark.createDataFrame(
@@ -55,6 +55,13 @@ def test_no_payment_counts_as_zero_and_overpayment_as_no_leakage(spark):
     assert build(spark, paid=(5000.0,)).first().estimated_leakage_revenue_usd == 0.0
 
 
+def test_unknown_rate_and_refunds(spark):
+    row = build(spark, rate=None, paid=(-5.0,)).first()
+    assert row.expected_settlement_usd is None and row.estimated_leakage_revenue_usd == 0.0
+    assert build(spark, rate=None, flag="N").first().expected_settlement_usd == 0.0
+    assert build(spark, paid=(-100.0,)).first().estimated_leakage_revenue_usd == 1800.0
+
+
 def test_null_expected_power_gives_zero(spark):
     row = build(spark, expected=None).first()
     assert row.physical_shortfall_mwh == 0.0 and row.estimated_leakage_revenue_usd == 0.0
@@ -62,7 +69,7 @@ def test_null_expected_power_gives_zero(spark):
 
 @pytest.mark.parametrize("mwh,rate,usd", [(17.675, 42.5, 751.19), (14.117, 38.75, 547.03), (4.083, 45.0, 183.74)])
 def test_statement_amounts(spark, mwh, rate, usd):
-    row = spark.createDataFrame([(mwh, rate)], "eligible_compensable_mwh double, contract_rate_per_mwh double")
+    row = spark.createDataFrame([(mwh, rate, True)], "eligible_compensable_mwh double, contract_rate_per_mwh double, is_compensable boolean")
     assert round(gold.with_expected(row).first().expected_settlement_usd, 2) == usd
 
 
@@ -82,7 +89,7 @@ def test_material(spark):
 
 
 def test_reconciliation_statuses(spark):
-    facts = build(spark).withColumnRenamed("x", "x")
+    facts = build(spark)
     statement = spark.createDataFrame(
         [("W", "PPA1", dt.date(2026, 6, 23), 700.004), ("S", "PPA2", dt.date(2026, 6, 23), 1.0)],
         "asset_id string, contract_id string, market_date date, estimated_leakage_revenue_usd double")
