@@ -13,7 +13,8 @@ from pyspark.sql import Window as W
 
 from gridledger import fixed_values as fv
 from gridledger.functions.scalars import fact_text, fill_template, share
-from gridledger.functions.skew import hot_keys, split_join
+from gridledger.functions.skew import hot_keys, lookup_join, split_join
+from gridledger.session import materialize
 
 # Similarities are compared at this precision, so that ties do not depend on
 # the order in which a product was summed.
@@ -149,16 +150,17 @@ def retrieve(
     pool = pool.select("chunk_id", "contract_id", "document_version_hash", "embedding_vector")
     asked = events.select("event_id", "contract_id", "document_version_hash", "query_vector")
 
-    # Contracts that need more than one block; at most one per ``block`` rows.
-    large = F.broadcast(
+    # Contracts that need more than one block, counted once.
+    large = materialize(
         hot_keys(asked, ["contract_id"], "event_blocks", block)
-        .join(hot_keys(pool, ["contract_id"], "chunk_blocks", block), "contract_id", "full_outer")
+        .join(hot_keys(pool, ["contract_id"], "chunk_blocks", block), "contract_id", "full_outer"),
+        "large-contracts",
     )
 
     def place(df: DataFrame, key: str, own: str, own_blocks: str, other: str, other_blocks: str) -> DataFrame:
         here, there = F.coalesce(own_blocks, F.lit(1)), F.coalesce(other_blocks, F.lit(1))
         return (
-            df.join(large, "contract_id", "left")
+            lookup_join(df, large, ["contract_id"], [key])
             .withColumn(own, F.pmod(F.xxhash64(key), here).cast("int"))
             .withColumn(other, F.explode(F.sequence(F.lit(0), there - 1)))
             .drop("event_blocks", "chunk_blocks")

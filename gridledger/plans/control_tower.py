@@ -62,7 +62,7 @@ def pipeline_runs(spark, sf_dir):
     })
 
 
-@query("pipeline_health", """
+@query("ingest_health", """
 SELECT 'silver' || kafka_partition AS pipeline_name, count(*) AS runs, round(avg(CASE WHEN bad = 0 THEN 1.0 ELSE 0.0 END), 9) AS success_rate,
   sum(n)::BIGINT AS rows_read, sum(ok)::BIGINT AS rows_written, sum(n - ok)::BIGINT AS rows_quarantined, sum(bad)::BIGINT AS quality_failures,
   round(sum(n - ok) / sum(n)::DOUBLE, 9) AS quality_failure_rate,
@@ -71,7 +71,7 @@ FROM (SELECT kafka_partition, CAST(kafka_timestamp AS DATE) AS day, count(*) AS
     count(*) FILTER (WHERE code = 'INVALID_TIMESTAMP') AS bad, max(bronze_ingested_at) AS done FROM validated GROUP BY 1, 2)
 GROUP BY 1
 """, ["validated"])
-def pipeline_health(spark, sf_dir):
+def ingest_health(spark, sf_dir):
     return ops.pipeline_health(pipeline_runs(spark, sf_dir)).select(
         "pipeline_name", "runs", _r("success_rate"), "rows_read", "rows_written", "rows_quarantined", "quality_failures",
         _r("quality_failure_rate"), time_text("last_success_at").alias("last_success_at"),
@@ -353,8 +353,16 @@ _outcomes("dispatch_facts", ops.dispatch_facts, "l_linenumber = 5", lambda: F.co
 _outcomes("approval_facts", ops.approval_facts, "l_linenumber > 5", lambda: F.col("approved"))
 
 
-@query("summary_document")
+@query("summary_document", """
+SELECT round((SELECT sum(leakage_usd) FROM gold), 2) AS total_leakage_usd,
+  count(*) FILTER (WHERE priority <> '5-LOW' AND approved IS NULL) AS approvals_pending, count(*) AS rag_runs,
+  round(avg(CASE WHEN guard_ok THEN 1.0 ELSE 0.0 END), 9) AS guardrail_pass_rate,
+  (SELECT sum(prompt + completion)::BIGINT FROM usage) AS total_tokens,
+  (SELECT round(sum(cost), 4) FROM priced) AS estimated_llm_cost_usd
+FROM runs
+""", ["gold", "runs", "usage", "priced"])
 def summary_document(spark, sf_dir):
+    """The one-document summary, with some of its numbers read back from the JSON text."""
     facts = t.gold_fact(spark, sf_dir)
     executive = ops.executive_kpis(facts, t.approvals(spark, sf_dir), t.disputes(spark, sf_dir))
     quality = ops.rag_kpis(t.rag_runs(spark, sf_dir)).select(
@@ -366,4 +374,15 @@ def summary_document(spark, sf_dir):
         F.sum(F.col("prompt_tokens") + F.col("completion_tokens")).alias("total_tokens"),
         ops.exact_sum("cost_usd").alias("estimated_llm_cost_usd"), F.sum("tokens_saved").alias("headroom_tokens_saved"),
     )
-    return ops.summary_document(executive, quality, usage)
+
+    def value(path: str, kind: str):
+        return F.get_json_object("summary_json", f"$.{path}").cast(kind)
+
+    return ops.summary_document(executive, quality, usage).select(
+        F.round(value("executive_overview.total_leakage_usd", "double"), 2).alias("total_leakage_usd"),
+        value("executive_overview.approvals_pending", "bigint").alias("approvals_pending"),
+        value("rag_quality.rag_runs", "bigint").alias("rag_runs"),
+        F.round(value("rag_quality.guardrail_pass_rate", "double"), 9).alias("guardrail_pass_rate"),
+        value("llm_finops.total_tokens", "bigint").alias("total_tokens"),
+        F.round(value("llm_finops.estimated_llm_cost_usd", "double"), 4).alias("estimated_llm_cost_usd"),
+    )

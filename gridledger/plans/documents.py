@@ -417,12 +417,39 @@ def cached_retrieval(spark, sf_dir):
     return answered.select("event_id", "cache_hit", F.size("evidence").cast("bigint").alias("evidence_count"))
 
 
-@query("embedded_chunks")
+@query("embedded_chunks", """
+SELECT document_id, chunk_index, 64 AS dimensions, CAST(1 AS DOUBLE) AS norm FROM chunks WHERE text_snippet <> ''
+""", ["chunks"])
 def embedded_chunks(spark, sf_dir):
-    """Chunk vectors from the hashing embedder, checked for length in the tests."""
+    """Chunk vectors from the hashing embedder: every chunk has one, of unit length."""
     chunks = ops.build_chunks(_lines(spark, sf_dir), _KEYS).select("document_id", "chunk_index", "text_snippet")
     rows = retrieval.embed(chunks, "text_snippet", "embedding_vector")
     norm = F.aggregate("embedding_vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
     return rows.select(
         "document_id", "chunk_index", F.size("embedding_vector").alias("dimensions"), F.round(F.sqrt(norm), 4).alias("norm")
     )
+
+
+def contract_chunks(spark, sf_dir):
+    """Chunks of all contract texts with ids and vectors."""
+    docs = t.documents(spark, sf_dir).select("contract_id", "document_version_hash", "document_id", "raw_text_content")
+    # Copies of one text in one contract are one version.
+    versions = docs.groupBy("contract_id", "document_version_hash").agg(
+        F.min("document_id").alias("document_id"), F.min("raw_text_content").alias("raw_text_content")
+    )
+    chunks = ops.build_chunks(ops.to_lines(versions), ["contract_id", "document_version_hash"])
+    return retrieval.embed(ops.with_chunk_id(chunks), "text_snippet", "embedding_vector")
+
+
+@query("breach_context")
+def breach_context(spark, sf_dir):
+    """Contract text for every breach: embedded query against the embedded chunks of its contract."""
+    events = retrieval.retrieval_query(breach_events(t.gold_fact(spark, sf_dir))).select(
+        F.col("breach_event_id").alias("event_id"), "contract_id", F.lit(None).cast("string").alias("document_version_hash"),
+        "query_text",
+    )
+    events = materialize(retrieval.embed(events, "query_text", "query_vector"), "events")
+    chunks = materialize(contract_chunks(spark, sf_dir), "chunks")
+    return retrieval.retrieve_context(events, chunks).select(
+        "event_id", "rank", "contract_id", "document_version_hash", "chunk_index", "clause_type", "similarity"
+    )

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from gridledger.functions.scalars import time_text
 from gridledger.operators import cases as case_ops
 from gridledger.operators import documents as document_ops
-from gridledger.operators import silver
 from gridledger.plans import tables as t
 from gridledger.plans.registry import query
 from gridledger.profiles import text_schema
@@ -126,11 +125,12 @@ def reingested_documents(spark, sf_dir):
     )
 
 
-@query("stored_quarantine", """
-SELECT code AS validation_error_code, count(*) AS row_count FROM validated WHERE code IS NOT NULL GROUP BY 1
+@query("stored_outcomes", """
+SELECT CASE WHEN code IS NULL THEN 'valid' ELSE 'quarantine' END AS outcome, code AS validation_error_code, count(*) AS row_count
+FROM validated GROUP BY 1, 2
 """, ["validated"])
-def stored_quarantine(spark, sf_dir):
-    """Quarantine written by error code and counted from the stored table."""
-    path = work_path(spark, "quarantine")
-    silver.silver_quarantine(t.validated(spark, sf_dir)).write.partitionBy("validation_error_code").parquet(path)
-    return spark.read.parquet(path).groupBy("validation_error_code").agg(F.count("*").alias("row_count"))
+def stored_outcomes(spark, sf_dir):
+    """Both outcomes written in one pass and counted from the stored folders."""
+    path = work_path(spark, "outcomes")
+    sinks.write_outcomes(t.validated(spark, sf_dir), path)
+    return spark.read.parquet(path).groupBy("outcome", "validation_error_code").agg(F.count("*").alias("row_count"))

@@ -171,11 +171,11 @@ def deduplicated_hours(spark, sf_dir):
     return first.select("asset_id", time_text("reconciliation_hour_utc").alias("hour_utc"), "kafka_offset", "operating_status")
 
 
-@query("pipeline_run_rows", """
+@query("daily_row_accounting", """
 SELECT strftime(event_ts_utc, '%Y-%m-%d') AS run_date, count(*) AS rows_read, count(*) FILTER (WHERE code IS NULL) AS rows_written,
   count(*) FILTER (WHERE code IS NOT NULL) AS rows_quarantined FROM validated GROUP BY 1
 """, ["validated"])
-def pipeline_run_rows(spark, sf_dir):
+def daily_row_accounting(spark, sf_dir):
     return silver.row_accounting(t.validated(spark, sf_dir), F.date_format("event_ts_utc", "yyyy-MM-dd").alias("run_date"))
 
 

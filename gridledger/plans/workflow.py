@@ -137,7 +137,7 @@ def queue(spark, sf_dir):
 
 
 def decisions(spark, sf_dir):
-    """Two decisions per vector of contracts 0, 1 and 9; the later one counts."""
+    """Contracts 0, 1 and 9 were decided, twice; the others are still waiting."""
     base = t.read(spark, sf_dir, "embeddings").filter(F.col("label").isin(0, 1, 9)).select(
         F.concat(F.lit("APR-E"), F.col("vec_id").cast("string")).alias("approval_id"), "vec_id", "label"
     )

@@ -11,8 +11,8 @@ from gridledger.profiles import CASE_SCHEMA, RUNTIME_EVENT_SCHEMA
 
 
 def scan_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Delimited snapshot with a header; columns are taken by position and lower-cased."""
-    df = spark.read.schema(schema).option("header", True).option("enforceSchema", True).csv(path)
+    """Delimited snapshot with a header that must name the schema's columns; names are lower-cased."""
+    df = spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
     return df.toDF(*[c.lower() for c in df.columns])
 
 

@@ -17,6 +17,12 @@ def check_table_name(name: str) -> str:
     return name
 
 
+def write_outcomes(validated: DataFrame, path: str, mode: str = "append") -> None:
+    """Valid and quarantined rows in one pass, below ``outcome=valid`` and ``outcome=quarantine``."""
+    outcome = F.when(F.col("validation_error_code").isNull(), "valid").otherwise("quarantine")
+    validated.withColumn("outcome", outcome).write.mode(mode).partitionBy("outcome").parquet(path)
+
+
 def register(df: DataFrame, name: str, mode: str = "error") -> None:
     df.write.mode(mode).saveAsTable(check_table_name(name))
 

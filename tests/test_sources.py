@@ -18,6 +18,26 @@ def test_snapshot_scan_and_landing(spark, tmp_path):
     assert sorted(r.asset_id for r in spark.read.parquet(str(tmp_path / "landed")).collect()) == ["S", "W"]
 
 
+def test_snapshot_with_another_header_is_refused(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("B,A\n1,2\n")
+    with pytest.raises(Exception, match="header|Header"):
+        files.scan_csv(spark, str(tmp_path / "a.csv"), text_schema("A", "B")).collect()
+
+
+def test_registered_table(spark):
+    spark.sql("DROP TABLE IF EXISTS default.case_results_demo")
+    sinks.register(spark.range(3), "default.case_results_demo")
+    assert spark.table("default.case_results_demo").count() == 3
+    spark.sql("DROP TABLE default.case_results_demo")
+
+
+def test_outcomes_are_written_in_one_pass(spark, tmp_path):
+    rows = spark.createDataFrame([(1, None), (2, "UNKNOWN_ASSET")], "id int, validation_error_code string")
+    sinks.write_outcomes(rows, str(tmp_path / "o"))
+    assert spark.read.parquet(str(tmp_path / "o" / "outcome=valid")).first().id == 1
+    assert spark.read.parquet(str(tmp_path / "o" / "outcome=quarantine")).first().id == 2
+
+
 def test_manifest_lands_every_file(spark, tmp_path):
     (tmp_path / "one.csv").write_text("id\n1\n")
     (tmp_path / "two.csv").write_text("id\n2\n3\n")
