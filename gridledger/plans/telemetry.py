@@ -120,7 +120,7 @@ def validation_reasons(spark, sf_dir):
 SELECT 'A' || user_id AS asset_id, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour_utc, count(*) AS sample_count,
   max(CASE WHEN event_type = 'purchase' THEN 'CURTAILED_BY_ISO' END) AS curtailment_status,
   round(sum(value) / 1000.0, 7) AS actual_generation_mwh
-FROM events WHERE event_type NOT IN ('signup', 'error') GROUP BY ALL
+FROM events WHERE event_type <> 'error' AND NOT (event_type = 'signup' AND value > 0) GROUP BY ALL
 """)
 def generic_payload_hours(spark, sf_dir):
     """The second telemetry payload from message to hourly energy."""
