@@ -168,25 +168,28 @@ def clause_types(spark, sf_dir):
 
 
 def _tables(spark, sf_dir):
-    """Order lines as extracted tables: one table per order, a cell per line."""
-    cell = F.struct(
-        F.col("l_linenumber").alias("row"), F.lit(0).alias("column"),
-        F.concat(F.lit("Charge "), F.col("l_partkey").cast("string")).alias("content"),
+    """Every order line as an extracted table of three cells."""
+    texts = (
+        F.concat(F.lit("Charge "), F.col("l_partkey").cast("string")),
+        F.concat(F.lit("Shipped "), F.col("l_returnflag"), F.col("l_linestatus")),
+        F.when(F.col("l_linestatus") == "O", "Invoice open").otherwise("None"),
     )
-    return t.read(spark, sf_dir, "lineitem").groupBy(
-        F.concat(F.lit("T"), F.col("l_orderkey").cast("string")).alias("document_id")
-    ).agg(F.array_sort(F.collect_list(cell)).alias("cells")).select(
-        "document_id", F.lit(0).alias("table_index"), F.lit(1).alias("page_number"), "cells"
+    cells = F.array(*[
+        F.struct(F.lit(0).alias("row"), F.lit(i).alias("column"), text.alias("content")) for i, text in enumerate(texts)
+    ])
+    return t.read(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("T"), F.col("l_orderkey").cast("string")).alias("document_id"),
+        F.col("l_linenumber").alias("table_index"), F.lit(1).alias("page_number"), cells.alias("cells"),
     )
 
 
 @query("table_chunks", f"""
-SELECT document_id, text_snippet, coalesce({clause_sql('text_snippet')}, 'table') AS clause_type FROM (
-  SELECT 'T' || l_orderkey AS document_id, string_agg('Charge ' || l_partkey, ' | ' ORDER BY l_linenumber, 'Charge ' || l_partkey) AS text_snippet
-  FROM lineitem GROUP BY 1)
+SELECT document_id, table_index, text_snippet, coalesce({clause_sql('text_snippet')}, 'table') AS clause_type FROM (
+  SELECT 'T' || l_orderkey AS document_id, l_linenumber AS table_index, 'Charge ' || l_partkey || ' | Shipped ' || l_returnflag || l_linestatus
+    || CASE WHEN l_linestatus = 'O' THEN ' | Invoice open' ELSE ' | None' END AS text_snippet FROM lineitem)
 """)
 def table_chunks(spark, sf_dir):
-    return ops.table_chunks(_tables(spark, sf_dir), _KEYS).select("document_id", "text_snippet", "clause_type")
+    return ops.table_chunks(_tables(spark, sf_dir), _KEYS).select("document_id", "table_index", "text_snippet", "clause_type")
 
 
 @query("document_registry", f"""
