@@ -9,7 +9,7 @@ from gridledger.functions.scalars import time_text
 from gridledger.operators import cases as ops
 from gridledger.operators import documents, enterprise
 from gridledger.plans import tables as t
-from gridledger.plans.documents import clause_sql  # noqa: F401  (registers the document parts)
+from gridledger.plans import documents as _document_parts  # noqa: F401  (chunks are built on them)
 from gridledger.plans.registry import part, query
 from gridledger.plans.settlement import _billing
 from gridledger.session import materialize

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridledger.functions.scalars import hour_of, time_text
+from gridledger.functions.scalars import time_text
 from gridledger.operators import bronze as bronze_ops
 from gridledger.operators import silver
 from gridledger.plans import tables as t
@@ -87,8 +87,7 @@ WHERE b + INTERVAL {width} <= mark
 """
 
 
-def _bucket(spark, sf_dir, width: str, name: str):
-    stream = jobs.stream_bucket(_silver(spark, sf_dir), width, sample_seconds=t.SAMPLE_SECONDS)
+def _buckets(spark, stream, name: str):
     return _drain(spark, stream, name).select(
         time_text("bucket_start_utc").alias("bucket_start"), "asset_id", "sample_count",
         F.round("actual_generation_mwh", 6).alias("actual_generation_mwh"),
@@ -98,12 +97,14 @@ def _bucket(spark, sf_dir, width: str, name: str):
 @query("stream_hourly_energy", _bucket_sql("1 HOUR"), ["silver", "watermark"])
 def stream_hourly_energy(spark, sf_dir):
     """Hours closed by the watermark; the last 72 hours are still open."""
-    return _bucket(spark, sf_dir, "1 hour", "hourly")
+    stream = jobs.stream_hourly(_silver(spark, sf_dir), sample_seconds=t.SAMPLE_SECONDS)
+    return _buckets(spark, stream, "hourly")
 
 
 @query("stream_five_minute_energy", _bucket_sql("5 MINUTE"), ["silver", "watermark"])
 def stream_five_minute_energy(spark, sf_dir):
-    return _bucket(spark, sf_dir, "5 minutes", "five-minute")
+    stream = jobs.stream_bucket(_silver(spark, sf_dir), "5 minutes", sample_seconds=t.SAMPLE_SECONDS)
+    return _buckets(spark, stream, "five-minute")
 
 
 @query("stream_enriched", """

@@ -141,7 +141,7 @@ def run_gold(
             rows = rows.filter(F.col("event_date").isin(partition_values(dates, "event_date")))
         rows = rows.join(touched, ["reconciliation_hour_utc", "asset_id"], "left_semi")
         hourly = energy.hourly_energy(rows, sample_seconds)
-        facts = gold.build_gold(hourly, **dims).withColumn("market_date", F.to_date("reconciliation_hour_utc"))
+        facts = gold.stamp(gold.build_gold(hourly, **dims)).withColumn("market_date", F.to_date("reconciliation_hour_utc"))
         merge_into(batch.sparkSession, path, facts, ["fact_record_hash"], ["reconciliation_hour_utc"], "market_date")
 
     return drain(_per_batch(silver_stream, checkpoint, work))
