@@ -114,6 +114,12 @@ def gate(results: DataFrame) -> DataFrame:
     )
 
 
+def gate_status(results: DataFrame, dataset: str) -> str:
+    """The gate of one dataset as a value; a dataset that was not checked has failed."""
+    row = gate(results.filter(F.col("dataset") == dataset)).first()
+    return row.dq_gate_status if row else "FAILED"
+
+
 class QualityGateError(RuntimeError):
     """Raised when a dataset must not go downstream."""
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from gridledger.functions.scalars import time_text
-from gridledger.operators import enterprise, gold
+from gridledger.operators import cases, energy, enterprise, gold, quality, silver
 from gridledger.plans import tables as t
 from gridledger.plans.registry import part, query
+from gridledger.sources import merge
 
 HOUR = "strftime(hour_utc, '%Y-%m-%d %H:%M:%S')"
 
@@ -41,6 +44,37 @@ def gold_leakage_fact(spark, sf_dir):
     )
 
 
+@query("gold_incremental_merge", """
+SELECT fact_record_hash, sample_count, round(leakage_usd, 6) AS estimated_leakage_revenue_usd FROM gold
+""", ["gold"])
+def gold_incremental_merge(spark, sf_dir):
+    """The fact up to the 24th, then the look-back window to the end, merged by hash: equal to one full run."""
+    rows, dims = t.silver_rows(spark, sf_dir), t.gold_dims(spark, sf_dir)
+    hour = "reconciliation_hour_utc"
+
+    def facts_of(part_rows):
+        return gold.build_gold(energy.hourly_energy(part_rows, t.SAMPLE_SECONDS), **dims)
+
+    first = facts_of(rows.filter(F.col(hour) < F.lit(dt.datetime(2024, 1, 25))))
+    later = facts_of(silver.incremental(rows, hour, dt.datetime(2024, 1, 31), hours=8 * 24))
+    merged = merge.upsert(first, later, ["fact_record_hash"], [hour])
+    return merged.select("fact_record_hash", "sample_count", _r("estimated_leakage_revenue_usd"))
+
+
+@query("gated_breaches", """
+SELECT sha256('BREACH|' || fact_record_hash) AS breach_event_id, 'PASSED' AS dq_gate_status FROM gold WHERE leakage_usd > 0
+""", ["gold"])
+def gated_breaches(spark, sf_dir):
+    """Breaches leave only when the checks on the stored fact pass."""
+    fact = t.stored_gold(spark, sf_dir)
+    checks = [
+        quality.row_count_positive(), quality.not_missing("fact_record_hash"), quality.unique("fact_record_hash"),
+        quality.non_negative("estimated_leakage_revenue_usd"), quality.compensable_consistent(),
+    ]
+    status = quality.gate_status(quality.run_checks(fact, "gold", checks), "gold")
+    return cases.breach_events(fact, status).select("breach_event_id", "dq_gate_status")
+
+
 @query("extra_curtailments", f"""
 SELECT asset_id, {HOUR} AS hour_utc, min(curtailment_event_id) AS kept_event_id, count(*) - 1 AS extra_events
 FROM curtailment GROUP BY asset_id, hour_utc HAVING count(*) > 1

@@ -267,7 +267,7 @@ def prompt_tokens(spark, sf_dir):
 
 
 @query("conversation_tokens", """
-SELECT conv_id, sum(greatest(1, length(text) // 4)) AS tokens FROM conversations GROUP BY 1
+SELECT conv_id, sum(greatest(1, length(text) // 4))::BIGINT AS tokens FROM conversations GROUP BY 1
 """)
 def conversation_tokens(spark, sf_dir):
     return t.read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sum(rough_tokens("text")).alias("tokens"))

@@ -233,6 +233,7 @@ def test_gate_blocks_and_reports(spark):
     assert quality.gate(results).first().dq_gate_status == "FAILED"
     with pytest.raises(quality.QualityGateError, match="missing_count"):
         quality.require_passed(results)
+    assert quality.gate_status(results, "t") == "FAILED" and quality.gate_status(results, "unchecked") == "FAILED"
     quality.require_passed(quality.run_checks(rows, "t", [quality.row_count_positive()]))
     with pytest.raises(ValueError):
         quality.checks_from_spec([{"unknown": 1}])
