@@ -7,11 +7,15 @@ so these joins split their hot keys themselves.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROWS_PER_SPLIT = 1_000_000
 BROADCAST_ROWS = 200_000
+NULL_SPLITS = 4096
 _HOWS = ("inner", "left", "left_semi", "left_anti")
 
 
@@ -35,14 +39,16 @@ def split_join(
     Only the right rows of hot keys are repeated, once per split; all other
     rows are joined as they are. ``spread_by`` names left columns that differ
     between the rows of a key, so that a task that runs again sends every row
-    to the same split. The result equals the plain join.
+    to the same split. Rows with a null key match nothing and are spread as
+    well. The result equals the plain join.
     """
     if how not in _HOWS:
         raise ValueError(f"a join that can split its left side is one of {_HOWS}")
     hot = F.broadcast(hot_keys(left.select(*keys), keys, "_splits", rows_per_split))
     splits = F.coalesce("_splits", F.lit(1))
+    no_key = reduce(or_, [F.col(k).isNull() for k in keys])
     spread = left.join(hot, keys, "left").withColumn(
-        "_split", F.pmod(F.xxhash64(*spread_by), splits).cast("int")
+        "_split", F.pmod(F.xxhash64(*spread_by), F.when(no_key, NULL_SPLITS).otherwise(splits)).cast("int")
     ).drop("_splits")
     repeated = right.join(hot, keys, "left").withColumn(
         "_split", F.explode(F.sequence(F.lit(0), splits - 1))

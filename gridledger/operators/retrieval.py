@@ -149,6 +149,9 @@ def retrieve(
     pool = chunks if clause is None else chunks.filter(F.col("clause_type") == clause)
     pool = pool.select("chunk_id", "contract_id", "document_version_hash", "embedding_vector")
     asked = events.select("event_id", "contract_id", "document_version_hash", "query_vector")
+    # Vectors of contracts nobody asks about are not moved.
+    wanted = asked.select("contract_id").distinct()
+    pool = lookup_join(pool, wanted, ["contract_id"], ["chunk_id"], "left_semi")
 
     # Contracts that need more than one block, counted once.
     large = materialize(

@@ -13,8 +13,8 @@ from gridledger.operators import retrieval
 from gridledger.operators.cases import breach_events
 from gridledger.plans import tables as t
 from gridledger.plans.registry import part, query
-from gridledger.session import materialize
-from gridledger.sources import merge
+from gridledger.session import materialize, work_path
+from gridledger.sources import merge, sinks
 
 _KEYS = ["document_id"]
 _SPACE = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -452,7 +452,9 @@ def breach_context(spark, sf_dir):
         "query_text",
     )
     events = materialize(retrieval.embed(events, "query_text", "query_vector"), "events")
-    chunks = materialize(contract_chunks(spark, sf_dir), "chunks")
+    path = work_path(spark, "chunks")
+    sinks.write_clustered(contract_chunks(spark, sf_dir), path, ["contract_id", "chunk_index"])
+    chunks = spark.read.parquet(path)
     return retrieval.retrieve_context(events, chunks).select(
         "event_id", "rank", "contract_id", "document_version_hash", "chunk_index", "clause_type", "similarity"
     )

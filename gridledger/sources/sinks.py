@@ -23,6 +23,19 @@ def write_outcomes(validated: DataFrame, path: str, mode: str = "append") -> Non
     validated.withColumn("outcome", outcome).write.mode(mode).partitionBy("outcome").parquet(path)
 
 
+def write_clustered(
+    df: DataFrame, path: str, by: list[str], ranges: int | None = None, mode: str = "overwrite"
+) -> None:
+    """Parquet sorted by ranges of ``by``, so that filters on the first column skip files.
+
+    Name a second column that differs within the first: a value of the first
+    column that holds much of the data is then cut into several ranges.
+    Without ``ranges`` their number follows from the size of the data.
+    """
+    ranged = df.repartitionByRange(ranges, *by) if ranges else df.repartitionByRange(*by)
+    ranged.sortWithinPartitions(*by).write.mode(mode).parquet(path)
+
+
 def register(df: DataFrame, name: str, mode: str = "error") -> None:
     df.write.mode(mode).saveAsTable(check_table_name(name))
 

@@ -16,6 +16,14 @@ def sides(spark):
     return left, right
 
 
+def test_null_keys_are_spread_and_kept(spark):
+    left = spark.range(5000).select(F.lit(None).cast("string").alias("key"), F.col("id").alias("n"))
+    right = spark.createDataFrame([("a", 1)], "key string, v int")
+    assert split_join(left, right, ["key"], ["n"], "left").count() == 5000
+    assert split_join(left, right, ["key"], ["n"], "left_anti").count() == 5000
+    assert split_join(left, right, ["key"], ["n"]).count() == 0
+
+
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
 def test_split_join_equals_the_plain_join(sides, how):
     left, right = sides

@@ -31,6 +31,16 @@ def test_registered_table(spark):
     spark.sql("DROP TABLE default.case_results_demo")
 
 
+def test_clustered_table_splits_a_hot_contract(spark, tmp_path):
+    rows = spark.range(9000).select(F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("contract_id"), "id")
+    path = str(tmp_path / "c")
+    sinks.write_clustered(rows, path, ["contract_id", "id"], ranges=8)
+    table = spark.read.parquet(path)
+    assert table.count() == 9000
+    files_of_hot = table.filter("contract_id = 'hot'").select("_metadata.file_name").distinct().count()
+    assert 1 < files_of_hot < table.select("_metadata.file_name").distinct().count()
+
+
 def test_outcomes_are_written_in_one_pass(spark, tmp_path):
     rows = spark.createDataFrame([(1, None), (2, "UNKNOWN_ASSET")], "id int, validation_error_code string")
     sinks.write_outcomes(rows, str(tmp_path / "o"))
