@@ -137,7 +137,8 @@ def retrieve(
 
     ``events``: event_id (text), contract_id, document_version_hash (null for
     any version), query_vector. ``chunks``: chunk_id, contract_id,
-    document_version_hash, clause_type, embedding_vector.
+    document_version_hash, clause_type, embedding_vector. Both should be stored
+    tables: contracts are counted before vectors are read.
 
     Both sides of a contract are cut into blocks of bounded size and each pair
     of blocks is one small matrix product that returns k rows per event. A
