@@ -58,14 +58,16 @@ def split_join(
 
 def lookup_join(
     left: DataFrame, table: DataFrame, keys: list[str], spread_by: list[str], how: str = "left",
-    max_rows: int = BROADCAST_ROWS,
+    max_rows: int = BROADCAST_ROWS, source: DataFrame | None = None,
 ) -> DataFrame:
     """Join to a lookup table that is unique on its keys.
 
     The table is broadcast when a bounded count shows that it has at most
-    ``max_rows`` rows, and joined by split keys otherwise.
+    ``max_rows`` rows, and joined by split keys otherwise. ``source`` is what
+    the table was reduced from, where counting that is cheaper.
     """
-    if table.limit(max_rows + 1).count() <= max_rows:
+    counted = table if source is None else source
+    if counted.limit(max_rows + 1).count() <= max_rows:
         return left.join(F.broadcast(table), keys, how)
     if left.isStreaming:
         return left.join(table, keys, how)

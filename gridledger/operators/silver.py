@@ -75,7 +75,7 @@ def _flag_known(typed: DataFrame, profile: TelemetryProfile, known_assets: DataF
         return typed.withColumn(_KNOWN, F.lit(True))
     registry = known_assets.select("asset_id").distinct().withColumn("_listed", F.lit(True))
     return (
-        lookup_join(typed, registry, ["asset_id"], ["event_id"])
+        lookup_join(typed, registry, ["asset_id"], ["event_id"], source=known_assets)
         .withColumn(_KNOWN, F.coalesce("_listed", F.lit(False)))
         .drop("_listed")
     )

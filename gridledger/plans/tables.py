@@ -84,7 +84,7 @@ def bronze_from(events: DataFrame) -> DataFrame:
 
 
 def bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bronze_from(read(spark, sf_dir, "events"))
+    return bronze_from(spread(read(spark, sf_dir, "events")))
 
 
 def messages_from(events: DataFrame) -> DataFrame:
