@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridledger.functions.scalars import days_between, strip
+from gridledger.functions.skew import lookup_join
 
 _DAY_KEYS = ["asset_id", "contract_id", "market_date"]
 
@@ -69,7 +70,14 @@ def billing_days(headers: DataFrame, lines: DataFrame, gl: DataFrame, ar: DataFr
 
 
 def with_finance(facts: DataFrame, headers: DataFrame, lines: DataFrame, gl: DataFrame, ar: DataFrame) -> DataFrame:
-    days = billing_days(headers, lines, gl, ar).drop("invoice_period_start", "invoice_period_end")
+    """Facts with the invoice of their day, its posting and its receivable.
+
+    ``facts`` should be a stored table: lines of assets and contracts without
+    facts are left out before anything is summed.
+    """
+    pair = ["asset_id", "contract_id"]
+    needed = lookup_join(lines, facts.select(*pair).distinct(), pair, ["invoice_id"], "left_semi")
+    days = billing_days(headers, needed, gl, ar).drop("invoice_period_start", "invoice_period_end")
     return facts.join(days, _DAY_KEYS, "left")
 
 

@@ -277,7 +277,7 @@ SELECT f.fact_record_hash, b.b.invoice_id AS invoice_id, b.b.status AS invoice_s
 FROM facts f LEFT JOIN billed b USING (asset_id, contract_id, market_date)
 """, ["facts", "billed"])
 def facts_with_finance(spark, sf_dir):
-    return enterprise.with_finance(facts(spark, sf_dir), *_billing(spark, sf_dir)).select(
+    return enterprise.with_finance(facts(spark, sf_dir, stored=True), *_billing(spark, sf_dir)).select(
         "fact_record_hash", "invoice_id", "invoice_status", F.col("billed_mwh").cast("double"),
         F.col("billed_usd").cast("double"), "accounting_doc_id", "gl_account", "profit_center",
         F.col("open_amount_usd").cast("double"),
