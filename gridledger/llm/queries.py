@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridledger.llm import bpe, dedup, fingerprints, mixing, neardup, secrets, tokens
+from gridledger.llm import bpe, dedup, fingerprints, language, mixing, neardup, secrets, tokens, toxicity
 from gridledger.llm.common import read
 from gridledger.llm.oracles import ORACLES
 
@@ -21,6 +21,10 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_components(read(spark, sf_dir, "documents"))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.languages(read(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_groups(read(spark, sf_dir, "documents"))
 
@@ -33,6 +37,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(read(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(read(spark, sf_dir, "documents"))
 
@@ -44,9 +52,11 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_near_dedup": op2_near_dedup,
+    "op4_language": op4_language,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_source_mixing": op6_source_mixing,
     "op7_token_counts": op7_token_counts,
+    "op8_toxicity": op8_toxicity,
     "op9_fingerprints": op9_fingerprints,
     "op10_byte_bpe": op10_byte_bpe,
 }

@@ -46,11 +46,11 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
-def _hash(data: np.ndarray, edges: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _hash(data: np.ndarray, edges: np.ndarray, ends: np.ndarray, heads: tuple | None) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of joined texts and, for each of ``edges``, the number of words that start before it."""
     size = len(data)
     if not size:
-        return np.zeros(0, np.uint64), np.zeros(len(edges), np.int64)
+        return np.zeros((len(heads), 0) if heads else 0, np.uint64), np.zeros(len(edges), np.int64)
     inside = ~ends[data]
     first, last = inside.copy(), inside.copy()
     first[1:] &= ~inside[:-1]
@@ -62,12 +62,18 @@ def _hash(data: np.ndarray, edges: np.ndarray, ends: np.ndarray) -> tuple[np.nda
     up, down = _powers(max(size, CHUNK))
     sums = np.zeros(size + 1, np.uint64)
     np.cumsum(_LETTERS[data] * up[:size], out=sums[1:])
-    return mix((sums[stops] - sums[starts]) * down[starts]), np.searchsorted(starts, edges)
+    words = [mix((sums[np.minimum(stops, starts + h) if h else stops] - sums[starts]) * down[starts]) for h in heads or [None]]
+    return np.stack(words) if heads else words[0], np.searchsorted(starts, edges)
 
 
-def word_hashes(texts: pa.Array, ends: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def word_hashes(
+    texts: pa.Array, ends: np.ndarray, heads: tuple | None = None,
+) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For runs of rows of a string column without nulls: first row, word hashes, places of the rows in them.
 
+    ``heads`` asks for several hashes of each word, one row each: of so many
+    first bytes, or with None of the whole word.
+
     A run has at most CHUNK bytes or one row. A longer text is hashed in
     pieces that end between words, so only its word hashes are held whole.
     """
@@ -80,17 +86,17 @@ def word_hashes(texts: pa.Array, ends: np.ndarray) -> Iterator[tuple[int, np.nda
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK, "right")) - 1)
         begin, stop = int(offsets[at]), int(offsets[to])
         if stop - begin <= CHUNK:
-            hashes, places = _hash(data[begin:stop], offsets[at:to + 1] - begin, ends)
+            hashes, places = _hash(data[begin:stop], offsets[at:to + 1] - begin, ends, heads)
         else:
             parts = []
             while begin < stop:
                 cut = min(stop, begin + CHUNK)
                 while cut < stop and not ends[data[cut]]:
                     cut += 1
-                parts.append(_hash(data[begin:cut], np.zeros(0, np.int64), ends)[0])
+                parts.append(_hash(data[begin:cut], np.zeros(0, np.int64), ends, heads)[0])
                 begin = cut
-            hashes = np.concatenate(parts)
-            places = np.array([0, len(hashes)])
+            hashes = np.concatenate(parts, axis=-1)
+            places = np.array([0, hashes.shape[-1]])
         yield at, hashes, places
         at = to
 
