@@ -141,13 +141,13 @@ def fit(docs: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS) -> Mo
         texts = part["text"].tolist()
         vectors = np.concatenate([_unit(_counts(texts[i:i + GROUP]), weights.value) for i in range(0, len(texts), GROUP)])
         centres = _clustered(vectors, centroids)
-        # The least cosine of the sample, cut to each length.
-        least = []
+        # The least cosine of the sample, cut to each length; of lengths that no text has, that of the one before.
+        least = [0.0]
         for length in LENGTHS:
             cut = [t[:length] for t in texts if len(t) >= length]
             near = [(_unit(_counts(cut[i:i + GROUP]), weights.value) @ centres.T).max(axis=1) for i in range(0, len(cut), GROUP)]
-            least.append(float(np.quantile(np.concatenate(near), 0.01)) if cut else 0.0)
-        return pd.DataFrame({"lang": part["lang"].iloc[0], "centre": [c.tolist() for c in centres], "least": [least] * len(centres)})
+            least.append(float(np.quantile(np.concatenate(near), 0.01)) if cut else least[-1])
+        return pd.DataFrame({"lang": part["lang"].iloc[0], "centre": [c.tolist() for c in centres], "least": [least[1:]] * len(centres)})
 
     rows = drawn.groupBy("lang").applyInPandas(cluster, "lang string, centre array<float>, least array<double>").collect()
     if not rows:
