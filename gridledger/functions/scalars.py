@@ -186,10 +186,9 @@ def list_text(items: Column) -> Column:
 
 
 def json_text(value: Column) -> Column:
-    """A JSON string literal, or null."""
-    escaped = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    escaped = F.replace(F.replace(escaped, F.lit("\n"), F.lit("\\n")), F.lit("\t"), F.lit("\\t"))
-    return F.coalesce(F.concat(F.lit('"'), escaped, F.lit('"')), F.lit("null"))
+    """A JSON string literal, or null. Control characters are escaped, other characters stay as they are."""
+    listed = F.to_json(F.array(value.cast("string")))
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)
 
 
 def days_between(end: Column | str, start: Column | str) -> Column:

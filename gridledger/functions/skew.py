@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 ROWS_PER_SPLIT = 1_000_000
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 NULL_SPLITS = 4096
+STREAM_SPLITS = 16
 _HOWS = ("inner", "left", "left_semi", "left_anti")
 
 
@@ -63,12 +65,18 @@ def lookup_join(
     """Join to a lookup table that is unique on its keys.
 
     The table is broadcast when a bounded count shows that it has at most
-    ``max_rows`` rows, and joined by split keys otherwise. ``source`` is what
-    the table was reduced from, where counting that is cheaper.
+    ``max_rows`` rows of together ``BROADCAST_BYTES`` as text, and joined by
+    split keys otherwise. ``source`` is what the table was reduced from, where
+    counting that is cheaper. A stream cannot be counted, so all its keys are
+    cut into ``STREAM_SPLITS`` and the table is repeated as often.
     """
-    counted = table if source is None else source
-    if counted.limit(max_rows + 1).count() <= max_rows:
+    counted = (table if source is None else source).limit(max_rows + 1)
+    rows, size = counted.agg(
+        F.count("*"), F.coalesce(F.sum(F.length(F.to_json(F.struct(*counted.columns)))), F.lit(0))).first()
+    if rows <= max_rows and size <= BROADCAST_BYTES:
         return left.join(F.broadcast(table), keys, how)
     if left.isStreaming:
-        return left.join(table, keys, how)
+        split = F.pmod(F.xxhash64(*spread_by), F.lit(STREAM_SPLITS)).cast("int")
+        repeated = table.withColumn("_split", F.explode(F.sequence(F.lit(0), F.lit(STREAM_SPLITS - 1))))
+        return left.withColumn("_split", split).join(repeated, [*keys, "_split"], how).drop("_split")
     return split_join(left, table, keys, spread_by, how)

@@ -322,7 +322,11 @@ def ingestion_lag(bronze: DataFrame) -> DataFrame:
 
 
 def normalise_events(events: DataFrame) -> DataFrame:
-    """Runtime events with the known metrics and attributes as typed columns."""
+    """Runtime events with the known metrics and attributes as typed columns.
+
+    A time may carry a fraction and a zone offset; without one it counts as
+    UTC. A text that is no time gives a null time and ``time_unparsed``.
+    """
     metric, attribute = F.col("metrics"), F.col("attributes")
 
     def number(name: str, kind: str) -> Column:
@@ -334,7 +338,8 @@ def normalise_events(events: DataFrame) -> DataFrame:
     return events.select(
         "event_id", "event_type", F.coalesce("node_name", "component_name").alias("node_name"),
         "status", "trace_id", "rag_run_id",
-        F.to_timestamp(F.substring(F.replace("created_at_utc", F.lit("T"), F.lit(" ")), 1, 19), "yyyy-MM-dd HH:mm:ss").alias("created_at"),
+        F.try_to_timestamp("created_at_utc").alias("created_at"),
+        (F.col("created_at_utc").isNotNull() & F.try_to_timestamp("created_at_utc").isNull()).alias("time_unparsed"),
         number("latency_ms", "long"), number("prompt_tokens", "long"), number("completion_tokens", "long"),
         number("retries", "long"), number("top_similarity", "double"),
         text("model_name"), text("error"), text("contract_id"),

@@ -117,10 +117,11 @@ def curtailment_episodes(
     return joined.select(*columns).unionByName(runs.filter(~edge).select(*columns))
 
 
-def match_notices(silver: DataFrame, notices: DataFrame) -> DataFrame:
+def match_notices(silver: DataFrame, notices: DataFrame, open_until: str | None = None) -> DataFrame:
     """Samples inside a notice of their asset, start included, end excluded.
 
-    The notice is spread over the hours it covers, which turns the range
+    A notice without an end lasts until ``open_until``, or else past the last
+    sample. The notice is spread over the hours it covers, which turns the range
     condition into an equi join on (asset, hour).
     """
     hours = F.sequence(
@@ -128,8 +129,11 @@ def match_notices(silver: DataFrame, notices: DataFrame) -> DataFrame:
         hour_of(F.col("end_time_utc") - F.expr("interval 1 microsecond")),
         F.expr("interval 1 hour"),
     )
+    bound = F.lit(open_until).cast("timestamp")
+    if open_until is None and not notices.filter(F.col("end_time_utc").isNull()).isEmpty():
+        bound = F.lit(silver.agg(F.max("event_ts_utc") + F.expr("interval 1 second")).first()[0]).cast("timestamp")
     spread = (
-        notices.filter(F.col("start_time_utc") < F.col("end_time_utc"))
+        notices.withColumn("end_time_utc", F.coalesce("end_time_utc", bound)).filter(F.col("start_time_utc") < F.col("end_time_utc"))
         .select(
             "notice_id", "asset_id", "start_time_utc", "end_time_utc",
             F.col("curtailment_reason").alias("notice_reason"),

@@ -131,15 +131,15 @@ def match_customers(partners: DataFrame, accounts: DataFrame) -> DataFrame:
     """Business partners against CRM accounts on both ids."""
     keys = ["sap_customer_number", "sf_account_id"]
     status = (
-        F.when(F.col("account_name").isNull(), "MISSING_IN_CRM")
-        .when(F.col("business_partner_name").isNull(), "MISSING_IN_ERP")
-        .when(F.col("business_partner_name") != F.col("account_name"), "NAME_MISMATCH")
+        F.when(F.col("_in_crm").isNull(), "MISSING_IN_CRM")
+        .when(F.col("_in_erp").isNull(), "MISSING_IN_ERP")
+        .when(~F.col("business_partner_name").eqNullSafe(F.col("account_name")), "NAME_MISMATCH")
         .otherwise("MATCHED")
     )
     return (
-        partners.select(*keys, "business_partner_name")
-        .join(accounts.select(*keys, "account_name"), keys, "full_outer")
-        .withColumn("match_status", status)
+        partners.select(*keys, "business_partner_name", F.lit(True).alias("_in_erp"))
+        .join(accounts.select(*keys, "account_name", F.lit(True).alias("_in_crm")), keys, "full_outer")
+        .withColumn("match_status", status).drop("_in_erp", "_in_crm")
     )
 
 

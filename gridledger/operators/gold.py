@@ -217,12 +217,14 @@ def reconcile_statements(gold: DataFrame, statements: DataFrame, tolerance_usd:
     keys = ["asset_id", "contract_id", "market_date"]
     ours = gold.groupBy(
         "asset_id", F.col("associated_ppa_id").alias("contract_id"), F.to_date(_HOUR).alias("market_date")
-    ).agg(F.sum("estimated_leakage_revenue_usd").alias("fact_usd"))
-    theirs = statements.groupBy(*keys).agg(F.sum("estimated_leakage_revenue_usd").alias("statement_usd"))
+    ).agg(F.sum("estimated_leakage_revenue_usd").alias("fact_usd"), F.lit(True).alias("_ours"))
+    theirs = statements.groupBy(*keys).agg(
+        F.sum("estimated_leakage_revenue_usd").alias("statement_usd"), F.lit(True).alias("_theirs"))
     status = (
-        F.when(F.col("fact_usd").isNull(), "MISSING_IN_FACT")
-        .when(F.col("statement_usd").isNull(), "MISSING_IN_STATEMENT")
+        F.when(F.col("_ours").isNull(), "MISSING_IN_FACT")
+        .when(F.col("_theirs").isNull(), "MISSING_IN_STATEMENT")
+        .when(F.col("fact_usd").isNull() != F.col("statement_usd").isNull(), "AMOUNT_MISMATCH")
         .when(F.abs(F.col("fact_usd") - F.col("statement_usd")) > tolerance_usd, "AMOUNT_MISMATCH")
         .otherwise("MATCHED")
     )
-    return ours.join(theirs, keys, "full_outer").withColumn("reconciliation_status", status)
+    return ours.join(theirs, keys, "full_outer").withColumn("reconciliation_status", status).drop("_ours", "_theirs")

@@ -70,12 +70,19 @@ def embed(df: DataFrame, text: str, vector: str, embedder=None, batch: int = fv.
     return df.mapInArrow(run, schema)
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+def _matrix(column: pa.ChunkedArray, size: int | None = None) -> np.ndarray:
+    """Vectors as rows; a null vector counts as zero, vectors of another length than ``size`` are an error."""
     column = column.combine_chunks()
     if isinstance(column, pa.ChunkedArray):
         column = pa.concat_arrays(column.chunks)
-    rows = len(column)
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(rows, -1)
+    lengths = column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+    known = lengths >= 0
+    size = size or int(lengths.max(initial=-1))
+    if (lengths[known] != size).any():
+        raise ValueError(f"vectors of {sorted(set(lengths[known].tolist()))} numbers where {size} are asked for")
+    out = np.zeros((len(column), max(size, 1)))
+    out[known] = np.nan_to_num(column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(known.sum(), -1))
+    return out
 
 
 def _unit(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,8 +109,9 @@ def _block_top_k(k: int):
             return out.empty_table()
         chunks = chunks.sort_by("chunk_id")
         ids = chunks.column("chunk_id").to_numpy()
-        left, left_ok = _unit(_matrix(events.column("query_vector")))
-        right, right_ok = _unit(_matrix(chunks.column("embedding_vector")))
+        vectors = pa.chunked_array([*events.column("query_vector").chunks, *chunks.column("embedding_vector").chunks])
+        left, right = np.split(_matrix(vectors), [events.num_rows])
+        (left, left_ok), (right, right_ok) = _unit(left), _unit(right)
         wanted = np.array(events.column("document_version_hash").to_pylist(), dtype=object)
         have = np.array(chunks.column("document_version_hash").to_pylist(), dtype=object)
         any_version = np.array([v is None for v in wanted])

@@ -291,7 +291,7 @@ def runtime_events(spark, sf_dir):
         F.when(failed, F.concat(F.lit('"E'), F.col("l_linenumber").cast("string"), F.lit('"'))).otherwise("null"), F.lit("}}"),
     )
     # Inlining a one-element array keeps later filters from parsing the text a second time.
-    records = t.spread(t.read(spark, sf_dir, "lineitem")).select(F.inline(F.array(F.from_json(text, RUNTIME_EVENT_SCHEMA))))
+    records = t.read(spark, sf_dir, "lineitem").select(F.inline(F.array(F.from_json(text, RUNTIME_EVENT_SCHEMA))))
     return ops.normalise_events(records)
 
 

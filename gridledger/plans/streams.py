@@ -155,11 +155,27 @@ def stream_gold_remerge(spark, sf_dir):
 
 @query("stream_batch_metrics", "SELECT count(*) AS input_rows FROM events")
 def stream_batch_metrics(spark, sf_dir):
-    """Rows counted by the stream's own progress records."""
+    """Rows counted per micro-batch in the written table."""
     path = work_path(spark, "metrics")
-    done = jobs.drain(
-        _events(spark, sf_dir).writeStream.format("parquet").option("checkpointLocation", path + "-checkpoint")
-        .trigger(availableNow=True).start(path)
-    )
-    counted = [(int(m["input_rows"]),) for m in jobs.stream_metrics(done)]
-    return spark.createDataFrame(counted, "input_rows long").agg(F.sum("input_rows").alias("input_rows"))
+    jobs.land_batches(_events(spark, sf_dir), path, path + "-checkpoint")
+    return jobs.batch_metrics(spark.read.parquet(path)).agg(F.sum("input_rows").alias("input_rows"))
+
+
+@query("stream_silver_redelivery", """
+SELECT kafka_offset, coalesce(code, 'VALID') AS outcome FROM validated WHERE event_id IS NOT NULL
+""", ["validated"])
+def stream_silver_redelivery(spark, sf_dir):
+    """Events in three batches, a third of them delivered again in each later batch."""
+    path = work_path(spark, "redelivery")
+    events = t.read(spark, sf_dir, "events")
+    turn = F.pmod(F.col("event_id"), F.lit(3))
+    for n in range(3):
+        again = events.filter((turn < n) & (F.pmod(F.col("event_id"), F.lit(9)) < 3))
+        events.filter(turn == n).unionByName(again).write.mode("append").parquet(path + "/events")
+        jobs.run_silver(
+            t.bronze_from(jobs.file_stream(spark, path + "/events", events.schema)), path + "/valid", path + "/quarantine",
+            path + "/checkpoint", known_assets=t.known_assets(spark, sf_dir))
+    valid = spark.read.parquet(path + "/valid").select("event_id", "kafka_offset", F.lit("VALID").alias("outcome"))
+    bad = spark.read.parquet(path + "/quarantine").select(
+        "event_id", "kafka_offset", F.col("validation_error_code").alias("outcome"))
+    return valid.unionByName(bad).filter(F.col("event_id").isNotNull()).drop("event_id")

@@ -27,15 +27,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Input of costly per-row work over all cores, when a small file set has fewer splits than cores.
-
-    A large input has many more splits than that and is left as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def _id(prefix: str, key: str) -> Column:
     return F.concat(F.lit(prefix), F.col(key).cast("string"))
 
@@ -92,7 +83,7 @@ def bronze_from(events: DataFrame) -> DataFrame:
 
 
 def bronze(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bronze_from(spread(read(spark, sf_dir, "events")))
+    return bronze_from(read(spark, sf_dir, "events"))
 
 
 def messages_from(events: DataFrame) -> DataFrame:
@@ -119,7 +110,7 @@ def messages_from(events: DataFrame) -> DataFrame:
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return messages_from(spread(read(spark, sf_dir, "events")))
+    return messages_from(read(spark, sf_dir, "events"))
 
 
 def generic_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -563,7 +554,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("text"),
         F.lit("\nSCHEDULE OF NOTICES\nNotice of a dispute is due ten  days after the claim.\nSCHEDULE OF NOTICES\nForce majeure excepted."),
     )
-    return spread(read(spark, sf_dir, "documents")).select(
+    return read(spark, sf_dir, "documents").select(
         _id("DOC", "doc_id").alias("document_id"), kind.alias("document_type"), F.col("source").alias("contract_id"),
         F.concat(F.lit("A"), (number + F.col("doc_id") % 7 * 20).cast("string")).alias("asset_id"),
         _day("doc_id").alias("event_date"), F.sha2("text", 256).alias("document_version_hash"),

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,9 +14,18 @@ from gridledger.functions.skew import split_join
 from gridledger.session import materialize
 
 
+def one_per_key(rows: DataFrame, keys: list[str], order_by: list[str], pick) -> DataFrame:
+    """One row per key; rows with a null key match nothing, not even each other, and all stay."""
+    named = reduce(and_, [F.col(k).isNotNull() for k in keys])
+    return pick(rows.filter(named), keys, order_by).unionByName(rows.filter(~named))
+
+
 def upsert(target: DataFrame, updates: DataFrame, keys: list[str], order_by: list[str]) -> DataFrame:
-    """Matched keys are replaced, new keys added; the newest of several updates counts."""
-    newest = latest(updates, keys, order_by)
+    """Matched keys are replaced, new keys added; the newest of several updates counts.
+
+    A null key never matches: such updates are all added.
+    """
+    newest = one_per_key(updates, keys, order_by, latest)
     kept = target.join(newest.select(*keys), keys, "left_anti").select(*target.columns)
     return kept.unionByName(newest.select(*target.columns))
 
@@ -24,7 +36,7 @@ def insert_ignore(target: DataFrame, rows: DataFrame, keys: list[str], order_by:
 
 
 def new_rows(target: DataFrame, rows: DataFrame, keys: list[str], order_by: list[str]) -> DataFrame:
-    first = dedupe_events(rows, keys, order_by)
+    first = one_per_key(rows, keys, order_by, dedupe_events)
     return first.join(target.select(*keys), keys, "left_anti").select(*rows.columns)
 
 
@@ -80,7 +92,7 @@ def merge_into(
     in the shared folder first, since a table cannot be overwritten while it
     is read.
     """
-    newest = materialize(latest(updates, keys, order_by), "updates")
+    newest = materialize(one_per_key(updates, keys, order_by, latest), "updates")
     target = read_if_present(spark, path)
     merged = newest
     if target is not None:

@@ -10,10 +10,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from gridledger import fixed_values as fv
 from gridledger.functions.scalars import is_curtailed, kw_to_mwh
-from gridledger.functions.skew import lookup_join
+from gridledger.functions.skew import lookup_join, split_join
 from gridledger.operators import energy, gold, silver
 from gridledger.profiles import METERED, TelemetryProfile
-from gridledger.sources.merge import merge_into, partition_values
+from gridledger.sources.merge import merge_into, one_per_key, partition_values, read_if_present
 
 
 def file_stream(
@@ -60,21 +60,34 @@ def run_silver(
 ) -> StreamingQuery:
     """Valid and quarantined rows from one pass over each micro-batch.
 
-    Each batch owns the folders ``batch_id=n`` of both tables, so a batch that
-    is run again replaces its own rows. Valid rows lie below their event date.
+    Both tables hold an event id once: what an earlier batch delivered is not
+    written again, however late the copy comes. An event's date follows from
+    its time, so only the dates that a batch touches are looked up. Each batch
+    owns the folders ``batch_id=n`` of both tables, so a batch that is run
+    again replaces its own rows. Rows without an event id are all kept.
     """
+    spark = bronze_stream.sparkSession
+
+    def new_only(part: DataFrame, path: str, batch_id: int, dated: bool) -> DataFrame:
+        known = read_if_present(spark, path)
+        if known is None:
+            return part
+        known = known.filter(F.col("batch_id") < batch_id)
+        if dated:
+            known = known.filter(F.col("event_date").isin(partition_values(part, "event_date")))
+        return split_join(part, known.select("event_id").distinct(), ["event_id"], part.columns, "left_anti")
 
     def work(batch: DataFrame, batch_id: int) -> None:
         validated = silver.validate(batch, profile, known_assets).persist()
         try:
             valid = silver.dedupe_events(silver.silver_valid(validated), ["event_id"], ["bronze_ingested_at"])
-            bad = silver.silver_quarantine(validated)
+            bad = one_per_key(silver.silver_quarantine(validated), ["event_id"], ["bronze_ingested_at"], silver.dedupe_events)
             dated = valid.withColumn("event_date", F.to_date("event_ts_utc"))
             for part, path, folders in (
                 (dated, valid_path, ["event_date", "batch_id"]), (bad, quarantine_path, ["batch_id"])
             ):
                 (
-                    part.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
+                    new_only(part, path, batch_id, "event_date" in folders).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
                     .option("partitionOverwriteMode", "dynamic").partitionBy(*folders).parquet(path)
                 )
         finally:
@@ -147,14 +160,22 @@ def run_gold(
     return drain(_per_batch(silver_stream, checkpoint, work))
 
 
-def stream_metrics(query: StreamingQuery) -> list[dict]:
-    """Input rows, rate and batch duration of the recent micro-batches."""
-    return [
-        {
-            "batch_id": p.batchId,
-            "input_rows": p.numInputRows,
-            "rows_per_second": p.processedRowsPerSecond,
-            "duration_ms": p.batchDuration,
-        }
-        for p in query.recentProgress
-    ]
+def land_batches(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Append a stream with the number of its micro-batch; a batch that is run again replaces its rows."""
+
+    def work(batch: DataFrame, batch_id: int) -> None:
+        (
+            batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
+        )
+
+    return drain(_per_batch(stream, checkpoint, work))
+
+
+def batch_metrics(landed: DataFrame, time: str | None = None) -> DataFrame:
+    """Rows of each micro-batch, and the newest ``time``, counted from what was written.
+
+    Progress records of a running query are kept for its last batches only.
+    """
+    newest = [F.max(time).alias("newest")] if time else []
+    return landed.groupBy("batch_id").agg(F.count("*").alias("input_rows"), *newest)

@@ -198,3 +198,49 @@ def test_summary_is_one_document(spark):
     one = spark.range(1).select(F.lit(1).alias("a"))
     row = control_tower.summary_document(one, one.toDF("b"), one.toDF("c")).first()
     assert json.loads(row.summary_json) == {"executive_overview": {"a": 1}, "rag_quality": {"b": 1}, "llm_finops": {"c": 1}}
+
+
+def test_event_times_with_zone_and_fraction(spark):
+    from gridledger.operators import control_tower
+
+    times = ["2026-06-01T10:00:00+02:00", "2026-06-01T10:00:00.5Z", "2026-06-01 10:00:00", "10 o'clock", None]
+    rows = spark.createDataFrame(
+        [(str(i), x, {}, {}) for i, x in enumerate(times)], "event_id string, created_at_utc string, metrics map<string,string>, attributes map<string,string>")
+    for name in ("event_type", "node_name", "component_name", "status", "trace_id", "rag_run_id"):
+        rows = rows.selectExpr("*", f"cast(NULL AS string) AS {name}")
+    got = {r.event_id: r for r in control_tower.normalise_events(rows).selectExpr("event_id", "string(created_at) AS at", "time_unparsed").collect()}
+    assert [got[str(i)].at for i in range(5)] == ["2026-06-01 08:00:00", "2026-06-01 10:00:00.5", "2026-06-01 10:00:00", None, None]
+    assert [got[str(i)].time_unparsed for i in range(5)] == [False, False, False, True, False]
+
+
+def test_json_text_escapes_control_characters(spark):
+    import json
+
+    from gridledger.functions.scalars import json_text
+    from pyspark.sql import functions as F
+
+    texts = ['a"b\\c', "line\r\n\t\x01\x1f", "é漢", "", None]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(json_text(F.col("t")).alias("j")).collect()
+    assert [json.loads(r.j) for r in got] == texts
+
+
+def test_null_names_are_not_missing(spark):
+    from gridledger.operators import enterprise
+
+    partners = spark.createDataFrame([("1", "a", "N"), ("2", "b", None), ("3", "c", None)], "sap_customer_number string, sf_account_id string, business_partner_name string")
+    accounts = spark.createDataFrame([("1", "a", None), ("2", "b", None), ("4", "d", None)], "sap_customer_number string, sf_account_id string, account_name string")
+    got = {r.sf_account_id: r.match_status for r in enterprise.match_customers(partners, accounts).collect()}
+    assert got == {"a": "NAME_MISMATCH", "b": "MATCHED", "c": "MISSING_IN_CRM", "d": "MISSING_IN_ERP"}
+
+
+def test_vectors_that_are_null_or_of_another_length():
+    import numpy as np
+    import pyarrow as pa
+    import pytest
+
+    from gridledger.operators import retrieval
+
+    vectors = pa.chunked_array([pa.array([[1.0, 2.0, 3.0, 4.0], None, [0.0, 0.0, 0.0, 0.0], [4.0, 3.0, 2.0, 1.0]])])
+    assert np.array_equal(retrieval._matrix(vectors), [[1, 2, 3, 4], [0, 0, 0, 0], [0, 0, 0, 0], [4, 3, 2, 1]])
+    with pytest.raises(ValueError):
+        retrieval._matrix(pa.chunked_array([pa.array([[1.0, 2.0], [1.0]])]))

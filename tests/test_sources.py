@@ -193,3 +193,14 @@ def test_zones():
     assert zone_path("s3://x/", "gold", "facts") == "s3://x/gold/facts"
     with pytest.raises(ValueError):
         zone_path("s3://x", "platinum", "facts")
+
+
+def test_null_keys_match_nothing(spark):
+    from gridledger.sources import merge
+
+    target = spark.createDataFrame([("a", 1), (None, 2)], "k string, v int")
+    new = spark.createDataFrame([("a", 3), (None, 4), (None, 5)], "k string, v int")
+    got = sorted((r.k or "", r.v) for r in merge.upsert(target, new, ["k"], ["v"]).collect())
+    assert got == [("", 2), ("", 4), ("", 5), ("a", 3)]
+    got = sorted((r.k or "", r.v) for r in merge.insert_ignore(target, new, ["k"], ["v"]).collect())
+    assert got == [("", 2), ("", 4), ("", 5), ("a", 1)]

@@ -242,3 +242,18 @@ def test_gate_blocks_and_reports(spark):
 def test_row_count_check_fails_on_empty(spark):
     empty = spark.createDataFrame([], "id int")
     assert not quality.run_checks(empty, "t", [quality.row_count_positive()]).first().passed
+
+
+def test_open_notices_last_until_the_bound(spark):
+    from pyspark.sql import functions as F
+
+    from gridledger.operators import energy
+
+    rows = spark.range(5).select(
+        F.lit("A").alias("asset_id"), F.expr("timestamp'2026-06-01 00:30:00' + make_interval(0, 0, 0, 0, int(id))").alias("event_ts_utc")
+    ).withColumn("reconciliation_hour_utc", F.date_trunc("hour", "event_ts_utc"))
+    notice = spark.sql(
+        "SELECT 'n' AS notice_id, 'A' AS asset_id, timestamp'2026-06-01 01:00:00' AS start_time_utc, "
+        "cast(NULL AS timestamp) AS end_time_utc, 'r' AS curtailment_reason")
+    assert energy.match_notices(rows, notice).count() == 4
+    assert energy.match_notices(rows, notice, "2026-06-01 03:00:00").count() == 2
