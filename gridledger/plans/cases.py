@@ -306,3 +306,15 @@ def case_lookup(spark, sf_dir):
     wanted = rows.filter(F.col("breach_severity") == "HIGH").select("breach_event_id")
     found = sinks.restore_evidence(sinks.get_cases(rows, wanted), rows.schema["evidence_context"].dataType)
     return found.select("breach_event_id", F.size("evidence_context").alias("evidence_count"))
+
+
+@query("single_case", """
+SELECT c.breach_event_id, coalesce(n, 0) AS evidence_count FROM case_ready c LEFT JOIN packs USING (breach_event_id)
+ORDER BY c.breach_event_id LIMIT 1
+""", ["case_ready", "packs"])
+def single_case(spark, sf_dir):
+    """The case with the smallest id, looked up by that id."""
+    rows = all_packages(spark, sf_dir)
+    first = rows.agg(F.min("breach_event_id")).first()[0] or ""
+    found = sinks.restore_evidence(sinks.get_case(rows, first), rows.schema["evidence_context"].dataType)
+    return found.select("breach_event_id", F.size("evidence_context").alias("evidence_count"))

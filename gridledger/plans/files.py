@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gridledger.functions.scalars import time_text
+from gridledger.functions.scalars import cosine_similarity, time_text
 from gridledger.operators import cases as case_ops
 from gridledger.operators import documents as document_ops
 from gridledger.plans import tables as t
@@ -134,3 +134,62 @@ def stored_outcomes(spark, sf_dir):
     path = work_path(spark, "outcomes")
     sinks.write_outcomes(t.validated(spark, sf_dir), path)
     return spark.read.parquet(path).groupBy("outcome", "validation_error_code").agg(F.count("*").alias("row_count"))
+
+
+@query("manifest_landing", """
+SELECT 'crm/supplier' AS table_path, CAST(s_suppkey AS VARCHAR) AS row_key, s_name AS row_name FROM supplier
+UNION ALL SELECT 'erp/customer', CAST(c_custkey AS VARCHAR), c_name FROM customer
+""")
+def manifest_landing(spark, sf_dir):
+    """Two tables delivered as delimited files, landed as their manifest says."""
+    path = work_path(spark, "delivery")
+    delivered = {"supplier": ("crm", "s_suppkey", "s_name"), "customer": ("erp", "c_custkey", "c_name")}
+    for table, (_, *columns) in delivered.items():
+        t.read(spark, sf_dir, table).select(*columns).write.option("header", True).csv(f"{path}/in/{table}.csv")
+    systems = F.array(*[F.struct(
+        F.lit(zone.upper()).alias("source_system"), F.lit(zone).alias("landing_zone"),
+        F.array(F.lit(f"{table}.csv")).alias("files")) for table, (zone, *_) in delivered.items()])
+    spark.range(1).select(
+        F.lit("x1").alias("extract_id"), F.lit("2024-01-01T00:00:00Z").alias("extract_timestamp_utc"), systems.alias("source_systems")
+    ).write.json(path + "/manifest")
+    schemas = {table: text_schema(*columns) for table, (_, *columns) in delivered.items()}
+    targets = files.land_from_manifest(spark, path + "/manifest", path + "/in", path + "/out", schemas)
+    rows = [
+        spark.read.parquet(target).toDF("row_key", "row_name").select(
+            F.lit("/".join(target.split("/")[-2:])).alias("table_path"), "row_key", "row_name") for target in sorted(targets)]
+    return rows[0].unionByName(rows[1])
+
+
+@query("json_array_files", "SELECT o_orderkey, o_custkey, round(o_totalprice, 2) AS o_totalprice FROM orders")
+def json_array_files(spark, sf_dir):
+    """Orders as files that each hold one JSON array, one of every customer."""
+    path = work_path(spark, "arrays")
+    rows = t.read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.round("o_totalprice", 2).alias("o_totalprice"))
+    listed = rows.groupBy(F.pmod("o_custkey", F.lit(50)).alias("part"), "o_custkey").agg(F.collect_list(F.struct(*rows.columns)).alias("a"))
+    one_file = listed.groupBy("part").agg(F.to_json(F.flatten(F.collect_list("a"))).alias("text"))
+    one_file.repartition("part").write.partitionBy("part").text(path)
+    return files.scan_json_array(spark, path, rows.schema).select(*rows.columns)
+
+
+@query("document_files", """
+SELECT sha256(text || chr(10)) AS document_version_hash, md5(text || chr(10)) AS text_md5, count(*) AS file_count
+FROM documents WHERE text IS NOT NULL GROUP BY text
+""")
+def document_files(spark, sf_dir):
+    """Every text as a file of its own, read back with the hash of the file's bytes."""
+    path = work_path(spark, "texts")
+    t.read(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", "text").write.partitionBy("doc_id").text(path)
+    return files.scan_documents(spark, path + "/*/*").groupBy("document_version_hash", F.md5("raw_text_content").alias("text_md5")).agg(
+        F.count("*").alias("file_count"))
+
+
+@query("embedding_neighbours", """
+SELECT a.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS similarity
+FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1
+""")
+def embedding_neighbours(spark, sf_dir):
+    """Similarity of each vector and the one with the next id."""
+    rows = t.read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    following = rows.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next"))
+    return rows.join(following, "vec_id").select(
+        "vec_id", F.round(cosine_similarity(F.col("embedding"), F.col("next")), 6).alias("similarity"))
