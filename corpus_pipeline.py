@@ -15,7 +15,7 @@ from gridledger.session import materialize
 
 
 def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with a kept id, once each; rows without id stay.
+    """The rows of ``docs`` with a kept id; rows without id stay.
 
     Ids are broadcast only if a count shows few of them.
     """
@@ -30,8 +30,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal text the one with the smallest id stays."""
-    return _only(docs, dedup.exact_groups(docs))
+    """Of documents with equal text the one with the smallest id stays, and of its repeated rows one."""
+    return dedup.once(_only(docs, dedup.exact_groups(docs)))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

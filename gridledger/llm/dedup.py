@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridledger.llm.common import SPACE, join_groups, text_of
+from gridledger.llm.common import SPACE, join_checked, join_groups, text_of
 from gridledger.session import materialize
 
 SALTS = 16
@@ -88,3 +88,18 @@ def _compared(docs, digest, groups, rows, total, salts) -> DataFrame:
         "text_sha256", sha256(F.col("_text")))
     resolved = join_groups(mixed, texts, "_text", "_rows", total, "doc_id")
     return clear.unionByName(resolved.drop("_text"))
+
+
+def once(docs: DataFrame) -> DataFrame:
+    """``docs`` without rows that repeat both the id and the normalised text of another; rows without id stay.
+
+    Only rows whose id a count finds twice are compared.
+    """
+    repeated = docs.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    repeated = materialize(repeated, "repeated-ids")
+    if repeated.isEmpty():
+        return docs
+    again = join_checked(docs, repeated, ["doc_id"], "left_semi").select(*docs.columns)
+    single = join_checked(docs, repeated, ["doc_id"], "left_anti").select(*docs.columns)
+    return single.unionByName(again.withColumn("_normalised", normalised()).dropDuplicates(
+        ["doc_id", "_normalised"]).drop("_normalised"))
