@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from gridledger import fixed_values as fv
 from gridledger.functions.scalars import fact_text, fill_template, hash_key, non_null, time_text
-from gridledger.functions.skew import split_join
+from gridledger.functions.skew import lookup_join, split_join
 
 _BOOLEAN_FACTS = {"existing_open_dispute_flag"}
 _DOUBLE_FACTS = {"eligible_compensable_mwh", "estimated_leakage_revenue_usd", "open_amount_usd"}
@@ -99,7 +99,7 @@ def link_evidence(breaches: DataFrame, documents: DataFrame) -> DataFrame:
         .filter(F.col("_wanted") & F.col("d").isNotNull())
         .select("contract_id", F.col("event_date").alias("market_date"), "d.*")
     )
-    by_contract = cases.join(in_force, ["contract_id", "market_date"])
+    by_contract = lookup_join(cases, in_force, ["contract_id", "market_date"], ["breach_event_id"], "inner")
     return by_day.select("breach_event_id", *told).unionByName(by_contract.select("breach_event_id", *told))
 
 

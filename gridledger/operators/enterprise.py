@@ -102,7 +102,8 @@ def with_commercial(facts: DataFrame, accounts: DataFrame, contracts: DataFrame,
     """Facts with contract in force, account and CRM asset."""
     named = accounts.select("sf_account_id", "account_name", "account_status", "risk_tier")
     equipment = assets.groupBy("asset_id").agg(F.min("sf_asset_id").alias("sf_asset_id"))
-    return active_contract(facts, contracts).join(named, "sf_account_id", "left").join(equipment, "asset_id", "left")
+    known = lookup_join(active_contract(facts, contracts), named, ["sf_account_id"], _DAY_KEYS)
+    return lookup_join(known, equipment, ["asset_id"], _DAY_KEYS)
 
 
 def is_open(status: Column) -> Column:

@@ -163,27 +163,28 @@ def top_leakage(gold: DataFrame, dim: str, n: int) -> DataFrame:
 def leakage_running(gold: DataFrame) -> DataFrame:
     """Running leakage and share per contract, over time.
 
-    Running sums are formed inside (contract, day) and shifted by the total of
-    the earlier days, so a contract that holds much of the fact is not one task.
+    Running sums are formed inside (contract, hour), over the assets of a
+    contract, and shifted by the total of the earlier hours. Only one row per
+    hour reaches the window over a contract, so a contract that holds much of
+    the fact is not one task.
     """
-    day = F.to_date(_HOUR)
-    rows = gold.select("associated_ppa_id", _HOUR, "asset_id", "estimated_leakage_revenue_usd", day.alias("_day"))
-    days = rows.groupBy("associated_ppa_id", "_day").agg(F.sum("estimated_leakage_revenue_usd").alias("_usd"))
+    rows = gold.select("associated_ppa_id", _HOUR, "asset_id", "estimated_leakage_revenue_usd")
+    hours = rows.groupBy("associated_ppa_id", _HOUR).agg(F.sum("estimated_leakage_revenue_usd").alias("_usd"))
     by_contract = W.partitionBy("associated_ppa_id")
-    before = by_contract.orderBy("_day").rowsBetween(W.unboundedPreceding, -1)
-    offsets = days.select(
-        "associated_ppa_id", "_day",
+    before = by_contract.orderBy(_HOUR).rowsBetween(W.unboundedPreceding, -1)
+    offsets = hours.select(
+        "associated_ppa_id", _HOUR,
         F.coalesce(F.sum("_usd").over(before), F.lit(0.0)).alias("_before"),
         F.sum("_usd").over(by_contract).alias("_total"),
     )
-    in_day = W.partitionBy("associated_ppa_id", "_day").orderBy(_HOUR, "asset_id")
-    running = F.sum("estimated_leakage_revenue_usd").over(in_day.rowsBetween(W.unboundedPreceding, 0))
+    in_hour = W.partitionBy("associated_ppa_id", _HOUR).orderBy("asset_id")
+    running = F.sum("estimated_leakage_revenue_usd").over(in_hour.rowsBetween(W.unboundedPreceding, 0))
     return (
-        rows.withColumn("_in_day", running)
-        .join(offsets, ["associated_ppa_id", "_day"])
+        rows.withColumn("_in_hour", running)
+        .join(offsets, ["associated_ppa_id", _HOUR])
         .select(
             "associated_ppa_id", _HOUR, "asset_id", "estimated_leakage_revenue_usd",
-            (F.col("_before") + F.col("_in_day")).alias("running_leakage_usd"),
+            (F.col("_before") + F.col("_in_hour")).alias("running_leakage_usd"),
             F.try_divide("estimated_leakage_revenue_usd", "_total").alias("contract_share"),
         )
     )
