@@ -6,6 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +26,9 @@ BITS = 16
 # Pairs with fewer common symbols are not compared. At the similarity of 0.75 a
 # pair has 24 of 32 on average; 11 or fewer happen once in some 10 million.
 MIN_COMMON = 12
+# Neighbourhoods of at most so many members are compared pair by pair, larger ones in blocks.
+SMALL = 64
+BLOCK = 256
 _SIGNATURE = [f"s{c}" for c in range(CHUNKS)]
 _NODE = ["n_shingles", *_SIGNATURE]
 
@@ -115,6 +119,14 @@ def _linked(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(out, pa.bool_())
 
 
+def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of the given ids, one row each."""
+    wanted = materialize(ids.select(F.col("id").alias("doc_id")), "near-ids")
+    return join_checked(
+        docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")), wanted, ["doc_id"],
+        "left_semi").dropDuplicates(["doc_id"])
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of document ids whose whole texts are linked.
 
@@ -122,10 +134,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     over splits of 2,000 pairs.
     """
     linked = F.arrow_udf(_linked, "boolean")
-    ids = materialize(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-ids")
-    texts = join_checked(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")), ids, ["doc_id"],
-        "left_semi").dropDuplicates(["doc_id"])
+    texts = _texts_of(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     of = lambda side: texts.select(F.col("doc_id").alias(side), F.col("text").alias(f"text_{side}"))
     both = split_join(pairs.select("a", "b"), of("b"), ["b"], ["a"], "inner", 2000)
     both = split_join(both, of("a"), ["a"], ["b"], "inner", 2000)
@@ -172,58 +181,155 @@ def _candidates(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         "a", "b", common_symbols("node_a", "node_b").alias("common"))
 
 
-def _star_links(keyed: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Components from links between the members of each bucket and its first member.
+def _roots(parents: DataFrame) -> DataFrame:
+    """Root of each id in a forest of (a, b) with b < a, one row per a: ``id, component``.
 
-    A member has a few such pairs. Each round confirms its most promising one
-    and drops those inside one component, until none is left.
+    Each round replaces a parent by the parent's parent, so depth halves.
     """
+    labels = parents.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    while True:
+        above = labels.select(F.col("id").alias("component"), F.col("component").alias("_above"))
+        moved = materialize(join_checked(labels, above, ["component"], "left").select(
+            "id", F.coalesce("_above", "component").alias("component"), F.col("_above").isNotNull().alias("_moved")), "roots")
+        labels = moved.select("id", "component")
+        if moved.filter("_moved").isEmpty():
+            return labels
+
+
+def _met(keyed: DataFrame) -> DataFrame:
+    """Each member of a bucket with the bucket's first member: distinct (a, b) with b < a."""
     buckets = keyed.groupBy("key").agg(F.min("id").alias("b"), F.count("*").alias("_rows")).filter("_rows > 1")
     buckets = materialize(buckets, "near-buckets")
     total = buckets.agg(F.coalesce(F.sum("_rows"), F.lit(0))).first()[0]
     text_key = F.col("key").cast("string").alias("key")
     met = join_groups(
         keyed.select(text_key, "id"), buckets.withColumn("key", text_key), "key", "_rows", total, "id")
-    pairs = met.filter("b <> id").select(F.col("id").alias("a"), "b").distinct()
-    open_pairs = materialize(_candidates(pairs, nodes), "near-stars")
-    labels = None
-    while not open_pairs.isEmpty():
-        best = open_pairs.groupBy("a").agg(F.max(F.struct("common", "b")).alias("_best")).select("a", "_best.b")
-        best = materialize(best, "near-best")
-        labels = components(confirmed(best, docs), labels)
-        left = join_checked(open_pairs, best, ["a", "b"], "left_anti")
-        left = _with_component(_with_component(left, "a", labels, "_ca"), "b", labels, "_cb")
-        open_pairs = materialize(left.filter("_ca <> _cb").select("a", "b", "common"), "near-stars")
-    return labels
-
-
-def _other_pairs(keyed: DataFrame, nodes: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Pairs of a bucket that are still in different components.
-
-    In each bucket the members outside its largest component are compared with
-    all members. Large buckets are cut into blocks, so a task compares some
-    hundred members with those of one bucket at a time.
+    return materialize(met.filter("b <> id").select(F.col("id").alias("a"), "b").distinct(), "near-met")
+
+
+def _star_links(met: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame | None:
+    """Components from links between members of buckets and their first members.
+
+    The most promising such pair of each member is confirmed first. These
+    links form a forest, which joins most of any large group; then the pairs
+    that still lie between two of its trees are confirmed.
+    """
+    stars = materialize(_candidates(met, nodes), "near-stars")
+    if stars.isEmpty():
+        return None
+    best = materialize(
+        stars.groupBy("a").agg(F.max(F.struct("common", "b")).alias("_best")).select("a", "_best.b"), "near-best")
+    labels = _roots(materialize(confirmed(best, docs), "near-forest"))
+    apart = _with_component(_with_component(stars, "a", labels, "_ca"), "b", labels, "_cb").filter("_ca <> _cb")
+    rest = materialize(apart.select("a", "b").join(best, ["a", "b"], "left_anti"), "near-rest")
+    return labels if rest.isEmpty() else components(confirmed(rest, docs), labels)
+
+
+def _mixed(met: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Members of neighbourhoods that lie in several components.
+
+    All members of a bucket share its first member, so two documents that meet
+    anywhere are in the neighbourhood of one first member. A member outside
+    the largest component of its neighbourhood is a stray.
     """
-    members = keyed if labels is None else _with_component(keyed, "id", labels, "component")
-    if labels is None:
-        members = members.withColumn("component", F.col("id"))
-    counted = members.groupBy("key", "component").agg(F.count("*").alias("_n"))
-    mixed = counted.groupBy("key").agg(
+    members = met.select(F.col("b").alias("hub"), F.col("a").alias("id")).unionByName(
+        met.select(F.col("b").alias("hub"), F.col("b").alias("id")).distinct())
+    members = members.withColumn("component", F.col("id")) if labels is None else _with_component(
+        members, "id", labels, "component")
+    members = materialize(members, "near-members")
+    counted = members.groupBy("hub", "component").agg(F.count("*").alias("_n"))
+    mixed = counted.groupBy("hub").agg(
         F.max(F.struct("_n", "component")).alias("_top"), F.sum("_n").alias("_rows"), F.count("*").alias("_parts")
-    ).filter("_parts > 1").select("key", F.col("_top.component").alias("_largest"), "_rows")
-    own = materialize(join_checked(members, materialize(mixed, "near-mixed"), ["key"], "inner").join(
-        nodes.select("id", F.struct(*_NODE).alias("node")), "id"), "near-members")
-    blocks = F.ceil(F.col("_rows") / 256).cast("int")
-    stray = own.filter("component <> _largest").select(
-        "key", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("_block"), F.col("id").alias("a"),
-        F.col("component").alias("_ca"), F.col("node").alias("node_a"))
-    every = own.select(
-        "key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_block"), F.col("id").alias("b"),
-        F.col("component").alias("_cb"), F.col("node").alias("node_b"), "_largest")
-    compared = stray.join(
-        every, (stray["key"] == every["key"]) & (stray["_block"] == every["_block"]) & (F.col("_ca") != F.col("_cb"))
-        & ((F.col("_cb") == F.col("_largest")) | (F.col("a") > F.col("b"))) & _may_link("node_a", "node_b"))
-    return compared.select("a", "b").distinct()
+    ).filter("_parts > 1").select("hub", F.col("_top.component").alias("_largest"), "_rows")
+    return join_checked(members, materialize(mixed, "near-mixed"), ["hub"], "inner").withColumn(
+        "stray", F.col("component") != F.col("_largest")).drop("_largest")
+
+
+def _small_pairs(mixed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Pairs of strays with other members in neighbourhoods of at most SMALL members."""
+    own = mixed.filter(F.col("_rows") <= SMALL).join(nodes.select("id", F.struct(*_NODE).alias("node")), "id")
+    side = lambda rows, s: rows.select(
+        "hub", F.col("id").alias(s), F.col("component").alias(f"_c{s}"), F.col("stray").alias(f"_s{s}"), F.col("node").alias(f"node_{s}"))
+    left, right = side(own.filter("stray"), "a"), side(own, "b")
+    return left.join(
+        right, (left["hub"] == right["hub"]) & (F.col("_ca") != F.col("_cb")) & (~F.col("_sb") | (F.col("a") > F.col("b")))
+        & _may_link("node_a", "node_b")).select("a", "b").distinct()
+
+
+def _blocks(mixed: DataFrame) -> DataFrame:
+    """Large neighbourhoods cut into pairs of blocks: strays of one with members of the other, some 256 each."""
+    count = F.ceil(F.col("_rows") / BLOCK).cast("int")
+    block = F.pmod(F.xxhash64("id"), count).cast("int")
+    large = mixed.filter(F.col("_rows") > SMALL).withColumns({"_count": count, "_own": block})
+    every = F.explode(F.sequence(F.lit(0), F.col("_count") - 1))
+    strays = large.filter("stray").select(
+        "hub", F.col("_own").alias("rows"), every.alias("columns"), "id", "component", "stray", F.lit(True).alias("is_row"))
+    others = large.select(
+        "hub", every.alias("rows"), F.col("_own").alias("columns"), "id", "component", "stray", F.lit(False).alias("is_row"))
+    return strays.unionByName(others)
+
+
+def _open_cells(part: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray]:
+    """Rows, columns and the cells of a block that are to be compared: other component, each pair of strays once."""
+    part = part.sort_values(["is_row", "id"])
+    rows, columns = part[part["is_row"]], part[~part["is_row"]]
+    a, b = rows["id"].to_numpy()[:, None], columns["id"].to_numpy()[None]
+    cells = rows["component"].to_numpy()[:, None] != columns["component"].to_numpy()[None]
+    return rows, columns, cells & (~columns["stray"].to_numpy()[None] | (a > b))
+
+
+def _active(part: pd.DataFrame) -> pd.DataFrame:
+    """The rows and columns of a block with a cell whose sizes and signatures allow a link."""
+    rows, columns, cells = _open_cells(part)
+    if cells.any():
+        n, m = rows["n_shingles"].to_numpy()[:, None], columns["n_shingles"].to_numpy()[None]
+        cells &= np.minimum(n, m) * 100 >= np.maximum(n, m) * SIMILARITY
+        x = np.ascontiguousarray(rows[_SIGNATURE].to_numpy(np.int64)).view(np.uint16)
+        y = np.ascontiguousarray(columns[_SIGNATURE].to_numpy(np.int64)).view(np.uint16)
+        common = np.zeros(cells.shape, np.int16)
+        for j in range(SYMBOLS):
+            common += x[:, j][:, None] == y[:, j][None]
+        cells &= common >= MIN_COMMON
+    keep = np.concatenate([cells.any(axis=0), cells.any(axis=1)])  # columns stand before rows
+    return pd.concat([columns, rows])[keep].drop(columns=_NODE)
+
+
+def _block_links(part: pd.DataFrame) -> pd.DataFrame:
+    """The links of a block, one per stray and component, by the counts of common shingles of all its cells."""
+    rows, columns, cells = _open_cells(part)
+    sets = [_shingles(t) for t in [*rows["text"], *columns["text"]]]
+    size = np.array([len(s) for s in sets])
+    seen = set().union(*sets[:len(rows)]) & set().union(*sets[len(rows):])
+    place = {shingle: i for i, shingle in enumerate(seen)}
+    common = np.zeros(cells.shape, np.float32)
+    held = [np.fromiter((place[x] for x in s if x in place), np.int64) for s in sets]
+    for start in range(0, len(place), 4096):
+        grid = np.zeros((len(sets), min(4096, len(place) - start)), np.float32)
+        for i, h in enumerate(held):
+            grid[i, h[(h >= start) & (h < start + grid.shape[1])] - start] = 1
+        common += grid[:len(rows)] @ grid[len(rows):].T
+    every = size[:len(rows)][:, None] + size[len(rows):][None] - common
+    a, b = np.nonzero(cells & (100 * common >= SIMILARITY * every))
+    found = pd.DataFrame({
+        "a": rows["id"].to_numpy()[a], "b": columns["id"].to_numpy()[b], "component": columns["component"].to_numpy()[b]})
+    return found.drop_duplicates(["a", "component"])[["a", "b"]]
+
+
+def _large_links(mixed: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links of strays in neighbourhoods of more than SMALL members.
+
+    Pairs never become rows: a task holds one block, first of signatures, then
+    of the texts of those members that have a partner worth comparing.
+    """
+    key = ["hub", "rows", "columns"]
+    blocks = _blocks(mixed).join(nodes, "id")
+    columns = "hub long, rows int, columns int, id long, component long, stray boolean, is_row boolean"
+    active = blocks.groupBy(*key).applyInPandas(
+        lambda part: _active(part)[["hub", "rows", "columns", "id", "component", "stray", "is_row"]], columns)
+    active = materialize(active, "near-active")
+    texts = _texts_of(docs, active.select("id").distinct()).withColumnRenamed("doc_id", "id")
+    return split_join(active, texts, ["id"], ["hub", "rows", "columns"], "inner", 2000).groupBy(*key).applyInPandas(
+        _block_links, "a long, b long")
 
 
 def near_components(docs: DataFrame) -> DataFrame:
@@ -253,10 +359,13 @@ def near_components(docs: DataFrame) -> DataFrame:
     nodes = sets.select("id", *_NODE)
     keys = [k for c, name in enumerate(_SIGNATURE) for k in chunk_keys(F.col(name), c)]
     keyed = nodes.select("id", F.explode(F.array(*keys)).alias("key"))
-    labels = _star_links(keyed, nodes, docs)
-    others = materialize(_other_pairs(keyed, nodes, labels), "near-pairs")
-    if not others.isEmpty():
-        labels = components(confirmed(others, docs), labels)
+    met = _met(keyed)
+    labels = _star_links(met, nodes, docs)
+    mixed = materialize(_mixed(met, labels), "near-mixed-members")
+    pairs = materialize(_small_pairs(mixed, nodes), "near-pairs")
+    links = materialize(confirmed(pairs, docs).unionByName(_large_links(mixed, nodes, docs)), "near-links")
+    if not links.isEmpty():
+        labels = components(links, labels)
     groups = sets.select(F.concat_ws(":", "set_a", "set_b").alias("_set"), "id", "_rows")
     groups = groups.withColumn("component", F.col("id")) if labels is None else groups.join(
         labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
