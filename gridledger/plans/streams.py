@@ -9,6 +9,7 @@ from gridledger.operators import bronze as bronze_ops
 from gridledger.operators import silver
 from gridledger.plans import tables as t
 from gridledger.plans.registry import part, query
+from gridledger.profiles import GENERIC, GENERIC_TELEMETRY_SCHEMA
 from gridledger.session import work_path
 from gridledger.streaming import jobs
 
@@ -107,6 +108,25 @@ def stream_five_minute_energy(spark, sf_dir):
     return _buckets(spark, stream, "five-minute")
 
 
+@query("stream_generic_hours", """
+SELECT asset_id, strftime(b, '%Y-%m-%d %H:%M:%S') AS hour_utc, sample_count, curtailment_status, actual_generation_mwh FROM (
+  SELECT 'A' || user_id AS asset_id, date_trunc('hour', ts) AS b, count(*) AS sample_count,
+    max(CASE WHEN event_type = 'purchase' THEN 'CURTAILED_BY_ISO' END) AS curtailment_status,
+    round(sum(value) / 1000.0, 7) AS actual_generation_mwh
+  FROM events WHERE event_type <> 'error' AND NOT (event_type = 'signup' AND value > 0) GROUP BY ALL)
+WHERE b + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events
+  WHERE event_type <> 'error' AND NOT (event_type = 'signup' AND value > 0)) - INTERVAL 72 HOUR
+""")
+def stream_generic_hours(spark, sf_dir):
+    """The second telemetry payload as a stream, from message to closed hours."""
+    rows = bronze_ops.to_bronze(t.generic_messages_from(_events(spark, sf_dir)), GENERIC_TELEMETRY_SCHEMA)
+    valid = silver.silver_valid(silver.validate(rows, GENERIC))
+    stream = jobs.stream_hourly(valid, sample_seconds=t.SAMPLE_SECONDS, profile=GENERIC)
+    return _drain(spark, stream, "generic").select(
+        "asset_id", time_text("bucket_start_utc").alias("hour_utc"), "sample_count", "curtailment_status",
+        F.round("actual_generation_mwh", 7).alias("actual_generation_mwh"))
+
+
 @query("stream_enriched", """
 SELECT kafka_offset, s.asset_id, a.iso_region, c.associated_ppa_id FROM silver s JOIN assets a USING (asset_id)
 LEFT JOIN contracts c ON c.site_identity_tag = s.asset_id

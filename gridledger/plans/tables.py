@@ -114,6 +114,10 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def generic_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return generic_messages_from(read(spark, sf_dir, "events"))
+
+
+def generic_messages_from(events: DataFrame) -> DataFrame:
     """The given events in the second payload: ISO times, no quality mark, its own id."""
     value = F.col("value").cast("string")
     curtailed = F.col("event_type") == "purchase"
@@ -126,7 +130,7 @@ def generic_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(curtailed, "CURTAILED_BY_ISO").when(F.col("event_type") == "error", "FAULT").otherwise("NORMAL"),
         F.lit('","curtailment_reason":'), F.when(curtailed, '"CONGESTION"').otherwise("null"), F.lit("}"),
     )
-    return read(spark, sf_dir, "events").select(
+    return events.select(
         F.col("user_id").cast("string").cast("binary").alias("key"), body.cast("binary").alias("value"),
         F.lit("telemetry").alias("topic"), F.lit(0).alias("partition"), F.col("event_id").alias("offset"),
         F.col("ts").cast("timestamp").alias("timestamp"),

@@ -103,14 +103,17 @@ def dedupe_stream(stream: DataFrame, delay: str = "72 hours", time: str = "event
 
 def stream_bucket(
     silver_stream: DataFrame, width: str = "5 minutes", lateness: str = "72 hours",
-    sample_seconds: float = fv.SAMPLE_SECONDS,
+    sample_seconds: float = fv.SAMPLE_SECONDS, profile: TelemetryProfile = METERED,
 ) -> DataFrame:
     """Tumbling energy per asset; a window is emitted once the watermark passes its end."""
-    return energy.bucket_energy(silver_stream.withWatermark("event_ts_utc", lateness), width, sample_seconds)
+    return energy.bucket_energy(silver_stream.withWatermark("event_ts_utc", lateness), width, sample_seconds, profile)
 
 
-def stream_hourly(silver_stream: DataFrame, lateness: str = "72 hours", sample_seconds: float = fv.SAMPLE_SECONDS) -> DataFrame:
-    return stream_bucket(silver_stream, "1 hour", lateness, sample_seconds)
+def stream_hourly(
+    silver_stream: DataFrame, lateness: str = "72 hours", sample_seconds: float = fv.SAMPLE_SECONDS,
+    profile: TelemetryProfile = METERED,
+) -> DataFrame:
+    return stream_bucket(silver_stream, "1 hour", lateness, sample_seconds, profile)
 
 
 def stream_sessions(
@@ -137,7 +140,7 @@ def enrich_stream(stream: DataFrame, assets: DataFrame, contracts: DataFrame) ->
 
 def run_gold(
     silver_stream: DataFrame, silver_table: Callable[[], DataFrame], dims: dict[str, DataFrame],
-    path: str, checkpoint: str, sample_seconds: float = fv.SAMPLE_SECONDS,
+    path: str, checkpoint: str, sample_seconds: float = fv.SAMPLE_SECONDS, profile: TelemetryProfile = METERED,
 ) -> StreamingQuery:
     """Keeps the fact current: hours touched by a batch are computed again and merged by hash.
 
@@ -153,7 +156,7 @@ def run_gold(
             dates = touched.select(F.to_date("reconciliation_hour_utc").alias("event_date"))
             rows = rows.filter(F.col("event_date").isin(partition_values(dates, "event_date")))
         rows = rows.join(touched, ["reconciliation_hour_utc", "asset_id"], "left_semi")
-        hourly = energy.hourly_energy(rows, sample_seconds)
+        hourly = energy.hourly_energy(rows, sample_seconds, profile=profile)
         facts = gold.stamp(gold.build_gold(hourly, **dims)).withColumn("market_date", F.to_date("reconciliation_hour_utc"))
         merge_into(batch.sparkSession, path, facts, ["fact_record_hash"], ["reconciliation_hour_utc"], "market_date")
 
