@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK = 1 << 20
+# Among ``heads``: the first eight bytes themselves, A-Z lower-cased, zeros after the end of the word.
+BYTES = -8
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2^64
 
 
@@ -35,6 +37,8 @@ def _letters() -> np.ndarray:
 
 
 _LETTERS = _letters()
+_LOWER = np.arange(256, dtype=np.uint64)
+_LOWER[65:91] = _LOWER[97:123]
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -46,6 +50,23 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
+def _first_bytes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(starts), np.uint64)
+    for i in range(8):
+        letters = _LOWER[data[np.minimum(starts + i, len(data) - 1)]]
+        out |= np.where(starts + i < stops, letters, np.uint64(0)) << np.uint64(56 - 8 * i)
+    return out
+
+
+def hash_of_bytes(first: np.ndarray, head: int) -> np.ndarray:
+    """The hash that ``word_hashes`` gives the first ``head`` of eight bytes, for words without zero bytes."""
+    total = np.zeros(len(first), np.uint64)
+    for i in range(head):
+        letter = (first >> np.uint64(56 - 8 * i)) & np.uint64(255)
+        total += np.where(letter > 0, _LETTERS[letter] * np.uint64(pow(int(_MULTIPLIER), i, 1 << 64)), np.uint64(0))
+    return mix(total)
+
+
 def _hash(data: np.ndarray, edges: np.ndarray, ends: np.ndarray, heads: tuple | None) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of joined texts and, for each of ``edges``, the number of words that start before it."""
     size = len(data)
@@ -62,7 +83,9 @@ def _hash(data: np.ndarray, edges: np.ndarray, ends: np.ndarray, heads: tuple |
     up, down = _powers(max(size, CHUNK))
     sums = np.zeros(size + 1, np.uint64)
     np.cumsum(_LETTERS[data] * up[:size], out=sums[1:])
-    words = [mix((sums[np.minimum(stops, starts + h) if h else stops] - sums[starts]) * down[starts]) for h in heads or [None]]
+    words = [
+        _first_bytes(data, starts, stops) if h == BYTES
+        else mix((sums[np.minimum(stops, starts + h) if h else stops] - sums[starts]) * down[starts]) for h in heads or [None]]
     return np.stack(words) if heads else words[0], np.searchsorted(starts, edges)
 
 
@@ -72,7 +95,7 @@ def word_hashes(
     """For runs of rows of a string column without nulls: first row, word hashes, places of the rows in them.
 
     ``heads`` asks for several hashes of each word, one row each: of so many
-    first bytes, or with None of the whole word.
+    first bytes, or with None of the whole word, or with BYTES the bytes.
 
     A run has at most CHUNK bytes or one row. A longer text is hashed in
     pieces that end between words, so only its word hashes are held whole.
