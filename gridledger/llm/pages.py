@@ -45,7 +45,8 @@ CLOSES = {
     "option": frozenset(("option",)),
 }
 SCOPE = frozenset("table ul ol dl div section article main aside nav footer header form body html".split())
-# Words of class, id and role that mark menus, notices, adverts, forms and reader comments.
+# Words of class, id and role that mark menus, notices, adverts, forms and reader comments. A name counts if all of its
+# words are here: "cookie-notice" does, "content-sidebar-wrap" does not. Inside an article ids do not count.
 MARKS = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies "
     "copyright disclaimer disqus footer form gdpr header login masthead menu modal nav navbar navigation newsletter "
@@ -55,47 +56,73 @@ MARKS = frozenset(
 _TAG = re.compile(
     r"""<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>|[!?][^>]*>|/?[a-zA-Z][^>]*>)""",
     re.S)
-_NAMED = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-_HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?(?:false|until))|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 _SENTENCE = re.compile(r"[.!?;:·|•]+\s*")
 _WORD = re.compile(r"[a-z]+")
 
 
 class _Node:
-    __slots__ = ("tag", "path", "state", "inside", "styles")
+    __slots__ = ("tag", "path", "state", "inside", "styles", "marked", "holds", "under")
 
-    def __init__(self, tag, path, state, inside):
+    def __init__(self, tag, path, state, inside, marked=False, under=()):
         self.tag, self.path, self.state, self.inside, self.styles = tag, path, state, inside, []
+        # Named as no main text, with an article in it, and all such nodes from the root to here.
+        self.marked, self.holds, self.under = marked, False, (*under, self) if marked else under
 
 
 class Block:
     """Text of one node between block boundaries. ``state``: 0 never main text, 1 core of an article, 2 open."""
 
-    __slots__ = ("path", "state", "inside", "text")
+    __slots__ = ("path", "state", "inside", "text", "under")
 
-    def __init__(self, path: str, state: int, inside: bool, text: str):
-        self.path, self.state, self.inside, self.text = path, state, inside, text
+    def __init__(self, path: str, state: int, inside: bool, text: str, under: tuple = ()):
+        self.path, self.state, self.inside, self.text, self.under = path, state, inside, text, under
+
+    def is_marked(self) -> bool:
+        return any(n.marked for n in self.under)
+
+
+def _attributes(text: str) -> dict[str, str]:
+    """Names, lower-cased, and values of the attributes of a tag; of repeated names the first."""
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(text):
+        found.setdefault(m[1].lower(), m[2].strip("\"'") if m[2] else "")
+    return found
+
+
+def _hidden(given: dict[str, str]) -> bool:
+    return ("hidden" in given and given["hidden"].strip().lower() not in ("false", "until-found")
+            or given.get("aria-hidden", "").strip().lower() == "true"
+            or "style" in given and bool(_NO_DISPLAY.search(unescape(given["style"]))))
 
 
 def _opened(tag: str, attributes: str, above: _Node) -> _Node:
-    names = ""
-    if attributes:
-        names = " ".join(m[2].strip("\"'").lower() for m in _NAMED.finditer(attributes))
-    words = set(_WORD.findall(names)) if names else set()
-    if above.state == 0 or tag in NEVER or (attributes and _HIDDEN.search(attributes)):
+    given = _attributes(attributes) if attributes else {}
+    own = " ".join(given[k].lower() for k in ("class", "role") if k in given)
+    names = f"{own} {given.get('id', '').lower()}" if given else ""
+    words = set(_WORD.findall(names)) if given else set()
+    state, marked = 2, False
+    if above.state == 0 or tag in NEVER or (given and _hidden(given)):
         state = 0
     elif tag == "header" and not above.inside:
         state = 0
-    elif words & MARKS and tag not in ("html", "body", "main") and not (
-            above.inside and words & MARKS <= {"header"}) and not (tag == "article" and not words & {"comment", "comments"}):
-        state = 0
-    else:
-        state = 2
-    inside = above.inside or (state > 0 and (tag in MAIN or "articlebody" in attributes.lower() or "main" in words))
+    elif words & MARKS and tag not in ("html", "body", "main"):
+        whole = [set(found) for n in (own if above.inside or tag in CORE else names).split()
+                 if (found := _WORD.findall(n)) and MARKS.issuperset(found)]
+        marked = bool(whole) and not (above.inside and set().union(*whole) <= {"header"}) and not (
+            tag == "article" and not words & {"comment", "comments"})
+        if marked and above.inside:
+            state, marked = 0, False
+    inside = above.inside or (state > 0 and not marked and (
+        tag in MAIN or "articlebody" in given.get("itemprop", "").lower() or "main" in words))
+    if inside and not above.inside:
+        for node in above.under:
+            node.marked, node.holds = node.marked and tag != "main", True
     if state == 2 and inside and tag in CORE:
         state = 1
     label = tag if not words else f"{tag}.{'.'.join(sorted(words))}"
-    return _Node(tag, f"{above.path}/{label}", state, inside)
+    return _Node(tag, f"{above.path}/{label}", state, inside, marked, above.under)
 
 
 def parse(html: str) -> tuple[list[Block], list[tuple[str, str]]]:
@@ -114,7 +141,7 @@ def parse(html: str) -> tuple[list[Block], list[tuple[str, str]]]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                blocks.append(Block(holder.path, holder.state, holder.inside, text))
+                blocks.append(Block(holder.path, holder.state, holder.inside, text, holder.under))
             parts = []
 
     def close(depth: int) -> None:
@@ -162,7 +189,9 @@ def parse(html: str) -> tuple[list[Block], list[tuple[str, str]]]:
             continue
         node = _opened(name, tag[3], stack[-1])
         if name in INLINE:
-            if node.state and node.state != stack[-1].state:
+            if node.marked:
+                node.state = 0
+            elif node.state and node.state != stack[-1].state:
                 node.state = stack[-1].state
         else:
             flush()
@@ -174,7 +203,11 @@ def parse(html: str) -> tuple[list[Block], list[tuple[str, str]]]:
             at = end.start() if end else size
     close(1)
     flush()
-    return blocks, nodes
+    if not any(b.inside and b.state and not b.is_marked() for b in blocks):
+        # The only articles are in branches named as something else, which then are not that.
+        for node in {n for b in blocks if b.inside for n in b.under if n.holds}:
+            node.marked = False
+    return [b for b in blocks if not b.is_marked()], nodes
 
 
 def _hash(text: str) -> int:
@@ -257,8 +290,8 @@ def extracted(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     the elements and class names above them. Blocks of weak nodes go, save
     paragraphs, headings, items and cells of an article, which stay even if
     many pages repeat them. Menus, headers, footers, sidebars, notices,
-    adverts, forms and reader comments go by their elements and names, and if
-    a page has an article, so does what stands outside. References are
+    adverts, forms and reader comments go by their elements and names, but
+    not the only article inside one so named. References are
     decoded, white space inside a block becomes one space, blocks are joined
     by line ends. A null or empty page has an empty text; pages with a null or
     odd url form one site. Each row gives one row.
@@ -284,12 +317,11 @@ def extracted(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def main_text(html: str, weak: set[int]) -> str:
     """The kept blocks of one page."""
     blocks, _ = parse(html)
-    has_article = any(b.inside and b.state for b in blocks)
     known: dict[str, bool] = {}
     out = []
     for b in blocks:
         if b.state == 2 and b.path not in known:
             known[b.path] = _hash(b.path) not in weak
-        if b.state and b.inside >= has_article and (b.state == 1 or known[b.path]):
+        if b.state and (b.state == 1 or known[b.path]):
             out.append(b.text)
     return "\n".join(out)

@@ -2,7 +2,7 @@
 
 import random
 
-from gridledger.llm import toxicity
+from gridledger.llm import pages, toxicity
 
 
 # 8: toxicity
@@ -32,3 +32,20 @@ def test_joined_ratios_give_the_same_scores(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "HELD", 3)
     assert toxicity.fit(docs, labels).rest is not None
     assert result() == whole and len({s for _, s, _ in whole}) > 1
+
+
+# 3: main text
+
+def test_names_and_hidden_words_leave_article_text():
+    kept = {
+        "<article class='prose overflow-hidden'><p>one</p></article>": "one",
+        "<article style='overflow:hidden' title='The hidden cost'><p>one <a href='/wiki/hidden-valley'>two</a></p></article>": "one two",
+        "<div class='content-sidebar-wrap'><article><p>one</p></article></div>": "one",
+        "<div class='sidebar'><article><p>one</p></article></div>": "one",
+        "<div class='related'><p>old</p><article><p>old</p></article></div><article><p>one</p></article>": "one",
+        "<article><h2 id='how-to-search'>one</h2><section id='privacy-notice'><p>two</p></section></article>": "one\ntwo",
+        "<div>long text</div><article><p>teaser</p></article>": "long text\nteaser",
+        "<article><p hidden>no</p><p style='color:red; display : none'>no</p><p aria-hidden=true>no</p><p>one</p></article>": "one",
+        "<div class='cookie-notice'>no</div><p id='comments'>one<section id=comments>no</section>": "one",
+    }
+    assert {html: pages.main_text(f"<body>{html}</body>", set()) for html in kept} == kept
