@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -21,6 +22,8 @@ ROWS = 256
 # Entries that a worker remembers, for words and for prefixes and pairs; each memory is emptied beyond.
 REMEMBERED_WORDS = 1_000_000
 REMEMBERED = 400_000
+# Words of more bytes are not remembered; their prefixes are kept by position.
+LONG = 256
 # Fixed value: the words of the tokenizer file, with {L}, {N}, {S} for its classes.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^{S}{L}{N}]+"
 
@@ -84,9 +87,12 @@ class PrefixCounter:
                     return count + 1, token
         raise ValueError(f"no token ends {text!r}")
 
+    def _shown(self, word: str) -> str:
+        return "".join(map(self.letters.__getitem__, word.encode()))
+
     def _known(self, word: str) -> str:
         """The word in byte letters, with an entry for each prefix before its last letter."""
-        shown = "".join(map(self.letters.__getitem__, word.encode()))
+        shown = self._shown(word)
         at = len(shown) - 1
         while at > 0 and shown[:at] not in self.prefixes:
             at -= 1
@@ -94,6 +100,26 @@ class PrefixCounter:
             self.prefixes[shown[:size]] = self._last(shown[:size], False)
         return shown
 
+    def long_word(self, word: str) -> int:
+        """The count of a word of any length, from the count and the last token's length at each position."""
+        shown = self._shown(word)
+        counts, sizes = array("q", [0]), array("q", [0])
+        for stop in range(1, len(shown) + 1):
+            if len(self.pairs) > REMEMBERED:
+                self.pairs.clear()
+            ends = stop == len(shown)
+            for size in range(min(stop, self.longest), 0, -1):
+                start = stop - size
+                token = shown[start:stop]
+                if (token + self.end if ends else token) in self.vocabulary and self._apart(
+                        shown[start - sizes[start]:start], token, ends):
+                    counts.append(counts[start] + 1)
+                    sizes.append(size)
+                    break
+            else:
+                raise ValueError(f"no token ends {shown[:stop][-self.longest:]!r}")
+        return counts[-1]
+
     def word(self, word: str) -> int:
         if len(self.prefixes) > REMEMBERED:
             self.prefixes = {"": (0, "")}
@@ -148,6 +174,8 @@ class _Remembered(dict):
         self.counter = counter
 
     def __missing__(self, word: str) -> int:
+        if len(word.encode()) > LONG:
+            return self.counter.long_word(word)
         self[word] = found = self.counter.word(word)
         return found
 

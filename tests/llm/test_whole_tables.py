@@ -1,8 +1,13 @@
 """Cases in which a bound, a name or a missing id must not leave out a part of the work."""
 
+import json
 import random
+import tracemalloc
 
-from gridledger.llm import pages, toxicity
+import public_tokenizers
+from tokenizers import Tokenizer
+
+from gridledger.llm import pages, tokens, toxicity
 
 
 # 8: toxicity
@@ -49,3 +54,19 @@ def test_names_and_hidden_words_leave_article_text():
         "<div class='cookie-notice'>no</div><p id='comments'>one<section id=comments>no</section>": "one",
     }
     assert {html: pages.main_text(f"<body>{html}</body>", set()) for html in kept} == kept
+
+
+# 7: token counts
+
+def test_memory_of_a_long_word_is_linear():
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        counter = tokens.PrefixCounter(json.loads(file.read()))
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    r = random.Random(5)
+    words = ["".join(r.choices("etaoinshrdlu", k=8000)), "".join(r.choices("=-*#", k=5000)), "漢字" * 1500, "the" * 2000, "a" * 256, "b" * 257]
+    tracemalloc.start()
+    got = [counter.count(word) for word in words]
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [len(library.encode(word, add_special_tokens=False).ids) for word in words]
+    assert most < 20_000_000 and not any(len(word) > 256 for word in counter.words)
