@@ -6,7 +6,7 @@ before kept. All but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridledger.llm import bpe, dedup, language, mixing, neardup
@@ -14,14 +14,44 @@ from gridledger.llm.common import join_checked, read
 from gridledger.session import materialize
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with a kept id; rows without id stay.
+_KEY = ["_a", "_b"]
 
-    Ids are broadcast only if a count shows few of them.
-    """
-    ids = kept.filter("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    named = join_checked(docs.filter("doc_id IS NOT NULL"), ids, ["doc_id"], "left_semi").select(*docs.columns)
-    return named.unionByName(docs.filter("doc_id IS NULL"))
+
+def _key(digest: Column) -> list[Column]:
+    """128 bits of the id, null or not, and the digest of the normalised text."""
+    return [F.xxhash64(F.lit(seed), F.col("doc_id").isNull(), F.col("doc_id"), digest).alias(name) for seed, name in enumerate(_KEY)]
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select("*", *_key(dedup.sha256(dedup.normalised())))
+
+
+def _once(keyed: DataFrame) -> DataFrame:
+    """One row of each key. Only rows whose key a count finds twice are compared."""
+    repeated = materialize(keyed.groupBy(*_KEY).count().filter("count > 1").select(*_KEY), "repeated-keys")
+    if repeated.isEmpty():
+        return keyed
+    again = join_checked(keyed, repeated, _KEY, "left_semi").select(*keyed.columns)
+    single = join_checked(keyed, repeated, _KEY, "left_anti").select(*keyed.columns)
+    return single.unionByName(again.dropDuplicates(_KEY))
+
+
+def _with_own_ids(docs: DataFrame) -> DataFrame:
+    """``docs``, unique by id and text, with ids of their own: rows without id, or all but one that repeat an id, follow the largest."""
+    keyed = _keyed(docs)
+    ids = docs.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    ids = materialize(ids, "repeated-ids")
+    nulls = keyed.filter("doc_id IS NULL").select("doc_id", *_KEY)
+    again = join_checked(keyed.select("doc_id", *_KEY), ids, ["doc_id"], "left_semi").select("doc_id", *_KEY)
+    firsts = again.groupBy("doc_id").agg(F.min(F.struct(*_KEY)).alias("_first")).select("_first.*")
+    odd = materialize(nulls.unionByName(again.join(firsts, _KEY, "left_anti").select("doc_id", *_KEY)), "odd-rows")
+    if odd.isEmpty():
+        return docs.withColumn("_own", F.col("doc_id"))
+    least = docs.agg(F.coalesce(F.max("doc_id"), F.lit(0)) + 1).first()[0]
+    ordered = odd.orderBy(F.col("doc_id").asc_nulls_last(), *_KEY)
+    own = materialize(ordered.select(*_KEY, (F.monotonically_increasing_id() + F.lit(least)).alias("_new")), "own-ids")
+    named = join_checked(keyed, own, _KEY, "left").select(*docs.columns, F.coalesce("_new", "doc_id").alias("_own"))
+    return materialize(named, "own-rows")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,13 +60,17 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with equal text the one with the smallest id stays, and of its repeated rows one."""
-    return dedup.once(_only(docs, dedup.exact_groups(docs)))
+    """Of the rows with equal text one with the smallest id stays; rows without id come last."""
+    kept = dedup.exact_groups(docs).filter("kept").select(*_key(F.col("text_sha256"))).distinct()
+    return _once(join_checked(_keyed(docs), kept, _KEY, "left_semi").select(*docs.columns, *_KEY)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays."""
-    return _only(docs, neardup.near_components(docs))
+    """Of each group of linked rows the one with the smallest id stays; rows without id, or that repeat an id, come last."""
+    own = _with_own_ids(_once(_keyed(docs)).select(*docs.columns))
+    named = own.select(F.col("_own").alias("doc_id"), "text")
+    kept = neardup.near_components(named).filter("kept").select(F.col("doc_id").alias("_own"))
+    return join_checked(own, kept, ["_own"], "left_semi").select(*docs.columns)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ import tracemalloc
 import public_tokenizers
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from gridledger.llm import pages, tokens, toxicity
 
 
@@ -70,3 +71,21 @@ def test_memory_of_a_long_word_is_linear():
     tracemalloc.stop()
     assert got == [len(library.encode(word, add_special_tokens=False).ids) for word in words]
     assert most < 20_000_000 and not any(len(word) > 256 for word in counter.words)
+
+
+# pipeline
+
+def test_rows_without_or_with_repeated_ids_are_deduplicated(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    long = " ".join(f"w{i}" for i in range(200))
+    texts = [(3, "same  text"), (None, "same text"), (5, "same text"), (5, "another text"), (None, "lone text"),
+             (None, "lone text"), (7, long), (None, long + " end"), (8, "x " + long.upper()), (8, "of its own"), (9, "of its own")]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in texts], schema)
+    exact = corpus_pipeline.exact_dedup(spark, docs, "")
+    rows = sorted((str(r.doc_id), r.text) for r in exact.collect())
+    assert exact.columns == docs.columns
+    assert rows == sorted((str(i), t) for i, t in [texts[0], *texts[3:5], *texts[6:10]])
+    near = corpus_pipeline.near_dedup(spark, exact, "")
+    rows = sorted((str(r.doc_id), r.text) for r in near.collect())
+    assert near.columns == docs.columns
+    assert rows == sorted((str(i), t) for i, t in [texts[0], *texts[3:5], texts[6], texts[9]])
