@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridledger.llm import bpe, dedup, fingerprints, language, mixing, neardup, pages, secrets, tokens, toxicity
+from gridledger.llm import bpe, dedup, fingerprints, language, manifest, mixing, neardup, pages, secrets, tokens, toxicity
 from gridledger.llm.common import read
 from gridledger.llm.oracles import ORACLES
 
@@ -53,6 +53,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(read(spark, sf_dir, "documents"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.merkle_manifest(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_near_dedup": op2_near_dedup,
@@ -64,6 +68,7 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op9_fingerprints": op9_fingerprints,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
