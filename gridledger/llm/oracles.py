@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gridledger.llm import secrets
+from gridledger.llm import divergence, manifest, secrets
 from gridledger.llm.mixing import SEED
 
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -104,9 +104,96 @@ r AS (SELECT d.doc_id, d.size, x.source_size, x.target, x.epochs, x.extra,
 SELECT doc_id, size, source_size, target, (epochs * size + CASE WHEN before + size <= extra THEN size
     WHEN before <= extra THEN floor(extra - before) ELSE 0 END)::BIGINT AS taken FROM r"""
 
+
+
+def _crc32(text: str) -> str:
+    """Unsigned CRC-32 of an ASCII string, byte by byte over the table of its polynomial."""
+    table = []
+    for value in range(256):
+        for _ in range(8):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        table.append(value)
+    return f"""xor(4294967295, list_reduce(list_concat([4294967295::BIGINT],
+        list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT)),
+        lambda crc, b: xor(crc >> 8, ({table}::BIGINT[])[(xor(crc, b) & 255) + 1])))"""
+
+
+def _leaf(text: str) -> str:
+    fields = [*manifest.FIELDS[:-1], text]
+    return "sha256(" + " || ".join(
+        f"coalesce(strlen(({f})::VARCHAR) || ':' || ({f})::VARCHAR, '-')" for f in fields) + ")"
+
+
+def _op11() -> str:
+    fan = manifest.FANOUT
+    lowered = f"translate(text, '{_UPPER}', '{_UPPER.lower()}')"
+
+    def merged(name: str, start: str) -> str:
+        return f"""{name} AS ({start} UNION ALL
+    SELECT tree, level + 1, pos // {fan}, (max(width) + {fan} - 1) // {fan}, sha256(string_agg(digest, '' ORDER BY pos))
+    FROM {name} WHERE width > 1 GROUP BY tree, level, pos // {fan})"""
+
+    def step(name: str) -> str:
+        side = f"string_agg(digest, '') OVER (PARTITION BY tree, level, pos // {fan} ORDER BY pos ROWS BETWEEN"
+        return f"""{name}_steps AS (SELECT tree, level, pos, width, coalesce({side} UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS before,
+    coalesce({side} 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS after FROM {name})"""
+
+    def climbed(name: str, start: str, steps: str) -> str:
+        return f"""{name} AS ({start} UNION ALL
+    SELECT rid, c.tree, c.level + 1, c.pos // {fan}, (c.width + {fan} - 1) // {fan}, proof || before || after,
+        sha256(before || acc || after)
+    FROM {name} c JOIN {steps} s ON s.tree = c.tree AND s.level = c.level AND s.pos = c.pos WHERE c.width > 1)"""
+
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS tree, {_leaf("text")} AS leaf,
+    CASE WHEN {_crc32("doc_id::VARCHAR")} % {manifest.TAMPERED} = 0 THEN {_leaf(lowered)} END AS altered FROM documents),
+placed AS (SELECT *, row_number() OVER () AS rid, count(*) OVER (PARTITION BY tree) AS width,
+    row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d),
+{merged("nodes", "SELECT tree, 0 AS level, pos, width, leaf AS digest FROM placed")},
+subroots AS (SELECT tree, digest, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS width FROM nodes WHERE width = 1),
+{merged("tops", "SELECT '#' AS tree, 0 AS level, pos, width, digest FROM subroots")},
+{step("nodes")}, {step("tops")},
+{climbed("below", "SELECT rid, tree, 0 AS level, pos, width, '' AS proof, coalesce(altered, leaf) AS acc FROM placed", "nodes_steps")},
+{climbed("above", """SELECT rid, '#' AS tree, 0 AS level, s.pos, s.width, proof, acc
+    FROM below b JOIN subroots s ON s.tree = b.tree WHERE b.width = 1""", "tops_steps")},
+root AS (SELECT digest FROM tops WHERE width = 1)
+SELECT p.doc_id, p.leaf, s.digest AS subroot, root.digest AS root, sha256(a.proof) AS proof_sha256, a.acc AS folded_root,
+    a.acc = root.digest AS verified
+FROM placed p JOIN subroots s ON s.tree = p.tree JOIN above a ON a.rid = p.rid AND a.width = 1, root"""
+
+
+def _op12() -> str:
+    def share(n: str, total: str) -> str:
+        return f"(1 + ({divergence.SCALE}::HUGEINT * ({n} + 2)) // ({total} + 2 * v))::BIGINT"
+
+    order = "row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INT AS rank"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}') AS t FROM documents),
+tok AS (SELECT rid, lang, source, unnest(regexp_extract_all(t, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS total FROM tok GROUP BY lang, term
+    HAVING count(DISTINCT rid) >= {divergence.LEAST_DOCUMENTS}),
+langs AS (SELECT lang, count(*) AS v, sum(total) AS all_of FROM kept GROUP BY lang),
+n AS (SELECT lang, source, term, count(*) AS n FROM tok JOIN kept USING (lang, term) GROUP BY lang, source, term),
+g AS (SELECT lang, source, coalesce(sum(n), 0) AS own FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN n USING (lang, source)
+    GROUP BY lang, source),
+cell AS (SELECT lang, source, term, coalesce(n, 0) AS n, {share("coalesce(n, 0)", "own")} AS p, {share("total", "all_of")} AS q
+    FROM g JOIN langs USING (lang) JOIN kept USING (lang) LEFT JOIN n USING (lang, source, term)),
+gaps AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+    FROM cell a JOIN cell b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0)::BIGINT AS value
+    FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN gaps ON gaps.lang = a.lang AND gaps.source = a.source AND gaps.item = b.source),
+typical AS (SELECT lang, source, term AS item, (p - q) * (p - q) // (p + q) AS value FROM cell WHERE n > 0 AND p > q)
+SELECT lang, source, 'pair' AS part, item, value, {order} FROM pairs
+UNION ALL SELECT * FROM (SELECT lang, source, 'term' AS part, item, value, {order} FROM typical) WHERE rank <= {divergence.TOP_TERMS}"""
+
+
 ORACLES = {
     "op1_secret_scan": _op1(),
     "op2_near_dedup": _OP2,
     "op5_exact_dedup": _OP5,
     "op6_source_mixing": _OP6,
+    "op11_merkle_manifest": _op11(),
+    "op12_source_divergence": _op12(),
 }

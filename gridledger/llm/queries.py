@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridledger.llm import bpe, dedup, fingerprints, language, manifest, mixing, neardup, pages, secrets, tokens, toxicity
+from gridledger.llm import (
+    bpe, dedup, divergence, fingerprints, language, manifest, mixing, neardup, packing, pages, secrets, tokens, toxicity,
+)
 from gridledger.llm.common import read
 from gridledger.llm.oracles import ORACLES
 
@@ -57,6 +59,14 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.merkle_manifest(read(spark, sf_dir, "documents"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(read(spark, sf_dir, "documents"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.sequences(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_secret_scan": op1_secret_scan,
     "op2_near_dedup": op2_near_dedup,
@@ -69,6 +79,8 @@ QUERIES: dict[str, Query] = {
     "op9_fingerprints": op9_fingerprints,
     "op10_byte_bpe": op10_byte_bpe,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_packing": op13_packing,
 }
 
 __all__ = ["ORACLES", "QUERIES"]

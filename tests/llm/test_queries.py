@@ -19,8 +19,8 @@ def test_query_matches_sql(spark, name):
     assert oracle.difference(got, oracle.sql_rows(oracle.connect(SF_DIR), ORACLES[name])) is None
 
 
-def test_ten_queries():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+def test_thirteen_queries():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_stages_take_effect(spark):
