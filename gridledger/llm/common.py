@@ -28,6 +28,16 @@ def held_out(folds: int = 5) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(folds)) == 0
 
 
+def barrier(column: Column) -> Column:
+    """The same values, below which no filter is moved and into which no later expression is merged.
+
+    Spark moves a filter below a projection by writing the filtered expression
+    out again, lambdas and all, unless the projection is not deterministic. The
+    partition number makes it so, though it never changes a value.
+    """
+    return F.when(F.spark_partition_id() >= 0, column)
+
+
 def join_checked(left: DataFrame, right: DataFrame, keys: list[str], how: str, max_rows: int = 2_000_000) -> DataFrame:
     """Join that broadcasts ``right`` only if a count shows at most ``max_rows`` rows, and shuffles otherwise."""
     if right.limit(max_rows + 1).count() <= max_rows:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridledger.llm.common import SPACE, SPACES, join_checked, text_of
+from gridledger.llm.common import SPACE, SPACES, barrier, join_checked, text_of
 
 K = 64
 WORDS = 5
@@ -41,7 +41,8 @@ def add_sketch(df: DataFrame, shingles: str, name: str, k: int = K) -> DataFrame
 
     Hashes are spread evenly, so most of the work is saved by first taking
     those below the level at which 2.5 k are expected; where they turn out to
-    be fewer than ``k`` distinct ones, all are sorted.
+    be fewer than ``k`` distinct ones, all are sorted. A filter on what comes
+    of the sketch stays above it, so the shingles are hashed once.
     """
     level = (F.least(F.lit(1.0), F.lit(2.5 * k) / F.size(shingles)) * SHINGLE_SPACE - SHINGLE_SPACE / 2).cast("long")
     df = df.withColumn(f"{name}_level", level)
@@ -50,7 +51,7 @@ def add_sketch(df: DataFrame, shingles: str, name: str, k: int = K) -> DataFrame
     sketch = F.when(
         (F.size(low) >= k) | (F.size(shingles) <= 2.5 * k), F.slice(F.array_sort(low), 1, k)
     ).otherwise(F.slice(F.array_sort(F.array_distinct(shingles)), 1, k))
-    return df.withColumn(name, sketch).drop(f"{name}_low", f"{name}_level", shingles)
+    return df.withColumn(name, barrier(sketch)).drop(f"{name}_low", f"{name}_level", shingles)
 
 
 def merged(a: Column, b: Column, k: int = K) -> Column:
