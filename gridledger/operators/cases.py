@@ -266,18 +266,20 @@ def run_cases(
 ) -> DataFrame:
     """Every case from package to route; blocked cases keep their messages and no route."""
     checked = validate_readiness(packages, requested)
-    ready = F.col("readiness_status") == fv.READY
-    worked = checked.filter(ready).withColumn("evidence_context", top_evidence_array(F.col("evidence_context")))
-    worked = worked.withColumn("prompt", case_prompt(instructions))
-    worked = route(validate_grounding(explain(worked, platform)))
-    blocked = checked.filter(~ready).withColumns({
-        "prompt": F.lit(None).cast("string"),
-        "rag_answer": F.lit(None).cast("string"),
-        "recommended_next_action": F.lit(None).cast("string"),
-        "final_route": F.lit(None).cast("string"),
-        "approved_for_salesforce": F.lit(False),
-    })
-    return worked.unionByName(blocked)
+    ready = F.col("_ready")
+    rows = checked.withColumn("_ready", F.coalesce(F.col("readiness_status") == fv.READY, F.lit(False))).withColumn(
+        "_given", F.struct("evidence_context", "validation_errors", "readiness_status"))
+    rows = rows.withColumn("evidence_context", F.when(ready, top_evidence_array(F.col("evidence_context"))))
+    rows = rows.withColumn("prompt", F.when(ready, case_prompt(instructions)))
+    rows = route(validate_grounding(explain(rows, platform)))
+    # One pass for both: what was worked out for a blocked case is taken back.
+    worked = ("rag_answer", "recommended_next_action", "final_route", "approved_for_salesforce")
+    given = ("evidence_context", "validation_errors", "readiness_status")
+    return rows.withColumns(
+        {c: F.when(ready, F.col(c)) for c in worked}
+        | {c: F.when(ready, F.col(c)).otherwise(F.col(f"_given.{c}")) for c in given}
+        | {"approved_for_salesforce": F.when(ready, F.col("approved_for_salesforce")).otherwise(F.lit(False))}
+    ).drop("_ready", "_given")
 
 
 def result_rows(cases: DataFrame, at: Column, source: str = "BATCH_CASE_RUN") -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridledger.functions.scalars import days_between, seconds_between, share
+from gridledger.operators.quantiles import exact_quantile
+from gridledger.session import materialize
 
 
 def rate(condition: Column) -> Column:
@@ -22,16 +24,17 @@ def exact_sum(value: Column | str) -> Column:
 def latency_stats(df: DataFrame, latency: str, *by: str) -> DataFrame:
     """Count, average and exact 95th percentile.
 
-    Equal latencies are counted first, so the percentile works on the distinct
-    values of a group instead of all of its rows.
+    Equal latencies are counted first and written; the percentile is selected
+    among the distinct values without bringing them together.
     """
-    counted = df.filter(F.col(latency).isNotNull()).groupBy(*by, latency).agg(F.count("*").alias("_n"))
-    value = F.col(latency)
-    return counted.groupBy(*by).agg(
-        F.sum("_n").alias("samples"),
-        (F.sum(value * F.col("_n")) / F.sum("_n")).alias("avg_latency_ms"),
-        F.percentile(value, F.lit(0.95), F.col("_n")).alias("p95_latency_ms"),
-    )
+    counted = materialize(
+        df.filter(F.col(latency).isNotNull()).groupBy(*by, latency).agg(F.count("*").alias("_n")), "latencies")
+    found = exact_quantile(counted, list(by), latency, "_n", 0.95).withColumnsRenamed(
+        {"average": "avg_latency_ms", "quantile": "p95_latency_ms"})
+    if by:
+        return found
+    # One row also where there are no samples.
+    return found.agg(*[F.max(c).alias(c) for c in ("samples", "avg_latency_ms", "p95_latency_ms")])
 
 
 def top_failure(df: DataFrame, reason: str = "failure_reason") -> DataFrame:
@@ -167,6 +170,21 @@ def pipeline_health(runs: DataFrame) -> DataFrame:
     )
 
 
+def platform_health(runs: DataFrame) -> DataFrame:
+    """Success of snapshot and model runs and the last good refresh of the fact, over the whole run ledger."""
+    ok, layer = F.col("status") == "SUCCESS", F.col("layer_name")
+    models = layer.isin("silver", "gold")
+
+    def success(which: Column) -> Column:
+        return share(F.count_if(which & ok), F.count_if(which))
+
+    return runs.agg(
+        F.count_if(layer == "snapshot").alias("snapshot_runs"), success(layer == "snapshot").alias("snapshot_success_rate"),
+        F.count_if(models).alias("model_runs"), success(models).alias("model_success_rate"),
+        F.max(F.when((layer == "gold") & ok, F.col("completed_at"))).alias("last_gold_refresh_at"),
+    )
+
+
 def rag_kpis(runs: DataFrame) -> DataFrame:
     """Run counts and quality rates over all runs."""
     decided = F.col("human_approved").isNotNull()
@@ -177,7 +195,8 @@ def rag_kpis(runs: DataFrame) -> DataFrame:
         F.avg("retrieval_latency_ms").alias("avg_retrieval_ms"),
         F.avg("synthesis_latency_ms").alias("avg_synthesis_ms"),
         F.avg("retrieved_chunk_count").alias("avg_chunk_count"),
-        exact_sum("top_similarity_score").alias("top_similarity_sum"),
+        (exact_sum("top_similarity_score") / F.count("top_similarity_score")).alias("avg_top_similarity"),
+        F.count_if("wrong_contract_blocked_flag").alias("wrong_contract_blocked"),
         rate(F.col("retrieved_chunk_count") == 0).alias("no_evidence_rate"),
         rate(F.col("citation_count") > 0).alias("citation_coverage"),
         rate(~F.col("guardrail_passed")).alias("guardrail_failure_rate"),

@@ -7,8 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from gridledger import fixed_values as fv
-from gridledger.functions.scalars import hour_of, is_curtailed, kw_to_mwh, seconds_between
+from gridledger.functions.scalars import is_curtailed, kw_to_mwh, seconds_between
+from gridledger.functions.skew import lookup_join
 from gridledger.profiles import METERED, TelemetryProfile
+from gridledger.session import materialize
+
+# Levels of the notice index and their bucket widths; a notice of up to FINE_LIMIT fine widths is a fine one.
+FINE, COARSE, OPEN = 0, 1, 2
+FINE_SECONDS, COARSE_SECONDS = 3600, 30 * 24 * 3600
+FINE_LIMIT = 48
 
 
 def _curtailment_status(profile: TelemetryProfile) -> Column:
@@ -73,8 +80,9 @@ def curtailment_episodes(
     """Runs of curtailed samples per asset, broken where the pause exceeds the gap.
 
     Runs are first formed inside (asset, day), so a hot asset is spread over its
-    days. Only the first and last run of a day can touch a neighbour day; just
-    those are compared per asset, the others are final.
+    days, and written as summaries (start, end, count, energy) that can be
+    merged. Only the first and last run of a day can touch a neighbour day;
+    just those are merged per asset, the others are final.
     """
     curtailed = silver.filter(is_curtailed("operating_status")).select(
         "asset_id",
@@ -96,6 +104,7 @@ def curtailment_episodes(
         )
         .withColumn("_last", F.max("_run").over(W.partitionBy("asset_id", "_day")))
     )
+    runs = materialize(runs, "runs")
     edge = (F.col("_run") == 1) | (F.col("_run") == F.col("_last"))
     columns = ["asset_id", "start_utc", "end_utc", "sample_count", "curtailed_mwh"]
 
@@ -117,33 +126,60 @@ def curtailment_episodes(
     return joined.select(*columns).unionByName(runs.filter(~edge).select(*columns))
 
 
+def _bucket(time: Column, seconds: int) -> Column:
+    return F.floor(F.unix_seconds(time) / seconds)
+
+
+def _level(notices: DataFrame) -> DataFrame:
+    long = F.unix_seconds("end_time_utc") - F.unix_seconds("start_time_utc") > FINE_LIMIT * FINE_SECONDS
+    return notices.withColumn("_level", F.when(F.col("end_time_utc").isNull(), OPEN).when(long, COARSE).otherwise(FINE))
+
+
+def notice_index(notices: DataFrame) -> DataFrame:
+    """Index rows ``asset_id, _level, _bucket`` of every notice; end excluded.
+
+    A notice of at most two days has a row for each hour it touches, a longer
+    one a row for each 30 days, one without an end a single row for its asset.
+    So a notice of any length has at most 49 fine rows or one row per coarse
+    bucket.
+    """
+    last = F.col("end_time_utc") - F.expr("interval 1 microsecond")
+
+    def touched(seconds: int) -> Column:
+        return F.sequence(_bucket(F.col("start_time_utc"), seconds), _bucket(last, seconds))
+
+    level = F.col("_level")
+    buckets = F.when(level == FINE, touched(FINE_SECONDS)).when(level == COARSE, touched(COARSE_SECONDS)).otherwise(
+        F.array(F.lit(0).cast("long")))
+    some = notices.filter(F.col("start_time_utc").isNotNull()).filter("end_time_utc IS NULL OR start_time_utc < end_time_utc")
+    return _level(some).withColumn("_bucket", F.explode(buckets))
+
+
 def match_notices(silver: DataFrame, notices: DataFrame, open_until: str | None = None) -> DataFrame:
     """Samples inside a notice of their asset, start included, end excluded.
 
-    A notice without an end lasts until ``open_until``, or else past the last
-    sample. The notice is spread over the hours it covers, which turns the range
-    condition into an equi join on (asset, hour).
+    A notice without an end lasts until ``open_until``, or else for good. The
+    range condition becomes an equi join on (asset, level, bucket) with an
+    index of two widths: samples ask only on levels that some notice is on.
+    The index is broadcast if it is small; otherwise a bucket with very many
+    samples is split.
     """
-    hours = F.sequence(
-        hour_of("start_time_utc"),
-        hour_of(F.col("end_time_utc") - F.expr("interval 1 microsecond")),
-        F.expr("interval 1 hour"),
-    )
-    bound = F.lit(open_until).cast("timestamp")
-    if open_until is None and not notices.filter(F.col("end_time_utc").isNull()).isEmpty():
-        bound = F.lit(silver.agg(F.max("event_ts_utc") + F.expr("interval 1 second")).first()[0]).cast("timestamp")
-    spread = (
-        notices.withColumn("end_time_utc", F.coalesce("end_time_utc", bound)).filter(F.col("start_time_utc") < F.col("end_time_utc"))
-        .select(
-            "notice_id", "asset_id", "start_time_utc", "end_time_utc",
-            F.col("curtailment_reason").alias("notice_reason"),
-            F.explode(hours).alias("reconciliation_hour_utc"),
-        )
-    )
-    return (
-        silver.join(spread, ["asset_id", "reconciliation_hour_utc"])
-        .filter((F.col("event_ts_utc") >= F.col("start_time_utc")) & (F.col("event_ts_utc") < F.col("end_time_utc")))
-    )
+    shown = notices.select(
+        "notice_id", "asset_id", "start_time_utc",
+        F.coalesce("end_time_utc", F.lit(open_until).cast("timestamp")).alias("end_time_utc"),
+        F.col("curtailment_reason").alias("notice_reason"))
+    # At most three values.
+    levels = sorted(_level(shown).agg(F.collect_set("_level")).first()[0])
+    asked = {
+        FINE: _bucket(F.col("event_ts_utc"), FINE_SECONDS), COARSE: _bucket(F.col("event_ts_utc"), COARSE_SECONDS),
+        OPEN: F.lit(0).cast("long")}
+    probes = silver.select("*", F.inline(F.array(*[
+        F.struct(F.lit(level).alias("_level"), asked[level].alias("_bucket")) for level in levels or [FINE]])))
+    spread_by = [c for c in ("event_ts_utc", "event_id", "kafka_offset") if c in silver.columns]
+    found = lookup_join(probes, notice_index(shown), ["asset_id", "_level", "_bucket"], spread_by, "inner")
+    inside = (F.col("event_ts_utc") >= F.col("start_time_utc")) & (
+        F.col("end_time_utc").isNull() | (F.col("event_ts_utc") < F.col("end_time_utc")))
+    return found.filter(inside).drop("_level", "_bucket")
 
 
 def check_notices(notices: DataFrame, tolerance_mwh: float = 0.001) -> DataFrame:

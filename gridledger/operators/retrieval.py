@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from gridledger import fixed_values as fv
-from gridledger.functions.scalars import fact_text, fill_template, share
+from gridledger.functions.scalars import col_of, fact_text, fill_template, let, share
 from gridledger.functions.skew import hot_keys, lookup_join, split_join
 from gridledger.session import materialize
 
@@ -21,6 +23,12 @@ from gridledger.session import materialize
 _DIGITS = 9
 _NO_VALUE = -2.0
 _SLICE = 512
+# Vectors a cluster holds on average; what a bound may be off by, as angles near zero are inexact.
+CLUSTER = 128
+_TOLERANCE = 1e-7
+HASH_DIMENSIONS = 64
+# White space between the tokens of the hashing embedder.
+TOKEN_SPACE = r"[\t-\r ]+"
 
 
 def retrieval_query(events: DataFrame) -> DataFrame:
@@ -36,26 +44,34 @@ def retrieval_query(events: DataFrame) -> DataFrame:
     return events.withColumn("query_text", text)
 
 
-def hashing_embedder(dimensions: int = 64):
-    """A repeatable bag-of-words embedder: signed token hashes, unit length."""
+def feature_hash(text: Column | str, dimensions: int = HASH_DIMENSIONS) -> Column:
+    """A repeatable bag-of-words vector: signed token hashes, unit length.
 
-    def embed(texts: list[str]) -> list[list[float]]:
-        import zlib
+    The first eight hexadecimal digits of a token's MD5 choose its place, the
+    ninth its sign. A null text counts as empty; without tokens all is zero.
+    """
+    tokens = F.filter(F.split(F.lower(F.coalesce(col_of(text), F.lit(""))), TOKEN_SPACE), lambda t: t != "")
+
+    def code(digest: Column) -> Column:
+        place = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % dimensions + 1
+        return F.when(F.substring(digest, 9, 1) >= "8", place).otherwise(-place).cast("int")
 
-        out = np.zeros((len(texts), dimensions), dtype=np.float64)
-        for row, text in enumerate(texts):
-            for token in (text or "").lower().split():
-                code = zlib.crc32(token.encode("utf-8"))
-                out[row, code % dimensions] += 1.0 if code & 0x80000000 else -1.0
-        norms = np.linalg.norm(out, axis=1, keepdims=True)
-        return (out / np.where(norms > 0, norms, 1.0)).astype(np.float32).tolist()
+    def sums(codes: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.lit(dimensions)), lambda d: F.aggregate(
+            codes, F.lit(0), lambda n, c: F.when(c == d, n + 1).when(c == -d, n - 1).otherwise(n)))
 
-    return embed
+    def unit(counts: Column) -> Column:
+        norm = F.sqrt(F.aggregate(counts, F.lit(0), lambda n, c: n + c * c).cast("double"))
+        return let(norm, lambda n: F.transform(counts, lambda c: F.when(n > 0, c / n).otherwise(F.lit(0.0)).cast("float")))
+
+    codes = F.transform(F.transform(tokens, lambda t: F.md5(t.cast("binary"))), code)
+    return let(let(codes, sums), unit)
 
 
 def embed(df: DataFrame, text: str, vector: str, embedder=None, batch: int = fv.EMBED_BATCH) -> DataFrame:
-    """Adds a vector column; ``embedder`` maps a list of texts to vectors, in batches."""
-    embedder = embedder or hashing_embedder()
+    """Adds a vector column: ``feature_hash``, or what ``embedder`` maps a list of texts to, in batches."""
+    if embedder is None:
+        return df.withColumn(vector, feature_hash(text))
     schema = T.StructType(df.schema.fields + [T.StructField(vector, T.ArrayType(T.FloatType()))])
 
     def run(batches):
@@ -90,77 +106,147 @@ def _unit(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return m / np.where(norms > 0, norms, 1.0)[:, None], norms > 0
 
 
-def _top_k(score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row and column of the k best finite scores per row; ties go to the lower column."""
-    limit = min(k, score.shape[1])
-    kth = -np.partition(-score, limit - 1, axis=1)[:, limit - 1]
-    row, column = np.nonzero((score >= kth[:, None]) & np.isfinite(score))
-    order = np.lexsort((column, -score[row, column], row))
-    row, column = row[order], column[order]
-    keep = np.arange(len(row)) - np.searchsorted(row, row, side="left") < k
-    return row[keep], column[keep]
+def _clusters(unit: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Cluster of each row, centre of each cluster and its greatest angle to a row.
+
+    The first pivot is the first row, each further one the row that is least
+    like all before; rows go to the pivot most like them.
+    """
+    place, near = np.zeros(len(unit), np.int64), unit @ unit[0]
+    for cluster in range(1, -(-len(unit) // size)):
+        like = unit @ unit[np.argmin(near)]
+        closer = like > near
+        place[closer], near[closer] = cluster, like[closer]
+    _, place = np.unique(place, return_inverse=True)
+    centres = np.zeros((place.max() + 1, unit.shape[1]))
+    np.add.at(centres, place, unit)
+    centres, _ = _unit(centres)
+    angles = np.arccos(np.clip((unit * centres[place]).sum(axis=1), -1.0, 1.0))
+    radius = np.zeros(len(centres))
+    np.maximum.at(radius, place, angles)
+    return place, centres, radius
+
+
+def search(
+    queries: np.ndarray, vectors: np.ndarray, k: int, wanted: np.ndarray, have: np.ndarray, size: int = CLUSTER,
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Query, place and rounded cosine of the k best vectors of each query, and how many vectors each was compared with.
+
+    ``wanted`` and ``have`` are versions as numbers, -1 wants any. Ties go to
+    the lower place; where a vector is zero the cosine is ``_NO_VALUE``.
+    Vectors are clustered; a cosine can be no greater than that of the angle
+    to the centre less the radius, so a cluster whose bound lies below a
+    query's k-th best so far is skipped for that query. The result is that
+    of comparing all.
+    """
+    (queries, asked), (vectors, known) = _unit(queries), _unit(vectors)
+    zero, full = np.flatnonzero(~known), np.flatnonzero(known)
+    members, centres, radius = [], np.zeros((0, vectors.shape[1])), np.zeros(0)
+    if len(full):
+        place, centres, radius = _clusters(vectors[full], size)
+        order = np.argsort(place, kind="stable")
+        members = np.split(full[order], np.flatnonzero(np.diff(place[order])) + 1)
+    if len(zero):
+        members.append(zero)
+    found, compared = [], np.zeros(len(queries), np.int64)
+    # A slice of queries at a time bounds the score matrix.
+    for start in range(0, len(queries), _SLICE):
+        part = np.arange(start, min(start + _SLICE, len(queries)))
+        angle = np.arccos(np.clip(queries[part] @ centres.T, -1.0, 1.0)) - radius
+        bound = np.where(asked[part, None], np.cos(np.maximum(angle, 0.0)) + _TOLERANCE, np.inf)
+        if len(zero):
+            bound = np.hstack([bound, np.where(asked[part, None], _NO_VALUE, np.inf)])
+        best = np.full((len(part), k), -np.inf)
+        hits: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for cluster in np.argsort(-bound.max(axis=0), kind="stable"):
+            rows = np.flatnonzero(bound[:, cluster] >= best[:, 0])
+            if not len(rows):
+                continue
+            columns = members[cluster]
+            score = np.round(queries[part[rows]] @ vectors[columns].T, _DIGITS)
+            score[~asked[part[rows]], :] = _NO_VALUE
+            score[:, ~known[columns]] = _NO_VALUE
+            foreign = (wanted[part[rows], None] >= 0) & (wanted[part[rows], None] != have[None, columns])
+            score[foreign] = -np.inf
+            compared[part[rows]] += len(columns)
+            # Only scores that may still be among the k best; best[:, 0] is the k-th.
+            good = (score >= best[rows, :1]) & np.isfinite(score)
+            some = np.flatnonzero(good.any(axis=1))
+            if not len(some):
+                continue
+            row, column = np.nonzero(good)
+            hits.append((part[rows[row]], columns[column], score[row, column]))
+            both = np.hstack([best[rows[some]], score[some]])
+            best[rows[some]] = np.sort(np.partition(both, both.shape[1] - k, axis=1)[:, -k:], axis=1)
+        if hits:
+            row, column, value = (np.concatenate(x) for x in zip(*hits))
+            late = value >= best[row - start, 0]
+            row, column, value = row[late], column[late], value[late]
+            order = np.lexsort((column, -value, row))
+            row, column, value = row[order], column[order], value[order]
+            keep = np.arange(len(row)) - np.searchsorted(row, row, side="left") < k
+            found.append((row[keep], column[keep], value[keep]))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), compared
+    row, column, value = (np.concatenate(x) for x in zip(*found))
+    return row, column, value, compared
+
+
+_KEY = ["contract_id", "document_version_hash", "chunk_index"]
+_FOUND = pa.schema([
+    ("event_id", pa.string()), ("contract_id", pa.string()), ("document_version_hash", pa.string()), ("chunk_index", pa.int64()),
+    ("chunk_id", pa.int64()), ("similarity", pa.float64()), ("compared", pa.int64()), ("held", pa.int64())])
 
 
 def _block_top_k(k: int):
-    out = pa.schema([("event_id", pa.string()), ("chunk_id", pa.int64()), ("similarity", pa.float64())])
-
     def run(events: pa.Table, chunks: pa.Table) -> pa.Table:
         if events.num_rows == 0 or chunks.num_rows == 0:
-            return out.empty_table()
-        chunks = chunks.sort_by("chunk_id")
-        ids = chunks.column("chunk_id").to_numpy()
+            return _FOUND.empty_table()
+        chunks = chunks.sort_by([("chunk_index", "ascending"), ("document_version_hash", "ascending")])
         vectors = pa.chunked_array([*events.column("query_vector").chunks, *chunks.column("embedding_vector").chunks])
-        left, right = np.split(_matrix(vectors), [events.num_rows])
-        (left, left_ok), (right, right_ok) = _unit(left), _unit(right)
-        wanted = np.array(events.column("document_version_hash").to_pylist(), dtype=object)
-        have = np.array(chunks.column("document_version_hash").to_pylist(), dtype=object)
-        any_version = np.array([v is None for v in wanted])
-        rows, columns, values = [], [], []
-        # A slice of events at a time bounds the score matrix.
-        for start in range(0, events.num_rows, _SLICE):
-            part = slice(start, start + _SLICE)
-            # Cosine lies in [-1, 1]; undefined pairs rank below it, foreign versions are excluded.
-            score = np.round(left[part] @ right.T, _DIGITS)
-            score[~left_ok[part], :] = _NO_VALUE
-            score[:, ~right_ok] = _NO_VALUE
-            score[~(any_version[part, None] | (wanted[part, None] == have[None, :]))] = -np.inf
-            row, column = _top_k(score, k)
-            rows.append(row + start)
-            columns.append(column)
-            values.append(score[row, column])
-        row, column, value = np.concatenate(rows), np.concatenate(columns), np.concatenate(values)
+        queries, vectors = np.split(_matrix(vectors), [events.num_rows])
+        numbers = {v: i for i, v in enumerate(dict.fromkeys(chunks.column("document_version_hash").to_pylist()))}
+        have = np.array([numbers[v] for v in chunks.column("document_version_hash").to_pylist()])
+        wanted = np.array([-1 if v is None else numbers.get(v, len(numbers)) for v in events.column("document_version_hash").to_pylist()])
+        row, column, value, compared = search(queries, vectors, k, wanted, have)
+        rows = chunks.select([*_KEY, "chunk_id"]).take(pa.array(column))
         return pa.table([
-            events.column("event_id").take(pa.array(row)),
-            pa.array(ids[column], type=pa.int64()),
-            pa.array(value, type=pa.float64(), mask=value == _NO_VALUE),
-        ], schema=out)
+            events.column("event_id").take(pa.array(row)), *[rows.column(c) for c in [*_KEY, "chunk_id"]],
+            pa.array(value, type=pa.float64(), mask=value == _NO_VALUE), pa.array(compared[row]),
+            pa.array(np.full(len(row), len(vectors), np.int64)),
+        ], schema=_FOUND)
 
     return run
 
 
 def retrieve(
-    events: DataFrame, chunks: DataFrame, k: int = fv.RETRIEVAL_TOP_K, clause: str | None = None, block: int = 8192
+    events: DataFrame, chunks: DataFrame, k: int = fv.RETRIEVAL_TOP_K, clause: str | None = None, block: int = 8192,
+    effort: bool = False,
 ) -> DataFrame:
     """The k most similar chunks of its own contract for each event.
 
     ``events``: event_id (text), contract_id, document_version_hash (null for
     any version), query_vector. ``chunks``: chunk_id, contract_id,
-    document_version_hash, clause_type, embedding_vector. Both should be stored
-    tables: contracts are counted before vectors are read.
-
-    Both sides of a contract are cut into blocks of bounded size and each pair
-    of blocks is one small matrix product that returns k rows per event. A
-    contract with a large share of the data is therefore many independent
-    blocks, pairs never become rows, and the result is exact. A row is sent
-    once per block of the other side: a larger ``block`` shuffles less and
-    takes more memory per task.
+    document_version_hash, chunk_index, clause_type, embedding_vector; a chunk
+    is known by contract, version and index. Both should be stored tables:
+    contracts are counted before vectors are read. Ties go to the lower index,
+    then the lower version. With ``effort`` each row also tells how many of the
+    ``held`` vectors of its block its event was ``compared`` with.
+
+    Both sides of a contract are cut into blocks of bounded size. In each pair
+    of blocks the chunks are clustered, and an event skips the clusters that
+    cannot hold one of its k best; pairs never become rows, and the result is
+    exact. A contract with a large share of the data is many independent
+    blocks. A row is sent once per block of the other side: a larger ``block``
+    shuffles less and takes more memory per task.
     """
     pool = chunks if clause is None else chunks.filter(F.col("clause_type") == clause)
-    pool = pool.select("chunk_id", "contract_id", "document_version_hash", "embedding_vector")
+    pool = pool.select(
+        "chunk_id", "contract_id", "document_version_hash", F.col("chunk_index").cast("long").alias("chunk_index"), "embedding_vector")
     asked = events.select("event_id", "contract_id", "document_version_hash", "query_vector")
     # Vectors of contracts nobody asks about are not moved.
     wanted = asked.select("contract_id").distinct()
-    pool = lookup_join(pool, wanted, ["contract_id"], ["chunk_id"], "left_semi")
+    pool = lookup_join(pool, wanted, ["contract_id"], ["document_version_hash", "chunk_index"], "left_semi")
 
     # Contracts that need more than one block, counted once.
     large = materialize(
@@ -169,23 +255,24 @@ def retrieve(
         "large-contracts",
     )
 
-    def place(df: DataFrame, key: str, own: str, own_blocks: str, other: str, other_blocks: str) -> DataFrame:
+    def place(df: DataFrame, by: list[str], own: str, own_blocks: str, other: str, other_blocks: str) -> DataFrame:
         here, there = F.coalesce(own_blocks, F.lit(1)), F.coalesce(other_blocks, F.lit(1))
         return (
-            lookup_join(df, large, ["contract_id"], [key])
-            .withColumn(own, F.pmod(F.xxhash64(key), here).cast("int"))
+            lookup_join(df, large, ["contract_id"], by)
+            .withColumn(own, F.pmod(F.xxhash64(*by), here).cast("int"))
             .withColumn(other, F.explode(F.sequence(F.lit(0), there - 1)))
             .drop("event_blocks", "chunk_blocks")
         )
 
     keys = ["contract_id", "event_block", "chunk_block"]
-    left = place(asked, "event_id", "event_block", "event_blocks", "chunk_block", "chunk_blocks")
-    right = place(pool, "chunk_id", "chunk_block", "chunk_blocks", "event_block", "event_blocks")
+    left = place(asked, ["event_id"], "event_block", "event_blocks", "chunk_block", "chunk_blocks")
+    right = place(pool, ["document_version_hash", "chunk_index"], "chunk_block", "chunk_blocks", "event_block", "event_blocks")
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(
-        _block_top_k(k), "event_id string, chunk_id long, similarity double"
-    )
-    rank = F.row_number().over(W.partitionBy("event_id").orderBy(F.desc_nulls_last("similarity"), "chunk_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+        _block_top_k(k), "event_id string, contract_id string, document_version_hash string, chunk_index long, chunk_id long, "
+        "similarity double, compared long, held long")
+    order = W.partitionBy("event_id").orderBy(F.desc_nulls_last("similarity"), "chunk_index", "document_version_hash")
+    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return ranked if effort else ranked.drop("compared", "held")
 
 
 def retrieve_context(
@@ -193,12 +280,14 @@ def retrieve_context(
 ) -> DataFrame:
     """Retrieved chunks with their text and locator.
 
-    Texts are joined to the result by chunk id, after the search; a chunk that
-    a large share of the events retrieves is a skewed key of the left side,
-    which adaptive execution splits.
+    Texts are joined to the result by contract, version and index, after the
+    search; a chunk that a large share of the events retrieves is a skewed key
+    of the left side, which adaptive execution splits.
     """
-    details = chunks.drop("embedding_vector")
-    return retrieve(events, chunks, k, clause).join(details, "chunk_id")
+    details = chunks.drop("embedding_vector", "chunk_id").withColumnsRenamed({c: f"_{c}" for c in _KEY})
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) if c == "document_version_hash" else F.col(c) == F.col(f"_{c}") for c in _KEY]
+    found = retrieve(events, chunks, k, clause).withColumn("chunk_index", F.col("chunk_index").cast(chunks.schema["chunk_index"].dataType))
+    return found.join(details, reduce(and_, same)).drop(*[f"_{c}" for c in _KEY])
 
 
 def evidence_array(found: DataFrame) -> DataFrame:
@@ -235,18 +324,20 @@ def cached_retrieve(
     keyed = events.withColumn("cache_key", cache_key(clause))
     fresh = cache.filter(F.col("cached_at") > F.lit(now - dt.timedelta(seconds=ttl_seconds)))
     newest = fresh.groupBy("cache_key").agg(F.max_by("evidence", "cached_at").alias("evidence"))
-    same = (["cache_key"], ["event_id"])
-    hits = split_join(keyed, newest, *same).withColumn("cache_hit", F.lit(True))
-    missed = split_join(keyed, newest, *same, how="left_anti")
+    known = split_join(keyed, newest.withColumn("cache_hit", F.lit(True)), ["cache_key"], ["event_id"], "left")
+    # Written once: both answers below and the search read it.
+    known = materialize(known.withColumn("cache_hit", F.coalesce("cache_hit", F.lit(False))), "cache-answers")
+    missed = known.filter(~F.col("cache_hit")).drop("evidence")
     asked = missed.groupBy("cache_key").agg(
         F.first("contract_id").alias("contract_id"),
         F.first("document_version_hash").alias("document_version_hash"),
         F.first("query_vector").alias("query_vector"),
     ).withColumnRenamed("cache_key", "event_id")
-    found = evidence_array(retrieve_context(asked, chunks, k, clause)).withColumnRenamed("event_id", "cache_key")
-    searched = split_join(missed, found, *same, how="left").withColumn("cache_hit", F.lit(False))
+    found = materialize(
+        evidence_array(retrieve_context(asked, chunks, k, clause)).withColumnRenamed("event_id", "cache_key"), "cache-additions")
+    searched = split_join(missed, found, ["cache_key"], ["event_id"], how="left")
     additions = found.withColumn("cached_at", F.lit(now)).select("cache_key", "cached_at", "evidence")
-    return hits.unionByName(searched), additions
+    return known.filter("cache_hit").unionByName(searched), additions
 
 
 def retrieval_quality(events: DataFrame, found: DataFrame) -> DataFrame:

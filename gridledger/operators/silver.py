@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridledger import fixed_values as fv
 from gridledger.functions.scalars import hour_of, is_curtailed, kw_to_mwh, non_null, parse_time, positive
-from gridledger.functions.skew import lookup_join
+from gridledger.functions.skew import BROADCAST_ROWS, lookup_join
 from gridledger.profiles import METERED, TelemetryProfile
+from gridledger.session import materialize
 
 _KNOWN = "asset_is_known"
+# Types of the first order column for which a maximum is kept at fixed width.
+_FIXED_WIDTH = {"tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp", "timestamp_ntz"}
 
 
 def type_telemetry(bronze: DataFrame, profile: TelemetryProfile = METERED) -> DataFrame:
@@ -168,6 +173,40 @@ def _pick(df: DataFrame, keys: list[str], order: list[str], pick) -> DataFrame:
     return df.groupBy(*keys).agg(chosen).select(*keys, "_row.*").select(*df.columns)
 
 
+def latest_of_many(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """``latest`` where a key has very many rows: a stored table that is read twice and not sorted."""
+    return _pick_in_two(df, keys, order, F.max_by)
+
+
+def first_of_many(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """``dedupe_events`` where a key has very many rows."""
+    return _pick_in_two(df, keys, order, F.min_by)
+
+
+def _pick_in_two(df: DataFrame, keys: list[str], order: list[str], pick, max_keys: int = BROADCAST_ROWS) -> DataFrame:
+    """Pick by two phases: the best first order value per key, then the rows that have it.
+
+    The first phase reads keys and one number or time, which a hash aggregate
+    holds at fixed width. Its written result is broadcast to the rows, so rows
+    are neither sorted nor moved; ties and further order columns are settled
+    among the few that are left. A null order value ranks lowest, null keys
+    are a key. If there are too many keys to broadcast, they have few rows
+    each, and one aggregate over the rows moves less than a join.
+    """
+    if dict(df.dtypes)[order[0]] not in _FIXED_WIDTH:
+        return _pick(df, keys, order, pick)
+    value = F.col(order[0])
+    best = F.max(value)
+    if pick is F.min_by:
+        best = F.when(F.count_if(value.isNull()) == 0, F.min(value))
+    bests = materialize(df.groupBy(*keys).agg(best.alias("_best")), "best-values")
+    if bests.limit(max_keys + 1).count() > max_keys:
+        return _pick(df, keys, order, pick)
+    named = bests.select(*[F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)], "_best")
+    same = [df[k].eqNullSafe(named[f"_key_{i}"]) for i, k in enumerate(keys)] + [df[order[0]].eqNullSafe(named["_best"])]
+    return _pick(df.join(F.broadcast(named), reduce(and_, same), "left_semi"), keys, order, pick)
+
+
 def row_accounting(validated: DataFrame, by: Column | None = None) -> DataFrame:
     """Rows read, written and quarantined, in one pass."""
     grouped = validated.groupBy(by) if by is not None else validated.groupBy()

@@ -18,13 +18,6 @@ from gridledger.sources import sinks
 INSTRUCTION = "Explain the leakage case from the given facts and evidence only."
 RUN_AT = "2024-02-01 00:00:00"
 
-part("breaches", """
-SELECT *, sha256('BREACH|' || fact_record_hash) AS breach_event_id, associated_ppa_id AS contract_id,
-  CAST(hour_utc AS DATE) AS market_date,
-  CASE WHEN leakage_usd >= 500 THEN 'HIGH' WHEN leakage_usd >= 100 THEN 'MEDIUM' ELSE 'LOW' END AS severity
-FROM gold WHERE leakage_usd > 0
-""", ["gold"])
-
 part("links", """
 SELECT b.breach_event_id, d.document_id, d.document_type, CASE d.document_type WHEN 'ISO_CURTAILMENT_NOTICE' THEN 'OPERATIONAL_SUPPORT'
     ELSE 'SETTLEMENT_SUPPORT' END AS evidence_role, CASE d.document_type WHEN 'ISO_CURTAILMENT_NOTICE' THEN 2 ELSE 3 END AS role_rank,

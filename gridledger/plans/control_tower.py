@@ -47,37 +47,77 @@ def dispute_kpis(spark, sf_dir):
 
 
 def pipeline_runs(spark, sf_dir):
-    """One Silver run per day and source partition; a day with schema trouble failed."""
-    rows = t.validated(spark, sf_dir)
-    day = F.to_date("kafka_timestamp")
-    daily = rows.groupBy(day.alias("day"), "kafka_partition").agg(
-        F.count("*").alias("rows_read"), F.count_if(F.col("validation_error_code").isNull()).alias("rows_written"),
-        F.count_if(F.col("validation_error_code").isNotNull()).alias("rows_quarantined"),
-        F.count_if(F.col("validation_error_code") == "INVALID_TIMESTAMP").alias("quality_failure_count"),
-        F.max("bronze_ingested_at").alias("completed_at"),
-    )
-    return daily.withColumns({
-        "pipeline_name": F.concat(F.lit("silver"), F.col("kafka_partition").cast("string")), "layer_name": F.lit("silver"),
-        "status": F.when(F.col("quality_failure_count") > 0, "FAILED").otherwise("SUCCESS"),
-    })
+    """The run ledger: Silver per day and source partition, snapshots per delivery day, the fact per market day.
+
+    A Silver day with schema trouble failed, a snapshot with urgent orders still
+    pending, a fact day with hours that lack a contract.
+    """
+    def runs(rows, name, layer, day, failures, completed, written=None):
+        written = F.lit(True) if written is None else written
+        return rows.groupBy(name.alias("pipeline_name"), F.lit(layer).alias("layer_name"), day.alias("day")).agg(
+            F.count("*").alias("rows_read"), F.count_if(written).alias("rows_written"), F.count_if(~written).alias("rows_quarantined"),
+            F.count_if(failures).alias("quality_failure_count"), F.max(completed).alias("completed_at"))
+
+    code = F.col("validation_error_code")
+    silver_runs = runs(
+        t.validated(spark, sf_dir), F.concat(F.lit("silver"), F.col("kafka_partition").cast("string")), "silver",
+        F.to_date("kafka_timestamp"), code == "INVALID_TIMESTAMP", F.col("bronze_ingested_at"), written=code.isNull())
+    pending = F.col("o_orderstatus") == "P"
+    snapshots = runs(
+        t.read(spark, sf_dir, "orders"), F.lit("snapshot_orders"), "snapshot", F.col("o_orderdate").cast("date"),
+        pending & (F.col("o_orderpriority") == "1-URGENT"), F.col("o_orderdate").cast("timestamp") + F.expr("interval 1 hour"),
+        written=~pending)
+    hour = F.col("reconciliation_hour_utc")
+    facts = runs(
+        t.gold_fact(spark, sf_dir), F.lit("fact_revenue_leakage"), "gold", F.to_date(hour), F.col("associated_ppa_id").isNull(),
+        hour + F.expr("interval 2 hours"))
+    return silver_runs.unionByName(snapshots).unionByName(facts).withColumn(
+        "status", F.when(F.col("quality_failure_count") > 0, "FAILED").otherwise("SUCCESS"))
+
+
+part("ledger", """
+SELECT 'silver' || kafka_partition AS pipeline_name, 'silver' AS layer_name, CAST(kafka_timestamp AS DATE) AS day, count(*) AS n,
+  count(*) FILTER (WHERE code IS NULL) AS ok, count(*) FILTER (WHERE code = 'INVALID_TIMESTAMP') AS bad, max(bronze_ingested_at) AS done
+FROM validated GROUP BY ALL
+UNION ALL
+SELECT 'snapshot_orders', 'snapshot', CAST(o_orderdate AS DATE) AS day, count(*), count(*) FILTER (WHERE o_orderstatus <> 'P'),
+  count(*) FILTER (WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT'), max(CAST(o_orderdate AS TIMESTAMP)) + INTERVAL 1 HOUR
+FROM orders GROUP BY ALL
+UNION ALL
+SELECT 'fact_revenue_leakage', 'gold', CAST(hour_utc AS DATE) AS day, count(*), count(*), count(*) FILTER (WHERE associated_ppa_id IS NULL),
+  max(hour_utc) + INTERVAL 2 HOUR FROM gold GROUP BY ALL
+""", ["validated", "gold"])
 
 
 @query("ingest_health", """
-SELECT 'silver' || kafka_partition AS pipeline_name, count(*) AS runs, round(avg(CASE WHEN bad = 0 THEN 1.0 ELSE 0.0 END), 9) AS success_rate,
+SELECT pipeline_name, layer_name, count(*) AS runs, round(avg(CASE WHEN bad = 0 THEN 1.0 ELSE 0.0 END), 9) AS success_rate,
   sum(n)::BIGINT AS rows_read, sum(ok)::BIGINT AS rows_written, sum(n - ok)::BIGINT AS rows_quarantined, sum(bad)::BIGINT AS quality_failures,
   round(sum(n - ok) / sum(n)::DOUBLE, 9) AS quality_failure_rate,
   strftime(max(CASE WHEN bad = 0 THEN done END), '%Y-%m-%d %H:%M:%S') AS last_success_at
-FROM (SELECT kafka_partition, CAST(kafka_timestamp AS DATE) AS day, count(*) AS n, count(*) FILTER (WHERE code IS NULL) AS ok,
-    count(*) FILTER (WHERE code = 'INVALID_TIMESTAMP') AS bad, max(bronze_ingested_at) AS done FROM validated GROUP BY 1, 2)
-GROUP BY 1
-""", ["validated"])
+FROM ledger GROUP BY 1, 2
+""", ["ledger"])
 def ingest_health(spark, sf_dir):
     return ops.pipeline_health(pipeline_runs(spark, sf_dir)).select(
-        "pipeline_name", "runs", _r("success_rate"), "rows_read", "rows_written", "rows_quarantined", "quality_failures",
+        "pipeline_name", "layer_name", "runs", _r("success_rate"), "rows_read", "rows_written", "rows_quarantined", "quality_failures",
         _r("quality_failure_rate"), time_text("last_success_at").alias("last_success_at"),
     )
 
 
+@query("platform_health", """
+SELECT count(*) FILTER (WHERE layer_name = 'snapshot') AS snapshot_runs,
+  round(avg(CASE WHEN layer_name = 'snapshot' THEN CASE WHEN bad = 0 THEN 1.0 ELSE 0.0 END END), 9) AS snapshot_success_rate,
+  count(*) FILTER (WHERE layer_name <> 'snapshot') AS model_runs,
+  round(avg(CASE WHEN layer_name <> 'snapshot' THEN CASE WHEN bad = 0 THEN 1.0 ELSE 0.0 END END), 9) AS model_success_rate,
+  strftime(max(CASE WHEN layer_name = 'gold' AND bad = 0 THEN done END), '%Y-%m-%d %H:%M:%S') AS last_gold_refresh_at
+FROM ledger
+""", ["ledger"])
+def platform_health(spark, sf_dir):
+    """Snapshot and model success and the last refresh of the fact."""
+    return ops.platform_health(pipeline_runs(spark, sf_dir)).withColumns({
+        "snapshot_success_rate": F.round("snapshot_success_rate", _RATE), "model_success_rate": F.round("model_success_rate", _RATE),
+        "last_gold_refresh_at": time_text("last_gold_refresh_at")})
+
+
 @query("layer_row_counts", """
 SELECT 'all' AS scope, count(*) AS rows_read, count(*) FILTER (WHERE code IS NULL) AS rows_written,
   count(*) FILTER (WHERE code IS NOT NULL) AS rows_quarantined FROM validated
@@ -90,7 +130,8 @@ def layer_row_counts(spark, sf_dir):
 SELECT count(*) AS total_runs, count(*) FILTER (WHERE status = 'SUCCESS') AS successful_runs,
   count(*) FILTER (WHERE status = 'FAILED') AS failed_runs, round(avg(retrieval_ms), 6) AS avg_retrieval_ms,
   round(avg(synthesis_ms), 6) AS avg_synthesis_ms, round(avg(chunks), 6) AS avg_chunk_count,
-  sum(CAST(top_similarity AS DECIMAL(18,2)))::DOUBLE AS top_similarity_sum,
+  round(sum(CAST(top_similarity AS DECIMAL(18,2)))::DOUBLE / count(*), 9) AS avg_top_similarity,
+  count(*) FILTER (WHERE wrong_contract) AS wrong_contract_blocked,
   round(avg(CASE WHEN chunks = 0 THEN 1.0 ELSE 0.0 END), 9) AS no_evidence_rate,
   round(avg(CASE WHEN citations > 0 THEN 1.0 ELSE 0.0 END), 9) AS citation_coverage,
   round(avg(CASE WHEN guard_ok THEN 0.0 ELSE 1.0 END), 9) AS guardrail_failure_rate,
@@ -102,7 +143,7 @@ FROM runs
 def rag_run_kpis(spark, sf_dir):
     out = ops.rag_kpis(t.rag_runs(spark, sf_dir))
     rounded = {c: F.round(c, 6) for c in ("avg_retrieval_ms", "avg_synthesis_ms", "avg_chunk_count")}
-    rates = [c for c in out.columns if c.endswith("_rate") or c.endswith("_coverage")]
+    rates = [c for c in out.columns if c.endswith(("_rate", "_coverage", "_similarity"))]
     return out.withColumns(rounded | {c: F.round(c, _RATE) for c in rates})
 
 
@@ -368,7 +409,7 @@ def summary_document(spark, sf_dir):
     quality = ops.rag_kpis(t.rag_runs(spark, sf_dir)).select(
         F.col("total_runs").alias("rag_runs"), (1 - F.col("guardrail_failure_rate")).alias("guardrail_pass_rate"),
         F.col("citation_coverage").alias("citation_coverage_rate"),
-        (F.col("top_similarity_sum") / F.col("total_runs")).alias("average_top_similarity"),
+        F.col("avg_top_similarity").alias("average_top_similarity"),
     )
     usage = ops.price_usage(t.llm_usage(spark, sf_dir), t.models(spark, sf_dir)).agg(
         F.sum(F.col("prompt_tokens") + F.col("completion_tokens")).alias("total_tokens"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
 
 from pyspark.sql import functions as F
 
@@ -192,6 +193,54 @@ def table_chunks(spark, sf_dir):
     return ops.table_chunks(_tables(spark, sf_dir), _KEYS).select("document_id", "table_index", "text_snippet", "clause_type")
 
 
+def _order_lines(spark, sf_dir):
+    """Orders as texts of one or two sections on pages of their own, line by line."""
+    def line(no: int, page: int, text):
+        return F.struct(F.lit(no).alias("line_no"), F.lit(page).alias("page"), text.alias("text"))
+
+    first = (line(0, 1, F.lit("Section 1.1: Order terms")), line(1, 1, F.concat(
+        F.lit("Order "), F.col("o_orderkey").cast("string"), F.lit(" is for customer "), F.col("o_custkey").cast("string"), F.lit("."))))
+    second = (line(2, 2, F.lit("Section 2.1: Price")), line(3, 2, F.lit("The contract price is fixed.")))
+    lines = F.when(F.col("o_orderstatus") == "F", F.array(*first, *second)).otherwise(F.array(*first))
+    return t.read(spark, sf_dir, "orders").select(
+        F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("document_id"), F.inline(lines))
+
+
+def _order_tables(spark, sf_dir):
+    """Order lines as tables of their order; those of the second line are blank."""
+    def cell(column: int, text):
+        return F.struct(F.lit(0).alias("row"), F.lit(column).alias("column"), text.alias("content"))
+
+    number = F.col("l_linenumber").cast("int")
+    texts = (F.concat(F.lit("Line "), number.cast("string")), F.concat(F.lit("Part "), F.col("l_partkey").cast("string")))
+    return t.read(spark, sf_dir, "lineitem").select(
+        F.concat(F.lit("O"), F.col("l_orderkey").cast("string")).alias("document_id"),
+        (number * 1_000_000 + F.col("l_partkey").cast("int")).alias("table_index"), F.lit(3).alias("page_number"),
+        F.when(number == 2, F.array(cell(0, F.lit("  ")))).otherwise(F.array(*[cell(i, x) for i, x in enumerate(texts)])).alias("cells"))
+
+
+@query("document_table_chunks", f"""
+SELECT *, coalesce({clause_sql('text_snippet')}, CASE WHEN section_heading = 'TABLE' THEN 'table' END) AS clause_type FROM (
+  SELECT 'O' || o_orderkey AS document_id, 0 AS chunk_index, 1 AS page_number, 'Section 1.1: Order terms' AS section_heading,
+    'Section 1.1: Order terms Order ' || o_orderkey || ' is for customer ' || o_custkey || '.' AS text_snippet,
+    '{{"kind":"text_section","page_number":1,"section_heading":"Section 1.1: Order terms"}}' AS source_locator FROM orders
+  UNION ALL
+  SELECT 'O' || o_orderkey, 1, 2, 'Section 2.1: Price', 'Section 2.1: Price The contract price is fixed.',
+    '{{"kind":"text_section","page_number":2,"section_heading":"Section 2.1: Price"}}' FROM orders WHERE o_orderstatus = 'F'
+  UNION ALL
+  SELECT 'O' || o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 2 ELSE 1 END
+      + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) - 1, 3, 'TABLE',
+    'Line ' || l_linenumber || ' | Part ' || l_partkey,
+    '{{"kind":"table","page_number":3,"table_index":' || (l_linenumber * 1000000 + l_partkey) || ',"cells":[{{"row":0,"column":0,"content":"Line '
+      || l_linenumber || '"}},{{"row":0,"column":1,"content":"Part ' || l_partkey || '"}}]}}'
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber <> 2)
+""")
+def document_table_chunks(spark, sf_dir):
+    """Text sections by page, then the tables of the document, numbered on."""
+    lines = ops.group_lines(_order_lines(spark, sf_dir), _KEYS)
+    return ops.build_chunks(lines, _KEYS, _order_tables(spark, sf_dir)).withColumn("chunk_index", F.col("chunk_index").cast("long"))
+
+
 @query("document_registry", f"""
 SELECT document_id, document_type, asset_id, contract_id, 'Section 1.1: Contract Price and Term' AS document_title,
   strftime(TRY_CAST(nullif(regexp_extract(body, '(^|[^0-9A-Za-z_])([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})', 2), '') AS DATE), '%Y-%m-%d') AS text_date
@@ -261,13 +310,12 @@ def current_documents(spark, sf_dir):
 @query("chunk_inventory", """
 SELECT d.contract_id, d.asset_id, d.document_version_hash, count(c.doc_id) AS chunk_count,
   strftime(min(CASE WHEN c.doc_id IS NOT NULL THEN d.ingested_at END), '%Y-%m-%d %H:%M:%S') AS first_chunk_created_at
-FROM docs d LEFT JOIN (SELECT doc_id, unnest(range((length(text) + 749) // 750)) AS i FROM documents WHERE lang <> 'es') c
-  ON d.doc_id = c.doc_id
+FROM docs d LEFT JOIN (SELECT doc_id, unnest(range((length(text) + 749) // 750)) AS i FROM documents) c ON d.doc_id = c.doc_id
 GROUP BY 1, 2, 3
 """, ["docs"])
 def chunk_inventory(spark, sf_dir):
-    """Spanish texts are not chunked yet, so their parents have no children."""
-    raw = t.read(spark, sf_dir, "documents").filter(F.col("lang") != "es").select(
+    """Chunks of every text; a parent without text has none and stays."""
+    raw = t.read(spark, sf_dir, "documents").select(
         F.concat(F.lit("PDOC"), F.col("doc_id").cast("string")).alias("parent_id"), "text",
         (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(secs=F.col("doc_id").cast("decimal(18,6)"))).alias(
             "created_at_timestamp"),
@@ -360,29 +408,42 @@ def _versioned_events(spark, sf_dir):
 @query("retrieval_quality", """
 SELECT 'E' || q.vec_id AS event_id, 'src' || q.label AS contract_id, coalesce(n, 0) AS retrieved_chunk_count,
   top AS top_similarity_score, round(mean, 7) AS average_similarity_score, n IS NULL AS no_evidence_flag,
-  FALSE AS wrong_contract_blocked_flag
+  n IS NOT NULL AND q.label = 8 AS wrong_contract_blocked_flag
 FROM embeddings q LEFT JOIN (SELECT event_id, count(*) AS n, max(similarity) AS top, avg(similarity) AS mean
   FROM found WHERE contract_id <> 'src9' GROUP BY 1) ON event_id = 'E' || q.vec_id
 """, ["found"])
 def retrieval_quality(spark, sf_dir):
+    """Events of contract 8 come with a best chunk that another contract owns, as a faulty store would give."""
     events = _versioned_events(spark, sf_dir)
-    found = retrieval.retrieve_context(events, t.vector_chunks(spark, sf_dir))
+    found = retrieval.retrieve_context(events, t.vector_chunks(spark, sf_dir)).withColumn(
+        "contract_id", F.when((F.col("contract_id") == "src8") & (F.col("rank") == 1), "src0").otherwise(F.col("contract_id")))
     return retrieval.retrieval_quality(events, found).withColumn(
         "average_similarity_score", F.round("average_similarity_score", 7)
     ).drop("document_version_hash")
 
 
-@query("retrieval_queries", """
-SELECT fact_record_hash, 'Find PPA clauses for curtailment settlement variance. Contract: ' || associated_ppa_id || '. Asset: ' || asset_id
-  || '. ISO region: ' || iso_region || '. Revenue variance from Gold table: ' || CAST(round(leakage_usd, 2) AS VARCHAR)
-  || '. Focus on curtailment compensation, settlement true-up, notice, dispute, limitations of liability, and payment adjustment language.'
-  AS query_text FROM gold WHERE leakage_usd > 0
-""", ["gold"])
-def retrieval_queries(spark, sf_dir):
+def _filled(template: str, values: dict[str, str]) -> str:
+    """SQL for a fixed text with SQL expressions in its places."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return " || ".join(values[x] if i % 2 else "'" + x.replace("'", "''") + "'" for i, x in enumerate(parts) if x)
+
+
+part("breach_queries", f"""
+SELECT breach_event_id AS event_id, fact_record_hash, contract_id, {_filled(fv.RETRIEVAL_QUERY, {
+    "event_type": f"'{fv.DEFAULT_EVENT_TYPE}'", "contract_id": "associated_ppa_id", "asset_id": "asset_id",
+    "iso_region": "iso_region", "leakage": "CAST(round(leakage_usd, 2) AS VARCHAR)"})} AS query_text FROM breaches
+""", ["breaches"])
+
+
+def _breach_queries(spark, sf_dir):
     rows = breach_events(t.gold_fact(spark, sf_dir)).withColumn(
-        "estimated_leakage_revenue_usd", F.round("estimated_leakage_revenue_usd", 2)
-    )
-    return retrieval.retrieval_query(rows).select("fact_record_hash", "query_text")
+        "estimated_leakage_revenue_usd", F.round("estimated_leakage_revenue_usd", 2))
+    return retrieval.retrieval_query(rows)
+
+
+@query("retrieval_queries", "SELECT fact_record_hash, query_text FROM breach_queries", ["breach_queries"])
+def retrieval_queries(spark, sf_dir):
+    return _breach_queries(spark, sf_dir).select("fact_record_hash", "query_text")
 
 
 @query("evidence_prompts", """
@@ -401,12 +462,24 @@ def evidence_prompts(spark, sf_dir):
     return packs.select("event_id", prompt.alias("prompt"))
 
 
-@query("cached_retrieval", """
-SELECT 'E' || vec_id AS event_id, label < 5 AS cache_hit, n AS evidence_count FROM embeddings JOIN (
-  SELECT event_id, count(*) AS n FROM found GROUP BY 1) ON event_id = 'E' || vec_id
+_CACHE_KEY = (
+    """'rag:' || sha256('{"clause_type":null,"contract_id":"src' || label || '","document_version_hash":null,"embedding_model":"'"""
+    f""" || '{fv.EMBEDDING_MODEL}","query":"E' || vec_id || '","retrieval_version":"{fv.RETRIEVAL_VERSION}"}}')""")
+
+
+part("places", """
+SELECT vec_id, label, places FROM embeddings JOIN (
+  SELECT event_id, string_agg(chunk_id || ' chunk ' || chunk_id, ',' ORDER BY rank) AS places FROM found GROUP BY 1) ON event_id = 'E' || vec_id
 """, ["found"])
+
+
+@query("cached_retrieval", f"""
+SELECT 'answer' AS part, 'E' || vec_id AS name, label < 5 AS cache_hit, places, NULL AS cached_at FROM places
+UNION ALL
+SELECT 'addition', {_CACHE_KEY}, NULL, places, '2024-02-01 12:00:00' FROM places WHERE label >= 5
+""", ["places"])
 def cached_retrieval(spark, sf_dir):
-    """Answers for contracts 0 to 4 are cached, those for the others are too old."""
+    """Answers for contracts 0 to 4 are cached, those for the others are too old and are cached again."""
     now = dt.datetime(2024, 2, 1, 12, 0, 0)
     events = t.vector_events(spark, sf_dir).withColumn("query_text", F.col("event_id"))
     chunks = t.vector_chunks(spark, sf_dir)
@@ -416,38 +489,79 @@ def cached_retrieval(spark, sf_dir):
         retrieval.cache_key().alias("cache_key"),
         (F.lit(now) - F.make_dt_interval(secs=age.cast("decimal(18,6)"))).alias("cached_at"), "evidence",
     )
-    answered, _ = retrieval.cached_retrieve(events, chunks, cache, now)
-    return answered.select("event_id", "cache_hit", F.size("evidence").cast("bigint").alias("evidence_count"))
+    answered, added = retrieval.cached_retrieve(events, chunks, cache, now)
+    places = F.array_join(F.transform("evidence", lambda e: F.concat_ws(" ", e["chunk_index"], e["text_snippet"])), ",").alias("places")
+    return answered.select(
+        F.lit("answer").alias("part"), F.col("event_id").alias("name"), "cache_hit", places, F.lit(None).cast("string").alias("cached_at"),
+    ).unionByName(added.select(
+        F.lit("addition").alias("part"), F.col("cache_key").alias("name"), F.lit(None).cast("boolean").alias("cache_hit"), places,
+        time_text("cached_at").alias("cached_at")))
+
+
+def _hashed(keys: str, text: str, source: str) -> str:
+    """SQL for signed token hashes of unit length, as ``vec`` beside the keys."""
+    size = retrieval.HASH_DIMENSIONS
+    return f"""
+SELECT {keys}, list((v / norm)::FLOAT::DOUBLE ORDER BY place) AS vec FROM (
+  SELECT *, sqrt(sum(v * v) OVER (PARTITION BY {keys})) AS norm FROM (
+    SELECT {keys}, place, coalesce(sum(CASE WHEN hit = place THEN sign END), 0)::DOUBLE AS v FROM (
+      SELECT {keys}, ('0x' || substr(digest, 1, 8))::BIGINT % {size} AS hit, CASE WHEN substr(digest, 9, 1) >= '8' THEN 1 ELSE -1 END AS sign
+      FROM (SELECT {keys}, md5(unnest(list_filter(string_split_regex(lower({text}), '{retrieval.TOKEN_SPACE}'), lambda x: x <> ''))) AS digest
+        FROM {source})), (SELECT unnest(range({size})) AS place)
+    GROUP BY {keys}, place)) GROUP BY {keys}"""
+
+
+part("chunk_vectors", _hashed("document_id, chunk_index", "text_snippet", "chunks") , ["chunks"])
 
 
 @query("embedded_chunks", """
-SELECT document_id, chunk_index, 64 AS dimensions, CAST(1 AS DOUBLE) AS norm FROM chunks WHERE text_snippet <> ''
-""", ["chunks"])
+SELECT document_id, chunk_index, len(vec) AS dimensions, round(sqrt(list_sum(list_transform(vec, lambda x: x * x))), 4) AS norm,
+  round(list_sum(list_transform(vec, lambda x, i: x * i)), 4) AS weighted,
+  array_to_string(list_transform(vec, lambda x: CASE WHEN x > 0 THEN '+' WHEN x < 0 THEN '-' ELSE '0' END), '') AS signs FROM chunk_vectors
+""", ["chunk_vectors"])
 def embedded_chunks(spark, sf_dir):
-    """Chunk vectors from the hashing embedder: every chunk has one, of unit length."""
+    """Chunk vectors from the hashing embedder, compared by sign at every place, by length and by a weighted sum."""
     chunks = ops.build_chunks(_lines(spark, sf_dir), _KEYS).select("document_id", "chunk_index", "text_snippet")
     rows = retrieval.embed(chunks, "text_snippet", "embedding_vector")
-    norm = F.aggregate("embedding_vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    wide = F.transform("embedding_vector", lambda x: x.cast("double"))
+    norm = F.aggregate(wide, F.lit(0.0), lambda a, x: a + x * x)
+    weighted = F.aggregate(F.transform(wide, lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    signs = F.transform(wide, lambda x: F.when(x > 0, "+").when(x < 0, "-").otherwise("0"))
     return rows.select(
-        "document_id", "chunk_index", F.size("embedding_vector").alias("dimensions"), F.round(F.sqrt(norm), 4).alias("norm")
-    )
+        "document_id", "chunk_index", F.size("embedding_vector").alias("dimensions"), F.round(F.sqrt(norm), 4).alias("norm"),
+        F.round(weighted, 4).alias("weighted"), F.array_join(signs, "").alias("signs"))
 
 
 def contract_chunks(spark, sf_dir):
     """Chunks of all contract texts with ids and vectors."""
     docs = t.documents(spark, sf_dir).select("contract_id", "document_version_hash", "document_id", "raw_text_content")
     # Copies of one text in one contract are one version.
-    versions = docs.groupBy("contract_id", "document_version_hash").agg(
-        F.min("document_id").alias("document_id"), F.min("raw_text_content").alias("raw_text_content")
-    )
+    firsts = docs.groupBy("contract_id", "document_version_hash").agg(F.min("document_id").alias("document_id"))
+    versions = docs.join(firsts.select("document_id"), "document_id", "left_semi")
     chunks = ops.build_chunks(ops.to_lines(versions), ["contract_id", "document_version_hash"])
     return retrieval.embed(ops.with_chunk_id(chunks), "text_snippet", "embedding_vector")
 
 
-@query("breach_context")
+part("contract_chunks", """
+SELECT contract_id, document_version_hash, c.chunk_index, text_snippet, vec FROM (
+  SELECT contract_id, document_version_hash, min(document_id) AS document_id FROM docs GROUP BY 1, 2)
+JOIN chunks c USING (document_id) JOIN chunk_vectors v USING (document_id, chunk_index)
+""", ["docs", "chunks", "chunk_vectors"])
+
+part("query_vectors", _hashed("event_id, contract_id", "query_text", "breach_queries"), ["breach_queries"])
+
+
+@query("breach_context", f"""
+SELECT * FROM (
+  SELECT event_id, row_number() OVER (PARTITION BY event_id ORDER BY similarity DESC, chunk_index, document_version_hash) AS rank,
+    contract_id, document_version_hash, chunk_index, {clause_sql('text_snippet')} AS clause_type, similarity
+  FROM (SELECT q.event_id, q.contract_id, c.document_version_hash, c.chunk_index, c.text_snippet,
+      round(list_cosine_similarity(q.vec, c.vec), 9) AS similarity
+    FROM query_vectors q JOIN contract_chunks c ON q.contract_id = c.contract_id)) WHERE rank <= {fv.RETRIEVAL_TOP_K}
+""", ["query_vectors", "contract_chunks"])
 def breach_context(spark, sf_dir):
     """Contract text for every breach: embedded query against the embedded chunks of its contract."""
-    events = retrieval.retrieval_query(breach_events(t.gold_fact(spark, sf_dir))).select(
+    events = _breach_queries(spark, sf_dir).select(
         F.col("breach_event_id").alias("event_id"), "contract_id", F.lit(None).cast("string").alias("document_version_hash"),
         "query_text",
     )

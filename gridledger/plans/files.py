@@ -162,24 +162,66 @@ def manifest_landing(spark, sf_dir):
 
 @query("json_array_files", "SELECT o_orderkey, o_custkey, round(o_totalprice, 2) AS o_totalprice FROM orders")
 def json_array_files(spark, sf_dir):
-    """Orders as files that each hold one JSON array, one of every customer."""
+    """Orders as files that each hold one JSON array of bounded length; their number follows from the rows."""
     path = work_path(spark, "arrays")
     rows = t.read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.round("o_totalprice", 2).alias("o_totalprice"))
-    listed = rows.groupBy(F.pmod("o_custkey", F.lit(50)).alias("part"), "o_custkey").agg(F.collect_list(F.struct(*rows.columns)).alias("a"))
-    one_file = listed.groupBy("part").agg(F.to_json(F.flatten(F.collect_list("a"))).alias("text"))
-    one_file.repartition("part").write.partitionBy("part").text(path)
+    _in_files(rows, F.to_json(F.collect_list(F.struct(*rows.columns))), path)
     return files.scan_json_array(spark, path, rows.schema).select(*rows.columns)
 
 
+_ROWS_PER_FILE = 1000
+
+
+def _in_files(rows, text, path: str) -> None:
+    """Rows dealt out by hash, about 1,000 to a file, and each file's rows as one ``text``."""
+    count = -(-rows.count() // _ROWS_PER_FILE)
+    dealt = rows.groupBy(F.pmod(F.xxhash64(*rows.columns), F.lit(max(count, 1))).alias("part")).agg(text.alias("text"))
+    dealt.select("text").write.option("maxRecordsPerFile", 1).text(path)
+
+
+@query("case_package_files", """
+SELECT 'object' AS shape, 'B' || s_suppkey AS breach_event_id, s_name AS asset_name, 'PPA' AS document_type FROM supplier
+UNION ALL SELECT 'list', 'B' || c_custkey, c_name, 'PPA' FROM customer
+UNION ALL SELECT 'wrapped', 'B' || p_partkey, p_name, 'PPA' FROM part
+""")
+def case_package_files(spark, sf_dir):
+    """Case packages delivered as single objects, as lists, and as objects with a list of cases."""
+    shapes = {"object": ("supplier", "s_suppkey", "s_name"), "list": ("customer", "c_custkey", "c_name"), "wrapped": ("part", "p_partkey", "p_name")}
+    path, found = work_path(spark, "packages"), []
+    for shape, (table, key, name) in shapes.items():
+        evidence = F.array(F.struct(F.lit(1).alias("context_rank"), F.lit("PPA").alias("document_type")))
+        cases = t.read(spark, sf_dir, table).select(
+            F.concat(F.lit("B"), F.col(key).cast("string")).alias("breach_event_id"), F.col(name).alias("asset_name"),
+            evidence.alias("evidence_context"))
+        target, listed = f"{path}/{shape}", F.collect_list(F.struct(*cases.columns))
+        if shape == "object":
+            cases.select(F.to_json(F.struct(*cases.columns)).alias("text")).write.option("maxRecordsPerFile", 1).text(target)
+        else:
+            _in_files(cases, F.to_json(listed if shape == "list" else F.struct(listed.alias("cases"))), target)
+        found.append(files.scan_case_packages(spark, target).select(
+            F.lit(shape).alias("shape"), "breach_event_id", "asset_name", F.col("evidence_context")[0]["document_type"].alias("document_type")))
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@query("registered_table", "SELECT s_suppkey, s_name, round(s_acctbal, 2) AS s_acctbal FROM supplier")
+def registered_table(spark, sf_dir):
+    """A table saved under a checked name and read back by that name."""
+    path = work_path(spark, "registered")
+    name = f"default.suppliers_{path.rsplit('-', 1)[-1]}"
+    sinks.register(t.read(spark, sf_dir, "supplier").select("s_suppkey", "s_name", F.round("s_acctbal", 2).alias("s_acctbal")), name, path=path)
+    return spark.table(name)
+
+
 @query("document_files", """
 SELECT sha256(text || chr(10)) AS document_version_hash, md5(text || chr(10)) AS text_md5, count(*) AS file_count
 FROM documents WHERE text IS NOT NULL GROUP BY text
 """)
 def document_files(spark, sf_dir):
-    """Every text as a file of its own, read back with the hash of the file's bytes."""
+    """Every text as a file of its own in hashed folders, read back with the hash of the file's bytes."""
     path = work_path(spark, "texts")
-    t.read(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", "text").write.partitionBy("doc_id").text(path)
-    return files.scan_documents(spark, path + "/*/*").groupBy("document_version_hash", F.md5("raw_text_content").alias("text_md5")).agg(
+    rows = t.read(spark, sf_dir, "documents").filter("text IS NOT NULL").select(F.pmod("doc_id", F.lit(64)).alias("folder"), "text")
+    rows.write.option("maxRecordsPerFile", 1).partitionBy("folder").text(path)
+    return files.scan_documents(spark, path).groupBy("document_version_hash", F.md5("raw_text_content").alias("text_md5")).agg(
         F.count("*").alias("file_count"))
 
 

@@ -152,33 +152,50 @@ def stream_curtailment_sessions(spark, sf_dir):
     )
 
 
+def _land_part(spark, events, path: str, n: int):
+    """A third of the events, and a third of the earlier ones again; hours of earlier parts get late rows."""
+    turn = F.pmod(F.col("event_id"), F.lit(3))
+    again = events.filter((turn < n) & (F.pmod(F.col("event_id"), F.lit(9)) < 3))
+    events.filter(turn == n).unionByName(again).write.mode("append").parquet(path)
+    return jobs.file_stream(spark, path, events.schema)
+
+
 @query("stream_gold_remerge", """
 SELECT fact_record_hash, sample_count, round(leakage_usd, 6) AS estimated_leakage_revenue_usd FROM gold
 """, ["gold"])
 def stream_gold_remerge(spark, sf_dir):
+    """Events in three parts with late and repeated rows; the fact is merged after each."""
     path = work_path(spark, "gold")
-    valid = path + "/silver"
-    jobs.run_silver(
-        _bronze(spark, sf_dir), valid, path + "/quarantine", path + "/silver-checkpoint",
-        known_assets=t.known_assets(spark, sf_dir),
-    )
-    table = spark.read.parquet(valid)
-    jobs.run_gold(
-        jobs.file_stream(spark, valid, table.schema), lambda: spark.read.schema(table.schema).parquet(valid),
-        t.gold_dims(spark, sf_dir), path + "/fact", path + "/gold-checkpoint", t.SAMPLE_SECONDS,
-    )
+    valid, dims = path + "/silver", t.gold_dims(spark, sf_dir)
+    events, assets = t.read(spark, sf_dir, "events"), t.known_assets(spark, sf_dir)
+    for n in range(3):
+        part_ = t.bronze_from(_land_part(spark, events, path + "/events", n))
+        jobs.run_silver(part_, valid, path + "/quarantine", path + "/silver-checkpoint", known_assets=assets)
+        schema = spark.read.parquet(valid).schema
+        jobs.run_gold(
+            jobs.file_stream(spark, valid, schema), lambda: spark.read.schema(schema).parquet(valid),
+            dims, path + "/fact", path + "/gold-checkpoint", t.SAMPLE_SECONDS,
+        )
     return spark.read.parquet(path + "/fact").select(
         "fact_record_hash", "sample_count",
         F.round("estimated_leakage_revenue_usd", 6).alias("estimated_leakage_revenue_usd"),
     )
 
 
-@query("stream_batch_metrics", "SELECT count(*) AS input_rows FROM events")
+@query("stream_batch_metrics", """
+SELECT kafka_offset % 3 AS batch_id, count(*) AS input_rows, strftime(max(kafka_timestamp), '%Y-%m-%d %H:%M:%S') AS newest,
+  max(date_diff('second', date_trunc('second', kafka_timestamp), bronze_ingested_at)) AS max_lag_seconds FROM bronze GROUP BY 1
+""", ["bronze"])
 def stream_batch_metrics(spark, sf_dir):
-    """Rows counted per micro-batch in the written table."""
+    """Rows, newest broker time and longest lag of three micro-batches, observed while they are written."""
     path = work_path(spark, "metrics")
-    jobs.land_batches(_events(spark, sf_dir), path, path + "-checkpoint")
-    return jobs.batch_metrics(spark.read.parquet(path)).agg(F.sum("input_rows").alias("input_rows"))
+    events = t.read(spark, sf_dir, "events")
+    for n in range(3):
+        events.filter(F.pmod(F.col("event_id"), F.lit(3)) == n).write.mode("append").parquet(path + "/events")
+        stream = t.bronze_from(jobs.file_stream(spark, path + "/events", events.schema, files_per_batch=1_000_000))
+        jobs.land_batches(stream, path + "/landed", path + "/checkpoint", "kafka_timestamp", "bronze_ingested_at")
+    return jobs.batch_metrics(spark, path + "/landed").select(
+        F.col("batch_id").cast("long").alias("batch_id"), "input_rows", time_text("newest").alias("newest"), "max_lag_seconds")
 
 
 @query("stream_silver_redelivery", """
@@ -188,12 +205,9 @@ def stream_silver_redelivery(spark, sf_dir):
     """Events in three batches, a third of them delivered again in each later batch."""
     path = work_path(spark, "redelivery")
     events = t.read(spark, sf_dir, "events")
-    turn = F.pmod(F.col("event_id"), F.lit(3))
     for n in range(3):
-        again = events.filter((turn < n) & (F.pmod(F.col("event_id"), F.lit(9)) < 3))
-        events.filter(turn == n).unionByName(again).write.mode("append").parquet(path + "/events")
         jobs.run_silver(
-            t.bronze_from(jobs.file_stream(spark, path + "/events", events.schema)), path + "/valid", path + "/quarantine",
+            t.bronze_from(_land_part(spark, events, path + "/events", n)), path + "/valid", path + "/quarantine",
             path + "/checkpoint", known_assets=t.known_assets(spark, sf_dir))
     valid = spark.read.parquet(path + "/valid").select("event_id", "kafka_offset", F.lit("VALID").alias("outcome"))
     bad = spark.read.parquet(path + "/quarantine").select(

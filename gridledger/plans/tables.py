@@ -346,6 +346,14 @@ FROM (
 """, ["joined"])
 
 
+part("breaches", """
+SELECT *, sha256('BREACH|' || fact_record_hash) AS breach_event_id, associated_ppa_id AS contract_id,
+  CAST(hour_utc AS DATE) AS market_date,
+  CASE WHEN leakage_usd >= 500 THEN 'HIGH' WHEN leakage_usd >= 100 THEN 'MEDIUM' ELSE 'LOW' END AS severity
+FROM gold WHERE leakage_usd > 0
+""", ["gold"])
+
+
 def asset_contract_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per-reason compensation flags of each contract."""
     return read(spark, sf_dir, "customer").select(
@@ -634,6 +642,7 @@ def rag_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         (key * 37 % 1000 + key * 91 % 5000).alias("total_latency_ms"),
         (key % 7).alias("retrieved_chunk_count"), (key % 100 / 100.0).alias("top_similarity_score"),
         (key % 5).alias("citation_count"), (p != "1-URGENT").alias("guardrail_passed"),
+        (key % 11 == 0).alias("wrong_contract_blocked_flag"),
         (F.col("o_totalprice") >= 100000).alias("human_approval_required"),
         F.when(p == "2-HIGH", True).when(p == "3-MEDIUM", False).alias("human_approved"),
         F.when(F.col("o_orderstatus") == "P", F.concat(F.lit("reason "), (key % 4).cast("string"))).alias("failure_reason"),
@@ -647,6 +656,7 @@ SELECT 'R' || o_orderkey AS rag_run_id, 'A' || o_custkey AS asset_id, 'src' || (
   o_orderkey * 37 % 1000 AS retrieval_ms, o_orderkey * 91 % 5000 AS synthesis_ms,
   o_orderkey * 37 % 1000 + o_orderkey * 91 % 5000 AS total_ms,
   o_orderkey % 7 AS chunks, o_orderkey % 100 / 100.0 AS top_similarity, o_orderkey % 5 AS citations,
+  o_orderkey % 11 = 0 AS wrong_contract,
   o_orderpriority <> '1-URGENT' AS guard_ok, o_totalprice >= 100000 AS approval_required,
   CASE o_orderpriority WHEN '2-HIGH' THEN TRUE WHEN '3-MEDIUM' THEN FALSE END AS approved,
   CASE WHEN o_orderstatus = 'P' THEN 'reason ' || (o_orderkey % 4) END AS failure_reason, o_totalprice AS variance_usd,

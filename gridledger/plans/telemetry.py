@@ -158,7 +158,7 @@ def latest_reading(spark, sf_dir):
     rows = t.silver_rows(spark, sf_dir).select(
         "asset_id", "event_ts_utc", "kafka_offset", "measured_generation_kw", "operating_status"
     )
-    return silver.latest(rows, ["asset_id"], ["event_ts_utc", "kafka_offset"]).drop("event_ts_utc")
+    return silver.latest_of_many(rows, ["asset_id"], ["event_ts_utc", "kafka_offset"]).drop("event_ts_utc")
 
 
 @query("deduplicated_hours", f"""
@@ -167,7 +167,7 @@ SELECT asset_id, {HOUR} AS hour_utc, kafka_offset, operating_status FROM (
 """, ["silver"])
 def deduplicated_hours(spark, sf_dir):
     rows = t.silver_rows(spark, sf_dir).select("asset_id", "reconciliation_hour_utc", "kafka_offset", "operating_status")
-    first = silver.dedupe_events(rows, ["asset_id", "reconciliation_hour_utc"], ["kafka_offset"])
+    first = silver.first_of_many(rows, ["asset_id", "reconciliation_hour_utc"], ["kafka_offset"])
     return first.select("asset_id", time_text("reconciliation_hour_utc").alias("hour_utc"), "kafka_offset", "operating_status")
 
 

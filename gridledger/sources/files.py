@@ -68,14 +68,15 @@ def scan_case_packages(spark: SparkSession, path: str, schema: T.StructType = CA
     return raw.select(F.inline(listed))
 
 
-def scan_documents(spark: SparkSession, glob: str, manifest: DataFrame | None = None) -> DataFrame:
+def scan_documents(spark: SparkSession, path: str, manifest: DataFrame | None = None) -> DataFrame:
     """Text files, one row each, with their content hash; joined to a manifest by file name.
 
-    The version hash is taken from the bytes of the file; bytes that are not
+    ``path`` is a folder, whose files at any depth are listed by a job once it
+    has many folders, or a glob. The version hash is taken from the bytes of the file; bytes that are not
     UTF-8 are replaced in the text.
     """
     name = F.element_at(F.split(F.col("path"), "/"), -1)
-    docs = spark.read.format("binaryFile").load(glob).select(
+    docs = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(
         "path",
         name.alias("source_file_name"),
         F.sha2("content", 256).alias("document_version_hash"),

@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 from gridledger.operators.silver import dedupe_events, latest
 from gridledger.functions.skew import split_join
-from gridledger.session import materialize
+from gridledger.session import staged
+
+# About 128 to 256 MB of fact rows.
+ROWS_PER_FILE = 2_000_000
 
 
 def one_per_key(rows: DataFrame, keys: list[str], order_by: list[str], pick) -> DataFrame:
@@ -83,24 +86,46 @@ def partition_values(df: DataFrame, column: str) -> list:
     return [row[0] for row in df.select(column).distinct().collect()]
 
 
+def write_sized(rows: DataFrame, path: str, partition_by: str, keys: list[str], rows_per_file: int = ROWS_PER_FILE) -> None:
+    """Overwrite the partitions of ``rows``, each in files of about ``rows_per_file`` rows.
+
+    Rows are counted per partition first. Each file's rows are brought to one
+    task, so a small partition is one file and a large one is written by many
+    tasks. ``rows`` should be a stored table; it has no more partition values
+    than the table has folders.
+    """
+    files = rows.groupBy(partition_by).agg(F.ceil(F.count("*") / rows_per_file).cast("int").alias("_files")).collect()
+    total = sum(r["_files"] for r in files)
+    if not total:
+        return
+    several = {r[partition_by]: r["_files"] for r in files if r["_files"] > 1 and r[partition_by] is not None}
+    count = F.lit(1)
+    if several:
+        known = F.create_map(*[F.lit(x).cast(rows.schema[partition_by].dataType) if i % 2 == 0 else F.lit(x)
+                               for pair in several.items() for i, x in enumerate(pair)])
+        count = F.coalesce(F.try_element_at(known, F.col(partition_by)), F.lit(1))
+    (
+        rows.withColumn("_file", F.pmod(F.xxhash64(*keys), count)).repartition(total, partition_by, "_file").drop("_file")
+        .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition_by).parquet(path)
+    )
+
+
 def merge_into(
-    spark: SparkSession, path: str, updates: DataFrame, keys: list[str], order_by: list[str], partition_by: str
+    spark: SparkSession, path: str, updates: DataFrame, keys: list[str], order_by: list[str], partition_by: str,
+    rows_per_file: int = ROWS_PER_FILE,
 ) -> None:
     """Upsert into a partitioned parquet table, reading and rewriting only touched partitions.
 
     The partition column must follow from the keys. The merged rows are staged
     in the shared folder first, since a table cannot be overwritten while it
-    is read.
+    is read; the stages are deleted once the table is written.
     """
-    newest = materialize(one_per_key(updates, keys, order_by, latest), "updates")
-    target = read_if_present(spark, path)
-    merged = newest
-    if target is not None:
+    with staged(one_per_key(updates, keys, order_by, latest), "updates") as newest:
+        target = read_if_present(spark, path)
+        if target is None:
+            return write_sized(newest, path, partition_by, keys, rows_per_file)
         # Literal values prune the folders of the scan.
         touched = target.filter(F.col(partition_by).isin(partition_values(newest, partition_by)))
         old = touched.withColumn(partition_by, F.col(partition_by).cast(newest.schema[partition_by].dataType))
-        merged = materialize(upsert(old.select(*newest.columns), newest, keys, order_by), "merge")
-    (
-        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy(partition_by).parquet(path)
-    )
+        with staged(upsert(old.select(*newest.columns), newest, keys, order_by), "merge") as merged:
+            write_sized(merged, path, partition_by, keys, rows_per_file)

@@ -36,8 +36,10 @@ def write_clustered(
     ranged.sortWithinPartitions(*by).write.mode(mode).parquet(path)
 
 
-def register(df: DataFrame, name: str, mode: str = "error") -> None:
-    df.write.mode(mode).saveAsTable(check_table_name(name))
+def register(df: DataFrame, name: str, mode: str = "error", path: str | None = None) -> None:
+    """Save as a table of the catalog, below the warehouse or at ``path``."""
+    writer = df.write.mode(mode)
+    (writer.option("path", path) if path else writer).saveAsTable(check_table_name(name))
 
 
 def export_breach_json(breaches: DataFrame, path: str) -> None:

@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from gridledger import fixed_values as fv
-from gridledger.functions.scalars import is_curtailed, kw_to_mwh
+from gridledger.functions.scalars import is_curtailed, kw_to_mwh, seconds_between
 from gridledger.functions.skew import lookup_join, split_join
 from gridledger.operators import energy, gold, silver
 from gridledger.profiles import METERED, TelemetryProfile
 from gridledger.sources.merge import merge_into, one_per_key, partition_values, read_if_present
 
+# Hashed folders of the index of quarantined event ids.
+ID_FOLDERS = 64
+
 
 def file_stream(
     spark: SparkSession, folder: str, schema, name_filter: str | None = None, files_per_batch: int = 1000
@@ -54,42 +58,72 @@ def _per_batch(stream: DataFrame, checkpoint: str, work: Callable[[DataFrame, in
     )
 
 
+def _id_folder(folders: int) -> Column:
+    return F.pmod(F.xxhash64("event_id"), F.lit(folders)).cast("int")
+
+
+def known_ids(
+    spark: SparkSession, index: str, batch_id: int, touched: list[int], since: dt.date | None = None,
+) -> DataFrame | None:
+    """Event ids of earlier batches, from the ``touched`` folders of the index that batches since a landing date wrote."""
+    known = read_if_present(spark, index)
+    if known is None:
+        return None
+    known = known.filter((F.col("batch_id") < batch_id) & F.col("id_folder").isin(touched))
+    return known if since is None else known.filter(F.col("landing_date") >= F.lit(since))
+
+
 def run_silver(
     bronze_stream: DataFrame, valid_path: str, quarantine_path: str, checkpoint: str,
     profile: TelemetryProfile = METERED, known_assets: DataFrame | None = None,
+    id_folders: int = ID_FOLDERS, redelivery_days: int | None = None,
 ) -> StreamingQuery:
     """Valid and quarantined rows from one pass over each micro-batch.
 
     Both tables hold an event id once: what an earlier batch delivered is not
-    written again, however late the copy comes. An event's date follows from
-    its time, so only the dates that a batch touches are looked up. Each batch
-    owns the folders ``batch_id=n`` of both tables, so a batch that is run
-    again replaces its own rows. Rows without an event id are all kept.
+    written again, however late the copy comes. A valid event's date follows
+    from its time, so only the dates that a batch touches are looked up. A
+    quarantined event may have no date: ids of the quarantine are kept beside
+    it (``<quarantine>_ids``), by the batch's last landing date and in
+    ``id_folders`` hashed folders, and a batch reads the folders its ids fall
+    in. Where the source delivers nothing again after some days,
+    ``redelivery_days`` bounds how far back it reads. Each batch owns the folders ``batch_id=n`` of all three tables, so a
+    batch that is run again replaces its own rows. Rows without an event id
+    are all kept.
     """
     spark = bronze_stream.sparkSession
+    index = quarantine_path.rstrip("/") + "_ids"
 
-    def new_only(part: DataFrame, path: str, batch_id: int, dated: bool) -> DataFrame:
-        known = read_if_present(spark, path)
+    def not_in(part: DataFrame, known: DataFrame | None) -> DataFrame:
         if known is None:
             return part
-        known = known.filter(F.col("batch_id") < batch_id)
-        if dated:
-            known = known.filter(F.col("event_date").isin(partition_values(part, "event_date")))
         return split_join(part, known.select("event_id").distinct(), ["event_id"], part.columns, "left_anti")
 
+    def write(part: DataFrame, path: str, batch_id: int, folders: list[str]) -> None:
+        (
+            part.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic").partitionBy(*folders, "batch_id").parquet(path)
+        )
+
     def work(batch: DataFrame, batch_id: int) -> None:
         validated = silver.validate(batch, profile, known_assets).persist()
         try:
             valid = silver.dedupe_events(silver.silver_valid(validated), ["event_id"], ["bronze_ingested_at"])
-            bad = one_per_key(silver.silver_quarantine(validated), ["event_id"], ["bronze_ingested_at"], silver.dedupe_events)
             dated = valid.withColumn("event_date", F.to_date("event_ts_utc"))
-            for part, path, folders in (
-                (dated, valid_path, ["event_date", "batch_id"]), (bad, quarantine_path, ["batch_id"])
-            ):
-                (
-                    new_only(part, path, batch_id, "event_date" in folders).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
-                    .option("partitionOverwriteMode", "dynamic").partitionBy(*folders).parquet(path)
-                )
+            known = read_if_present(spark, valid_path)
+            if known is not None:
+                dates = partition_values(dated, "event_date")
+                known = known.filter((F.col("batch_id") < batch_id) & F.col("event_date").isin(dates))
+            write(not_in(dated, known), valid_path, batch_id, ["event_date"])
+            bad = one_per_key(silver.silver_quarantine(validated), ["event_id"], ["bronze_ingested_at"], silver.dedupe_events)
+            ids = bad.filter(F.col("event_id").isNotNull()).select("event_id", _id_folder(id_folders).alias("id_folder"))
+            landed = F.to_date("bronze_ingested_at")
+            first, last = validated.agg(F.min(landed), F.max(landed)).first()
+            since = first - dt.timedelta(days=redelivery_days) if first and redelivery_days is not None else None
+            known = known_ids(spark, index, batch_id, partition_values(ids, "id_folder"), since)
+            write(not_in(bad, known), quarantine_path, batch_id, [])
+            dated_ids = not_in(ids, known).withColumn("landing_date", F.lit(last).cast("date"))
+            write(dated_ids.repartition("id_folder"), index, batch_id, ["landing_date", "id_folder"])
         finally:
             validated.unpersist()
 
@@ -163,22 +197,40 @@ def run_gold(
     return drain(_per_batch(silver_stream, checkpoint, work))
 
 
-def land_batches(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append a stream with the number of its micro-batch; a batch that is run again replaces its rows."""
+def land_batches(
+    stream: DataFrame, path: str, checkpoint: str, time: str | None = None, landed: str | None = None,
+) -> StreamingQuery:
+    """Append a stream with the number of its micro-batch; a batch that is run again replaces its rows.
+
+    What passes by while a batch is written is counted and kept in
+    ``<path>_metrics``, one row per batch: ``input_rows``, the newest
+    ``time`` and the longest lag from ``time`` to ``landed``. Nothing is read
+    a second time for it, and it outlasts the progress records of the query.
+    """
+    wanted = [F.count(F.lit(1)).alias("input_rows")]
+    if time:
+        wanted.append(F.max(time).alias("newest"))
+    if time and landed:
+        wanted.append(F.max(seconds_between(time, landed)).alias("max_lag_seconds"))
 
     def work(batch: DataFrame, batch_id: int) -> None:
+        seen = Observation(f"batch-{batch_id}")
         (
-            batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
+            batch.observe(seen, *wanted).withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(path)
         )
+        counted = batch.sparkSession.range(1).select(
+            *[F.lit(value).alias(name) for name, value in seen.get.items()], F.lit(batch_id).alias("batch_id"))
+        counted.coalesce(1).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+            "batch_id").parquet(metrics_path(path))
 
     return drain(_per_batch(stream, checkpoint, work))
 
 
-def batch_metrics(landed: DataFrame, time: str | None = None) -> DataFrame:
-    """Rows of each micro-batch, and the newest ``time``, counted from what was written.
+def metrics_path(path: str) -> str:
+    return path.rstrip("/") + "_metrics"
 
-    Progress records of a running query are kept for its last batches only.
-    """
-    newest = [F.max(time).alias("newest")] if time else []
-    return landed.groupBy("batch_id").agg(F.count("*").alias("input_rows"), *newest)
+
+def batch_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """Rows, newest time and longest lag of each micro-batch that was landed at ``path``."""
+    return spark.read.parquet(metrics_path(path))

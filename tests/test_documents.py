@@ -175,14 +175,14 @@ def vectors(spark, rows, names):
 
 
 EVENT = "event_id string, contract_id string, document_version_hash string, query_vector array<float>"
-CHUNK = "chunk_id long, contract_id string, document_version_hash string, clause_type string, embedding_vector array<float>"
+CHUNK = "chunk_id long, contract_id string, document_version_hash string, clause_type string, embedding_vector array<float>, chunk_index int"
 
 
 @pytest.fixture(scope="module")
 def corpus(spark):
     rng = np.random.default_rng(7)
     contracts = ["hot"] * 10 + ["a", "b", "c"]
-    chunks = [(i, contracts[i % 13], f"v{i % 2}", "price" if i % 3 else "notice", rng.integers(-2, 3, 6).astype(float).tolist()) for i in range(400)]
+    chunks = [(i, contracts[i % 13], f"v{i % 2}", "price" if i % 3 else "notice", rng.integers(-2, 3, 6).astype(float).tolist(), i) for i in range(400)]
     events = [(f"e{i}", contracts[(i * 7) % 13], None if i % 2 else "v1", rng.integers(-2, 3, 6).astype(float).tolist()) for i in range(120)]
     return chunks, events
 
@@ -191,7 +191,7 @@ def brute(chunks, events, k, clause=None):
     out = {}
     for eid, contract, version, q in events:
         scored = []
-        for cid, c, v, kind, x in chunks:
+        for cid, c, v, kind, x, _ in chunks:
             if c != contract or (version and v != version) or (clause and kind != clause):
                 continue
             norm = np.linalg.norm(q) * np.linalg.norm(x)
@@ -212,11 +212,73 @@ def test_search_is_exact_for_any_block_size(spark, corpus, block, clause):
 
 
 def test_zero_vectors_rank_last_without_similarity(spark):
-    chunks = [(1, "C", "v", "price", [0.0, 0.0]), (2, "C", "v", "price", [-1.0, 0.0]), (3, "C", "v", "price", [1.0, 0.0])]
+    chunks = [(1, "C", "v", "price", [0.0, 0.0], 1), (2, "C", "v", "price", [-1.0, 0.0], 2), (3, "C", "v", "price", [1.0, 0.0], 3)]
     found = retrieval.retrieve(vectors(spark, [("e", "C", None, [1.0, 0.0])], EVENT), vectors(spark, chunks, CHUNK)).orderBy("rank").collect()
     assert [(r.chunk_id, r.similarity) for r in found] == [(3, 1.0), (2, -1.0), (1, None)]
 
 
+def brute_search(queries, vectors, k, wanted, have):
+    found = []
+    for i, q in enumerate(queries):
+        scored = []
+        for j, v in enumerate(vectors):
+            if wanted[i] in (-1, have[j]):
+                norm = np.linalg.norm(q) * np.linalg.norm(v)
+                scored.append((-round(float(q @ v / norm), 9) if norm > 0 else 2.0, j))
+        found += [(i, j, -s) for s, j in sorted(scored)[:k]]
+    return found
+
+
+@pytest.mark.parametrize("kind", ["clustered", "random", "equal", "zero"])
+def test_pruned_search_equals_brute_force(kind):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 16))
+    vectors = {
+        "clustered": np.repeat(centres, 60, axis=0) + rng.normal(size=(720, 16)) * 0.02, "random": rng.integers(-1, 2, (720, 16)).astype(float),
+        "equal": np.ones((720, 16)), "zero": np.zeros((720, 16))}[kind]
+    vectors[rng.choice(720, 20)] = 0.0
+    queries = np.vstack([vectors[::9] + (0.001 if kind == "clustered" else 0.0), np.zeros((2, 16))])
+    have = rng.integers(0, 3, 720)
+    wanted = rng.integers(-1, 4, len(queries))
+    row, place, value, compared = retrieval.search(queries, vectors, 5, wanted, have, size=40)
+    expected = brute_search(queries, vectors, 5, wanted, have)
+    assert list(zip(row.tolist(), place.tolist())) == [(i, j) for i, j, _ in expected]
+    assert np.allclose(value, [v for _, _, v in expected], atol=2e-9)
+    share = compared.sum() / (len(queries) * len(vectors))
+    assert share < 0.5 if kind == "clustered" else share <= 1.0
+
+
+def test_search_tells_what_it_skipped(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(30, 8))
+    chunks = [(i, "C", "v", "price", (centres[i % 30] + rng.normal(size=8) * 0.01).tolist(), i) for i in range(3000)]
+    events = [(f"e{i}", "C", None, centres[i].tolist()) for i in range(30)]
+    found = retrieval.retrieve(vectors(spark, events, EVENT), vectors(spark, chunks, CHUNK), 4, effort=True).collect()
+    assert len(found) == 120 and all(r.held == 3000 for r in found) and sum(r.compared for r in found) < 0.5 * 120 * 3000
+
+
+def test_feature_hash_equals_a_plain_one(spark):
+    import hashlib
+
+    texts = ["The price is fixed", "a  a\tb\n", "", None, "É ß 漢字 The the", " x" * 300]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = {r.i: r.v for r in retrieval.embed(rows, "text", "v").collect()}
+    for i, text in enumerate(texts):
+        sums = np.zeros(64)
+        for token in (t for t in re.split(r"[\t-\r ]+", (text or "").lower()) if t):
+            digest = hashlib.md5(token.encode()).hexdigest()
+            sums[int(digest[:8], 16) % 64] += 1 if digest[8] >= "8" else -1
+        norm = np.sqrt((sums ** 2).sum())
+        assert got[i] == (sums / norm if norm else sums).astype(np.float32).tolist()
+
+
+def test_chunks_without_version_keep_their_text(spark):
+    chunks = spark.createDataFrame(
+        [(1, "C", None, "price", [1.0, 0.0], 0, "first"), (1, "C", "v", "price", [0.0, 1.0], 0, "second")], CHUNK + ", text_snippet string")
+    found = retrieval.retrieve_context(vectors(spark, [("e", "C", None, [1.0, 0.1])], EVENT), chunks).orderBy("rank").collect()
+    assert [(r.document_version_hash, r.text_snippet) for r in found] == [(None, "first"), ("v", "second")]
+
+
 def test_jvm_cosine_agrees(spark):
     from gridledger.functions.scalars import cosine_similarity
 

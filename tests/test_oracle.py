@@ -48,30 +48,6 @@ def test_flagship_has_rows(spark):
     assert entry.entry(spark).count() > 0
 
 
-def test_breach_context_equals_brute_force(spark):
-    import numpy as np
-
-    from gridledger.operators import retrieval
-    from gridledger.operators.cases import breach_events
-    from gridledger.plans import documents, tables
-
-    chunks = documents.contract_chunks(spark, SF_DIR).select(
-        "chunk_id", "contract_id", "document_version_hash", "chunk_index", "embedding_vector").collect()
-    embedder = retrieval.hashing_embedder()
-    queries = retrieval.retrieval_query(breach_events(tables.gold_fact(spark, SF_DIR))).select(
-        "breach_event_id", "contract_id", "query_text").collect()
-    expected = set()
-    for q in queries:
-        vector = np.array(embedder([q.query_text])[0], dtype=float)
-        own = [c for c in chunks if c.contract_id == q.contract_id]
-        scored = sorted(
-            (-round(float(np.dot(vector, c.embedding_vector) / np.linalg.norm(vector) / np.linalg.norm(c.embedding_vector)), 9), c.chunk_id, c)
-            for c in own)
-        expected |= {(q.breach_event_id, n, c.document_version_hash, c.chunk_index) for n, (_, _, c) in enumerate(scored[:6], 1)}
-    got = {(r.event_id, r.rank, r.document_version_hash, r.chunk_index) for r in entry.queries()["breach_context"](spark, SF_DIR).collect()}
-    assert got == expected and got
-
-
 def test_no_plan_needs_a_cross_join(spark):
     """Also with broadcasts off, as when no side is small."""
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")

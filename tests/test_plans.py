@@ -63,3 +63,41 @@ def test_text_work_needs_no_shuffle_and_no_python(spark):
     docs = spark.createDataFrame([("d", "text")], "document_id string, raw_text_content string")
     text = plan(documents.build_chunks(documents.to_lines(docs), ["document_id"]))
     assert "Exchange" not in text and "Python" not in text.replace("PythonRDD", "")
+
+
+def test_latest_rows_are_hashed_and_not_sorted(spark, stored):
+    rows = spark.read.parquet(stored + "/silver").select("asset_id", "reconciliation_hour_utc", "event_ts_utc", "kafka_offset", "operating_status")
+    for picked in (silver.latest_of_many(rows, ["asset_id"], ["event_ts_utc", "kafka_offset"]),
+                   silver.first_of_many(rows, ["asset_id", "reconciliation_hour_utc"], ["kafka_offset"])):
+        text = plan(picked)
+        # What is aggregated has passed the semi-join with the written best values.
+        assert "BroadcastHashJoin" in text.split("SortAggregate")[-1] and "LeftSemi" in text
+
+
+def test_episode_runs_are_planned_once(spark, stored):
+    rows = spark.read.parquet(stored + "/silver")
+    text = plan(energy.curtailment_episodes(rows, 3600))
+    assert "expected_available_kw" not in text and text.count("Window") <= 2
+
+
+def test_ranges_of_a_quantile_are_read_again_and_not_sorted(spark):
+    import random
+
+    import numpy as np
+
+    from gridledger.operators import control_tower, quantiles
+
+    r = random.Random(8)
+    rows = [(r.choice(["a", "b", None]), r.choice([r.randrange(10 ** 6), r.randrange(100), 500])) for _ in range(4000)] + [("one", 7)] * 3
+    table = spark.createDataFrame(rows, "g string, v long")
+    counted = table.groupBy("g", "v").agg(F.count("*").alias("n")).cache()
+    for q in (0.0, 0.5, 0.95, 0.999, 1.0):
+        got = {x.g: x for x in quantiles.exact_quantile(counted, ["g"], "v", "n", q, ranges=8, ordered=5).collect()}
+        for g in ("a", "b", None, "one"):
+            values = [v for h, v in rows if h == g]
+            assert got[g].samples == len(values) and abs(got[g].quantile - np.quantile(values, q)) < 1e-6
+            assert abs(got[g].average - np.mean(values)) < 1e-6
+    whole = control_tower.latency_stats(table, "v").first()
+    assert abs(whole.p95_latency_ms - np.quantile([v for _, v in rows], 0.95)) < 1e-6
+    assert control_tower.latency_stats(table.limit(0), "v").first().samples is None
+    assert control_tower.latency_stats(table.limit(0), "v", "g").count() == 0

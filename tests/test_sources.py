@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -204,3 +205,19 @@ def test_null_keys_match_nothing(spark):
     assert got == [("", 2), ("", 4), ("", 5), ("a", 3)]
     got = sorted((r.k or "", r.v) for r in merge.insert_ignore(target, new, ["k"], ["v"]).collect())
     assert got == [("", 2), ("", 4), ("", 5), ("a", 1)]
+
+
+def test_merges_leave_few_files_and_no_stages(spark, tmp_path):
+    path, before = str(tmp_path / "table"), set(os.listdir(work_root(spark)))
+    for n in range(50):
+        rows = spark.range(n % 5, 300, 7).select(
+            "id", F.lit(n).alias("at"), F.date_add(F.lit("2024-01-01"), (F.col("id") % 3).cast("int")).alias("day"))
+        merge.merge_into(spark, path, rows, ["id"], ["at"], "day", rows_per_file=100)
+    assert set(os.listdir(work_root(spark))) == before
+    table = spark.read.parquet(path)
+    ids = {i for n in range(5) for i in range(n, 300, 7)}
+    assert table.count() == len(ids) and table.agg(F.min("at")).first()[0] >= 45
+    assert all(len(list(folder.glob("*.parquet"))) == 1 for folder in (tmp_path / "table").glob("day=*"))
+    merge.merge_into(spark, path, table.withColumn("at", F.lit(99)), ["id"], ["at"], "day", rows_per_file=20)
+    per_day = {folder.name: len(list(folder.glob("*.parquet"))) for folder in (tmp_path / "table").glob("day=*")}
+    assert spark.read.parquet(path).count() == len(ids) and all(2 <= n <= 5 for n in per_day.values())

@@ -257,3 +257,53 @@ def test_open_notices_last_until_the_bound(spark):
         "cast(NULL AS timestamp) AS end_time_utc, 'r' AS curtailment_reason")
     assert energy.match_notices(rows, notice).count() == 4
     assert energy.match_notices(rows, notice, "2026-06-01 03:00:00").count() == 2
+
+
+NOTICE = "notice_id string, asset_id string, start_time_utc timestamp, end_time_utc timestamp, curtailment_reason string"
+
+
+def test_a_long_notice_has_few_index_rows(spark):
+    start = dt.datetime(2016, 3, 7, 10, 20)
+    lengths = {"minutes": dt.timedelta(minutes=50), "two days": dt.timedelta(days=2), "ten years": dt.timedelta(days=3652), "open": None}
+    rows = [(name, "W", start, length and start + length, "r") for name, length in lengths.items()] + [("none", "W", start, start, "r"), ("null", "W", None, None, "r")]
+    counted = {r.notice_id: r["count"] for r in energy.notice_index(spark.createDataFrame(rows, NOTICE)).groupBy("notice_id").count().collect()}
+    assert counted["minutes"] <= 2 and counted["two days"] == 49 and counted["open"] == 1
+    assert counted["ten years"] <= 3652 / 30 + 2 and counted.keys() == lengths.keys()
+
+
+def test_notices_of_all_lengths_match_as_a_plain_join_does(spark):
+    import random
+
+    r = random.Random(9)
+    rows = samples(spark, [
+        ("hot" if i % 3 == 0 else r.choice("ABC"), r.randrange(-40 * 86400, 40 * 86400), 1.0, 2.0, 1.0, "NORMAL") for i in range(1500)])
+    day = dt.datetime(2026, 6, 23)
+    notices = [("long", "hot", day - dt.timedelta(days=30), day + dt.timedelta(days=3622), "r"), ("open", "A", day, None, "r")]
+    for i in range(60):
+        start = day + dt.timedelta(minutes=r.randrange(-40 * 1440, 40 * 1440))
+        notices.append((f"n{i}", r.choice(["hot", "A", "B", None]), start, start + dt.timedelta(minutes=r.choice([0, 5, 61, 1440, 5000, 60000])), "r"))
+    table = spark.createDataFrame(notices, NOTICE)
+    got = sorted((x.event_ts_utc, x.notice_id) for x in energy.match_notices(rows, table).collect())
+    expected = sorted(
+        (s.event_ts_utc, n[0]) for s in rows.collect() for n in notices
+        if s.asset_id == n[1] and n[2] <= s.event_ts_utc and (n[3] is None or s.event_ts_utc < n[3]))
+    assert got == expected and {"long", "open"} <= {n for _, n in got}
+    assert energy.match_notices(rows, table.limit(0)).count() == 0
+
+
+def test_picks_in_two_phases_equal_the_plain_ones(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from gridledger.operators import silver
+
+    r = random.Random(2)
+    rows = spark.createDataFrame(
+        [(r.choice(["hot", "hot", "a", "b", None]), r.choice([None, 1, 2, 3, 3]), i, f"s{i}") for i in range(500)],
+        "key string, at int, n int, status string")
+    for two, one in ((silver.latest_of_many, silver.latest), (silver.first_of_many, silver.dedupe_events)):
+        for order in (["at", "n"], ["n"], ["status"]):
+            assert sorted(map(str, two(rows, ["key"], order).collect())) == sorted(map(str, one(rows, ["key"], order).collect()))
+    many = silver._pick_in_two(rows, ["n"], ["at"], F.max_by, max_keys=10)
+    assert many.count() == 500
