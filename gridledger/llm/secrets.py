@@ -30,11 +30,18 @@ ALLOWED = (
     "(?i)(example|sample|dummy|placeholder|changeme)", "1234567890",
     "^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$",
 )
+# Matches of one text that are folded together.
+GROUP = 256
 _SPANS = "array<struct<start:int,end:int,value:string>>"
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """Leftmost non-overlapping matches as (start, end, value), found from the pieces between them."""
+    """Leftmost non-overlapping matches as (start, end, value), found from the pieces between them.
+
+    A fold copies the list it adds to. So matches are folded in groups of
+    GROUP, then the lengths of the groups, and each group is moved to its
+    place: the work grows with the number of matches, not with its square.
+    """
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pairs = F.zip_with(
         F.slice(F.split(text, pattern, -1), 1, F.size(hits)), hits, lambda gap, hit: F.struct(gap.alias("gap"), hit.alias("hit")))
@@ -46,8 +53,26 @@ def matches(text: Column, pattern: str) -> Column:
         span = F.struct(start.alias("start"), end.alias("end"), pair["hit"].alias("value"))
         return F.struct(end.alias("at"), F.concat(state["spans"], F.array(span)).alias("spans"))
 
-    found = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("spans")), add, lambda state: state["spans"])
-    return F.when(text.rlike(pattern), found).otherwise(none)
+    def grouped(all_pairs: Column) -> Column:
+        groups = F.transform(
+            F.sequence(F.lit(0), F.floor((F.size(all_pairs) - 1) / GROUP).cast("int")),
+            lambda g: F.slice(all_pairs, g * GROUP + 1, F.lit(GROUP)))
+        return F.transform(groups, lambda group: F.aggregate(group, F.struct(F.lit(0).alias("at"), none.alias("spans")), add))
+
+    def placed(groups: Column) -> Column:
+        first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+        starts = F.aggregate(groups, first, lambda state, group: F.struct(
+            (state["at"] + group["at"]).alias("at"), F.concat(state["starts"], F.array(state["at"])).alias("starts")),
+            lambda state: state["starts"])
+        return F.flatten(F.zip_with(groups, starts, lambda group, start: F.transform(group["spans"], lambda s: F.struct(
+            (s["start"] + start).alias("start"), (s["end"] + start).alias("end"), s["value"].alias("value")))))
+
+    return F.when(text.rlike(pattern), _let(_let(pairs, grouped), placed)).otherwise(none)
+
+
+def _let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and hand it to ``body``."""
+    return F.transform(F.array(value), body)[0]
 
 
 def hot_runs(value: Column, alphabet: str, bits: float, window: int = WINDOW) -> Column:
