@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import heapq
 import json
 import zlib
 from collections.abc import Iterator
@@ -20,6 +21,8 @@ from gridledger.llm.pretokens import finder
 ROWS = 256
 # Distinct words that a worker remembers; the memory is emptied beyond.
 REMEMBERED = 1_000_000
+# Longer words are folded by a heap, and not remembered.
+LONG = 128
 # Fixed value: public_tokenizers.PATTERN with {L}, {N}, {S} for its classes.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?[{L}]+| ?[{N}]+| ?[^{S}{L}{N}]+|[{S}]+(?![^{S}])|[{S}]+"
 
@@ -44,6 +47,8 @@ class ByteCodec:
         ranks = self.ranks
         if word in ranks:
             return [ranks[word]]
+        if len(word) > LONG:
+            return self._fold_long(word)
         parts = [word[i:i + 1] for i in range(len(word))]
         worst = len(ranks)
         order = [ranks.get(a + b, worst) for a, b in zip(parts, parts[1:])]
@@ -60,6 +65,34 @@ class ByteCodec:
                 order[at - 1] = ranks.get(parts[at - 1] + parts[at], worst)
         return [ranks[p] for p in parts]
 
+    def _fold_long(self, word: bytes) -> list[int]:
+        """The same merges in the same order from a heap of pairs (rank, place) over linked parts: n log n steps.
+
+        A part is known by where it begins; a pair in the heap is passed over
+        when one of its parts has changed since.
+        """
+        ranks, n = self.ranks, len(word)
+        ends, before = list(range(1, n + 1)), list(range(-1, n))
+        heap = [(rank, at, at + 2) for at in range(n - 1) if (rank := ranks.get(word[at:at + 2])) is not None]
+        heapq.heapify(heap)
+        while heap:
+            _, at, end = heapq.heappop(heap)
+            middle = ends[at]
+            # Where a part was merged into the one before, ends is 0.
+            if not middle or middle >= n or ends[middle] != end:
+                continue
+            ends[at], ends[middle] = end, 0
+            before[end] = at
+            if end < n and (rank := ranks.get(word[at:ends[end]])) is not None:
+                heapq.heappush(heap, (rank, at, ends[end]))
+            if at and (rank := ranks.get(word[before[at]:end])) is not None:
+                heapq.heappush(heap, (rank, before[at], end))
+        found, at = [], 0
+        while at < n:
+            found.append(ranks[word[at:ends[at]]])
+            at = ends[at]
+        return found
+
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
         if len(self.words) > REMEMBERED:
@@ -76,7 +109,9 @@ class _Remembered(dict):
         self.codec = codec
 
     def __missing__(self, word: str) -> bytes:
-        self[word] = found = np.array(self.codec.fold(word.encode()), "<u4").tobytes()
+        found = np.array(self.codec.fold(word.encode()), "<u4").tobytes()
+        if len(word) <= LONG:
+            self[word] = found
         return found
 
 
