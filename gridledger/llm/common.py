@@ -12,6 +12,7 @@ SPACES = " \t\n\x0b\f\r"
 # HOT_GROUPS of them, whatever the data, so their table may be broadcast.
 HOT_GROUPS = 4096
 SMALL_TABLE = 100_000
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -38,9 +39,16 @@ def barrier(column: Column) -> Column:
     return F.when(F.spark_partition_id() >= 0, column)
 
 
+def is_small(table: DataFrame, max_rows: int, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether a bounded count shows at most ``max_rows`` rows of together ``max_bytes`` as text."""
+    sizes = table.select(F.octet_length(F.to_json(F.struct("*"))).alias("size"))
+    rows, size = sizes.limit(max_rows + 1).agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    return rows <= max_rows and size <= max_bytes
+
+
 def join_checked(left: DataFrame, right: DataFrame, keys: list[str], how: str, max_rows: int = 2_000_000) -> DataFrame:
-    """Join that broadcasts ``right`` only if a count shows at most ``max_rows`` rows, and shuffles otherwise."""
-    if right.limit(max_rows + 1).count() <= max_rows:
+    """Join that broadcasts ``right`` only if a count shows it to be small in rows and bytes, and shuffles otherwise."""
+    if is_small(right, max_rows):
         return left.join(F.broadcast(right), keys, how)
     return left.join(right, keys, how)
 
@@ -53,7 +61,7 @@ def join_groups(left: DataFrame, groups: DataFrame, key: str, size: str, total:
     so no task of the second join gets more than an even share of one group.
     A table that a count shows to be small is broadcast whole.
     """
-    if groups.limit(SMALL_TABLE + 1).count() <= SMALL_TABLE:
+    if is_small(groups, SMALL_TABLE):
         return left.join(F.broadcast(groups), key, "left").select(
             *left.columns, *[c for c in groups.columns if c != key])
     values = F.struct(*[c for c in groups.columns if c != key])

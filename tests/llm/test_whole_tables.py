@@ -4,11 +4,14 @@ import json
 import random
 import tracemalloc
 
+import numpy as np
 import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from gridledger.llm import pages, tokens, toxicity
+from gridledger.llm import bpe, fingerprints, pages, secrets, tokens, toxicity
 
 
 # 8: toxicity
@@ -89,3 +92,73 @@ def test_rows_without_or_with_repeated_ids_are_deduplicated(spark):
     rows = sorted((str(r.doc_id), r.text) for r in near.collect())
     assert near.columns == docs.columns
     assert rows == sorted((str(i), t) for i, t in [texts[0], *texts[3:5], texts[6], texts[9]])
+
+
+# 1: secrets
+
+def test_a_hundred_thousand_matches_take_seconds(spark):
+    import hashlib
+    import time
+
+    text = "".join(f"token={'%06d' % i}; " for i in range(100_000))
+    began = time.time()
+    row = secrets.secret_scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    spans = ",".join(f"assign:{i * 14}:{i * 14 + 12}" for i in range(100_000))
+    assert row.n_assign == 100_000 and row.base_sha256 == hashlib.sha256(spans.encode()).hexdigest()
+    assert time.time() - began < 60
+
+
+# 9: fingerprints
+
+@pytest.mark.parametrize("condition", [
+    "doc_id > 3", "n_chars > 10", "edited_sha256 > '8'", "fingerprint > '8'", "edited_fingerprint <> ''", "near_edited > 0.3",
+    "near_next > 0.0", "n_shingles > 9", "inside_edited > 0.5"])
+def test_a_filter_on_the_result_computes_nothing_twice(spark, condition):
+    rows = [(i, " ".join(f"w{i * 7 + j * (i % 3)}" for j in range(80))) for i in range(12)]
+    whole = fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"))
+    some = whole.filter(condition)
+    expected = spark.createDataFrame(whole.collect(), whole.schema).filter(condition)
+    assert sorted(map(str, some.collect())) == sorted(map(str, expected.collect()))
+    # Words are hashed once for the text and once for its edited form.
+    assert some._jdf.queryExecution().optimizedPlan().toString().count("xxhash64(lambda") <= 4
+
+
+# 10: byte-level BPE
+
+def test_a_run_of_a_million_letters_takes_seconds():
+    import time
+
+    import tiktoken
+
+    codec = bpe.ByteCodec(bpe.read_ranks())
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
+    r = random.Random(7)
+    for word in ["".join(r.choices("etaoinshrdlu", k=1_000_000)), "ab" * 500, "漢字仮名" * 300, "=" * 129, "a" * 128, "=-" * 65]:
+        began = time.time()
+        assert np.frombuffer(codec.encode(word), "<u4").tolist() == library.encode_ordinary(word)
+        assert time.time() - began < 60 and all(len(w) <= bpe.LONG for w in codec.words)
+
+
+# pipeline
+
+NAMES = ("_a", "_b", "_own", "_key", "_place", "_given", "kept", "count", "_new", "rejected", "a b.c", "component", "_times")
+
+
+def test_stages_keep_given_columns_of_any_name(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    words = [" ".join(f"wort{i * 13 + j}" for j in range(30)) for i in range(30)]
+    rows = [(i, t, "de", f"s{i % 3}", i) for i, t in enumerate(words)] + [(40, words[0], "de", "s0", 1), (None, "x y", None, "s1", 2)]
+    docs = spark.createDataFrame(rows, schema).withColumns({c: F.concat(F.lit(f"{c}:"), F.coalesce("n_chars", F.lit(0))) for c in NAMES})
+    given = {tuple(map(str, r)) for r in docs.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns, name
+        found = {tuple(map(str, r)) for r in out.collect()}
+        assert found <= given and found, name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == len(rows)
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_give_no_rows_for_an_empty_table(spark, empty, name, stage):
+    out = stage(spark, empty, "")
+    assert out.count() == 0 and (name == "byte_bpe" or out.columns == empty.columns)
