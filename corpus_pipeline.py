@@ -17,6 +17,15 @@ from gridledger.session import materialize
 _KEY = ["_a", "_b"]
 
 
+def _apart(docs: DataFrame, *columns: str) -> DataFrame:
+    """The columns a stage works on, and all given columns, whatever their names, in one of their own."""
+    return docs.select(*columns, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_given"))
+
+
+def _given(rows: DataFrame) -> DataFrame:
+    return rows.select("_given.*")
+
+
 def _key(digest: Column) -> list[Column]:
     """128 bits of the id, null or not, and the digest of the normalised text."""
     return [F.xxhash64(F.lit(seed), F.col("doc_id").isNull(), F.col("doc_id"), digest).alias(name) for seed, name in enumerate(_KEY)]
@@ -55,31 +64,52 @@ def _with_own_ids(docs: DataFrame) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text is not in any language of the labelled ones go: no letter, or far from all centroids."""
-    return language.without_rejected(docs)
+    """Documents whose text is not in any language of the labelled ones go: no letter, or far from all centroids.
+
+    So null and empty texts go; without any labelled row all go. Repeated rows
+    are decided alike, and no rows give none. All given columns stay as they are.
+    """
+    return _given(language.without_rejected(_apart(docs, "doc_id", "text", "lang")))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of the rows with equal text one with the smallest id stays; rows without id come last."""
+    """Of the rows with equal text one with the smallest id stays; rows without id come last.
+
+    A null text equals the empty one. Of rows that repeat id and text one
+    stays. No rows give none. All given columns stay as they are.
+    """
+    rows = _keyed(_apart(docs, "doc_id", "text"))
     kept = dedup.exact_groups(docs).filter("kept").select(*_key(F.col("text_sha256"))).distinct()
-    return _once(join_checked(_keyed(docs), kept, _KEY, "left_semi").select(*docs.columns, *_KEY)).select(*docs.columns)
+    return _given(_once(join_checked(rows, kept, _KEY, "left_semi")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked rows the one with the smallest id stays; rows without id, or that repeat an id, come last."""
-    own = _with_own_ids(_once(_keyed(docs)).select(*docs.columns))
+    """Of each group of linked rows the one with the smallest id stays; rows without id, or that repeat an id, come last.
+
+    Null and empty texts are linked with nothing and stay. Of rows that repeat
+    id and text one stays. No rows give none. All given columns stay as they are.
+    """
+    own = _with_own_ids(_once(_keyed(_apart(docs, "doc_id", "text"))).select("doc_id", "text", "_given"))
     named = own.select(F.col("_own").alias("doc_id"), "text")
     kept = neardup.near_components(named).filter("kept").select(F.col("doc_id").alias("_own"))
-    return join_checked(own, kept, ["_own"], "left_semi").select(*docs.columns)
+    return _given(join_checked(own, kept, ["_own"], "left_semi"))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated or left out so that sources meet their targets."""
-    return mixing.repeated(docs)
+    """Documents are repeated or left out so that sources meet their targets.
+
+    Rows that repeat an id are taken alike; a null source is a source of its
+    own; null and empty texts have no words and are taken with their source's
+    whole repetitions. No rows give none. All given columns stay as they are.
+    """
+    return _given(mixing.repeated(_apart(docs, "doc_id", "text", "source")))
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, with the digests of ids and of decoded bytes."""
+    """Token ids of every text, with the digests of ids and of decoded bytes: one row for each row, repeated or not.
+
+    A null text counts as empty and has no ids. No rows give none.
+    """
     return bpe.encoded(docs, with_ids=True)
 
 

@@ -116,14 +116,17 @@ def run_silver(
                 known = known.filter((F.col("batch_id") < batch_id) & F.col("event_date").isin(dates))
             write(not_in(dated, known), valid_path, batch_id, ["event_date"])
             bad = one_per_key(silver.silver_quarantine(validated), ["event_id"], ["bronze_ingested_at"], silver.dedupe_events)
-            ids = bad.filter(F.col("event_id").isNotNull()).select("event_id", _id_folder(id_folders).alias("id_folder"))
-            landed = F.to_date("bronze_ingested_at")
-            first, last = validated.agg(F.min(landed), F.max(landed)).first()
+            landed, is_bad = F.to_date("bronze_ingested_at"), F.col("validation_error_code").isNotNull() & F.col("event_id").isNotNull()
+            # No more values than there are folders.
+            first, last, touched = validated.agg(
+                F.min(landed), F.max(landed), F.collect_set(F.when(is_bad, _id_folder(id_folders)))).first()
             since = first - dt.timedelta(days=redelivery_days) if first and redelivery_days is not None else None
-            known = known_ids(spark, index, batch_id, partition_values(ids, "id_folder"), since)
-            write(not_in(bad, known), quarantine_path, batch_id, [])
-            dated_ids = not_in(ids, known).withColumn("landing_date", F.lit(last).cast("date"))
-            write(dated_ids.repartition("id_folder"), index, batch_id, ["landing_date", "id_folder"])
+            write(not_in(bad, known_ids(spark, index, batch_id, touched, since)), quarantine_path, batch_id, [])
+            new = read_if_present(spark, quarantine_path)
+            if new is not None:
+                new = new.filter((F.col("batch_id") == batch_id) & F.col("event_id").isNotNull())
+                ids = new.select("event_id", F.lit(last).cast("date").alias("landing_date"), _id_folder(id_folders).alias("id_folder"))
+                write(ids.repartition("id_folder"), index, batch_id, ["landing_date", "id_folder"])
         finally:
             validated.unpersist()
 
