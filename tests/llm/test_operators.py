@@ -254,6 +254,16 @@ def test_features_do_not_depend_on_pieces(monkeypatch):
         assert sorted(language._features(text)) == whole
 
 
+@pytest.mark.parametrize("unknown", ["de", "es", "fr"])
+def test_texts_of_an_unlearned_language_are_rejected(spark, unknown):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("length(text) >= 64")
+    known = docs.withColumn("lang", F.when(F.col("lang") != unknown, F.col("lang")))
+    found = language.languages(known).join(docs.select("doc_id", "lang"), "doc_id")
+    shares = {r.foreign: r.share for r in found.groupBy((F.col("lang") == unknown).alias("foreign")).agg(
+        F.avg(F.col("rejected").cast("int")).alias("share")).collect()}
+    assert shares[True] > 0.9 and shares[False] < 0.01
+
+
 # 5: exact dedup
 
 def test_exact_groups_of_odd_rows(odd):
