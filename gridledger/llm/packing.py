@@ -100,43 +100,55 @@ def differenced(lengths: list[int], windows: int) -> list[int]:
     fullest and emptiest window differ most are merged with opposing
     imbalances, the fullest window of one with the emptiest of the other, and
     what all windows have in common is taken off, until one partition is left.
-    A merge keeps the order that its windows were sorted into, from which the
-    windows of the pieces are read back.
+
+    While the longest pieces left are longer than any difference so far, a
+    partition takes one after the other into its empty windows, so it is made
+    of as many at once. A merge keeps the order that its windows were sorted
+    into, from which the windows of the pieces are read back.
     """
-    n = len(lengths)
-    if windows == 1 or n < 2:
-        return [0] * n
+    if windows == 1 or len(lengths) < 2:
+        return [0] * len(lengths)
+    pieces = sorted(range(len(lengths)), key=lambda i: -lengths[i])
     sums: list[np.ndarray | None] = []
-    heap = []
-    for i, length in enumerate(lengths):
+    made: list[list[int] | tuple[int, int, np.ndarray]] = []
+    heap: list[tuple[int, int]] = []
+
+    def add(both: np.ndarray, what: list[int] | tuple[int, int, np.ndarray]) -> None:
+        both -= both[-1]
+        sums.append(both)
+        made.append(what)
+        heapq.heappush(heap, (-int(both[0]), len(sums) - 1))
+
+    def start(some: list[int]) -> None:
         first = np.zeros(windows, np.int64)
-        first[0] = length
-        sums.append(first)
-        heap.append((-length, i))
-    heapq.heapify(heap)
-    merges: list[tuple[int, int, np.ndarray]] = []
+        first[:len(some)] = [lengths[i] for i in some]
+        add(first, some)
+
+    at = 0
+    while at < len(pieces) and lengths[pieces[min(at + windows, len(pieces)) - 1]] > (-heap[0][0] if heap else 0):
+        start(pieces[at:at + windows])
+        at += windows
+    for piece in pieces[at:]:
+        start([piece])
     while len(heap) > 1:
         a, b = heapq.heappop(heap)[1], heapq.heappop(heap)[1]
         both = sums[a] + sums[b][::-1]
         order = np.argsort(-both, kind="stable").astype(np.int32)
-        both = both[order]
-        both -= both[-1]
         sums[a] = sums[b] = None
-        sums.append(both)
-        merges.append((a, b, order))
-        heapq.heappush(heap, (-int(both[0]), n + len(merges) - 1))
+        add(both[order], (a, b, order))
     # From the last merge back: where each window of a partition ends up.
-    places: dict[int, np.ndarray] = {n + len(merges) - 1: np.arange(windows, dtype=np.int32)}
-    result = [0] * n
-    for made in range(n + len(merges) - 1, n - 1, -1):
-        a, b, order = merges[made - n]
-        after = np.empty(windows, np.int32)
-        after[order] = places.pop(made)
-        for part, place in ((a, after), (b, after[::-1])):
-            if part < n:
-                result[part] = int(place[0])
-            else:
-                places[part] = place
+    places: dict[int, np.ndarray] = {len(made) - 1: np.arange(windows, dtype=np.int32)}
+    result = [0] * len(lengths)
+    for number in range(len(made) - 1, -1, -1):
+        place, what = places.pop(number), made[number]
+        if isinstance(what, list):
+            for piece, window in zip(what, place.tolist()):
+                result[piece] = window
+        else:
+            a, b, order = what
+            after = np.empty(windows, np.int32)
+            after[order] = place
+            places[a], places[b] = after, after[::-1]
     return result
 
 
