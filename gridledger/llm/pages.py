@@ -17,7 +17,7 @@ from gridledger.llm.common import join_groups, text_of
 from gridledger.session import materialize
 
 # A node of a site's tree is kept from this importance on.
-THRESHOLD = 0.6
+THRESHOLD = 0.8
 # The importance of a node on a site of few pages leans on all sites, as much as so many pages.
 PRIOR_PAGES = 50
 # How fast the weight of the content falls with the number of presentations of a node.
@@ -53,9 +53,10 @@ MARKS = frozenset(
     "notice notices pager pagination popup promo promoted recommended related replies reply search share sharing "
     "sidebar signup skip social sponsor sponsored subscribe teaser toolbar widget".split())
 
-_TAG = re.compile(
-    r"""<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>|[!?][^>]*>|/?[a-zA-Z][^>]*>)""",
-    re.S)
+# A tag whose quotes are closed within so many characters; one whose are not ends at the next ">".
+TAG_LENGTH = 1 << 14
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)([^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+)>""", re.S)
+_TAG_START = re.compile(r"</?[a-zA-Z]")
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 _NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
 _SENTENCE = re.compile(r"[.!?;:·|•]+\s*")
@@ -63,24 +64,32 @@ _WORD = re.compile(r"[a-z]+")
 
 
 class _Node:
-    __slots__ = ("tag", "path", "state", "inside", "styles", "marked", "holds", "under")
+    """An open element. Its id in the site's tree is a hash of its parent's id and its own label."""
 
-    def __init__(self, tag, path, state, inside, marked=False, under=()):
-        self.tag, self.path, self.state, self.inside, self.styles = tag, path, state, inside, []
-        # Named as no main text, with an article in it, and all such nodes from the root to here.
-        self.marked, self.holds, self.under = marked, False, (*under, self) if marked else under
+    __slots__ = ("tag", "id", "state", "inside", "styles", "marked", "holds", "under")
+
+    def __init__(self, tag, node_id, state, inside, marked=False, under=None):
+        self.tag, self.id, self.state, self.inside, self.styles = tag, node_id, state, inside, []
+        # Named as no main text, with an article in it, and the named nodes from here to the root, as a linked list.
+        self.marked, self.holds, self.under = marked, False, (self, under) if marked else under
+
+
+def _chain(under) -> Iterator[_Node]:
+    while under:
+        node, under = under
+        yield node
 
 
 class Block:
     """Text of one node between block boundaries. ``state``: 0 never main text, 1 core of an article, 2 open."""
 
-    __slots__ = ("path", "state", "inside", "text", "under")
+    __slots__ = ("id", "state", "inside", "text", "under")
 
-    def __init__(self, path: str, state: int, inside: bool, text: str, under: tuple = ()):
-        self.path, self.state, self.inside, self.text, self.under = path, state, inside, text, under
+    def __init__(self, node_id: int, state: int, inside: bool, text: str, under: tuple | None = None):
+        self.id, self.state, self.inside, self.text, self.under = node_id, state, inside, text, under
 
     def is_marked(self) -> bool:
-        return any(n.marked for n in self.under)
+        return any(n.marked for n in _chain(self.under))
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -117,64 +126,84 @@ def _opened(tag: str, attributes: str, above: _Node) -> _Node:
     inside = above.inside or (state > 0 and not marked and (
         tag in MAIN or "articlebody" in given.get("itemprop", "").lower() or "main" in words))
     if inside and not above.inside:
-        for node in above.under:
+        for node in _chain(above.under):
             node.marked, node.holds = node.marked and tag != "main", True
     if state == 2 and inside and tag in CORE:
         state = 1
     label = tag if not words else f"{tag}.{'.'.join(sorted(words))}"
-    return _Node(tag, f"{above.path}/{label}", state, inside, marked, above.under)
+    return _Node(tag, _hash(label, above.id), state, inside, marked, above.under)
 
 
-def parse(html: str) -> tuple[list[Block], list[tuple[str, str]]]:
+def _next_tag(html: str, at: int) -> tuple[int, int, re.Match | None]:
+    """Where the next tag, comment or declaration begins and ends, and the match of a well-formed tag.
+
+    Every step looks at a bounded stretch or for the first of something, so a
+    page full of unclosed quotes takes linear time.
+    """
+    size, last = len(html), False
+    while (at := html.find("<", at)) >= 0:
+        if html.startswith("<!--", at):
+            end = html.find("-->", at + 4)
+            return at, size if end < 0 else end + 3, None
+        # No ">" after here: no more tags, but perhaps a comment that is never closed.
+        end = -1 if last else html.find(">", at)
+        last = end < 0
+        if not last:
+            tag = _TAG.match(html, at, min(size, at + TAG_LENGTH))
+            if tag:
+                return at, tag.end(), tag
+            if html.startswith(("<!", "<?"), at) or _TAG_START.match(html, at):
+                return at, end + 1, None
+        at += 1
+    return size, size, None
+
+
+def parse(html: str) -> tuple[list[Block], list[tuple[int, str]]]:
     """Blocks of a page in order, and its nodes with the sequence of their children (their presentation).
 
     Lenient like a browser: open paragraphs, list items and cells are closed
     where a new one begins, unknown end tags are passed over, and what is open
     at the end is closed there.
     """
-    root = _Node("", "", 2, False)
+    root = _Node("", 0, 2, False)
     stack, blocks, nodes, parts = [root], [], [], []
-    holder = root
+    holders, opened = [root], Counter()
 
     def flush() -> None:
         nonlocal parts
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                blocks.append(Block(holder.path, holder.state, holder.inside, text, holder.under))
+                holder = holders[-1]
+                blocks.append(Block(holder.id, holder.state, holder.inside, text, holder.under))
             parts = []
 
     def close(depth: int) -> None:
-        nonlocal holder
         while len(stack) > depth:
             node = stack.pop()
+            opened[node.tag] -= 1
             if node.tag not in INLINE:
                 flush()
-                nodes.append((node.path, " ".join(node.styles)))
-                holder = next(n for n in reversed(stack) if n.tag not in INLINE)
+                nodes.append((node.id, " ".join(node.styles)))
+                holders.pop()
 
     at, size = 0, len(html)
     while at < size:
-        tag = _TAG.search(html, at)
-        stop = tag.start() if tag else size
+        stop, after, tag = _next_tag(html, at)
         if stop > at and stack[-1].state:
             parts.append(unescape(html[at:stop]))
+        at = after
         if not tag:
-            break
-        at = tag.end()
-        name = tag[2]
-        if not name:
             continue
-        name = name.lower()
+        name = tag[2].lower()
         if tag[1]:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == name), 0)
-            if depth:
-                close(depth)
+            if opened[name]:
+                close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == name))
             elif name == "p":
                 flush()
             continue
         ends = CLOSES.get(name)
-        if ends:
+        if ends and any(opened[t] for t in ends):
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in ends:
                     close(i)
@@ -195,9 +224,10 @@ def parse(html: str) -> tuple[list[Block], list[tuple[str, str]]]:
                 node.state = stack[-1].state
         else:
             flush()
-            holder.styles.append(name)
-            holder = node
+            holders[-1].styles.append(name)
+            holders.append(node)
         stack.append(node)
+        opened[name] += 1
         if name in RAW:
             end = re.compile(f"</{re.escape(name)}", re.I).search(html, at)
             at = end.start() if end else size
@@ -205,13 +235,13 @@ def parse(html: str) -> tuple[list[Block], list[tuple[str, str]]]:
     flush()
     if not any(b.inside and b.state and not b.is_marked() for b in blocks):
         # The only articles are in branches named as something else, which then are not that.
-        for node in {n for b in blocks if b.inside for n in b.under if n.holds}:
+        for node in {n for b in blocks if b.inside for n in _chain(b.under) if n.holds}:
             node.marked = False
     return [b for b in blocks if not b.is_marked()], nodes
 
 
-def _hash(text: str) -> int:
-    return xxhash.xxh64_intdigest(text) - (1 << 63)
+def _hash(text: str, seed: int = 0) -> int:
+    return xxhash.xxh64_intdigest(text, seed & (1 << 64) - 1) - (1 << 63)
 
 
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,15 +253,15 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             costs: Counter = Counter()
             for host, html in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                 blocks, nodes = parse(html)
-                own = Counter((path, 1, style) for path, style in nodes)
-                own.update((b.path, 2, s) for b in blocks for s in _SENTENCE.split(b.text) if s)
-                own.update({(path, 0, "") for path, _, _ in own})
+                own = Counter((node, 1, style) for node, style in nodes)
+                own.update((b.id, 2, s) for b in blocks for s in _SENTENCE.split(b.text) if s)
+                own.update({(node, 0, "") for node, _, _ in own})
                 for key, n in own.items():
                     found[host, *key] += n
                     costs[host, *key] += n * log(n)
-            hosts, paths, kinds, features = zip(*found) if found else ((), (), (), ())
+            hosts, ids, kinds, features = zip(*found) if found else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([
-                pa.array(hosts, pa.string()), pa.array(map(_hash, paths), pa.int64()), pa.array(kinds, pa.int32()),
+                pa.array(hosts, pa.string()), pa.array(ids, pa.int64()), pa.array(kinds, pa.int32()),
                 pa.array(map(_hash, features), pa.int64()), pa.array(found.values(), pa.int64()),
                 pa.array(costs.values(), pa.float64())], ["host", "node", "kind", "feature", "n", "nlogn"])
 
@@ -317,11 +347,4 @@ def extracted(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def main_text(html: str, weak: set[int]) -> str:
     """The kept blocks of one page."""
     blocks, _ = parse(html)
-    known: dict[str, bool] = {}
-    out = []
-    for b in blocks:
-        if b.state == 2 and b.path not in known:
-            known[b.path] = _hash(b.path) not in weak
-        if b.state and (b.state == 1 or known[b.path]):
-            out.append(b.text)
-    return "\n".join(out)
+    return "\n".join(b.text for b in blocks if b.state and (b.state == 1 or b.id not in weak))
