@@ -53,6 +53,7 @@ def _signatures(sets: list[np.ndarray]) -> np.ndarray:
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ends = separators()
     for batch in batches:
+        texts = batch.column(1).cast(pa.large_binary())
         for at, words, places in word_hashes(batch.column(1), ends):
             sets = [np.unique(runs_of(words[a:b], WORDS)) for a, b in zip(places[:-1], places[1:])]
             ids = np.zeros((len(sets), 2), np.int64)
@@ -62,16 +63,17 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ids[i] = np.frombuffer(hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest(), np.int64)
             if full:
                 signatures[full] = _signatures([sets[i] for i in full])
+            same = [hashlib.sha256(b" ".join(t.as_py().lower().split())).digest() for t in texts.slice(at, len(sets))]
             columns = [batch.column(0).slice(at, len(sets)), pa.array([len(s) for s in sets], pa.int64())]
-            columns += [pa.array(c) for c in (ids[:, 0], ids[:, 1], *signatures.view(np.int64).T)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_a", "set_b", *_SIGNATURE])
+            columns += [pa.array(c) for c in (ids[:, 0], ids[:, 1], *signatures.view(np.int64).T)] + [pa.array(same, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_a", "set_b", *_SIGNATURE, "words"])
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """Per row: number of distinct shingles, a 128-bit digest of their set, and its signature."""
+    """Per row: number of distinct shingles, a 128-bit digest of their set, its signature, and a digest of the words in order."""
     longs = ", ".join(f"{c} long" for c in ["n_shingles", "set_a", "set_b", *_SIGNATURE])
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(
-        _describe, f"doc_id long, {longs}")
+        _describe, f"doc_id long, {longs}, words binary")
 
 
 def chunk_keys(chunk: Column, family: int) -> list[Column]:
@@ -270,17 +272,15 @@ def _blocks(mixed: DataFrame) -> DataFrame:
 
 
 def _open_cells(part: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame, np.ndarray]:
-    """Rows, columns and the cells of a block that are to be compared: other component, each pair of strays once."""
+    """Rows, columns and the cells of a block that are to be compared.
+
+    As in small neighbourhoods: other component, each pair of strays once, sizes and signatures that allow a link.
+    """
     part = part.sort_values(["is_row", "id"])
     rows, columns = part[part["is_row"]], part[~part["is_row"]]
     a, b = rows["id"].to_numpy()[:, None], columns["id"].to_numpy()[None]
     cells = rows["component"].to_numpy()[:, None] != columns["component"].to_numpy()[None]
-    return rows, columns, cells & (~columns["stray"].to_numpy()[None] | (a > b))
-
-
-def _active(part: pd.DataFrame) -> pd.DataFrame:
-    """The rows and columns of a block with a cell whose sizes and signatures allow a link."""
-    rows, columns, cells = _open_cells(part)
+    cells &= ~columns["stray"].to_numpy()[None] | (a > b)
     if cells.any():
         n, m = rows["n_shingles"].to_numpy()[:, None], columns["n_shingles"].to_numpy()[None]
         cells &= np.minimum(n, m) * 100 >= np.maximum(n, m) * SIMILARITY
@@ -290,8 +290,14 @@ def _active(part: pd.DataFrame) -> pd.DataFrame:
         for j in range(SYMBOLS):
             common += x[:, j][:, None] == y[:, j][None]
         cells &= common >= MIN_COMMON
+    return rows, columns, cells
+
+
+def _active(part: pd.DataFrame) -> pd.DataFrame:
+    """The rows and columns of a block with a cell to compare."""
+    rows, columns, cells = _open_cells(part)
     keep = np.concatenate([cells.any(axis=0), cells.any(axis=1)])  # columns stand before rows
-    return pd.concat([columns, rows])[keep].drop(columns=_NODE)
+    return pd.concat([columns, rows])[keep]
 
 
 def _block_links(part: pd.DataFrame) -> pd.DataFrame:
@@ -323,15 +329,37 @@ def _large_links(mixed: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFra
     """
     key = ["hub", "rows", "columns"]
     blocks = _blocks(mixed).join(nodes, "id")
-    columns = "hub long, rows int, columns int, id long, component long, stray boolean, is_row boolean"
-    active = blocks.groupBy(*key).applyInPandas(
-        lambda part: _active(part)[["hub", "rows", "columns", "id", "component", "stray", "is_row"]], columns)
+    names = ["hub", "rows", "columns", "id", "component", "stray", "is_row", *_NODE]
+    columns = "hub long, rows int, columns int, id long, component long, stray boolean, is_row boolean, " + ", ".join(
+        f"{c} long" for c in _NODE)
+    active = blocks.groupBy(*key).applyInPandas(lambda part: _active(part)[names], columns)
     active = materialize(active, "near-active")
     texts = _texts_of(docs, active.select("id").distinct()).withColumnRenamed("doc_id", "id")
     return split_join(active, texts, ["id"], ["hub", "rows", "columns"], "inner", 2000).groupBy(*key).applyInPandas(
         _block_links, "a long, b long")
 
 
+def _equal_sets(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """``rows`` with ``_set``, the same for rows whose sets are equal.
+
+    Texts of the same words in the same order have equal sets. Of texts that
+    have only the digest of their set in common, one of each is compared with
+    the one of smallest id on whole sets; if they are not linked, which takes
+    a collision of hashes, its rows have a set of their own.
+    """
+    some = rows.filter("n_shingles > 0 AND doc_id IS NOT NULL")
+    texts = materialize(some.groupBy("set_a", "set_b", "words").agg(F.min("doc_id").alias("a")), "near-texts")
+    several = texts.groupBy("set_a", "set_b").agg(F.min("a").alias("b"), F.count("*").alias("_texts")).filter("_texts > 1")
+    pairs = materialize(join_checked(texts, several, ["set_a", "set_b"], "inner").filter("a <> b").select("a", "b", "words"), "near-equal")
+    own = F.concat_ws(":", "set_a", "set_b")
+    if not pairs.isEmpty():
+        apart = materialize(pairs.join(confirmed(pairs.select("a", "b"), docs), ["a", "b"], "left_anti").select("words"), "near-apart")
+        if not apart.isEmpty():
+            rows = join_checked(rows, apart.withColumn("_apart", F.lit(True)), ["words"], "left")
+            return rows.withColumn("_set", F.when(F.col("_apart"), F.concat_ws(":", own, F.hex("words"))).otherwise(own))
+    return rows.withColumn("_set", own)
+
+
 def near_components(docs: DataFrame) -> DataFrame:
     """Groups of linked documents.
 
@@ -345,16 +373,16 @@ def near_components(docs: DataFrame) -> DataFrame:
     with a null component. Rows that repeat an id repeat its result; rows of
     one id are taken to have one text.
 
-    Equal sets are one node. Signatures of 32 symbols are cut into eight
+    Equal sets, confirmed on whole texts, are one node. Signatures of 32 symbols are cut into eight
     chunks; a pair with at most 15 different symbols has by the pigeonhole
     principle a chunk with at most one, and each chunk is indexed under all
     four keys that leave one symbol out, so every such pair meets. Pairs with
     up to 20 different symbols are compared as well where they meet. A pair of
     similarity 0.75 meets with probability 1 - 0.262^8, all but 1 in 45,000.
     """
-    rows = materialize(described(docs), "near-rows")
+    rows = _equal_sets(materialize(described(docs), "near-rows"), docs)
     sets = materialize(
-        rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_a", "set_b", *_NODE).agg(
+        rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("_set", *_NODE).agg(
             F.min("doc_id").alias("id"), F.count("*").alias("_rows")), "near-sets")
     nodes = sets.select("id", *_NODE)
     keys = [k for c, name in enumerate(_SIGNATURE) for k in chunk_keys(F.col(name), c)]
@@ -366,12 +394,12 @@ def near_components(docs: DataFrame) -> DataFrame:
     links = materialize(confirmed(pairs, docs).unionByName(_large_links(mixed, nodes, docs)), "near-links")
     if not links.isEmpty():
         labels = components(links, labels)
-    groups = sets.select(F.concat_ws(":", "set_a", "set_b").alias("_set"), "id", "_rows")
+    groups = sets.select("_set", "id", "_rows")
     groups = groups.withColumn("component", F.col("id")) if labels is None else groups.join(
         labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     groups = materialize(groups.filter("_rows > 1 OR component <> id").select("_set", "component", "_rows"), "near-groups")
     total = rows.count()
-    own_set = F.when(F.col("n_shingles") > 0, F.concat_ws(":", "set_a", "set_b")).otherwise(
+    own_set = F.when(F.col("n_shingles") > 0, F.col("_set")).otherwise(
         F.concat(F.lit("empty:"), F.coalesce("doc_id", F.lit(0)).cast("string")))
     found = join_groups(rows.select("doc_id", "n_shingles", own_set.alias("_set")), groups, "_set", "_rows", total, "doc_id")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

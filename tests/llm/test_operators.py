@@ -148,6 +148,38 @@ def test_near_components_equal_all_pairs(spark):
     assert all(g["kept"] == (g["component_id"] == i) for i, g in got.items())
 
 
+@pytest.mark.parametrize("small", [64, 0])
+def test_planted_pairs_just_above_the_threshold_are_found(spark, monkeypatch, small):
+    """Every pair of a similarity of 0.75 to 0.80, of texts of many lengths, by pairs or by blocks alone."""
+    monkeypatch.setattr(neardup, "SMALL", small)
+    r = random.Random(12)
+    rows, expected = [], 0
+    for i in range(500):
+        words_ = [f"p{i}x{j}" for j in range(r.randint(60, 400))]
+        edited, at = list(words_), len(words_) // 2
+        while True:
+            a, b = neardup._shingles(" ".join(words_)), neardup._shingles(" ".join(edited[:at] + ["new"] + edited[at + 1:]))
+            if len(a & b) / len(a | b) < 0.75:
+                break
+            edited, at = edited[:at] + ["new"] + edited[at + 1:], r.randrange(len(words_))
+        b = neardup._shingles(" ".join(edited))
+        expected += 0.75 <= len(a & b) / len(a | b) <= 0.80
+        rows += [(2 * i, " ".join(words_)), (2 * i + 1, " ".join(edited))]
+    got = by_id(neardup.near_components(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert expected > 400 and all(got[2 * i + 1]["component_id"] == 2 * i for i in range(500))
+
+
+def test_sets_that_are_equal_in_another_order_are_confirmed(spark, monkeypatch):
+    texts = ["a b c d e a b c d e a", "b c d e a b c d e a b", "a b c d e a b c d e a b c d e a", "x " * 9, "x " * 12, "q r s t u"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {i: (g["n_shingles"], g["component_id"]) for i, g in by_id(neardup.near_components(docs)).items()}
+    assert got == {i: c for i, c in plain_components(list(enumerate(texts))).items()}
+    # As if hashes had collided: what is not confirmed has a set of its own.
+    monkeypatch.setattr(neardup, "confirmed", lambda pairs, _: pairs.limit(0))
+    rows = neardup._equal_sets(neardup.described(docs), docs).select("doc_id", "_set").collect()
+    assert len({r["_set"] for r in rows}) == 6
+
+
 def test_large_group_and_sharers_of_a_passage(spark):
     r = random.Random(8)
     base = [f"b{i}" for i in range(150)]

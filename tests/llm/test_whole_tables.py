@@ -3,6 +3,7 @@
 import json
 import random
 import tracemalloc
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -162,3 +163,76 @@ def test_stages_keep_given_columns_of_any_name(spark):
 def test_stages_give_no_rows_for_an_empty_table(spark, empty, name, stage):
     out = stage(spark, empty, "")
     assert out.count() == 0 and (name == "byte_bpe" or out.columns == empty.columns)
+
+
+# 3: main text
+
+def test_the_tree_finds_boilerplate_without_names(spark):
+    r = random.Random(11)
+    word = lambda: "".join(r.choices("abcdefghij", k=6))
+    sentence = lambda n: " ".join(word() for _ in range(n)) + "."
+    rows, expected = [], {}
+    for i in range(60):
+        own = [sentence(12) for _ in range(3)]
+        body = "".join(f"<section>{t}</section>" for t in own)
+        rows.append((i, f"http://h{i % 3}.net/{i}", f"<body><div><ul><li>Home</li><li>About us</li></ul></div><main><div>{body}</div></main>"
+                     f"<div><span>All rights kept by h{i % 3}.</span></div></body>"))
+        expected[i] = "\n".join(own)
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in pages.extracted(table).collect()} == expected
+    assert {r.page_id for r in pages.extracted(table, threshold=-1.0).collect() if r.text != expected[r.page_id]} == set(expected)
+
+
+def plain_importance(parsed):
+    """Importance of the nodes of one site by its definition, page by page."""
+    from math import log
+
+    shown, content, seen = {}, {}, {}
+    for n, (blocks, nodes) in enumerate(parsed):
+        for node, style in nodes:
+            shown.setdefault(node, Counter())[style] += 1
+        for block in blocks:
+            for part in pages._SENTENCE.split(block.text):
+                if part:
+                    content.setdefault(block.id, {}).setdefault(part, Counter())[n] += 1
+        for node in {x for x, _ in nodes} | {b.id for b in blocks}:
+            seen.setdefault(node, set()).add(n)
+    entropy = lambda counts, base: -sum(c / sum(counts) * log(c / sum(counts), base) for c in counts)
+    found = {}
+    for node, on in seen.items():
+        if len(on) == 1:
+            found[node] = 1.0
+            continue
+        styles = shown.get(node, Counter())
+        weight = pages.GAMMA ** max(len(styles) - 1, 0)
+        mean = [entropy(c.values(), len(on)) for c in content.get(node, {}).values()]
+        found[node] = (1 - weight) * min(1.0, entropy(styles.values(), len(on)) if styles else 0.0) + weight * (1 - (sum(mean) / len(mean) if mean else 0.0))
+    return found
+
+
+def test_importance_equals_a_plain_one(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("url", "html").collect()
+    host = max(Counter(r.url.split("/")[2] for r in rows).items(), key=lambda x: x[1])[0]
+    own = [r.html for r in rows if r.url.split("/")[2] == host]
+    expected = plain_importance([pages.parse(h) for h in own])
+    counts = spark.createDataFrame([("h", h) for h in own], "host string, html string").mapInArrow(
+        pages._statistics, "host string, node long, kind int, feature long, n long, nlogn double")
+    got = {r.node: r.importance for r in pages._importance(counts, ["host", "node"]).collect()}
+    assert got.keys() == expected.keys() and all(abs(got[n] - expected[n]) < 1e-9 for n in got)
+
+
+def test_odd_repeated_and_deep_pages(spark):
+    import time
+
+    deep = "<div>" * 20_000 + "deep" + "</x>" * 20_000
+    rows = [(1, None, None), (2, "", ""), (3, "odd url", "plain text"), (3, "odd url", "plain text"), (None, "http://a.b", "<p>x &amp; y"),
+            (4, "http://a.b/c", deep), (5, "http://a.b/d", '<p title="' * 50_000 + "end"), (6, "http://a.b/e", "<a " * 100_000), (7, "u", "<!-- open")]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns(
+        {c: F.lit(c) for c in ("host", "weak", "pages", "node", "text", "n_chars")})
+    began = time.time()
+    got = sorted(((str(r.page_id), r.text) for r in pages.extracted(table).collect()))
+    assert time.time() - began < 60
+    texts = dict(got)
+    assert len(got) == len(rows) and [t for i, t in got if i == "3"] == ["plain text"] * 2
+    assert texts["1"] == texts["2"] == texts["7"] == "" and texts["None"] == "x & y" and texts["4"] == "deep"
+    assert pages.extracted(table.limit(0)).count() == 0
