@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from gridledger.llm import bpe, fingerprints, pages, secrets, tokens, toxicity
+from gridledger.llm import bpe, fingerprints, language, pages, secrets, tokens, toxicity
 
 
 # 8: toxicity
@@ -236,3 +236,77 @@ def test_odd_repeated_and_deep_pages(spark):
     assert len(got) == len(rows) and [t for i, t in got if i == "3"] == ["plain text"] * 2
     assert texts["1"] == texts["2"] == texts["7"] == "" and texts["None"] == "x & y" and texts["4"] == "deep"
     assert pages.extracted(table.limit(0)).count() == 0
+
+
+# 4: language
+
+def test_weights_and_cosines_equal_a_plain_recomputation(spark):
+    import math
+    import zlib
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows, model = docs.collect(), language.fit(docs)
+    train = [r for r in rows if r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 5]
+    features = {r.doc_id: Counter(language._features(r.text).tolist()) for r in rows}
+    frequency = Counter(f for r in train for f in features[r.doc_id])
+    weight = [math.log((1 + len(train)) / (1 + frequency[f])) + 1 for f in range(language.FEATURES)]
+    assert np.allclose(model.idf, weight, atol=1e-4)
+    assert np.allclose(np.linalg.norm(model.centroids, axis=1), 1, atol=1e-4) and len(model.centroids) == 4 * len(model.languages)
+    got = {r.doc_id: r for r in language.languages(docs, model).collect()}
+    for r in rows:
+        vector = {f: math.log1p(n) * weight[f] for f, n in features[r.doc_id].items()}
+        norm = math.sqrt(sum(x * x for x in vector.values()))
+        cosines = [sum(x * c[f] for f, x in vector.items()) / norm for c in model.centroids]
+        best = max(range(len(cosines)), key=cosines.__getitem__)
+        assert abs(got[r.doc_id].score - cosines[best]) < 1e-4
+        assert got[r.doc_id].lang_pred == model.languages[model.owner[best]]
+
+
+# 8: toxicity
+
+def plain_ratios(texts):
+    """Mean log ratio of each word by the definition: documents of each class, different words before, shared backoff."""
+    from math import log, sqrt
+
+    words = [(toxic, text.lower().split()) for toxic, text in texts]
+    documents = [sum(t == c for t, _ in words) for c in (0, 1)]
+    kinds = []
+    for head in toxicity.HEADS:
+        counts, before = (Counter(), Counter()), {}
+        for toxic, line in words:
+            counts[toxic].update({w[:head] for w in line})
+            for previous, w in zip(line, line[1:]):
+                before.setdefault(w[:head], set()).add(previous)
+        every = set(counts[0]) | set(counts[1])
+        contexts = {e: len(before.get(e, ())) + 1 for e in every}
+        discount = toxicity.DISCOUNT
+        taken = sum(min(c[e], discount) for c in counts for e in every) / sum(documents)
+        ratio = {}
+        for e in every:
+            logs = [log(max(c[e] - discount, 0) / n + taken * contexts[e] / sum(contexts.values())) for c, n in zip(counts, documents)]
+            chance = toxicity.ERRORS * sqrt(1 / (counts[0][e] + 0.5) + 1 / (counts[1][e] + 0.5))
+            size = max(abs(logs[1] - logs[0]) - chance, 0)
+            ratio[e] = size if logs[1] > logs[0] else -size
+        kinds.append(ratio)
+    return {w: sum(k[w[:h]] for k, h in zip(kinds, toxicity.HEADS)) / len(kinds) for _, line in words for w in line}
+
+
+def test_log_ratios_equal_plain_ones(spark):
+    import pyarrow as pa
+
+    r = random.Random(4)
+    vocabulary = ["".join(r.choices("abcdef", k=r.randint(1, 12))) for _ in range(150)]
+    texts = []
+    for i in range(300):
+        line = r.choices(vocabulary, k=20)
+        texts.append((i % 3 == 0, " ".join(line + (r.choices(["grolkish", "grolk", "vren", "vrensher"], k=4) if i % 3 == 0 else []))))
+    expected = plain_ratios([(int(t), x) for t, x in texts])
+    train = spark.createDataFrame([(int(t), x) for t, x in texts], "toxic int, text string")
+    classes = dict(train.groupBy("toxic").count().collect())
+    rows = toxicity._ratios(toxicity._counts(train), (classes[0], classes[1])).collect()
+    hashes = np.array([x.word for x in rows], np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    model = toxicity.Model(hashes[order], np.array([x.ratio for x in rows])[order], np.zeros(4))
+    words = sorted(expected)
+    got = np.concatenate([model.ratio(w) for _, w, _ in toxicity._expressions(pa.array([" ".join(words)]))])
+    assert np.allclose(got, [expected[w] for w in words], atol=1e-9) and (np.abs(got) > 0.5).sum() >= 2
