@@ -34,15 +34,15 @@ def hot_keys(df: DataFrame, keys: list[str], name: str, rows: int = ROWS_PER_SPL
 
 def split_join(
     left: DataFrame, right: DataFrame, keys: list[str], spread_by: list[str], how: str = "inner",
-    rows_per_split: int = ROWS_PER_SPLIT,
+    rows_per_split: int = ROWS_PER_SPLIT, null_splits: int = NULL_SPLITS,
 ) -> DataFrame:
     """Join with the hot keys of ``left`` cut into splits of bounded size.
 
     Only the right rows of hot keys are repeated, once per split; all other
     rows are joined as they are. ``spread_by`` names left columns that differ
     between the rows of a key, so that a task that runs again sends every row
-    to the same split. Rows with a null key match nothing and are spread as
-    well. The result equals the plain join.
+    to the same split. Rows with a null key match nothing and are spread over
+    ``null_splits``. The result equals the plain join.
     """
     if how not in _HOWS:
         raise ValueError(f"a join that can split its left side is one of {_HOWS}")
@@ -50,7 +50,7 @@ def split_join(
     splits = F.coalesce("_splits", F.lit(1))
     no_key = reduce(or_, [F.col(k).isNull() for k in keys])
     spread = left.join(hot, keys, "left").withColumn(
-        "_split", F.pmod(F.xxhash64(*spread_by), F.when(no_key, NULL_SPLITS).otherwise(splits)).cast("int")
+        "_split", F.pmod(F.xxhash64(*spread_by), F.when(no_key, null_splits).otherwise(splits)).cast("int")
     ).drop("_splits")
     repeated = right.join(hot, keys, "left").withColumn(
         "_split", F.explode(F.sequence(F.lit(0), splits - 1))
@@ -60,7 +60,7 @@ def split_join(
 
 def lookup_join(
     left: DataFrame, table: DataFrame, keys: list[str], spread_by: list[str], how: str = "left",
-    max_rows: int = BROADCAST_ROWS, source: DataFrame | None = None,
+    max_rows: int = BROADCAST_ROWS, source: DataFrame | None = None, stream_splits: int = STREAM_SPLITS,
 ) -> DataFrame:
     """Join to a lookup table that is unique on its keys.
 
@@ -68,7 +68,7 @@ def lookup_join(
     ``max_rows`` rows of together ``BROADCAST_BYTES`` as text, and joined by
     split keys otherwise. ``source`` is what the table was reduced from, where
     counting that is cheaper. A stream cannot be counted, so all its keys are
-    cut into ``STREAM_SPLITS`` and the table is repeated as often.
+    cut into ``stream_splits`` and the table is repeated as often.
     """
     counted = (table if source is None else source).limit(max_rows + 1)
     rows, size = counted.agg(
@@ -76,7 +76,7 @@ def lookup_join(
     if rows <= max_rows and size <= BROADCAST_BYTES:
         return left.join(F.broadcast(table), keys, how)
     if left.isStreaming:
-        split = F.pmod(F.xxhash64(*spread_by), F.lit(STREAM_SPLITS)).cast("int")
-        repeated = table.withColumn("_split", F.explode(F.sequence(F.lit(0), F.lit(STREAM_SPLITS - 1))))
+        split = F.pmod(F.xxhash64(*spread_by), F.lit(stream_splits)).cast("int")
+        repeated = table.withColumn("_split", F.explode(F.sequence(F.lit(0), F.lit(stream_splits - 1))))
         return left.withColumn("_split", split).join(repeated, [*keys, "_split"], how).drop("_split")
     return split_join(left, table, keys, spread_by, how)

@@ -10,7 +10,7 @@ from gridledger.operators import documents as document_ops
 from gridledger.plans import tables as t
 from gridledger.plans.registry import query
 from gridledger.profiles import text_schema
-from gridledger.session import work_path
+from gridledger.session import materialize, work_path
 from gridledger.sources import files, merge, sinks
 
 
@@ -91,32 +91,35 @@ def merged_daily_state(spark, sf_dir):
 
 
 @query("reingested_documents", """
-SELECT 'DOC' || doc_id AS document_id, i AS chunk_index, md5(substr(text, i * 750 + 1, 900)) AS text_md5, lang <> 'de' AS is_new
+SELECT 'DOC' || doc_id AS document_id, i AS chunk_index, md5(substr(text, i * 750 + 1, 900)) AS text_md5,
+  lang IS DISTINCT FROM 'de' AS is_new
 FROM (SELECT doc_id, text, lang, unnest(range((length(text) + 749) // 750)) AS i FROM documents)
 """)
 def reingested_documents(spark, sf_dir):
     """All texts are in the tables with outdated chunks; every language but German is delivered again."""
     base = t.read(spark, sf_dir, "documents").select(
-        F.concat(F.lit("DOC"), F.col("doc_id").cast("string")).alias("document_id"), "lang", "text"
+        F.concat(F.lit("DOC"), F.col("doc_id").cast("string")).alias("document_id"), F.col("lang").eqNullSafe("de").alias("german"),
+        F.sha2("text", 256).alias("document_version_hash"), "text"
     )
 
     def parents(rows, prefix):
         return rows.select(
             F.concat(F.lit(prefix), "document_id").alias("parent_id"), F.col("document_id").alias("contract_id"),
-            F.sha2("text", 256).alias("document_version_hash"), F.col("document_id").alias("source_file_name"),
+            "document_version_hash", F.col("document_id").alias("source_file_name"),
             F.current_timestamp().alias("ingested_at_timestamp"),
         )
 
     def chunks(rows, prefix, fresh):
-        cut = document_ops.window_chunks(rows, ["document_id", "text"], "text")
+        cut = document_ops.window_chunks(rows, ["document_id", "german", "document_version_hash"], "text")
         # German texts keep their chunks; the outdated ones of the others are blank.
-        kept = F.when(F.lit(fresh) | (F.col("lang") == "de"), F.col("text_snippet")).otherwise("outdated")
-        return cut.join(rows.select("document_id", "lang"), "document_id").select(
+        kept = F.when(F.lit(fresh) | F.col("german"), F.col("text_snippet")).otherwise("outdated")
+        # Stored: the joins count keys before they move rows, and texts are cut once.
+        return materialize(cut.select(
             F.concat(F.lit(prefix), "document_id").alias("parent_id"), F.col("document_id").alias("contract_id"),
-            F.sha2("text", 256).alias("document_version_hash"), "chunk_index", kept.alias("text_snippet"), F.lit(fresh).alias("is_new"),
-        )
+            "document_version_hash", "chunk_index", kept.alias("text_snippet"), F.lit(fresh).alias("is_new"),
+        ), "chunks")
 
-    again = base.filter(F.col("lang") != "de")
+    again = base.filter(~F.col("german"))
     _, merged = merge.ingest_documents(
         parents(base, "P"), chunks(base, "P", False), parents(again, "Q"), chunks(again, "Q", True)
     )

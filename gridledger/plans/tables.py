@@ -16,15 +16,18 @@ SAMPLE_SECONDS = 3600
 FIRST_DAY = "2024-01-01"
 
 
-_SCHEMAS: dict[str, T.StructType] = {}
+_SCHEMAS: dict[tuple[str, int], T.StructType] = {}
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table; its schema is read from the files once per process."""
+    """A given table; its schema is read from the files once, and again when they have been replaced."""
     path = f"{sf_dir}/{name}.parquet"
-    if path not in _SCHEMAS:
-        _SCHEMAS[path] = spark.read.parquet(path).schema
-    return spark.read.schema(_SCHEMAS[path]).parquet(path)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    status = folder.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(folder)
+    known = path, status.getModificationTime()
+    if known not in _SCHEMAS:
+        _SCHEMAS[known] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[known]).parquet(path)
 
 
 def _id(prefix: str, key: str) -> Column:
