@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import and_
 
@@ -81,6 +82,17 @@ def read_if_present(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
+def read_days(spark: SparkSession, path: str, column: str, keep: Callable[[str], bool]) -> DataFrame | None:
+    """The folders ``<column>=<date>`` of a table whose ISO date ``keep`` accepts; no other folder is listed or read."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(root):
+        return None
+    names = [entry.getPath().getName() for entry in system.listStatus(root) if entry.isDirectory()]
+    chosen = [n for n in names if n.startswith(f"{column}=") and keep(n.partition("=")[2])]
+    return spark.read.option("basePath", path).parquet(*[f"{path}/{n}" for n in chosen]) if chosen else None
+
+
 def partition_values(df: DataFrame, column: str) -> list:
     """Distinct values of a partition column: no more than the table has folders."""
     return [row[0] for row in df.select(column).distinct().collect()]

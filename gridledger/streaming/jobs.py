@@ -14,7 +14,7 @@ from gridledger.functions.scalars import is_curtailed, kw_to_mwh, seconds_betwee
 from gridledger.functions.skew import lookup_join, split_join
 from gridledger.operators import energy, gold, silver
 from gridledger.profiles import METERED, TelemetryProfile
-from gridledger.sources.merge import merge_into, one_per_key, partition_values, read_if_present
+from gridledger.sources.merge import merge_into, one_per_key, partition_values, read_days, read_if_present
 
 # Hashed folders of the index of quarantined event ids.
 ID_FOLDERS = 64
@@ -66,11 +66,8 @@ def known_ids(
     spark: SparkSession, index: str, batch_id: int, touched: list[int], since: dt.date | None = None,
 ) -> DataFrame | None:
     """Event ids of earlier batches, from the ``touched`` folders of the index that batches since a landing date wrote."""
-    known = read_if_present(spark, index)
-    if known is None:
-        return None
-    known = known.filter((F.col("batch_id") < batch_id) & F.col("id_folder").isin(touched))
-    return known if since is None else known.filter(F.col("landing_date") >= F.lit(since))
+    known = read_days(spark, index, "landing_date", lambda day: since is None or day >= since.isoformat())
+    return None if known is None else known.filter((F.col("batch_id") < batch_id) & F.col("id_folder").isin(touched))
 
 
 def run_silver(
@@ -110,10 +107,9 @@ def run_silver(
         try:
             valid = silver.dedupe_events(silver.silver_valid(validated), ["event_id"], ["bronze_ingested_at"])
             dated = valid.withColumn("event_date", F.to_date("event_ts_utc"))
-            known = read_if_present(spark, valid_path)
-            if known is not None:
-                dates = partition_values(dated, "event_date")
-                known = known.filter((F.col("batch_id") < batch_id) & F.col("event_date").isin(dates))
+            dates = {str(day) for day in partition_values(dated, "event_date")}
+            known = read_days(spark, valid_path, "event_date", dates.__contains__)
+            known = None if known is None else known.filter(F.col("batch_id") < batch_id)
             write(not_in(dated, known), valid_path, batch_id, ["event_date"])
             bad = one_per_key(silver.silver_quarantine(validated), ["event_id"], ["bronze_ingested_at"], silver.dedupe_events)
             landed, is_bad = F.to_date("bronze_ingested_at"), F.col("validation_error_code").isNotNull() & F.col("event_id").isNotNull()
@@ -122,9 +118,9 @@ def run_silver(
                 F.min(landed), F.max(landed), F.collect_set(F.when(is_bad, _id_folder(id_folders)))).first()
             since = first - dt.timedelta(days=redelivery_days) if first and redelivery_days is not None else None
             write(not_in(bad, known_ids(spark, index, batch_id, touched, since)), quarantine_path, batch_id, [])
-            new = read_if_present(spark, quarantine_path)
+            new = read_if_present(spark, f"{quarantine_path}/batch_id={batch_id}")
             if new is not None:
-                new = new.filter((F.col("batch_id") == batch_id) & F.col("event_id").isNotNull())
+                new = new.filter(F.col("event_id").isNotNull())
                 ids = new.select("event_id", F.lit(last).cast("date").alias("landing_date"), _id_folder(id_folders).alias("id_folder"))
                 write(ids.repartition("id_folder"), index, batch_id, ["landing_date", "id_folder"])
         finally:
