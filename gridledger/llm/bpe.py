@@ -15,12 +15,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridledger.llm.common import text_of
+from gridledger.llm.common import given_back, text_of
 from gridledger.llm.pretokens import finder
 
 ROWS = 256
 # Distinct words that a worker remembers; the memory is emptied beyond.
-REMEMBERED = 1_000_000
+REMEMBERED = 250_000
 # Longer words are folded by a heap, and not remembered.
 LONG = 128
 # Fixed value: public_tokenizers.PATTERN with {L}, {N}, {S} for its classes.
@@ -141,7 +141,7 @@ def encoded(docs: DataFrame, path: str | None = None, with_ids: bool = False) ->
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(ranks.value)
-        for batch in batches:
+        for batch in given_back(batches):
             for at in range(0, batch.num_rows, ROWS):
                 part = batch.slice(at, ROWS)
                 counts, ids, back, lists = [], [], [], []

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridledger.llm.common import held_out, join_checked, text_of
+from gridledger.llm.common import given_back, held_out, join_checked, text_of
 
 UNKNOWN = "und"
 # Runs of three characters, hashed into this many features.
@@ -185,7 +185,7 @@ def _predict(model: Model | None, texts: list[str]) -> list[tuple[str, float, bo
 
 def _found(batches: Iterator[pa.RecordBatch], text_at: int, model: Model | None) -> Iterator[tuple[pa.RecordBatch, list[pa.Array]]]:
     """Parts of the batches with language, cosine and rejection of each row."""
-    for batch in batches:
+    for batch in given_back(batches):
         for at in range(0, batch.num_rows, GROUP):
             part = batch.slice(at, GROUP)
             found = _predict(model, [t or "" for t in part.column(text_at).to_pylist()])

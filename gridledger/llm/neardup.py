@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridledger.functions.skew import split_join
-from gridledger.llm.common import join_checked, join_groups, text_of
+from gridledger.llm.common import given_back, join_checked, join_groups, text_of
 from gridledger.llm.wordhash import mix, runs_of, separators, word_hashes
 from gridledger.session import materialize
 
@@ -29,6 +29,8 @@ MIN_COMMON = 12
 # Neighbourhoods of at most so many members are compared pair by pair, larger ones in blocks.
 SMALL = 64
 BLOCK = 256
+# Bytes of a text that are cut into words at once.
+PIECE = 1 << 18
 _SIGNATURE = [f"s{c}" for c in range(CHUNKS)]
 _NODE = ["n_shingles", *_SIGNATURE]
 
@@ -50,10 +52,21 @@ def _signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def _words_digest(text: str) -> bytes:
+    """Digest of the words in order, of a long text piece by piece."""
+    digest, data, at = hashlib.sha256(), text.encode().lower(), 0
+    while at < len(data):
+        end = data.find(b" ", at + PIECE)
+        end = len(data) if end < 0 else end
+        for_piece = b" ".join(data[at:end].split())
+        digest.update(for_piece + b" " * bool(for_piece))
+        at = end
+    return digest.digest()
+
+
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ends = separators()
-    for batch in batches:
-        texts = batch.column(1).cast(pa.large_binary())
+    for batch in given_back(batches):
         for at, words, places in word_hashes(batch.column(1), ends):
             sets = [np.unique(runs_of(words[a:b], WORDS)) for a, b in zip(places[:-1], places[1:])]
             ids = np.zeros((len(sets), 2), np.int64)
@@ -63,7 +76,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ids[i] = np.frombuffer(hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest(), np.int64)
             if full:
                 signatures[full] = _signatures([sets[i] for i in full])
-            same = [hashlib.sha256(b" ".join(t.as_py().lower().split())).digest() for t in texts.slice(at, len(sets))]
+            same = [_words_digest(t.as_py()) for t in batch.column(1).slice(at, len(sets))]
             columns = [batch.column(0).slice(at, len(sets)), pa.array([len(s) for s in sets], pa.int64())]
             columns += [pa.array(c) for c in (ids[:, 0], ids[:, 1], *signatures.view(np.int64).T)] + [pa.array(same, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_a", "set_b", *_SIGNATURE, "words"])
