@@ -18,12 +18,14 @@ _KEY = ["_a", "_b"]
 
 
 def _apart(docs: DataFrame, *columns: str) -> DataFrame:
-    """The columns a stage works on, and all given columns, whatever their names, in one of their own."""
-    return docs.select(*columns, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_given"))
+    """The columns a stage works on, and the other given columns, whatever their names, in one of their own."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in columns]
+    return docs.select(*columns, F.struct(*others or [F.lit(0)]).alias("_given"))
 
 
-def _given(rows: DataFrame) -> DataFrame:
-    return rows.select("_given.*")
+def _as_given(rows: DataFrame, docs: DataFrame, *columns: str) -> DataFrame:
+    """The rows with the columns of ``docs``; no stage changes those it works on."""
+    return rows.select(*[F.col(c) if c in columns else F.col("_given").getField(c).alias(c) for c in docs.columns])
 
 
 def _key(digest: Column) -> list[Column]:
@@ -69,7 +71,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     So null and empty texts go; without any labelled row all go. Repeated rows
     are decided alike, and no rows give none. All given columns stay as they are.
     """
-    return _given(language.without_rejected(_apart(docs, "doc_id", "text", "lang")))
+    own = "doc_id", "text", "lang"
+    return _as_given(language.without_rejected(_apart(docs, *own)), docs, *own)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -78,9 +81,10 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A null text equals the empty one. Of rows that repeat id and text one
     stays. No rows give none. All given columns stay as they are.
     """
-    rows = _keyed(_apart(docs, "doc_id", "text"))
+    own = "doc_id", "text"
+    rows = _keyed(_apart(docs, *own))
     kept = dedup.exact_groups(docs).filter("kept").select(*_key(F.col("text_sha256"))).distinct()
-    return _given(_once(join_checked(rows, kept, _KEY, "left_semi")))
+    return _as_given(_once(join_checked(rows, kept, _KEY, "left_semi")), docs, *own)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -92,7 +96,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     own = _with_own_ids(_once(_keyed(_apart(docs, "doc_id", "text"))).select("doc_id", "text", "_given"))
     named = own.select(F.col("_own").alias("doc_id"), "text")
     kept = neardup.near_components(named).filter("kept").select(F.col("doc_id").alias("_own"))
-    return _given(join_checked(own, kept, ["_own"], "left_semi"))
+    return _as_given(join_checked(own, kept, ["_own"], "left_semi"), docs, "doc_id", "text")
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -102,7 +106,8 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     own; null and empty texts have no words and are taken with their source's
     whole repetitions. No rows give none. All given columns stay as they are.
     """
-    return _given(mixing.repeated(_apart(docs, "doc_id", "text", "source")))
+    own = "doc_id", "text", "source"
+    return _as_given(mixing.repeated(_apart(docs, *own)), docs, *own)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
