@@ -68,7 +68,8 @@ def lookup_join(
     ``max_rows`` rows of together ``BROADCAST_BYTES`` as text, and joined by
     split keys otherwise. ``source`` is what the table was reduced from, where
     counting that is cheaper. A stream cannot be counted, so all its keys are
-    cut into ``stream_splits`` and the table is repeated as often.
+    cut into ``stream_splits`` and the table is repeated as often. Spark's
+    estimate knows nothing of the repeats, so that join is told to shuffle.
     """
     counted = (table if source is None else source).limit(max_rows + 1)
     rows, size = counted.agg(
@@ -78,5 +79,5 @@ def lookup_join(
     if left.isStreaming:
         split = F.pmod(F.xxhash64(*spread_by), F.lit(stream_splits)).cast("int")
         repeated = table.withColumn("_split", F.explode(F.sequence(F.lit(0), F.lit(stream_splits - 1))))
-        return left.withColumn("_split", split).join(repeated, [*keys, "_split"], how).drop("_split")
+        return left.withColumn("_split", split).join(repeated.hint("merge"), [*keys, "_split"], how).drop("_split")
     return split_join(left, table, keys, spread_by, how)

@@ -66,3 +66,21 @@ def test_only_a_small_lookup_table_is_broadcast(spark, sides):
         assert plan(1000).count("Join") == 1 and plan(10).count("Join") == 3
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_a_large_table_beside_a_stream_is_shuffled(spark, sides, tmp_path, capsys):
+    """The table is small by Spark's estimate, but it was counted as too large and repeated per split."""
+    left, right = sides
+    left.write.parquet(str(tmp_path / "in"))
+    right.filter("v <> -2").write.parquet(str(tmp_path / "table"))
+    table = spark.read.parquet(str(tmp_path / "table"))
+    stream = lookup_join(spark.readStream.schema(left.schema).parquet(str(tmp_path / "in")), table, ["key"], ["n"], max_rows=10)
+    query = (
+        stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp"))
+        .trigger(availableNow=True).start(str(tmp_path / "out")))
+    query.awaitTermination()
+    query.explain()
+    assert "SortMergeJoin" in (plan := capsys.readouterr().out) and "BroadcastHashJoin" not in plan
+    got = spark.read.schema(stream.schema).parquet(str(tmp_path / "out"))
+    plain = left.join(table, "key", "left").select(got.columns)
+    assert got.count() == 9000 and got.exceptAll(plain).count() == 0
