@@ -182,6 +182,20 @@ def _in_files(rows, text, path: str) -> None:
     dealt.select("text").write.option("maxRecordsPerFile", 1).text(path)
 
 
+_FILES_PER_FOLDER = 1000
+
+
+def _file_each(rows, key: str, path: str) -> None:
+    """Every row's ``text`` as a file of its own, about 1,000 to a folder; folders follow from the hash of ``key``.
+
+    A folder is written by one task, however few parts the table is read in,
+    so its files are committed by moving the folder and not one by one.
+    """
+    count = max(-(-rows.count() // _FILES_PER_FOLDER), 64)
+    dealt = rows.select(F.pmod(F.xxhash64(key), F.lit(count)).alias("folder"), "text").repartition(count, "folder")
+    dealt.write.option("maxRecordsPerFile", 1).partitionBy("folder").text(path)
+
+
 @query("case_package_files", """
 SELECT 'object' AS shape, 'B' || s_suppkey AS breach_event_id, s_name AS asset_name, 'PPA' AS document_type FROM supplier
 UNION ALL SELECT 'list', 'B' || c_custkey, c_name, 'PPA' FROM customer
@@ -198,7 +212,7 @@ def case_package_files(spark, sf_dir):
             evidence.alias("evidence_context"))
         target, listed = f"{path}/{shape}", F.collect_list(F.struct(*cases.columns))
         if shape == "object":
-            cases.select(F.to_json(F.struct(*cases.columns)).alias("text")).write.option("maxRecordsPerFile", 1).text(target)
+            _file_each(cases.select("breach_event_id", F.to_json(F.struct(*cases.columns)).alias("text")), "breach_event_id", target)
         else:
             _in_files(cases, F.to_json(listed if shape == "list" else F.struct(listed.alias("cases"))), target)
         found.append(files.scan_case_packages(spark, target).select(
@@ -222,8 +236,7 @@ FROM documents WHERE text IS NOT NULL GROUP BY text
 def document_files(spark, sf_dir):
     """Every text as a file of its own in hashed folders, read back with the hash of the file's bytes."""
     path = work_path(spark, "texts")
-    rows = t.read(spark, sf_dir, "documents").filter("text IS NOT NULL").select(F.pmod("doc_id", F.lit(64)).alias("folder"), "text")
-    rows.write.option("maxRecordsPerFile", 1).partitionBy("folder").text(path)
+    _file_each(t.read(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", "text"), "doc_id", path)
     return files.scan_documents(spark, path).groupBy("document_version_hash", F.md5("raw_text_content").alias("text_md5")).agg(
         F.count("*").alias("file_count"))
 

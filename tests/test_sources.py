@@ -221,3 +221,16 @@ def test_merges_leave_few_files_and_no_stages(spark, tmp_path):
     merge.merge_into(spark, path, table.withColumn("at", F.lit(99)), ["id"], ["at"], "day", rows_per_file=20)
     per_day = {folder.name: len(list(folder.glob("*.parquet"))) for folder in (tmp_path / "table").glob("day=*")}
     assert spark.read.parquet(path).count() == len(ids) and all(2 <= n <= 5 for n in per_day.values())
+
+
+def test_single_files_are_written_by_many_tasks_and_folder(spark, tmp_path):
+    """A table read in one part is not written by one task, and no folder by two."""
+    from gridledger.plans.files import _file_each
+
+    rows = spark.range(600).coalesce(1).selectExpr("id", "concat('text ', id % 500) AS text")
+    _file_each(rows, "id", str(tmp_path / "out"))
+    written = [(f.parent.name, f.name[:10]) for f in (tmp_path / "out").glob("folder=*/part-*")]
+    assert len(written) == 600 and len({part for _, part in written}) > 20
+    assert len(set(written)) == len({folder for folder, _ in written})
+    found = files.scan_documents(spark, str(tmp_path / "out"))
+    assert found.count() == 600 and found.select("document_version_hash").distinct().count() == 500
