@@ -21,6 +21,14 @@ STREAM_SPLITS = 16
 _HOWS = ("inner", "left", "left_semi", "left_anti")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows dealt to the tasks by hash, before costly work inside the row.
+
+    A file is read in few parts, whatever the work costs that its rows make.
+    """
+    return df.repartition(F.xxhash64(*df.columns))
+
+
 def hot_keys(df: DataFrame, keys: list[str], name: str, rows: int = ROWS_PER_SPLIT) -> DataFrame:
     """Keys with more than ``rows`` rows and how many splits each needs.
 

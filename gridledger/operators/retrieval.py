@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 from functools import reduce
 from operator import and_
 
@@ -14,7 +15,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from gridledger import fixed_values as fv
-from gridledger.functions.scalars import col_of, fact_text, fill_template, let, share
+from gridledger.functions.scalars import col_of, fact_text, fill_template, share
 from gridledger.functions.skew import hot_keys, lookup_join, split_join
 from gridledger.session import materialize
 
@@ -56,16 +57,22 @@ def feature_hash(text: Column | str, dimensions: int = HASH_DIMENSIONS) -> Colum
         place = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % dimensions + 1
         return F.when(F.substring(digest, 9, 1) >= "8", place).otherwise(-place).cast("int")
 
-    def sums(codes: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.lit(dimensions)), lambda d: F.aggregate(
-            codes, F.lit(0), lambda n, c: F.when(c == d, n + 1).when(c == -d, n - 1).otherwise(n)))
+    return _signed_sums(dimensions)(F.transform(F.transform(tokens, lambda t: F.md5(t.cast("binary"))), code))
 
-    def unit(counts: Column) -> Column:
-        norm = F.sqrt(F.aggregate(counts, F.lit(0), lambda n, c: n + c * c).cast("double"))
-        return let(norm, lambda n: F.transform(counts, lambda c: F.when(n > 0, c / n).otherwise(F.lit(0.0)).cast("float")))
 
-    codes = F.transform(F.transform(tokens, lambda t: F.md5(t.cast("binary"))), code)
-    return let(let(codes, sums), unit)
+def _signed_sums(dimensions: int) -> Callable[[Column], Column]:
+    """Arrays of signed places, counted from one, to vectors of unit length: every code is looked at once."""
+
+    @F.arrow_udf("array<float>")
+    def sums(codes: pa.Array) -> pa.Array:
+        rows = np.repeat(np.arange(len(codes)), codes.value_lengths().to_numpy(zero_copy_only=False))
+        signed = codes.flatten().to_numpy(zero_copy_only=False)
+        counts = np.bincount(rows * dimensions + np.abs(signed) - 1, np.sign(signed), len(codes) * dimensions).reshape(len(codes), dimensions)
+        unit, _ = _unit(counts)
+        offsets = pa.array(np.arange(len(codes) + 1, dtype=np.int32) * dimensions)
+        return pa.ListArray.from_arrays(offsets, pa.array(unit.astype(np.float32).ravel()))
+
+    return sums
 
 
 def embed(df: DataFrame, text: str, vector: str, embedder=None, batch: int = fv.EMBED_BATCH) -> DataFrame:

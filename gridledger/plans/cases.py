@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gridledger import fixed_values as fv
 from gridledger.functions.scalars import time_text
+from gridledger.functions.skew import dealt
 from gridledger.operators import cases as ops
 from gridledger.operators import documents, enterprise
 from gridledger.plans import tables as t
@@ -94,7 +95,7 @@ def evidence(spark, sf_dir, breaches):
     links = materialize(ops.link_evidence(breaches, t.documents(spark, sf_dir)), "links")
     texts = t.documents(spark, sf_dir).select("document_id", "raw_text_content")
     linked = texts.join(links.select("document_id").distinct(), "document_id", "left_semi")
-    return ops.collect_evidence(links, documents.build_chunks(documents.to_lines(linked), ["document_id"]))
+    return ops.collect_evidence(links, documents.build_chunks(documents.to_lines(dealt(linked)), ["document_id"]))
 
 
 def packages(spark, sf_dir, gold):

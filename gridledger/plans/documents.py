@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridledger import fixed_values as fv
 from gridledger.functions.scalars import SPACE_CHARS, mime_type, time_text
+from gridledger.functions.skew import dealt
 from gridledger.operators import documents as ops
 from gridledger.operators import retrieval
 from gridledger.operators.cases import breach_events
@@ -27,7 +28,7 @@ _HEADING = (
 
 
 def _lines(spark, sf_dir):
-    return ops.to_lines(t.documents(spark, sf_dir).select("document_id", "raw_text_content"))
+    return ops.to_lines(dealt(t.documents(spark, sf_dir).select("document_id", "raw_text_content")))
 
 
 def _squash(text: str) -> str:
@@ -538,7 +539,7 @@ def contract_chunks(spark, sf_dir):
     # Copies of one text in one contract are one version.
     firsts = docs.groupBy("contract_id", "document_version_hash").agg(F.min("document_id").alias("document_id"))
     versions = docs.join(firsts.select("document_id"), "document_id", "left_semi")
-    chunks = ops.build_chunks(ops.to_lines(versions), ["contract_id", "document_version_hash"])
+    chunks = ops.build_chunks(ops.to_lines(dealt(versions)), ["contract_id", "document_version_hash"])
     return retrieval.embed(ops.with_chunk_id(chunks), "text_snippet", "embedding_vector")
 
 
@@ -567,7 +568,8 @@ def breach_context(spark, sf_dir):
     )
     events = materialize(retrieval.embed(events, "query_text", "query_vector"), "events")
     path = work_path(spark, "chunks")
-    sinks.write_clustered(contract_chunks(spark, sf_dir), path, ["contract_id", "chunk_index"])
+    # Stored first: finding the ranges would cut and embed all texts once more.
+    sinks.write_clustered(materialize(contract_chunks(spark, sf_dir), "unsorted"), path, ["contract_id", "chunk_index"])
     chunks = spark.read.parquet(path)
     return retrieval.retrieve_context(events, chunks).select(
         "event_id", "rank", "contract_id", "document_version_hash", "chunk_index", "clause_type", "similarity"

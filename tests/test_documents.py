@@ -314,3 +314,22 @@ def test_cache_key_depends_on_every_part(spark):
 
 def test_heading_limits_are_fixed_values():
     assert (fv.HEADING_MAX_CHARS, fv.CAPS_HEADING_MAX_CHARS) == (200, 120)
+
+
+def test_token_hashes_are_summed_once_and_texts_dealt_out(spark):
+    """One step per token, not one per token and place; texts of a file that is read whole reach many tasks."""
+    from gridledger.functions.skew import dealt
+    from gridledger.plans import documents as plans
+
+    rows = spark.range(400).coalesce(1).selectExpr("concat('d', id) AS document_id", "concat('Text of ', id) AS raw_text_content")
+    # Adaptive execution would merge parts as small as these.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert dealt(rows).select(F.spark_partition_id()).distinct().count() > 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sorted(dealt(rows).collect()) == sorted(rows.collect())
+    plan = retrieval.embed(rows, "raw_text_content", "v")._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan.lower()
+    assert "RepartitionByExpression" in plans._lines(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert retrieval.embed(rows.limit(0), "raw_text_content", "v").count() == 0
