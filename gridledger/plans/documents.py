@@ -566,7 +566,7 @@ def breach_context(spark, sf_dir):
         F.col("breach_event_id").alias("event_id"), "contract_id", F.lit(None).cast("string").alias("document_version_hash"),
         "query_text",
     )
-    events = materialize(retrieval.embed(events, "query_text", "query_vector"), "events")
+    events = materialize(retrieval.embed(dealt(events), "query_text", "query_vector"), "events")
     path = work_path(spark, "chunks")
     # Stored first: finding the ranges would cut and embed all texts once more.
     sinks.write_clustered(materialize(contract_chunks(spark, sf_dir), "unsorted"), path, ["contract_id", "chunk_index"])
