@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridledger.functions.scalars import time_text
+from gridledger.functions.skew import dealt
 from gridledger.operators import bronze as bronze_ops
 from gridledger.operators import silver
 from gridledger.plans import tables as t
@@ -156,7 +157,8 @@ def _land_part(spark, events, path: str, n: int):
     """A third of the events, and a third of the earlier ones again; hours of earlier parts get late rows."""
     turn = F.pmod(F.col("event_id"), F.lit(3))
     again = events.filter((turn < n) & (F.pmod(F.col("event_id"), F.lit(9)) < 3))
-    events.filter(turn == n).unionByName(again).write.mode("append").parquet(path)
+    # Dealt out, so that a stream over the files is read by more tasks than the table has parts.
+    dealt(events.filter(turn == n).unionByName(again)).write.mode("append").parquet(path)
     return jobs.file_stream(spark, path, events.schema)
 
 
