@@ -12,6 +12,8 @@ from gridledger.functions.skew import lookup_join, split_join
 
 _BOOLEAN_FACTS = {"existing_open_dispute_flag"}
 _DOUBLE_FACTS = {"eligible_compensable_mwh", "estimated_leakage_revenue_usd", "open_amount_usd"}
+# What a breach and its documents have in common.
+_DAY = ["contract_id", "asset_id", "market_date"]
 
 
 def severity(usd: Column, high: float = 500.0, medium: float = 100.0) -> Column:
@@ -103,6 +105,33 @@ def link_evidence(breaches: DataFrame, documents: DataFrame) -> DataFrame:
     return by_day.select("breach_event_id", *told).unionByName(by_contract.select("breach_event_id", *told))
 
 
+def case_days(breaches: DataFrame) -> DataFrame:
+    """Each breach id with what its evidence depends on: contract, asset and day of its rows, and how many there are.
+
+    ``day_key`` is equal where ``days`` is; as a rule an id has one row.
+    """
+    rows = breaches.groupBy("breach_event_id", *_DAY).agg(F.count("*").alias("rows"))
+    days = F.array_sort(F.collect_list(F.struct(*_DAY, "rows")))
+    return rows.groupBy("breach_event_id").agg(days.alias("days")).withColumn("day_key", F.sha2(F.to_json("days"), 256))
+
+
+def distinct_days(days: DataFrame) -> DataFrame:
+    """Rows to link in place of the breaches, with ``day_key`` as their id.
+
+    Equal days come once. A breach that comes twice has its day twice, so its
+    links are those of its rows.
+    """
+    once = days.select(F.col("day_key").alias("breach_event_id"), "days").distinct()
+    return once.select("breach_event_id", F.inline("days")).select(
+        "breach_event_id", *_DAY, F.explode(F.sequence(F.lit(1).cast("long"), "rows"))).drop("col")
+
+
+def evidence_of_days(days: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Evidence per breach from that of its days. ``days`` should be a stored table."""
+    found = evidence.withColumnRenamed("breach_event_id", "day_key")
+    return split_join(days.select("breach_event_id", "day_key"), found, ["day_key"], ["breach_event_id"]).drop("day_key")
+
+
 def collect_evidence(links: DataFrame, chunks: DataFrame, k: int = fv.EVIDENCE_TOP_K) -> DataFrame:
     """Ranked evidence array per breach, at most k entries.
 

@@ -81,13 +81,13 @@ def with_finance(facts: DataFrame, headers: DataFrame, lines: DataFrame, gl: Dat
     return facts.join(days, _DAY_KEYS, "left")
 
 
-def active_contract(facts: DataFrame, contracts: DataFrame) -> DataFrame:
-    """Facts with the activated contract in force on their market date, if any."""
+def contract_in_force(facts: DataFrame, contracts: DataFrame) -> DataFrame:
+    """The activated contract in force per asset, contract and market date of the facts, where there is one."""
     terms = contracts.filter(F.col("contract_status") == "Activated").select(
         "contract_id", "asset_id", "sf_contract_id", "sf_account_id", "contract_name", "start_date", "end_date"
     )
     keys = ["contract_id", "asset_id"]
-    in_force = (
+    return (
         facts.select(*_DAY_KEYS).distinct().join(terms, keys)
         .filter(F.col("market_date").between(F.col("start_date"), F.coalesce("end_date", F.lit("9999-12-31").cast("date"))))
         .groupBy(*_DAY_KEYS)
@@ -95,15 +95,27 @@ def active_contract(facts: DataFrame, contracts: DataFrame) -> DataFrame:
                       F.struct("start_date", "sf_contract_id")).alias("c"))
         .select(*_DAY_KEYS, "c.*")
     )
-    return facts.join(in_force, _DAY_KEYS, "left")
+
+
+def active_contract(facts: DataFrame, contracts: DataFrame) -> DataFrame:
+    """Facts with the activated contract in force on their market date, if any."""
+    return facts.join(contract_in_force(facts, contracts), _DAY_KEYS, "left")
 
 
 def with_commercial(facts: DataFrame, accounts: DataFrame, contracts: DataFrame, assets: DataFrame) -> DataFrame:
-    """Facts with contract in force, account and CRM asset."""
+    """Facts with contract in force, account and CRM asset.
+
+    A split join reads its left side twice. So equipment is joined before the
+    other columns are, and accounts to the contracts in force, not to the facts.
+    """
     named = accounts.select("sf_account_id", "account_name", "account_status", "risk_tier")
     equipment = assets.groupBy("asset_id").agg(F.min("sf_asset_id").alias("sf_asset_id"))
-    known = lookup_join(active_contract(facts, contracts), named, ["sf_account_id"], _DAY_KEYS)
-    return lookup_join(known, equipment, ["asset_id"], _DAY_KEYS)
+    in_force = lookup_join(contract_in_force(facts, contracts), named, ["sf_account_id"], _DAY_KEYS)
+    known = lookup_join(facts, equipment, ["asset_id"], _DAY_KEYS, source=assets).join(in_force, _DAY_KEYS, "left")
+    return known.select(
+        "asset_id", "sf_account_id", "contract_id", "market_date", *[c for c in facts.columns if c not in _DAY_KEYS],
+        "sf_contract_id", "contract_name", "account_name", "account_status", "risk_tier", "sf_asset_id",
+    )
 
 
 def is_open(status: Column) -> Column:

@@ -91,11 +91,18 @@ def case_ready(spark, sf_dir, breaches):
 
 
 def evidence(spark, sf_dir, breaches):
-    """Only documents that support some breach are cut into chunks."""
-    links = materialize(ops.link_evidence(breaches, t.documents(spark, sf_dir)), "links")
+    """Only documents that support some breach are cut into chunks.
+
+    Breaches of the same contract, asset and day have the same evidence. It is
+    linked and ranked once per such day: a dated document is one link, however
+    many breaches its day has.
+    """
+    days = materialize(ops.case_days(breaches), "case-days")
+    links = materialize(ops.link_evidence(ops.distinct_days(days), t.documents(spark, sf_dir)), "links")
     texts = t.documents(spark, sf_dir).select("document_id", "raw_text_content")
     linked = texts.join(links.select("document_id").distinct(), "document_id", "left_semi")
-    return ops.collect_evidence(links, documents.build_chunks(documents.to_lines(dealt(linked)), ["document_id"]))
+    found = ops.collect_evidence(links, documents.build_chunks(documents.to_lines(dealt(linked)), ["document_id"]))
+    return ops.evidence_of_days(days, found)
 
 
 def packages(spark, sf_dir, gold):
