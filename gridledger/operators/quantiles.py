@@ -71,8 +71,10 @@ def exact_quantile(
     rows per group, and makes the range that many times narrower, so a task
     never holds all distinct values of a group with more than ``ordered``.
     """
+    # Without keys the one group is not a literal: the optimiser would drop it from the join keys, and with it the equi-join.
+    everything = F.coalesce(F.col(n) - F.col(n), F.lit(0))
     keyed = counted.select(
-        (F.struct(*by) if by else F.struct(F.lit(0).alias("all"))).alias("_group"), F.col(value).alias("_value"), F.col(n).alias("_n"))
+        (F.struct(*by) if by else F.struct(everything.alias("all"))).alias("_group"), F.col(value).alias("_value"), F.col(n).alias("_n"))
     groups = materialize(keyed.groupBy("_group").agg(
         F.sum("_n").alias("samples"), (F.sum(F.col("_value") * F.col("_n")) / F.sum("_n")).alias("average"),
         F.min("_value").alias("_from"), F.max("_value").alias("_to"), F.count("*").alias("_distinct")), "quantile-groups")
