@@ -193,7 +193,7 @@ def _file_each(rows, key: str, path: str) -> None:
     """
     count = max(-(-rows.count() // _FILES_PER_FOLDER), 64)
     dealt = rows.select(F.pmod(F.xxhash64(key), F.lit(count)).alias("folder"), "text").repartition(count, "folder")
-    dealt.write.option("maxRecordsPerFile", 1).partitionBy("folder").text(path)
+    sinks.write_single_files(dealt, path, "folder")
 
 
 @query("case_package_files", """

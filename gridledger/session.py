@@ -76,6 +76,13 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shared_folder(spark: SparkSession, path: str) -> str | None:
+    """The plain path of ``path`` where its store is a folder that all machines mount (``file:``), else None."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.makeQualified(folder).toUri().getPath() if system.getUri().getScheme() == "file" else None
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared file system, whatever store it is in."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gridledger.functions.scalars import mime_type
 from gridledger.profiles import CASE_SCHEMA, RUNTIME_EVENT_SCHEMA
+from gridledger.session import materialize, shared_folder
+
+# Single files that a task reads, and what it hands on at once.
+FILES_PER_TASK = 2000
+_BATCH_FILES = 1000
+_BATCH_BYTES = 8 * 1024 * 1024
 
 
 def scan_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -68,15 +78,81 @@ def scan_case_packages(spark: SparkSession, path: str, schema: T.StructType = CA
     return raw.select(F.inline(listed))
 
 
+def _hidden(name: str) -> bool:
+    """What Spark's file sources leave out."""
+    return name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_")
+
+
+def _paths(names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(names, pa.string())], names=["path"])
+
+
+def _list_folders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The files below each folder, without empty ones; of one that is not ``deep`` its own files only."""
+    found = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            waiting = [row["folder"]]
+            while waiting:
+                with os.scandir(waiting.pop()) as entries:
+                    for entry in entries:
+                        if _hidden(entry.name):
+                            continue
+                        if entry.is_dir():
+                            waiting.extend([entry.path] if row["deep"] else [])
+                        elif entry.stat().st_size:
+                            found.append(entry.path)
+                        if len(found) >= _BATCH_FILES:
+                            yield _paths(found)
+                            found = []
+    yield _paths(found)
+
+
+def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed():
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(contents, pa.binary())], names=["path", "content"])
+
+    names, contents, held = [], [], 0
+    for batch in batches:
+        for path in batch.column(0).to_pylist():
+            with open(path, "rb", buffering=0) as file:
+                content = file.readall()
+            if names and held + len(content) > _BATCH_BYTES:
+                yield packed()
+                names, contents, held = [], [], 0
+            names.append(f"file:{path}")
+            contents.append(content)
+            held += len(content)
+    yield packed()
+
+
+def _folder_contents(spark: SparkSession, root: str) -> DataFrame:
+    """Path and bytes of every file below a mounted folder, listed and read by tasks; no list of files reaches the driver."""
+    with os.scandir(root) as entries:
+        folders = [(entry.path, True) for entry in entries if entry.is_dir() and not _hidden(entry.name)]
+    folders = spark.createDataFrame([(root, False), *folders], "folder string, deep boolean")
+    dealt = folders.repartition(spark.sparkContext.defaultParallelism * 4, "folder")
+    listed = materialize(dealt.mapInArrow(_list_folders, "path string"), "listed")
+    tasks = max(spark.sparkContext.defaultParallelism, -(-listed.count() // FILES_PER_TASK))
+    return listed.repartition(tasks, "path").mapInArrow(_read_files, "path string, content binary")
+
+
 def scan_documents(spark: SparkSession, path: str, manifest: DataFrame | None = None) -> DataFrame:
     """Text files, one row each, with their content hash; joined to a manifest by file name.
 
-    ``path`` is a folder, whose files at any depth are listed by a job once it
-    has many folders, or a glob. The version hash is taken from the bytes of the file; bytes that are not
+    ``path`` is a folder, whose files are taken at any depth, or a glob. The
+    files of a folder that all machines mount are listed and read by tasks; a
+    glob and other stores go through Spark's listing, which keeps all names on
+    the driver. The version hash is taken from the bytes of the file; bytes that are not
     UTF-8 are replaced in the text.
     """
     name = F.element_at(F.split(F.col("path"), "/"), -1)
-    docs = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select(
+    root = shared_folder(spark, path)
+    if root is not None and os.path.isdir(root):
+        raw = _folder_contents(spark, root)
+    else:
+        raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    docs = raw.select(
         "path",
         name.alias("source_file_name"),
         F.sha2("content", 256).alias("document_version_hash"),

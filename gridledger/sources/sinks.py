@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import os
 import re
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridledger.session import discard, shared_folder
+
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*(\.[A-Za-z_][A-Za-z0-9_]*){1,2}")
 
 
@@ -36,6 +42,57 @@ def write_clustered(
     ranged.sortWithinPartitions(*by).write.mode(mode).parquet(path)
 
 
+def _single_files(root: str, folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Writes each text below the task's own folder and moves the whole folders to ``root`` at the end.
+
+    A folder that is there already comes from another attempt of the task, with the same rows.
+    """
+    def write(batches):
+        task, count, opened = TaskContext.get(), 0, {}
+        own = f"{root}/_temporary/{task.taskAttemptId()}"
+        for batch in batches:
+            for value, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if value not in opened:
+                    opened[value] = f"{own}/{folder}={value}"
+                    os.makedirs(opened[value])
+                with open(f"{opened[value]}/part-{task.partitionId():05d}-{count:08d}.txt", "xb", buffering=0) as file:
+                    _write_all(file, (text.as_py() or b"") + b"\n")
+                count += 1
+        for value, path in opened.items():
+            try:
+                os.rename(path, f"{root}/{folder}={value}")
+            except OSError:
+                if not os.path.isdir(f"{root}/{folder}={value}"):
+                    raise
+        yield pa.RecordBatch.from_arrays([pa.array([count], pa.int64())], names=["files"])
+
+    return write
+
+
+def _write_all(file, content: bytes) -> None:
+    rest = memoryview(content)
+    while rest:
+        rest = rest[file.write(rest):]
+
+
+def write_single_files(rows: DataFrame, path: str, folder: str) -> None:
+    """The ``text`` of every row, and a line end, as a file of its own below ``<folder>=<value>``; a null text counts as empty.
+
+    All rows of a folder must come in one task. Where all machines mount the
+    store, tasks write the files themselves: Hadoop's local file system starts
+    a process for the rights of each file and of its checksum.
+    """
+    spark = rows.sparkSession
+    root = shared_folder(spark, path)
+    if root is None:
+        rows.select(folder, "text").write.option("maxRecordsPerFile", 1).partitionBy(folder).text(path)
+        return
+    os.makedirs(root)
+    rows.select(folder, F.col("text").cast("binary")).mapInArrow(_single_files(root, folder), "files long").agg(F.sum("files")).collect()
+    discard(spark, f"{path}/_temporary")
+    open(f"{root}/_SUCCESS", "xb").close()
+
+
 def register(df: DataFrame, name: str, mode: str = "error", path: str | None = None) -> None:
     """Save as a table of the catalog, below the warehouse or at ``path``."""
     writer = df.write.mode(mode)

@@ -234,3 +234,68 @@ def test_single_files_are_written_by_many_tasks_and_folder(spark, tmp_path):
     assert len(set(written)) == len({folder for folder, _ in written})
     found = files.scan_documents(spark, str(tmp_path / "out"))
     assert found.count() == 600 and found.select("document_version_hash").distinct().count() == 500
+
+
+def test_files_of_a_mounted_folder_are_those_of_sparks_reader(spark, tmp_path):
+    """Any depth and name; what Spark hides and empty files are left out. No list of files reaches the driver."""
+    root = tmp_path / "in"
+    names = ["a.txt", "x/b c.md", "x/y=1/100%é.pdf", "x/.hidden.txt", "x/_skipped.txt", "_gone/c.txt", ".h/d.txt", "_k=1/e.html",
+             "x/empty.txt", "x/f._COPYING_", "x/z/_metadata", "x/#g?.txt"]
+    for name in names:
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(b"" if "empty" in name else name.encode() + b"\xff\r\n")
+    (root / "none").mkdir()
+    found = files.scan_documents(spark, str(root))
+    plain = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(str(root))
+    assert "Scan binaryFile" not in found._jdf.queryExecution().toString()
+    assert sorted(found.select("path", "document_version_hash").collect()) == sorted(
+        plain.select("path", F.sha2("content", 256).alias("document_version_hash")).collect())
+    assert files.scan_documents(spark, f"file://{root}").count() == found.count() == 5
+    assert files.scan_documents(spark, str(root / "none")).count() == 0
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        files.scan_documents(spark, str(root / "missing"))
+
+
+def test_single_files_cost_no_process_each(spark, tmp_path):
+    """Null texts and repeated keys are files too; no checksum file, no folder of an attempt stays."""
+    from gridledger.plans.files import _file_each
+
+    rows = spark.createDataFrame([(i % 7, None if i % 5 == 0 else f"text é {i}\n") for i in range(200)] + [(None, "no key")], "id int, text string")
+    _file_each(rows, "id", str(tmp_path / "out"))
+    written = list((tmp_path / "out").rglob("*"))
+    assert not [f for f in written if f.name.endswith(".crc") or "_temporary" in str(f)]
+    texts = [f.read_bytes().decode() for f in written if f.is_file() and f.suffix == ".txt"]
+    assert sorted(texts) == sorted((r.text or "") + "\n" for r in rows.collect())
+    with pytest.raises(Exception):
+        _file_each(rows, "id", str(tmp_path / "out"))
+
+
+def test_a_folder_of_another_attempt_stays_as_it_is(tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    class Attempt:
+        def __init__(self, number):
+            self.number = number
+
+        def partitionId(self):
+            return 3
+
+        def taskAttemptId(self):
+            return self.number
+
+    batch = pa.RecordBatch.from_arrays([pa.array([8, 9, 8]), pa.array([b"a", b"b", None])], names=["folder", "text"])
+    for number, batches in ((1, [batch.slice(0, 1)]), (2, [batch]), (3, [batch])):
+        monkeypatch.setattr(sinks.TaskContext, "get", classmethod(lambda cls: Attempt(number)))
+        run = sinks._single_files(str(tmp_path), "folder")(iter(batches) if number > 1 else _breaks(batches))
+        if number == 1:
+            with pytest.raises(RuntimeError):
+                list(run)
+        else:
+            assert [b.column(0).to_pylist() for b in run] == [[3]]
+        assert sorted(f.name for f in tmp_path.glob("folder=*")) == ([] if number == 1 else ["folder=8", "folder=9"])
+    assert sorted(f.read_bytes() for f in tmp_path.glob("folder=*/part-*")) == [b"\n", b"a\n", b"b\n"]
+
+
+def _breaks(batches):
+    yield from batches
+    raise RuntimeError("lost")
