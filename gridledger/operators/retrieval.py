@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import and_
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,7 +18,7 @@ from pyspark.sql import Window as W
 
 from gridledger import fixed_values as fv
 from gridledger.functions.scalars import col_of, fact_text, fill_template, share
-from gridledger.functions.skew import hot_keys, lookup_join, split_join
+from gridledger.functions.skew import lookup_join, split_join
 from gridledger.session import materialize
 
 # Similarities are compared at this precision, so that ties do not depend on
@@ -24,6 +26,9 @@ from gridledger.session import materialize
 _DIGITS = 9
 _NO_VALUE = -2.0
 _SLICE = 512
+# Chunks that are clustered and searched at once; chunks that a task goes through, as a multiple of the events it holds.
+_SEARCHED = 8192
+_STRIPE = 8
 # Vectors a cluster holds on average; what a bound may be off by, as angles near zero are inexact.
 CLUSTER = 128
 _TOLERANCE = 1e-7
@@ -52,24 +57,27 @@ def feature_hash(text: Column | str, dimensions: int = HASH_DIMENSIONS) -> Colum
     ninth its sign. A null text counts as empty; without tokens all is zero.
     """
     tokens = F.filter(F.split(F.lower(F.coalesce(col_of(text), F.lit(""))), TOKEN_SPACE), lambda t: t != "")
+    return _signed_sums(dimensions)(F.transform(tokens, lambda t: t.cast("binary")))
 
-    def code(digest: Column) -> Column:
-        place = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % dimensions + 1
-        return F.when(F.substring(digest, 9, 1) >= "8", place).otherwise(-place).cast("int")
 
-    return _signed_sums(dimensions)(F.transform(F.transform(tokens, lambda t: F.md5(t.cast("binary"))), code))
+def _code(token: bytes, dimensions: int) -> int:
+    digest = hashlib.md5(token).hexdigest()
+    place = int(digest[:8], 16) % dimensions + 1
+    return place if digest[8] >= "8" else -place
 
 
 def _signed_sums(dimensions: int) -> Callable[[Column], Column]:
-    """Arrays of signed places, counted from one, to vectors of unit length: every code is looked at once."""
+    """Arrays of tokens to vectors of unit length: every token is looked at once, every different one of a batch hashed once."""
 
     @F.arrow_udf("array<float>")
-    def sums(codes: pa.Array) -> pa.Array:
-        rows = np.repeat(np.arange(len(codes)), codes.value_lengths().to_numpy(zero_copy_only=False))
-        signed = codes.flatten().to_numpy(zero_copy_only=False)
-        counts = np.bincount(rows * dimensions + np.abs(signed) - 1, np.sign(signed), len(codes) * dimensions).reshape(len(codes), dimensions)
+    def sums(tokens: pa.Array) -> pa.Array:
+        rows = np.repeat(np.arange(len(tokens)), tokens.value_lengths().to_numpy(zero_copy_only=False))
+        coded = tokens.flatten().dictionary_encode()
+        codes = np.array([_code(token, dimensions) for token in coded.dictionary.to_pylist()], np.int64)
+        signed = codes[coded.indices.to_numpy(zero_copy_only=False)]
+        counts = np.bincount(rows * dimensions + np.abs(signed) - 1, np.sign(signed), len(tokens) * dimensions).reshape(len(tokens), dimensions)
         unit, _ = _unit(counts)
-        offsets = pa.array(np.arange(len(codes) + 1, dtype=np.int32) * dimensions)
+        offsets = pa.array(np.arange(len(tokens) + 1, dtype=np.int32) * dimensions)
         return pa.ListArray.from_arrays(offsets, pa.array(unit.astype(np.float32).ravel()))
 
     return sums
@@ -136,6 +144,7 @@ def _clusters(unit: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.n
 
 def search(
     queries: np.ndarray, vectors: np.ndarray, k: int, wanted: np.ndarray, have: np.ndarray, size: int = CLUSTER,
+    floor: np.ndarray | None = None,
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Query, place and rounded cosine of the k best vectors of each query, and how many vectors each was compared with.
 
@@ -144,7 +153,9 @@ def search(
     Vectors are clustered; a cosine can be no greater than that of the angle
     to the centre less the radius, so a cluster whose bound lies below a
     query's k-th best so far is skipped for that query. The result is that
-    of comparing all.
+    of comparing all. ``floor`` has the k cosines, ascending, that each query
+    has found elsewhere; only places with a greater one than the least are
+    returned then.
     """
     (queries, asked), (vectors, known) = _unit(queries), _unit(vectors)
     zero, full = np.flatnonzero(~known), np.flatnonzero(known)
@@ -163,7 +174,8 @@ def search(
         bound = np.where(asked[part, None], np.cos(np.maximum(angle, 0.0)) + _TOLERANCE, np.inf)
         if len(zero):
             bound = np.hstack([bound, np.where(asked[part, None], _NO_VALUE, np.inf)])
-        best = np.full((len(part), k), -np.inf)
+        # Rounded cosines differ by more than is added, so an equal one comes too late.
+        best = np.full((len(part), k), -np.inf) if floor is None else floor[part] + 0.5 * 10.0 ** -_DIGITS
         hits: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for cluster in np.argsort(-bound.max(axis=0), kind="stable"):
             rows = np.flatnonzero(bound[:, cluster] >= best[:, 0])
@@ -200,34 +212,96 @@ def search(
 
 
 _KEY = ["contract_id", "document_version_hash", "chunk_index"]
+_DETAILS = ["document_version_hash", "chunk_index", "chunk_id"]
 _FOUND = pa.schema([
     ("event_id", pa.string()), ("contract_id", pa.string()), ("document_version_hash", pa.string()), ("chunk_index", pa.int64()),
     ("chunk_id", pa.int64()), ("similarity", pa.float64()), ("compared", pa.int64()), ("held", pa.int64())])
 
 
-def _block_top_k(k: int):
-    def run(events: pa.Table, chunks: pa.Table) -> pa.Table:
-        if events.num_rows == 0 or chunks.num_rows == 0:
+def _dimensions(column: pa.ChunkedArray) -> int | None:
+    return pc.max(pc.list_value_length(column)).as_py()
+
+
+class _Block:
+    """The best k chunks so far of each event of a block; chunks come by index and version, so ties stay with those that are there."""
+
+    def __init__(self, events: pa.Table, k: int):
+        self.events, self.k, self.held = events.select(["event_id", "contract_id"]), k, 0
+        self.size = _dimensions(events.column("vector"))
+        self.queries = None if self.size is None else _matrix(events.column("vector"), self.size)
+        self.versions: dict = {}
+        self.wanted = np.array([-1 if v is None else self._number(v) for v in events.column("document_version_hash").to_pylist()], np.int64)
+        # Descending; where a chunk's details lie in ``details``.
+        self.value, self.place = np.full((len(self.wanted), k), -np.inf), np.full((len(self.wanted), k), -1, np.int64)
+        self.compared, self.details, self.kept = np.zeros(len(self.wanted), np.int64), [], 0
+
+    def _number(self, version: str) -> int:
+        return self.versions.setdefault(version, len(self.versions))
+
+    def add(self, chunks: pa.Table) -> None:
+        if self.size is None:
+            self.size = _dimensions(chunks.column("vector"))
+        vectors = _matrix(chunks.column("vector"), self.size)
+        # Events without any vector are zero, of whatever length.
+        queries = np.zeros((len(self.wanted), vectors.shape[1])) if self.queries is None else self.queries
+        have = np.array([self.versions.get(v, -2) for v in chunks.column("document_version_hash").to_pylist()], np.int64)
+        row, column, value, compared = search(queries, vectors, self.k, self.wanted, have, floor=self.value[:, ::-1])
+        self.compared += compared
+        self.held += len(vectors)
+        if not len(row):
+            return
+        used, slot = np.unique(column, return_inverse=True)
+        self.details.append(chunks.select(_DETAILS).take(pa.array(used)))
+        rows, first, count = np.unique(row, return_index=True, return_counts=True)
+        new, place = np.full((len(rows), self.k), -np.inf), np.full((len(rows), self.k), -1, np.int64)
+        at = np.repeat(np.arange(len(rows)), count), np.arange(len(row)) - np.repeat(first, count)
+        new[at], place[at] = value, slot + self.kept
+        self.kept += len(used)
+        new, place = np.hstack([self.value[rows], new]), np.hstack([self.place[rows], place])
+        order = np.argsort(-new, axis=1, kind="stable")[:, :self.k]
+        self.value[rows], self.place[rows] = np.take_along_axis(new, order, 1), np.take_along_axis(place, order, 1)
+
+    def found(self) -> pa.Table:
+        row, rank = np.nonzero(self.place >= 0)
+        if not len(row):
             return _FOUND.empty_table()
-        chunks = chunks.sort_by([("chunk_index", "ascending"), ("document_version_hash", "ascending")])
-        vectors = pa.chunked_array([*events.column("query_vector").chunks, *chunks.column("embedding_vector").chunks])
-        queries, vectors = np.split(_matrix(vectors), [events.num_rows])
-        numbers = {v: i for i, v in enumerate(dict.fromkeys(chunks.column("document_version_hash").to_pylist()))}
-        have = np.array([numbers[v] for v in chunks.column("document_version_hash").to_pylist()])
-        wanted = np.array([-1 if v is None else numbers.get(v, len(numbers)) for v in events.column("document_version_hash").to_pylist()])
-        row, column, value, compared = search(queries, vectors, k, wanted, have)
-        rows = chunks.select([*_KEY, "chunk_id"]).take(pa.array(column))
+        value = self.value[row, rank]
+        details = pa.concat_tables(self.details).take(pa.array(self.place[row, rank]))
         return pa.table([
-            events.column("event_id").take(pa.array(row)), *[rows.column(c) for c in [*_KEY, "chunk_id"]],
-            pa.array(value, type=pa.float64(), mask=value == _NO_VALUE), pa.array(compared[row]),
-            pa.array(np.full(len(row), len(vectors), np.int64)),
+            self.events.column("event_id").take(pa.array(row)), self.events.column("contract_id").take(pa.array(row)),
+            *[details.column(c) for c in _DETAILS], pa.array(value, type=pa.float64(), mask=value == _NO_VALUE),
+            pa.array(self.compared[row]), pa.array(np.full(len(row), self.held, np.int64)),
         ], schema=_FOUND)
 
+
+def _block_top_k(k: int, chunk_rows: int = _SEARCHED):
+    """For the rows of a block, events first and then chunks by index and version; only events and what they found are held."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        events, block, waiting, rows = [], None, [], 0
+        for batch in batches:
+            chunks = batch.filter(batch.column("is_chunk"))
+            if chunks.num_rows < batch.num_rows:
+                if block or waiting:
+                    raise ValueError("events come before the chunks of their block")
+                events.append(batch.filter(pc.invert(batch.column("is_chunk"))))
+            if chunks.num_rows and events:
+                waiting.append(chunks)
+                rows += chunks.num_rows
+            if rows >= chunk_rows:
+                block = block or _Block(pa.Table.from_batches(events), k)
+                block.add(pa.Table.from_batches(waiting))
+                waiting, rows = [], 0
+        if waiting:
+            block = block or _Block(pa.Table.from_batches(events), k)
+            block.add(pa.Table.from_batches(waiting))
+        if block:
+            yield from block.found().to_batches()
+
     return run
 
 
 def retrieve(
-    events: DataFrame, chunks: DataFrame, k: int = fv.RETRIEVAL_TOP_K, clause: str | None = None, block: int = 8192,
+    events: DataFrame, chunks: DataFrame, k: int = fv.RETRIEVAL_TOP_K, clause: str | None = None, block: int = 65536,
     effort: bool = False,
 ) -> DataFrame:
     """The k most similar chunks of its own contract for each event.
@@ -240,12 +314,15 @@ def retrieve(
     then the lower version. With ``effort`` each row also tells how many of the
     ``held`` vectors of its block its event was ``compared`` with.
 
-    Both sides of a contract are cut into blocks of bounded size. In each pair
-    of blocks the chunks are clustered, and an event skips the clusters that
-    cannot hold one of its k best; pairs never become rows, and the result is
-    exact. A contract with a large share of the data is many independent
-    blocks. A row is sent once per block of the other side: a larger ``block``
-    shuffles less and takes more memory per task.
+    The events of a contract are cut into blocks of at most about ``block``
+    rows and its chunks into stripes of at most eight times as many. A task
+    holds the events of a block and goes through the chunks of a stripe, some
+    thousands at a time. These are clustered, and an event skips the clusters
+    that cannot hold one of its k best; pairs never become rows, and the result
+    is exact. A contract with a large share of the data is many independent
+    pairs. A chunk is sent once per block of events, and an event and what it
+    found once per stripe: a side that is small beside the other is cut finer,
+    and a larger ``block`` shuffles less and takes more memory per task.
     """
     pool = chunks if clause is None else chunks.filter(F.col("clause_type") == clause)
     pool = pool.select(
@@ -255,12 +332,15 @@ def retrieve(
     wanted = asked.select("contract_id").distinct()
     pool = lookup_join(pool, wanted, ["contract_id"], ["document_version_hash", "chunk_index"], "left_semi")
 
-    # Contracts that need more than one block, counted once.
-    large = materialize(
-        hot_keys(asked, ["contract_id"], "event_blocks", block)
-        .join(hot_keys(pool, ["contract_id"], "chunk_blocks", block), "contract_id", "full_outer"),
-        "large-contracts",
-    )
+    # Contracts that need more than one block, counted once; at most the rows of both sides / 8,192.
+    events_of, chunks_of = F.col("_events"), F.col("_chunks")
+    sizes = asked.groupBy("contract_id").agg(F.count("*").alias("_events")).join(
+        pool.groupBy("contract_id").agg(F.count("*").alias("_chunks")), "contract_id")
+    large = materialize(sizes.select(
+        "contract_id",
+        F.ceil(events_of / F.least(F.greatest(chunks_of, F.lit(_SEARCHED)), F.lit(block))).cast("int").alias("event_blocks"),
+        F.ceil(chunks_of / F.least(F.greatest(events_of * _STRIPE, F.lit(_SEARCHED)), F.lit(block * _STRIPE))).cast("int").alias("chunk_blocks"),
+    ).filter((F.col("event_blocks") > 1) | (F.col("chunk_blocks") > 1)), "large-contracts")
 
     def place(df: DataFrame, by: list[str], own: str, own_blocks: str, other: str, other_blocks: str) -> DataFrame:
         here, there = F.coalesce(own_blocks, F.lit(1)), F.coalesce(other_blocks, F.lit(1))
@@ -274,7 +354,15 @@ def retrieve(
     keys = ["contract_id", "event_block", "chunk_block"]
     left = place(asked, ["event_id"], "event_block", "event_blocks", "chunk_block", "chunk_blocks")
     right = place(pool, ["document_version_hash", "chunk_index"], "chunk_block", "chunk_blocks", "event_block", "event_blocks")
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(
+    none = F.lit(None)
+    left = left.select(
+        *keys, "document_version_hash", F.lit(False).alias("is_chunk"), none.cast("long").alias("chunk_index"), "event_id",
+        none.cast("long").alias("chunk_id"), F.col("query_vector").alias("vector"))
+    right = right.select(
+        *keys, "document_version_hash", F.lit(True).alias("is_chunk"), "chunk_index", none.cast("string").alias("event_id"),
+        F.col("chunk_id").cast("long").alias("chunk_id"), F.col("embedding_vector").alias("vector"))
+    rows = left.unionByName(right).repartition(*keys).sortWithinPartitions(*keys, "is_chunk", "chunk_index", "document_version_hash")
+    found = rows.groupBy(*keys).applyInArrow(
         _block_top_k(k), "event_id string, contract_id string, document_version_hash string, chunk_index long, chunk_id long, "
         "similarity double, compared long, held long")
     order = W.partitionBy("event_id").orderBy(F.desc_nulls_last("similarity"), "chunk_index", "document_version_hash")

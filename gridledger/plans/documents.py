@@ -15,7 +15,7 @@ from gridledger.operators import retrieval
 from gridledger.operators.cases import breach_events
 from gridledger.plans import tables as t
 from gridledger.plans.registry import part, query
-from gridledger.session import materialize, work_path
+from gridledger.session import materialize, shuffles_freed, staged, work_path
 from gridledger.sources import merge, sinks
 
 _KEYS = ["document_id"]
@@ -534,13 +534,13 @@ def embedded_chunks(spark, sf_dir):
 
 
 def contract_chunks(spark, sf_dir):
-    """Chunks of all contract texts with ids and vectors."""
+    """Chunks of all contract texts with ids."""
     docs = t.documents(spark, sf_dir).select("contract_id", "document_version_hash", "document_id", "raw_text_content")
     # Copies of one text in one contract are one version.
     firsts = docs.groupBy("contract_id", "document_version_hash").agg(F.min("document_id").alias("document_id"))
-    versions = docs.join(firsts.select("document_id"), "document_id", "left_semi")
-    chunks = ops.build_chunks(ops.to_lines(dealt(versions)), ["contract_id", "document_version_hash"])
-    return retrieval.embed(ops.with_chunk_id(chunks), "text_snippet", "embedding_vector")
+    # Texts move once: the join, which is not to be a broadcast, deals them to the tasks.
+    versions = docs.join(firsts.select("document_id").hint("shuffle_hash"), "document_id", "left_semi")
+    return ops.with_chunk_id(ops.build_chunks(ops.to_lines(versions), ["contract_id", "document_version_hash"]))
 
 
 part("contract_chunks", """
@@ -566,10 +566,13 @@ def breach_context(spark, sf_dir):
         F.col("breach_event_id").alias("event_id"), "contract_id", F.lit(None).cast("string").alias("document_version_hash"),
         "query_text",
     )
-    events = materialize(retrieval.embed(dealt(events), "query_text", "query_vector"), "events")
     path = work_path(spark, "chunks")
-    # Stored first: finding the ranges would cut and embed all texts once more.
-    sinks.write_clustered(materialize(contract_chunks(spark, sf_dir), "unsorted"), path, ["contract_id", "chunk_index"])
+    with shuffles_freed(spark):
+        events = materialize(retrieval.embed(dealt(events), "query_text", "query_vector"), "events")
+        # Stored first: finding the ranges would cut all texts once more.
+        with staged(contract_chunks(spark, sf_dir), "unsorted") as unsorted:
+            sinks.write_clustered(unsorted, path, ["contract_id", "chunk_index"],
+                                  finish=lambda rows: retrieval.embed(rows, "text_snippet", "embedding_vector"))
     chunks = spark.read.parquet(path)
     return retrieval.retrieve_context(events, chunks).select(
         "event_id", "rank", "contract_id", "document_version_hash", "chunk_index", "clause_type", "similarity"

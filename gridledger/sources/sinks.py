@@ -30,16 +30,19 @@ def write_outcomes(validated: DataFrame, path: str, mode: str = "append") -> Non
 
 
 def write_clustered(
-    df: DataFrame, path: str, by: list[str], ranges: int | None = None, mode: str = "overwrite"
+    df: DataFrame, path: str, by: list[str], ranges: int | None = None, mode: str = "overwrite",
+    finish: Callable[[DataFrame], DataFrame] | None = None,
 ) -> None:
     """Parquet sorted by ranges of ``by``, so that filters on the first column skip files.
 
     Name a second column that differs within the first: a value of the first
     column that holds much of the data is then cut into several ranges.
-    Without ``ranges`` their number follows from the size of the data.
+    Without ``ranges`` their number follows from the size of the data. Columns
+    that ``finish`` adds to the sorted rows, row by row, are not shuffled.
     """
     ranged = df.repartitionByRange(ranges, *by) if ranges else df.repartitionByRange(*by)
-    ranged.sortWithinPartitions(*by).write.mode(mode).parquet(path)
+    rows = ranged.sortWithinPartitions(*by)
+    (finish(rows) if finish else rows).write.mode(mode).parquet(path)
 
 
 def _single_files(root: str, folder: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

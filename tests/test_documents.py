@@ -333,3 +333,82 @@ def test_token_hashes_are_summed_once_and_texts_dealt_out(spark):
     assert "aggregate(" not in plan.lower()
     assert "RepartitionByExpression" in plans._lines(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert retrieval.embed(rows.limit(0), "raw_text_content", "v").count() == 0
+
+
+def test_a_block_goes_through_its_chunks_in_order_and_holds_what_it_found(spark):
+    """Runs of chunks of any length give the best of all; ties stay with the lower index, then the lower version."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(11)
+    kinds = {"event_id": pa.string(), "contract_id": pa.string(), "document_version_hash": pa.string(), "is_chunk": pa.bool_(),
+             "chunk_index": pa.int64(), "chunk_id": pa.int64(), "vector": pa.list_(pa.float32())}
+    chunks = [(None, "C", f"v{i % 3}", True, i // 3, i, None if i % 50 == 0 else rng.integers(-1, 2, 4).astype(float).tolist()) for i in range(300)]
+    events = [(f"e{i}", "C", ["v1", "v9", None, None][i % 4], False, None, None, None if i == 7 else rng.integers(-1, 2, 4).astype(float).tolist())
+              for i in range(40)]
+    expected = {}
+    for e in events:
+        scored = []
+        for c in chunks:
+            if e[2] in (None, c[2]):
+                q, x = (np.zeros(4) if v is None else np.array(v) for v in (e[6], c[6]))
+                norm = np.linalg.norm(q) * np.linalg.norm(x)
+                scored.append((-round(float(q @ x / norm), 9) if norm > 0 else 2.0, c[5]))
+        expected[e[0]] = [i for _, i in sorted(scored)[:5]]
+
+    def batches(rows, size):
+        for start in range(0, len(rows), size):
+            columns = zip(*rows[start:start + size])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds.values())], names=list(kinds))
+
+    for size, searched in ((7, 1), (13, 20), (64, 100), (1000, 1000)):
+        got = {}
+        for batch in retrieval._block_top_k(5, searched)(batches(events + chunks, size)):
+            for row in batch.to_pylist():
+                got.setdefault(row["event_id"], []).append(row["chunk_id"])
+                assert row["held"] == 300 and 0 < row["compared"] <= 300 and row["contract_id"] == "C"
+        assert got == {e: ids for e, ids in expected.items() if ids}
+    assert list(retrieval._block_top_k(5)(batches(chunks, 50))) == [] and list(retrieval._block_top_k(5)(batches(events, 9))) == []
+    with pytest.raises(ValueError, match="before the chunks"):
+        list(retrieval._block_top_k(5, 10)(batches(events + chunks + events, 5)))
+
+
+def test_what_an_event_found_is_not_sent_once_per_run_of_chunks(spark):
+    """With as many events as chunks of a contract, no event is repeated for each 8,192 chunks."""
+    rng = np.random.default_rng(2)
+    chunks = [(i, "C", "v", "price", rng.normal(size=4).tolist(), i) for i in range(20000)]
+    events = [(f"e{i}", "C", None, rng.normal(size=4).tolist()) for i in range(3000)]
+    found = retrieval.retrieve(vectors(spark, events, EVENT), vectors(spark, chunks, CHUNK), 2, effort=True).cache()
+    assert found.count() == 6000 and found.agg(F.min("held")).first()[0] == 20000
+    few = retrieval.retrieve(vectors(spark, events[:4], EVENT), vectors(spark, chunks, CHUNK), 2, effort=True)
+    # A contract with few events is gone through by several tasks.
+    assert few.agg(F.max("held")).first()[0] < 20000
+    whole = {(r.event_id, r.rank): r.chunk_id for r in found.filter("event_id IN ('e0', 'e1', 'e2', 'e3')").collect()}
+    assert {(r.event_id, r.rank): r.chunk_id for r in few.collect()} == whole
+
+
+def test_breach_context_moves_texts_once_and_keeps_no_unsorted_copy(spark, monkeypatch):
+    import os
+
+    from gridledger.plans import documents as plans
+    from gridledger.session import shuffles_freed, work_path, work_root
+
+    # Two texts twice in one contract; a copy in another contract is a version of its own.
+    rows = [(i, f"Text {i % 4}. " * 200, "en", f"src{i % 2}") for i in range(4)] + [(9, "Text 0. " * 200, "en", "src0"), (5, "Text 1. " * 200, "en", "src0"), (6, None, "en", "src1")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    monkeypatch.setattr(plans.t, "read", lambda spark, sf_dir, name: docs)
+    chunks = plans.contract_chunks(spark, "none")
+    plan = chunks._jdf.queryExecution().executedPlan().toString()
+    # One exchange groups versions, one deals their ids and one the texts.
+    assert "REPARTITION" not in plan and sum("Exchange" in line for line in plan.splitlines()) == 3
+    assert {(r.contract_id, r.document_version_hash) for r in chunks.collect()} == {
+        (r.contract_id, r.document_version_hash) for r in plans.t.documents(spark, "none").collect() if r.document_version_hash}
+    path, before = work_path(spark, "clustered"), set(os.listdir(work_root(spark)))
+    with shuffles_freed(spark):
+        assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "true"
+        with plans.staged(chunks, "unsorted") as unsorted:
+            plans.sinks.write_clustered(unsorted, path, ["contract_id", "chunk_index"],
+                                        finish=lambda x: retrieval.embed(x, "text_snippet", "embedding_vector"))
+    table = spark.read.parquet(path)
+    assert table.count() == chunks.count() and table.filter("size(embedding_vector) != 64").isEmpty()
+    assert set(os.listdir(work_root(spark))) - before == {os.path.basename(path)}
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
