@@ -182,20 +182,25 @@ def search(
             if not len(rows):
                 continue
             columns = members[cluster]
-            score = np.round(queries[part[rows]] @ vectors[columns].T, _DIGITS)
-            score[~asked[part[rows]], :] = _NO_VALUE
-            score[:, ~known[columns]] = _NO_VALUE
-            foreign = (wanted[part[rows], None] >= 0) & (wanted[part[rows], None] != have[None, columns])
-            score[foreign] = -np.inf
+            score = queries[part[rows]] @ vectors[columns].T
+            if not asked[part[rows]].all():
+                score[~asked[part[rows]], :] = _NO_VALUE
+            if not known[columns].all():
+                score[:, ~known[columns]] = _NO_VALUE
+            if (wanted[part[rows]] >= 0).any():
+                score[(wanted[part[rows], None] >= 0) & (wanted[part[rows], None] != have[None, columns])] = -np.inf
             compared[part[rows]] += len(columns)
-            # Only scores that may still be among the k best; best[:, 0] is the k-th.
-            good = (score >= best[rows, :1]) & np.isfinite(score)
-            some = np.flatnonzero(good.any(axis=1))
+            # Only scores that may still be among the k best; best[:, 0] is the k-th. Few are left to be rounded.
+            some = np.flatnonzero(score.max(axis=1) >= best[rows, 0] - 10.0 ** -_DIGITS)
+            score = np.round(score[some], _DIGITS)
+            good = (score >= best[rows[some], :1]) & np.isfinite(score)
+            kept = good.any(axis=1)
+            some, score, good = some[kept], score[kept], good[kept]
             if not len(some):
                 continue
             row, column = np.nonzero(good)
-            hits.append((part[rows[row]], columns[column], score[row, column]))
-            both = np.hstack([best[rows[some]], score[some]])
+            hits.append((part[rows[some[row]]], columns[column], score[row, column]))
+            both = np.hstack([best[rows[some]], score])
             best[rows[some]] = np.sort(np.partition(both, both.shape[1] - k, axis=1)[:, -k:], axis=1)
         if hits:
             row, column, value = (np.concatenate(x) for x in zip(*hits))
@@ -231,6 +236,11 @@ class _Block:
         self.queries = None if self.size is None else _matrix(events.column("vector"), self.size)
         self.versions: dict = {}
         self.wanted = np.array([-1 if v is None else self._number(v) for v in events.column("document_version_hash").to_pylist()], np.int64)
+        # Equal questions are asked once.
+        asked = np.zeros((len(self.wanted), 0)) if self.queries is None else self.queries
+        _, first, self.question = np.unique(np.hstack([self.wanted[:, None], asked]), axis=0, return_index=True, return_inverse=True)
+        self.question, self.wanted = self.question.reshape(-1), self.wanted[first]
+        self.queries = None if self.queries is None else self.queries[first]
         # Descending; where a chunk's details lie in ``details``.
         self.value, self.place = np.full((len(self.wanted), k), -np.inf), np.full((len(self.wanted), k), -1, np.int64)
         self.compared, self.details, self.kept = np.zeros(len(self.wanted), np.int64), [], 0
@@ -262,15 +272,16 @@ class _Block:
         self.value[rows], self.place[rows] = np.take_along_axis(new, order, 1), np.take_along_axis(place, order, 1)
 
     def found(self) -> pa.Table:
-        row, rank = np.nonzero(self.place >= 0)
+        row, rank = np.nonzero(self.place[self.question] >= 0)
         if not len(row):
             return _FOUND.empty_table()
-        value = self.value[row, rank]
-        details = pa.concat_tables(self.details).take(pa.array(self.place[row, rank]))
+        question = self.question[row]
+        value = self.value[question, rank]
+        details = pa.concat_tables(self.details).take(pa.array(self.place[question, rank]))
         return pa.table([
             self.events.column("event_id").take(pa.array(row)), self.events.column("contract_id").take(pa.array(row)),
             *[details.column(c) for c in _DETAILS], pa.array(value, type=pa.float64(), mask=value == _NO_VALUE),
-            pa.array(self.compared[row]), pa.array(np.full(len(row), self.held, np.int64)),
+            pa.array(self.compared[question]), pa.array(np.full(len(row), self.held, np.int64)),
         ], schema=_FOUND)
 
 

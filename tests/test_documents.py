@@ -412,3 +412,24 @@ def test_breach_context_moves_texts_once_and_keeps_no_unsorted_copy(spark, monke
     assert table.count() == chunks.count() and table.filter("size(embedding_vector) != 64").isEmpty()
     assert set(os.listdir(work_root(spark))) - before == {os.path.basename(path)}
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "false") == "false"
+
+
+def test_equal_questions_of_a_block_are_asked_once(monkeypatch):
+    import pyarrow as pa
+
+    asked, plain = [], retrieval.search
+    monkeypatch.setattr(retrieval, "search", lambda queries, *rest, **more: asked.append(len(queries)) or plain(queries, *rest, **more))
+    events = pa.RecordBatch.from_pylist([
+        {"event_id": f"e{i}", "contract_id": "C", "document_version_hash": None if i % 3 else "v", "is_chunk": False, "chunk_index": None,
+         "chunk_id": None, "vector": [float(i % 2), 1.0]} for i in range(60)])
+    chunks = pa.RecordBatch.from_pylist([
+        {"event_id": None, "contract_id": "C", "document_version_hash": "v" if i % 2 else "w", "is_chunk": True, "chunk_index": i,
+         "chunk_id": i, "vector": [float(i % 5), 1.0]} for i in range(40)], schema=events.schema.set(
+             events.schema.get_field_index("chunk_index"), pa.field("chunk_index", pa.int64())).set(
+             events.schema.get_field_index("chunk_id"), pa.field("chunk_id", pa.int64())))
+    found = [row for batch in retrieval._block_top_k(2)(iter([events.cast(chunks.schema), chunks])) for row in batch.to_pylist()]
+    assert asked == [4] and len(found) == 120
+    best = {}
+    for row in found:
+        best.setdefault(row["event_id"], []).append(row["chunk_id"])
+    assert best["e1"] == [1, 6] and best["e2"] == [0, 5] and best["e3"] == [1, 11] and best["e0"] == [5, 15] and best["e7"] == best["e1"]
